@@ -27,6 +27,11 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "timestamp_ntz": "TIMESTAMP"}
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
@@ -61,11 +66,17 @@ def compare(spark, name: str, query, sql: str | None, sf_dir: str, con=None) ->
     if sorted(cols) != sorted(dcols):
         out["status"] = f"columns differ: {cols} vs {dcols}"
         return out
+    stypes = dict(df.dtypes)
+    dtypes = {d[0]: str(d[1]).upper() for d in res.description}
+    bad_types = {c: (stypes[c], dtypes[c]) for c in cols
+                 if SPARK_TO_DUCK.get(stypes[c], stypes[c].upper()) != dtypes[c]}
+    if bad_types:
+        out["types"] = bad_types
     perm = [dcols.index(c) for c in cols]
     drows = [tuple(r[i] for i in perm) for r in drows]
     a, b = sorted(rows, key=_key), sorted(drows, key=_key)
     if a == b:
-        out["status"] = "match"
+        out["status"] = "match" if not bad_types else "match (types differ)"
     else:
         diff_a = [r for r in a if r not in set(b)][:3]
         diff_b = [r for r in b if r not in set(a)][:3]
@@ -90,6 +101,8 @@ def main(argv):
         except Exception as e:  # report and go on
             r = {"name": n, "status": f"error: {type(e).__name__}: {str(e)[:400]}"}
         bad += r["status"] not in ("match", "rows-only")
+        if "types" in r:
+            bad += 1
         print(r, flush=True)
     print("failures:", bad)
     return bad

@@ -1,6 +1,71 @@
-"""Streaming queries registered with the driver (filled in by the streaming module)."""
+"""Streaming queries registered with the driver.
+
+The click table of the fixture is replayed as a file stream, one file per batch number, and
+run through the streaming job with ``availableNow``; each query returns one of the job's
+report tables. They share the batch replay's DuckDB twins, since both must agree when the
+micro-batch edges are the same. One run per (session, input folder) serves all of them.
+"""
 
 from __future__ import annotations
 
-STREAM_QUERIES: dict = {}
-STREAM_ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from visitlens.plans.oracle import ADAPTERS, GUARD
+from visitlens.plans.registry import GUARD_THRESHOLD
+from visitlens.session import shared_dir
+from visitlens.sources import adapters as A
+from visitlens.streaming import app
+from visitlens.streaming.feed import read_batches, write_batches
+
+REPLAY_SCHEMA = T.StructType([
+    T.StructField("ts", T.LongType()),
+    T.StructField("area", T.StringType()),
+    T.StructField("city", T.StringType()),
+    T.StructField("user_id", T.StringType()),
+    T.StructField("ads_id", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
+])
+
+_RUNS: dict = {}
+
+
+def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD) -> str:
+    """Run the streaming job over the fixture's click log; returns the sink root."""
+    key = (id(spark), sf_dir, threshold)
+    if key in _RUNS:
+        return _RUNS[key]
+    root = shared_dir(spark, "stream-replay")
+    src, sink, ckpt = f"{root}/src", f"{root}/sink", f"{root}/checkpoint"
+    write_batches(A.ads_log(spark, sf_dir), src)
+    clicks = read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id")
+    q = app.start(clicks, sink, ckpt, threshold=threshold, trigger={"availableNow": True})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(f"stream replay failed: {q.exception()}")
+    _RUNS[key] = sink
+    return sink
+
+
+def _table(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.read.parquet(f"{replay(spark, sf_dir)}/{name}")
+    run.__name__ = f"stream_{name}"
+    return run
+
+
+STREAM_QUERIES = {
+    "stream_guard": _table("blacklist"),
+    "stream_user_ads_click": _table("user_ads_click"),
+    "stream_area_city_ads": _table("area_city_ads_count"),
+    "stream_area_top3": _table("area_top3_ads"),
+}
+
+_W = "WITH " + ADAPTERS + "," + GUARD
+STREAM_ORACLE = {
+    "stream_guard": _W + "\nSELECT DISTINCT user_id FROM bl",
+    "stream_user_ads_click": _W +
+        "\nSELECT day, user_id, ads_id, CAST(count(*) AS BIGINT) AS click_count FROM adm GROUP BY ALL",
+    "stream_area_city_ads": _W + "\nSELECT * FROM q5",
+    "stream_area_top3": _W + "\nSELECT * FROM q6",
+}
