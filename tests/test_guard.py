@@ -1,0 +1,91 @@
+import random
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from visitlens.operators import guard as G
+from visitlens.streaming import app
+from visitlens.streaming.feed import read_batches, write_batches
+from visitlens.streaming.registry import REPLAY_SCHEMA
+
+DAY_MS = 86_400_000
+BASE = 1_550_275_200_000  # 2019-02-16 00:00:00 UTC
+
+
+def simulate(rows, threshold):
+    """Step-by-step reference semantics: rows are (batch, day, user, ad)."""
+    blocked, totals, admitted = set(), defaultdict(int), []
+    for b in sorted({r[0] for r in rows}):
+        batch = [r for r in rows if r[0] == b and r[2] not in blocked]
+        admitted += batch
+        for _, d, u, a in batch:
+            totals[(d, u, a)] += 1
+        blocked |= {u for (d, u, a), c in totals.items() if c >= threshold}
+    return admitted, blocked
+
+
+def ads_df(spark, rows):
+    """rows: (batch, day_index, user, ad) -> click rows with area/city."""
+    data = [(b, BASE + d * DAY_MS + i, "North", "C_1", u, a) for i, (b, d, u, a) in enumerate(rows)]
+    return spark.createDataFrame(data, "batch_id long, ts long, area string, city string, user_id string, ads_id string")
+
+
+def test_crossing_batch_admitted_then_dropped(spark):
+    rows = [(0, 0, "u", "a")] * 2 + [(1, 0, "u", "a")] * 2 + [(2, 0, "u", "b")]
+    df = ads_df(spark, rows)
+    assert G.admitted_clicks(df, 3).count() == 4
+    assert [(r.user_id, r.blocked_batch) for r in G.blocked_users(df, 3).collect()] == [("u", 1)]
+
+
+def test_block_holds_next_day(spark):
+    rows = [(0, 0, "u", "a")] * 3 + [(1, 1, "u", "z")]
+    assert G.admitted_clicks(ads_df(spark, rows), 3).count() == 3
+
+
+def test_closed_form_equals_simulation(spark):
+    rng = random.Random(7)
+    rows, expected_adm, expected_blk = [], [], set()
+    for case in range(40):
+        case_rows = [(rng.randrange(6), rng.randrange(2), f"c{case}u{rng.randrange(3)}", str(rng.randrange(3)))
+                     for _ in range(rng.randrange(1, 25))]
+        adm, blk = simulate(case_rows, 3)
+        rows += case_rows
+        expected_adm += adm
+        expected_blk |= blk
+    df = ads_df(spark, rows)
+    got = G.admitted_clicks(df, 3).select("batch_id", F.expr("cast((ts - 1550275200000) div 86400000 as int)"),
+                                          "user_id", "ads_id").collect()
+    assert sorted(map(tuple, got)) == sorted(expected_adm)
+    assert {r.user_id for r in G.blocked_users(df, 3).collect()} == expected_blk
+
+
+def _snapshot(spark, sink, name):
+    return sorted(map(tuple, spark.read.parquet(f"{sink}/{name}").collect()))
+
+
+def test_stream_equals_batch_with_restart(spark, scratch):
+    rng = random.Random(11)
+    rows = [(rng.randrange(8), rng.randrange(2), f"u{rng.randrange(5)}", str(rng.randrange(3)))
+            for _ in range(160)]
+    df = ads_df(spark, rows)
+    src, sink, ckpt = f"{scratch}/src", f"{scratch}/sink", f"{scratch}/ckpt"
+    cols = ["ts", "area", "city", "user_id", "ads_id", "batch_id"]
+    write_batches(df.filter("batch_id < 4").select(*cols), src)
+    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt,
+                  threshold=3, trigger={"availableNow": True})
+    q.awaitTermination()
+    write_batches(df.filter("batch_id >= 4").select(*cols), src, mode="append")
+    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt,
+                  threshold=3, trigger={"availableNow": True})
+    q.awaitTermination()
+    assert q.exception() is None
+
+    adm = G.admitted_counts(df, 3)
+    q5 = G.area_city_ads_count(adm)
+    assert _snapshot(spark, sink, "area_city_ads_count") == sorted(map(tuple, q5.collect()))
+    assert _snapshot(spark, sink, "area_top3_ads") == sorted(map(tuple, G.area_top3_ads(q5).collect()))
+    assert _snapshot(spark, sink, "user_ads_click") == sorted(map(tuple, G.user_ad_day_counts(adm).collect()))
+    assert {r[0] for r in _snapshot(spark, sink, "blacklist")} == \
+        {r.user_id for r in G.blocked_users(df, 3).collect()}
+    _, blk = simulate(rows, 3)
+    assert {r[0] for r in _snapshot(spark, sink, "blacklist")} == blk

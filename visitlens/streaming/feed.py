@@ -28,9 +28,13 @@ def _local(path: str) -> str:
     return path
 
 
-def write_batches(df: DataFrame, path: str, batch_col: str = "batch_id", fmt: str = "parquet") -> int:
-    """Write ``df`` as one file per value of ``batch_col``, oldest mtime first. Returns #files."""
-    (df.repartition(batch_col).write.mode("overwrite").format(fmt)
+def write_batches(df: DataFrame, path: str, batch_col: str = "batch_id", fmt: str = "parquet",
+                  mode: str = "overwrite") -> int:
+    """Write ``df`` as one file per value of ``batch_col``, oldest mtime first. Returns #files.
+
+    ``mode="append"`` adds later batches to a folder a running stream already reads.
+    """
+    (df.repartition(batch_col).write.mode(mode).format(fmt)
        .partitionBy(batch_col).save(path))
     files = []
     for d, _, names in os.walk(_local(path)):
