@@ -81,9 +81,13 @@ def category_session_counts(visits: DataFrame, users: DataFrame, flt: VisitFilte
 
 
 def category_session_top10(visits: DataFrame, users: DataFrame, flt: VisitFilter,
-                           task_id: str = "", n: int = 10) -> DataFrame:
-    """Q2. Exactly <= n sessions per category: count desc, then session_id asc."""
-    top10 = category_top10(visits, users, flt, task_id)
+                           task_id: str = "", n: int = 10, top10: DataFrame | None = None) -> DataFrame:
+    """Q2. Exactly <= n sessions per category: count desc, then session_id asc.
+
+    ``top10`` may be Q1's stored result (the offline app passes it, so Q1 is not recomputed).
+    """
+    if top10 is None:
+        top10 = category_top10(visits, users, flt, task_id)
     counts = category_session_counts(visits, users, flt, top10)
     top = top_n_per_group(counts, ["category_id"],
                           [F.col("click_count").desc(), F.col("session_id").asc()], n)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from visitlens.schemas import REPORT_PARAMS
 
 JSON_OPTIONS = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
+_PARSED: dict = {}
 
 
 def parse_params_column(text: Column) -> Column:
@@ -34,11 +35,16 @@ class VisitFilter:
 
     @staticmethod
     def from_json(spark: SparkSession, text: str) -> VisitFilter:
-        """Parse one parameter text (a one-row driver-side config read, not data)."""
-        row = (spark.range(1)
-               .select(parse_params_column(F.lit(text)).alias("p"))
-               .select("p.*").first())
-        return VisitFilter(row["startDate"], row["endDate"], row["startAge"], row["endAge"])
+        """Parse one parameter text (a one-row driver-side config read, not data).
+
+        Parsed once per text and process: it is configuration, not input data.
+        """
+        if text not in _PARSED:
+            row = (spark.range(1)
+                   .select(parse_params_column(F.lit(text)).alias("p"))
+                   .select("p.*").first())
+            _PARSED[text] = VisitFilter(row["startDate"], row["endDate"], row["startAge"], row["endAge"])
+        return _PARSED[text]
 
     @staticmethod
     def _on(v: str | None) -> bool:
