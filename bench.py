@@ -38,6 +38,9 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = get_session(f"local[{cpus}]", int(cpus), app_name="visitlens-bench",
                         extra={"spark.driver.memory": "8g"})
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="visitlens-bench-"))
     from visitlens.plans.registry import QUERIES
 
     times, cold = {}, {}

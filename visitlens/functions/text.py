@@ -24,9 +24,11 @@ def java_split(col, sep: str = ",") -> Column:
     ``"1,2,,"`` -> [1, 2]; ``","`` -> []; ``",1"`` -> ["", 1]; ``""`` -> [""]; null -> null.
     Spark's ``split`` keeps trailing empties, so they are cut off before splitting.
     """
+    if len(sep) != 1:
+        raise ValueError("java_split takes a one-character separator")
     c = _c(col)
+    trimmed = F.rtrim(c, F.lit(sep))  # trailing separators only; no regex per row
     esc = re.escape(sep)
-    trimmed = F.regexp_replace(c, f"(?:{esc})+$", "")
     return (F.when(c == "", F.array(F.lit("")))
              .when(trimmed == "", F.array().cast("array<string>"))
              .otherwise(F.split(trimmed, esc)))

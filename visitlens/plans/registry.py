@@ -17,7 +17,9 @@ from visitlens.operators.visits import filter_visits
 from visitlens.plans import offline as O
 from visitlens.sources import adapters as A
 from visitlens.sources import adslog
+from visitlens.session import shared_dir
 from visitlens.sources.params import VisitFilter
+from visitlens.sources.sinks import overwrite_table
 
 # Fixed parameters of the registered queries (shared with the oracle SQL).
 TASK_ID = "task-0001"
@@ -134,6 +136,13 @@ def q_area_product_top3_lineitem(spark, sf):
     return O.area_product_top3(A.lineitem_clicks(spark, sf), A.product_info(spark, sf))
 
 
+def q_table_overwrite(spark, sf):
+    """Q3 stored with drop-and-save-as-table semantics (S4), read back from the catalog."""
+    path = shared_dir(spark, "tables", "area_count_info")
+    overwrite_table(q_area_product_top3(spark, sf), "visitlens_area_count_info", path=path)
+    return spark.table("visitlens_area_count_info")
+
+
 def q_ads_format(spark, sf):
     return adslog.format_lines(A.ads_log(spark, sf), keep=("batch_id",))
 
@@ -198,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "area_product_rank": q_area_product_rank,
     "area_product_top3": q_area_product_top3,
     "area_product_top3_lineitem": q_area_product_top3_lineitem,
+    "table_overwrite": q_table_overwrite,
     "ads_format": q_ads_format,
     "ads_parse": q_ads_parse,
     "blacklist_users": q_blacklist_users,

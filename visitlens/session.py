@@ -30,12 +30,35 @@ DEFAULT_CONF = {
 }
 
 
+# Sizing for a large cluster (~100 TB input, ~1000 executors). Shuffle partitions start
+# high and AQE coalesces them to ~256 MB each, so neither a tiny nor a huge stage spills
+# or starves; broadcasts happen only below a measured 64 MB; skewed join partitions are
+# split; large streaming state lives in RocksDB with changelog checkpoints.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "visitlens", extra: dict | None = None) -> SparkSession:
+                app_name: str = "visitlens", extra: dict | None = None,
+                profile: str = "local") -> SparkSession:
+    """Session with the package defaults; ``profile="cluster"`` adds ``CLUSTER_CONF``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
