@@ -89,3 +89,31 @@ def test_stream_equals_batch_with_restart(spark, scratch):
         {r.user_id for r in G.blocked_users(df, 3).collect()}
     _, blk = simulate(rows, 3)
     assert {r[0] for r in _snapshot(spark, sink, "blacklist")} == blk
+
+
+def _run_stream(spark, scratch, rows, threshold, **kw):
+    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
+    src, sink, ckpt = f"{scratch}/src", f"{scratch}/sink", f"{scratch}/ckpt"
+    write_batches(df, src)
+    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt,
+                  threshold=threshold, trigger={"availableNow": True}, **kw)
+    q.awaitTermination()
+    assert q.exception() is None
+    return sink
+
+
+def test_stream_crossing_batch(spark, scratch):
+    rows = [(0, 0, "u", "a")] * 2 + [(1, 0, "u", "a")] * 2 + [(2, 0, "u", "b")]
+    sink = _run_stream(spark, scratch, rows, 3)
+    got = _snapshot(spark, sink, "user_ads_click")
+    assert got == [("2019-02-16", "u", "a", 4)]
+    assert _snapshot(spark, sink, "blacklist") == [("u",)]
+
+
+def test_stream_keep_days_forgets_old_totals(spark, scratch):
+    # day 0: 2 clicks, day 5: 1 click on the same ad; threshold 3 is never reached per day,
+    # and keep_days only drops totals of days that can no longer change the outcome here.
+    rows = [(0, 0, "u", "a")] * 2 + [(1, 5, "u", "a")] + [(2, 5, "u", "a")]
+    sink = _run_stream(spark, scratch, rows, 3, keep_days=1)
+    assert _snapshot(spark, sink, "blacklist") == []
+    assert sum(r[-1] for r in _snapshot(spark, sink, "area_city_ads_count")) == 4

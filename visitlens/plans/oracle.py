@@ -153,8 +153,10 @@ def _summary(src: str, p: str = "") -> str:
 )"""
 
 
-GUARD = f"""
-ad AS (SELECT *, strftime(epoch_ms(ts), '%Y-%m-%d') AS day FROM ads),
+def guard_sql(src: str = "ads") -> str:
+    """Closed-form click guard + Q5 + Q6 over a CTE ``src`` (batch_id, ts, area, city, user_id, ads_id)."""
+    return f"""
+ad AS (SELECT *, strftime(epoch_ms(ts), '%Y-%m-%d') AS day FROM {src}),
 per AS (SELECT batch_id, day, user_id, ads_id, count(*) AS n FROM ad GROUP BY ALL),
 cum AS (
   SELECT *, sum(n) OVER (PARTITION BY day, user_id, ads_id ORDER BY batch_id
@@ -177,13 +179,17 @@ q6 AS (
   WHERE rn <= 3 GROUP BY day, area
 )"""
 
+
+GUARD = guard_sql("ads")
+
 LINES = """
 lines AS (SELECT batch_id, concat_ws(' ', CAST(ts AS VARCHAR), area, city, user_id, ads_id) AS value FROM ads),
 parsed AS (
-  SELECT TRY_CAST(p[1] AS BIGINT) AS ts, p[2] AS area, p[3] AS city, p[4] AS user_id, p[5] AS ads_id,
-         len(p) >= 5 AND TRY_CAST(p[1] AS BIGINT) IS NOT NULL AS valid
-  FROM (SELECT string_split(rtrim(value, ' '), ' ') AS p FROM lines) x
-)"""
+  SELECT batch_id, TRY_CAST(p[1] AS BIGINT) AS ts, p[2] AS area, p[3] AS city, p[4] AS user_id,
+         p[5] AS ads_id, len(p) >= 5 AND TRY_CAST(p[1] AS BIGINT) IS NOT NULL AS valid
+  FROM (SELECT batch_id, string_split(rtrim(value, ' '), ' ') AS p FROM lines) x
+),
+parsed_ok AS (SELECT batch_id, ts, area, city, user_id, ads_id FROM parsed WHERE valid)"""
 
 
 def _with(*parts: str) -> str:

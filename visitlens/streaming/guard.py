@@ -14,6 +14,7 @@ into the downstream running aggregate.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,12 +51,17 @@ def make_guard(threshold: int, keep_days: int | None = None):
         for pdf in pdfs:
             if pdf.empty:
                 continue
-            g = (pdf.groupby(["day", "area", "city", "ads_id"], dropna=False, sort=False)
-                    .size().reset_index(name="n"))
-            g.insert(0, "user_id", user)
-            yield g[OUT_COLS]
-            for (d, a), c in pdf.groupby(["day", "ads_id"], dropna=False, sort=False).size().items():
-                totals[(d, a)] = totals.get((d, a), 0) + int(c)
+            # one counting pass per Arrow chunk: admitted clicks per (day, area, city, ad)
+            cnt = Counter(zip(pdf["day"], pdf["area"], pdf["city"], pdf["ads_id"]))
+            keys = list(cnt)
+            yield pd.DataFrame({
+                "user_id": [user] * len(keys),
+                "day": [k[0] for k in keys], "area": [k[1] for k in keys],
+                "city": [k[2] for k in keys], "ads_id": [k[3] for k in keys],
+                "n": list(cnt.values()),
+            }, columns=OUT_COLS)
+            for (d, _, _, a), c in cnt.items():
+                totals[(d, a)] = totals.get((d, a), 0) + c
         if any(c >= threshold for c in totals.values()):
             state.update(([], [], [], True))
             return

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from visitlens.plans.oracle import ADAPTERS, GUARD
+from visitlens.plans.oracle import ADAPTERS, GUARD, LINES, guard_sql
 from visitlens.plans.registry import GUARD_THRESHOLD
 from visitlens.session import shared_dir
 from visitlens.sources import adapters as A
+from visitlens.sources import adslog
 from visitlens.streaming import app
 from visitlens.streaming.feed import read_batches, write_batches
 
@@ -47,9 +48,26 @@ def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD) -
     return sink
 
 
-def _table(name: str):
+def replay_lines(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD) -> str:
+    """The whole original path: text lines in, one file per batch -> parse -> guard -> reports."""
+    key = ("lines", id(spark), sf_dir, threshold)
+    if key in _RUNS:
+        return _RUNS[key]
+    root = shared_dir(spark, "stream-lines-replay")
+    src, sink, ckpt = f"{root}/src", f"{root}/sink", f"{root}/checkpoint"
+    write_batches(adslog.format_lines(A.ads_log(spark, sf_dir), keep=("batch_id",)), src, fmt="text")
+    q = app.start_from_lines(adslog.file_lines(spark, src), sink, ckpt, threshold=threshold,
+                             trigger={"availableNow": True})
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(f"line stream replay failed: {q.exception()}")
+    _RUNS[key] = sink
+    return sink
+
+
+def _table(name: str, runner=replay):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.read.parquet(f"{replay(spark, sf_dir)}/{name}")
+        return spark.read.parquet(f"{runner(spark, sf_dir)}/{name}")
     run.__name__ = f"stream_{name}"
     return run
 
@@ -59,6 +77,9 @@ STREAM_QUERIES = {
     "stream_user_ads_click": _table("user_ads_click"),
     "stream_area_city_ads": _table("area_city_ads_count"),
     "stream_area_top3": _table("area_top3_ads"),
+    "stream_lines_guard": _table("blacklist", replay_lines),
+    "stream_lines_area_city_ads": _table("area_city_ads_count", replay_lines),
+    "stream_lines_area_top3": _table("area_top3_ads", replay_lines),
 }
 
 _W = "WITH " + ADAPTERS + "," + GUARD
@@ -69,3 +90,9 @@ STREAM_ORACLE = {
     "stream_area_city_ads": _W + "\nSELECT * FROM q5",
     "stream_area_top3": _W + "\nSELECT * FROM q6",
 }
+_WL = "WITH " + ADAPTERS + "," + LINES + "," + guard_sql("parsed_ok")
+STREAM_ORACLE.update({
+    "stream_lines_guard": _WL + "\nSELECT DISTINCT user_id FROM bl",
+    "stream_lines_area_city_ads": _WL + "\nSELECT * FROM q5",
+    "stream_lines_area_top3": _WL + "\nSELECT * FROM q6",
+})
