@@ -117,3 +117,30 @@ def test_stream_keep_days_forgets_old_totals(spark, scratch):
     sink = _run_stream(spark, scratch, rows, 3, keep_days=1)
     assert _snapshot(spark, sink, "blacklist") == []
     assert sum(r[-1] for r in _snapshot(spark, sink, "area_city_ads_count")) == 4
+
+
+def test_bucketed_and_per_user_guard_agree(spark, scratch):
+    rng = random.Random(5)
+    rows = [(rng.randrange(6), rng.randrange(2), f"u{rng.randrange(40)}", str(rng.randrange(3)))
+            for _ in range(400)]
+    expected_adm, expected_blk = simulate(rows, 3)
+    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
+    src = f"{scratch}/src"
+    write_batches(df, src)
+    out = {}
+    for label, buckets in (("user", None), ("bucket", 7)):
+        sink, ckpt = f"{scratch}/sink_{label}", f"{scratch}/ck_{label}"
+        q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=3,
+                      trigger={"availableNow": True}, guard_buckets=buckets)
+        q.awaitTermination()
+        assert q.exception() is None
+        out[label] = {t: _snapshot(spark, sink, t) for t in app.TABLES}
+    assert out["user"] == out["bucket"]
+    assert {r[0] for r in out["bucket"]["blacklist"]} == expected_blk
+    per_user = defaultdict(int)
+    for _, d, u, a in expected_adm:
+        per_user[(u, a)] += 1
+    got = defaultdict(int)
+    for _, u, a, c in out["bucket"]["user_ads_click"]:
+        got[(u, a)] += c
+    assert got == per_user

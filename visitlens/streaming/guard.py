@@ -1,6 +1,7 @@
 """Stateful click guard for Structured Streaming (St3).
 
-One state per user: the running click totals per (day, ad) and a ``blocked`` flag. In each
+Per user (``make_guard``, keyed by user, or ``make_bucket_guard``, keyed by a hash bucket
+of users holding the same per-user record): the running click totals per (day, ad) and a ``blocked`` flag. In each
 micro-batch a user that was blocked at batch start has all clicks dropped; otherwise every
 click is admitted (the whole crossing batch too), the totals are updated and the flag set
 once any total reaches the threshold. A blocked user's totals are dropped from the state,
@@ -74,9 +75,72 @@ def make_guard(threshold: int, keep_days: int | None = None):
     return guard
 
 
-def apply_guard(clicks, threshold: int, keep_days: int | None = None):
-    """Streaming (or batch) click rows with ``day`` -> admitted counts per user/day/area/city/ad."""
-    return (clicks.select("user_id", "day", "area", "city", "ads_id")
-                  .groupBy("user_id")
-                  .applyInPandasWithState(make_guard(threshold, keep_days), GUARD_OUT_SCHEMA,
-                                          GUARD_STATE_SCHEMA, "append", "NoTimeout"))
+GUARD_BUCKET_STATE_SCHEMA = ("users array<string>, days array<string>, ads array<string>, "
+                             "counts array<long>, blocked array<string>")
+
+
+def make_bucket_guard(threshold: int, keep_days: int | None = None):
+    """State function keyed by a hash bucket of users (same rule as ``make_guard``).
+
+    A bucket's state holds, for each of its users, the (day, ad) totals of unblocked users
+    and the ids of blocked ones. Grouping many users per key turns the per-group cost of
+    the Python state API (paid once per key and batch) into a per-bucket cost; each user's
+    decision still depends only on that user's own rows and state.
+    """
+
+    def guard(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            users, days, ads, counts, blocked = state.get
+        else:
+            users, days, ads, counts, blocked = [], [], [], [], []
+        blocked_at_start = set(blocked)
+        totals: dict[tuple[str, str, str], int] = {}
+        for u, d, a, c in zip(list(users), list(days), list(ads), list(counts)):
+            totals[(u, d, a)] = int(c)
+        touched: set[str] = set()
+        for pdf in pdfs:
+            if pdf.empty:
+                continue
+            cnt = Counter(zip(pdf["user_id"], pdf["day"], pdf["area"], pdf["city"], pdf["ads_id"]))
+            rows = [(k, c) for k, c in cnt.items() if k[0] not in blocked_at_start]
+            if not rows:
+                continue
+            yield pd.DataFrame({
+                "user_id": [k[0] for k, _ in rows], "day": [k[1] for k, _ in rows],
+                "area": [k[2] for k, _ in rows], "city": [k[3] for k, _ in rows],
+                "ads_id": [k[4] for k, _ in rows], "n": [c for _, c in rows],
+            }, columns=OUT_COLS)
+            for (u, d, _, _, a), c in rows:
+                totals[(u, d, a)] = totals.get((u, d, a), 0) + c
+                touched.add(u)
+        # only users with clicks in this batch can cross the threshold now
+        newly = {u for (u, _, _), c in totals.items() if u in touched and c >= threshold}
+        now_blocked = blocked_at_start | newly
+        totals = {k: c for k, c in totals.items() if k[0] not in now_blocked}
+        if keep_days is not None and totals:
+            low = _cutoff(max(k[1] for k in totals), keep_days)
+            totals = {k: c for k, c in totals.items() if k[1] >= low}
+        keys = list(totals)
+        state.update(([k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys],
+                      [totals[k] for k in keys], sorted(now_blocked)))
+
+    return guard
+
+
+def apply_guard(clicks, threshold: int, keep_days: int | None = None, buckets: int | None = None):
+    """Click rows with ``day`` -> admitted counts per user/day/area/city/ad.
+
+    ``buckets=None`` keeps one state per user; ``buckets=N`` keys the state by
+    ``pmod(xxhash64(user_id), N)``, which bounds the number of Python state groups per
+    micro-batch by N however many users are active.
+    """
+    cols = clicks.select("user_id", "day", "area", "city", "ads_id")
+    if not buckets:
+        return (cols.groupBy("user_id")
+                    .applyInPandasWithState(make_guard(threshold, keep_days), GUARD_OUT_SCHEMA,
+                                            GUARD_STATE_SCHEMA, "append", "NoTimeout"))
+    from pyspark.sql import functions as F
+    keyed = cols.withColumn("guard_bucket", F.pmod(F.xxhash64("user_id"), F.lit(int(buckets))))
+    return (keyed.groupBy("guard_bucket")
+                 .applyInPandasWithState(make_bucket_guard(threshold, keep_days), GUARD_OUT_SCHEMA,
+                                         GUARD_BUCKET_STATE_SCHEMA, "append", "NoTimeout"))
