@@ -71,15 +71,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; set a private one only if none is set."""
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context, use the session setting
+        sc = None
+    root = sc.getCheckpointDir() if sc is not None else None
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             # Local runs and tests only: a cluster must name a shared folder itself.
             root = tempfile.mkdtemp(prefix="visitlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir() or root
+        if sc is not None:
+            sc.setCheckpointDir(root)
+            root = sc.getCheckpointDir() or root
     return root
 
 
