@@ -127,6 +127,15 @@ def make_bucket_guard(threshold: int, keep_days: int | None = None):
     return guard
 
 
+def _ship_by_value() -> None:
+    """Pickle this module's functions by value, so Python workers need not have the package
+    installed (the state function is the only Python code that runs inside tasks)."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def apply_guard(clicks, threshold: int, keep_days: int | None = None, buckets: int | None = None):
     """Click rows with ``day`` -> admitted counts per user/day/area/city/ad.
 
@@ -134,6 +143,7 @@ def apply_guard(clicks, threshold: int, keep_days: int | None = None, buckets: i
     ``pmod(xxhash64(user_id), N)``, which bounds the number of Python state groups per
     micro-batch by N however many users are active.
     """
+    _ship_by_value()
     cols = clicks.select("user_id", "day", "area", "city", "ads_id")
     if not buckets:
         return (cols.groupBy("user_id")
