@@ -78,7 +78,7 @@ def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCH_ROWS = 500  # fixed micro-batch width of the replayed click log (event_id div 500)
 
 
-def ads_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ads_log(spark: SparkSession, sf_dir: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Parsed ad-click log rows with a fixed micro-batch number per row.
 
     ``batch_id`` pins the micro-batch edges the click guard depends on; ``ts`` is epoch
@@ -91,7 +91,7 @@ def ads_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = city_info(spark, sf_dir)
     j = e.join(c, e.cid == c.city_id)
     return j.select(
-        F.expr(f"event_id div {BATCH_ROWS}").alias("batch_id"),
+        F.expr(f"event_id div {int(batch_rows)}").alias("batch_id"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
         F.col("area"),
         F.col("city_name").alias("city"),

@@ -19,6 +19,8 @@ the guard state for long runs.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,13 +48,16 @@ class SnapshotSink:
         try:
             q5 = (totals.groupBy("day", "area", "city", "ads_id")
                         .agg(F.sum("click_count").cast("bigint").alias("click_count")))
-            write_snapshot(q5, self.path("area_city_ads_count"))
-            write_snapshot(area_top3_ads(q5), self.path("area_top3_ads"))
             per_user = (totals.groupBy("day", "user_id", "ads_id")
                               .agg(F.sum("click_count").cast("bigint").alias("click_count")))
-            write_snapshot(per_user, self.path("user_ads_click"))
             blocked = per_user.filter(F.col("click_count") >= self.threshold).select("user_id").distinct()
-            write_snapshot(blocked, self.path("blacklist"))
+            outputs = {"area_city_ads_count": q5, "area_top3_ads": area_top3_ads(q5),
+                       "user_ads_click": per_user, "blacklist": blocked}
+            # The four writes are independent jobs over the cached totals: submit them together
+            # so their stages share the executors instead of queueing one after another.
+            with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
+                for f in [pool.submit(write_snapshot, df, self.path(t)) for t, df in outputs.items()]:
+                    f.result()
         finally:
             totals.unpersist()
 

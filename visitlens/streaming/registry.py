@@ -31,14 +31,18 @@ REPLAY_SCHEMA = T.StructType([
 _RUNS: dict = {}
 
 
-def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD) -> str:
-    """Run the streaming job over the fixture's click log; returns the sink root."""
-    key = (id(spark), sf_dir, threshold)
+def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD,
+           batch_rows: int = A.BATCH_ROWS) -> str:
+    """Run the streaming job over the fixture's whole click log; returns the sink root.
+
+    ``batch_rows`` sets the micro-batch width (event ids per batch), not a row limit.
+    """
+    key = (id(spark), sf_dir, threshold, batch_rows)
     if key in _RUNS:
         return _RUNS[key]
     root = shared_dir(spark, "stream-replay")
     src, sink, ckpt = f"{root}/src", f"{root}/sink", f"{root}/checkpoint"
-    write_batches(A.ads_log(spark, sf_dir), src)
+    write_batches(A.ads_log(spark, sf_dir, batch_rows), src)
     clicks = read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id")
     q = app.start(clicks, sink, ckpt, threshold=threshold, trigger={"availableNow": True})
     q.awaitTermination()
