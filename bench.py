@@ -35,7 +35,7 @@ HEADLINE = {
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
     spark = get_session(f"local[{cpus}]", int(cpus), app_name="visitlens-bench",
                         extra={"spark.driver.memory": "8g"})
     if not spark.sparkContext.getCheckpointDir():

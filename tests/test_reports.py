@@ -77,6 +77,9 @@ def test_city_ratio_cases(spark):
     assert _ratio(spark, ["A", "A", "B", "C"]) == "A:50.0%,B:25.0%,其他:25.0%"
     assert _ratio(spark, ["A", "B", "C"]) == "A:33.3%,B:33.3%,其他:33.4%"
     assert _ratio(spark, ["A", None, None]) == "null:66.7%,A:33.3%"
+    # exactly two cities: no remainder part, and both shares may round up (sum 100.1)
+    assert _ratio(spark, ["A"] * 9 + ["B"] * 7) == "A:56.3%,B:43.8%"
+    assert _ratio(spark, ["A"] * 1 + ["B"] * 7 + ["C"] * 1992) == "C:99.6%,B:0.4%,其他:0.0%"
 
 
 def _area_clicks(spark, counts):
