@@ -40,6 +40,10 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
     "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # Static (plan-time) broadcast sizes come from compressed file sizes; scale them up so a
+    # table that decompresses to several times its parquet size is not broadcast by mistake.
+    # The runtime (AQE) threshold below uses measured shuffle sizes instead.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
