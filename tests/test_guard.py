@@ -144,3 +144,16 @@ def test_bucketed_and_per_user_guard_agree(spark, scratch):
     for _, u, a, c in out["bucket"]["user_ads_click"]:
         got[(u, a)] += c
     assert got == per_user
+
+
+def test_stream_on_rocksdb_state_with_own_partitions(spark, scratch):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = [(0, 0, "u", "a")] * 2 + [(1, 0, "u", "a")] * 2 + [(2, 0, "u", "b")]
+        sink = _run_stream(spark, scratch, rows, 3, state_partitions=3)
+    finally:
+        spark.conf.set(key, old)
+    assert _snapshot(spark, sink, "user_ads_click") == [("2019-02-16", "u", "a", 4)]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"

@@ -43,8 +43,10 @@ def main(argv=None):
     p.add_argument("--checkpoint")
     p.add_argument("--threshold", type=int, default=100)
     p.add_argument("--keep-days", type=int)
+    p.add_argument("--state-partitions", type=int)
+    p.add_argument("--profile", default="local", choices=["local", "cluster"])
     a = p.parse_args(argv)
-    spark = get_session(a.master)
+    spark = get_session(a.master, profile=a.profile)
     if a.program == "offline":
         v = typed(read_table(spark, a.visits), S.USER_VISIT_ACTION)
         u = typed(read_table(spark, a.users), S.USER_INFO)
@@ -57,7 +59,8 @@ def main(argv=None):
     else:
         lines = (adslog.file_lines(spark, a.lines_dir) if a.lines_dir
                  else adslog.kafka_lines(spark, a.kafka_servers, a.topic))
-        apps.run_realtime(lines, a.sink, a.checkpoint, a.threshold, a.keep_days).awaitTermination()
+        apps.run_realtime(lines, a.sink, a.checkpoint, a.threshold, a.keep_days,
+                          state_partitions=a.state_partitions).awaitTermination()
 
 
 if __name__ == "__main__":

@@ -80,12 +80,15 @@ def running_totals(clicks: DataFrame, threshold: int = DEFAULT_THRESHOLD,
 def start(clicks: DataFrame, sink_root: str, checkpoint: str,
           threshold: int = DEFAULT_THRESHOLD, keep_days: int | None = None,
           trigger: dict | None = None, query_name: str | None = None,
-          guard_buckets: int | None = DEFAULT_GUARD_BUCKETS) -> StreamingQuery:
+          guard_buckets: int | None = DEFAULT_GUARD_BUCKETS,
+          state_partitions: int | None = None) -> StreamingQuery:
     """Start the job on a parsed click stream (ts, area, city, user_id, ads_id).
 
     ``trigger`` defaults to a 5-second micro-batch (St1); tests pass ``{"availableNow": True}``.
-    ``guard_buckets`` is fixed by the checkpoint once the query has started; ``None`` keys
-    the guard state by user.
+    ``guard_buckets`` and ``state_partitions`` are fixed by the checkpoint once the query has
+    started; ``None`` buckets keys the guard state by user. Streaming state is not coalesced
+    by AQE, so ``state_partitions`` (default: the session's shuffle partitions) should be
+    sized to the cluster (a few tasks per core), not to the batch shuffle setting.
     """
     totals = running_totals(clicks, threshold, keep_days, guard_buckets)
     w = (totals.writeStream.outputMode("complete")
@@ -94,7 +97,16 @@ def start(clicks: DataFrame, sink_root: str, checkpoint: str,
                .trigger(**(trigger or {"processingTime": "5 seconds"})))
     if query_name:
         w = w.queryName(query_name)
-    return w.start()
+    if not state_partitions:
+        return w.start()
+    spark = clicks.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(int(state_partitions)))
+    try:  # read once when the query is planned and then kept in its checkpoint
+        return w.start()
+    finally:
+        spark.conf.set(key, old)
 
 
 def start_from_lines(lines: DataFrame, sink_root: str, checkpoint: str, **kw) -> StreamingQuery:
