@@ -31,3 +31,20 @@ def test_realtime_app_from_text_lines(spark, scratch):
     got = sorted(map(tuple, spark.read.parquet(f"{scratch}/out/area_city_ads_count").collect()))
     assert got == [("2019-02-16", "North", "C_1", "a1", 3), ("2019-02-16", "South", "C_2", "a1", 1)]
     assert [r[0] for r in spark.read.parquet(f"{scratch}/out/blacklist").collect()] == ["u1"]
+
+
+def test_cli_programs_on_stored_tables(spark, scratch):
+    """Store the adapter views as parquet tables, then run the command line programs on them."""
+    from visitlens.__main__ import main
+    from visitlens.plans.registry import TASK_ID
+    tables = {"visits": A.user_visit_action(spark, SF_SMALL), "users": A.user_info(spark, SF_SMALL),
+              "cities": A.city_info(spark, SF_SMALL), "products": A.product_info(spark, SF_SMALL)}
+    for name, df in tables.items():
+        df.write.parquet(f"{scratch}/in/{name}")
+    args = [f"--{n}={scratch}/in/{n}" for n in tables] + [f"--out={scratch}/out"]
+    main(["area"] + args)
+    main(["offline", f"--params={PARAMS_JSON}", f"--task-id={TASK_ID}"] + args)
+    for table, q in [("area_count_info", "area_product_top3"), ("category_top10", "category_top10"),
+                     ("category_top10_session_top10", "category_session_top10")]:
+        got = sorted(map(tuple, spark.read.parquet(f"{scratch}/out/{table}").collect()))
+        assert got == sorted(map(tuple, QUERIES[q](spark, SF_SMALL).collect())), table
