@@ -31,6 +31,14 @@ REPLAY_SCHEMA = T.StructType([
 _RUNS: dict = {}
 
 
+def _state_partitions(spark: SparkSession) -> int:
+    """Replays are fixture-sized: one state partition per core, whatever the batch setting."""
+    try:
+        return max(1, spark.sparkContext.defaultParallelism)
+    except Exception:  # no driver-side context (Spark Connect)
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD,
            batch_rows: int = A.BATCH_ROWS) -> str:
     """Run the streaming job over the fixture's whole click log; returns the sink root.
@@ -44,7 +52,8 @@ def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD,
     src, sink, ckpt = f"{root}/src", f"{root}/sink", f"{root}/checkpoint"
     write_batches(A.ads_log(spark, sf_dir, batch_rows), src)
     clicks = read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id")
-    q = app.start(clicks, sink, ckpt, threshold=threshold, trigger={"availableNow": True})
+    q = app.start(clicks, sink, ckpt, threshold=threshold, trigger={"availableNow": True},
+                  state_partitions=_state_partitions(spark))
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"stream replay failed: {q.exception()}")
@@ -61,7 +70,7 @@ def replay_lines(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESH
     src, sink, ckpt = f"{root}/src", f"{root}/sink", f"{root}/checkpoint"
     write_batches(adslog.format_lines(A.ads_log(spark, sf_dir), keep=("batch_id",)), src, fmt="text")
     q = app.start_from_lines(adslog.file_lines(spark, src), sink, ckpt, threshold=threshold,
-                             trigger={"availableNow": True})
+                             trigger={"availableNow": True}, state_partitions=_state_partitions(spark))
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"line stream replay failed: {q.exception()}")
