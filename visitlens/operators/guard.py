@@ -32,16 +32,24 @@ def with_day(ads: DataFrame) -> DataFrame:
     return ads if "day" in ads.columns else ads.withColumn("day", epoch_ms_to_day("ts"))
 
 
-def blocked_users(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
-    """(user_id, blocked_batch): the batch at whose end each user gets blocked."""
-    per = (with_day(ads).groupBy("batch_id", "day", "user_id", "ads_id")
-                        .agg(F.count(F.lit(1)).alias("n")))
+def _blocked_from_counts(per: DataFrame, threshold: int) -> DataFrame:
+    """(user_id, blocked_batch) from click counts per (batch, day, user, ad, ...) in ``n``."""
+    key_counts = per.groupBy("batch_id", "day", "user_id", "ads_id").agg(F.sum("n").alias("n"))
     w = (Window.partitionBy("day", "user_id", "ads_id").orderBy("batch_id")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    crossed = per.withColumn("cum", F.sum("n").over(w)).filter(F.col("cum") >= threshold)
+    crossed = key_counts.withColumn("cum", F.sum("n").over(w)).filter(F.col("cum") >= threshold)
     return crossed.groupBy("user_id").agg(F.min("batch_id").alias("blocked_batch"))
 
 
+def _counts(ads: DataFrame, keys: tuple) -> DataFrame:
+    return with_day(ads).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def blocked_users(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
+    """(user_id, blocked_batch): the batch at whose end each user gets blocked."""
+    return _blocked_from_counts(_counts(ads, ("batch_id", "day", "user_id", "ads_id")), threshold)
+
+
 def _admit(df: DataFrame, blocked: DataFrame) -> DataFrame:
     j = df.join(blocked, "user_id", "left")
     return j.filter(F.col("blocked_batch").isNull() | (F.col("batch_id") <= F.col("blocked_batch")))
@@ -54,11 +62,13 @@ def admitted_clicks(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataF
 
 
 def admitted_counts(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
-    """Admitted clicks pre-aggregated per (batch, user, day, area, city, ad) -> n."""
-    a = with_day(ads)
-    per = (a.groupBy("batch_id", "user_id", "day", "area", "city", "ads_id")
-            .agg(F.count(F.lit(1)).alias("n")))
-    return _admit(per, blocked_users(a, threshold)).drop("blocked_batch")
+    """Admitted clicks pre-aggregated per (batch, user, day, area, city, ad) -> n.
+
+    The block table is derived from the same aggregate, so both sides of the admission join
+    read one shuffled copy of it (the exchange is reused): the click log is scanned once.
+    """
+    per = _counts(ads, ("batch_id", "user_id", "day", "area", "city", "ads_id"))
+    return _admit(per, _blocked_from_counts(per, threshold)).drop("blocked_batch")
 
 
 def user_ad_day_counts(admitted: DataFrame) -> DataFrame:
