@@ -11,10 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from visitlens import schemas as S
 from visitlens.plans import offline as O
 from visitlens.session import shared_dir
 from visitlens.sources.params import VisitFilter
 from visitlens.sources.sinks import jdbc_append, overwrite_table
+from visitlens.sources.tables import typed
 from visitlens.streaming import app as realtime
 
 Writer = Callable[[DataFrame, str], None]
@@ -38,17 +40,18 @@ def run_offline(spark: SparkSession, visits: DataFrame, users: DataFrame, params
     task_id = task_id or str(uuid.uuid4())
     flt = VisitFilter.from_json(spark, params_json)
     path = shared_dir(spark, "offline", task_id, "category_top10", unique=False)
-    O.category_top10(visits, users, flt, task_id).write.mode("overwrite").parquet(path)
+    typed(O.category_top10(visits, users, flt, task_id), S.CATEGORY_TOP10) \
+        .write.mode("overwrite").parquet(path)
     top10 = spark.read.parquet(path)
     write(top10, "category_top10")
-    write(O.category_session_top10(visits, users, flt, task_id, top10=top10),
-          "category_top10_session_top10")
+    write(typed(O.category_session_top10(visits, users, flt, task_id, top10=top10),
+                S.CATEGORY_SESSION_TOP10), "category_top10_session_top10")
     return task_id
 
 
 def run_area(visits: DataFrame, cities: DataFrame, products: DataFrame, write: Writer) -> None:
     """Q3 into ``area_count_info`` (area, product_name, clickcount, city_remark)."""
-    write(O.area_report(visits, cities, products), "area_count_info")
+    write(typed(O.area_report(visits, cities, products), S.AREA_COUNT_INFO), "area_count_info")
 
 
 def run_realtime(lines: DataFrame, sink_root: str, checkpoint: str, threshold: int = 100,
