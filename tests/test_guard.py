@@ -119,6 +119,26 @@ def test_stream_keep_days_forgets_old_totals(spark, scratch):
     assert sum(r[-1] for r in _snapshot(spark, sink, "area_city_ads_count")) == 4
 
 
+def test_bucketed_and_per_user_guard_agree_with_keep_days(spark, scratch):
+    rng = random.Random(9)
+    # days spread over a week so keep_days=1 forgets totals; both keyings must agree exactly
+    rows = sorted((rng.randrange(6), rng.randrange(7), f"u{rng.randrange(12)}", str(rng.randrange(2)))
+                  for _ in range(300))
+    rows = [(b, max(d, b), u, a) for b, d, u, a in rows]
+    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
+    src = f"{scratch}/src"
+    write_batches(df, src)
+    out = {}
+    for label, buckets in (("user", None), ("bucket", 3)):
+        sink, ckpt = f"{scratch}/sink_{label}", f"{scratch}/ck_{label}"
+        q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=4,
+                      trigger={"availableNow": True}, guard_buckets=buckets, keep_days=1)
+        q.awaitTermination()
+        assert q.exception() is None
+        out[label] = {t: _snapshot(spark, sink, t) for t in app.TABLES}
+    assert out["user"] == out["bucket"]
+
+
 def test_bucketed_and_per_user_guard_agree(spark, scratch):
     rng = random.Random(5)
     rows = [(rng.randrange(6), rng.randrange(2), f"u{rng.randrange(40)}", str(rng.randrange(3)))

@@ -118,8 +118,12 @@ def make_bucket_guard(threshold: int, keep_days: int | None = None):
         now_blocked = blocked_at_start | newly
         totals = {k: c for k, c in totals.items() if k[0] not in now_blocked}
         if keep_days is not None and totals:
-            low = _cutoff(max(k[1] for k in totals), keep_days)
-            totals = {k: c for k, c in totals.items() if k[1] >= low}
+            newest: dict[str, str] = {}
+            for u, d, _ in totals:
+                if d > newest.get(u, ""):
+                    newest[u] = d
+            low = {u: _cutoff(d, keep_days) for u, d in newest.items()}  # per user, as make_guard
+            totals = {k: c for k, c in totals.items() if k[1] >= low[k[0]]}
         keys = list(totals)
         state.update(([k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys],
                       [totals[k] for k in keys], sorted(now_blocked)))
