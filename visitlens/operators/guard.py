@@ -33,7 +33,11 @@ def with_day(ads: DataFrame) -> DataFrame:
 
 
 def _blocked_from_counts(per: DataFrame, threshold: int) -> DataFrame:
-    """(user_id, blocked_batch) from click counts per (batch, day, user, ad, ...) in ``n``."""
+    """(user_id, blocked_batch) from click counts per (batch, day, user, ad, ...) in ``n``.
+
+    Callers pass counts hash-partitioned by ``user_id``; the sums, the window and the
+    per-user minimum below are then all local to that partitioning (no further exchange).
+    """
     key_counts = per.groupBy("batch_id", "day", "user_id", "ads_id").agg(F.sum("n").alias("n"))
     w = (Window.partitionBy("day", "user_id", "ads_id").orderBy("batch_id")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -47,7 +51,8 @@ def _counts(ads: DataFrame, keys: tuple) -> DataFrame:
 
 def blocked_users(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """(user_id, blocked_batch): the batch at whose end each user gets blocked."""
-    return _blocked_from_counts(_counts(ads, ("batch_id", "day", "user_id", "ads_id")), threshold)
+    counts = _counts(ads, ("batch_id", "day", "user_id", "ads_id")).repartition("user_id")
+    return _blocked_from_counts(counts, threshold)
 
 
 def _admit(df: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -68,7 +73,11 @@ def admitted_counts(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataF
     read one shuffled copy of it (the exchange is reused): the click log is scanned once.
     """
     per = _counts(ads, ("batch_id", "user_id", "day", "area", "city", "ads_id"))
-    return _admit(per, _blocked_from_counts(per, threshold)).drop("blocked_batch")
+    # One shuffle of the (already aggregated) counts by user serves every later step: the
+    # per-(batch, day, user, ad) sums, the running-total window, the per-user minimum and the
+    # admission join all need rows clustered by user, so none of them adds an exchange.
+    by_user = per.repartition("user_id")
+    return _admit(by_user, _blocked_from_counts(by_user, threshold)).drop("blocked_batch")
 
 
 def user_ad_day_counts(admitted: DataFrame) -> DataFrame:
