@@ -5,7 +5,8 @@ source offsets advance together, exactly once):
 
     source (Kafka / files) -> parse (S7) -> day (F9)
       -> guard: groupBy(user bucket).applyInPandasWithState (St3)    admitted counts
-      -> groupBy(day, area, city, ads_id, user_id).sum  (St5, St6)    complete mode
+      -> per grain: groupBy(grain, keys).sum  (St5, St6)             complete mode
+         (grain "area": day, area, city, ad; grain "user": day, user, ad)
       -> foreachBatch (St4, St7, St9):
            area_city_ads_count  (Q5)  totals per day/area/city/ad
            area_top3_ads        (Q6)  top-3 ads per day/area as JSON
@@ -46,10 +47,10 @@ class SnapshotSink:
     def __call__(self, totals: DataFrame, batch_id: int) -> None:
         totals.persist()
         try:
-            q5 = (totals.groupBy("day", "area", "city", "ads_id")
-                        .agg(F.sum("click_count").cast("bigint").alias("click_count")))
-            per_user = (totals.groupBy("day", "user_id", "ads_id")
-                              .agg(F.sum("click_count").cast("bigint").alias("click_count")))
+            q5 = (totals.filter(F.col("grain") == "area")
+                        .select("day", "area", "city", "ads_id", "click_count"))
+            per_user = (totals.filter(F.col("grain") == "user")
+                              .select("day", "user_id", "ads_id", "click_count"))
             blocked = per_user.filter(F.col("click_count") >= self.threshold).select("user_id").distinct()
             outputs = {"area_city_ads_count": q5, "area_top3_ads": area_top3_ads(q5),
                        "user_ads_click": per_user, "blacklist": blocked}
@@ -71,9 +72,22 @@ DEFAULT_GUARD_BUCKETS = 16384
 def running_totals(clicks: DataFrame, threshold: int = DEFAULT_THRESHOLD,
                    keep_days: int | None = None,
                    guard_buckets: int | None = DEFAULT_GUARD_BUCKETS) -> DataFrame:
-    """Parsed click stream -> admitted running totals per (day, area, city, ad, user)."""
+    """Parsed click stream -> admitted running totals at two grains, tagged by ``grain``.
+
+    ``area``: per (day, area, city, ad) (Q5); ``user``: per (day, user, ad) (the guard's
+    counters, S14). Each admitted count is emitted once per grain and summed by one
+    streaming aggregation, so the state holds the two key sets side by side instead of
+    their product (day, area, city, ad, user).
+    """
     admitted = apply_guard(with_day(clicks), threshold, keep_days, guard_buckets)
-    return (admitted.groupBy("day", "area", "city", "ads_id", "user_id")
+    none = F.lit(None).cast("string")
+    grains = F.array(
+        F.struct(F.lit("area").alias("grain"), "day", "area", "city", "ads_id",
+                 none.alias("user_id"), "n"),
+        F.struct(F.lit("user").alias("grain"), "day", none.alias("area"), none.alias("city"),
+                 "ads_id", "user_id", "n"))
+    return (admitted.select(F.explode(grains).alias("g")).select("g.*")
+                    .groupBy("grain", "day", "area", "city", "ads_id", "user_id")
                     .agg(F.sum("n").cast("bigint").alias("click_count")))
 
 
