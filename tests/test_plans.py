@@ -73,3 +73,17 @@ def test_bounds_pushed_to_scan_on_typed_tables(spark, scratch):
     text = formatted(O.category_top10(v, u, flt))
     assert "ReadSchema: struct<date:string,user_id:bigint,click_category_id:bigint," \
            "order_category_ids:string,pay_category_ids:string>" in text
+
+
+def test_date_partitioned_visits_prune_folders(spark, scratch):
+    from visitlens.sources.sinks import overwrite_table
+    visits = spark.createDataFrame([("2019-01-0%d" % d, d, "s", 1, "t", None, d, d, None, None, None, None, 1)
+                                    for d in range(1, 6)], S.USER_VISIT_ACTION)
+    overwrite_table(visits, "visitlens_visits_by_date", path=f"{scratch}/vd", partition_by=["date"])
+    users = spark.createDataFrame([(d, "n", "n", 30, "p", "M") for d in range(1, 6)], S.USER_INFO)
+    v = typed(spark.table("visitlens_visits_by_date"), S.USER_VISIT_ACTION)
+    df = filter_visits(v, users, VisitFilter("2019-01-02", "2019-01-03", "", ""))
+    text = formatted(df)
+    assert "PartitionFilters: [isnotnull(date" in text and "(date" in text.split("PartitionFilters:")[1][:200]
+    assert sorted(r.user_id for r in df.collect()) == [2, 3]
+    spark.sql("DROP TABLE visitlens_visits_by_date")
