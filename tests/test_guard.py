@@ -177,3 +177,25 @@ def test_stream_on_rocksdb_state_with_own_partitions(spark, scratch):
         spark.conf.set(key, old)
     assert _snapshot(spark, sink, "user_ads_click") == [("2019-02-16", "u", "a", 4)]
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_changelog_output_equals_snapshot_output(spark, scratch):
+    rng = random.Random(21)
+    rows = [(rng.randrange(7), rng.randrange(2), f"u{rng.randrange(15)}", str(rng.randrange(4)))
+            for _ in range(500)]
+    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
+    src = f"{scratch}/src"
+    write_batches(df, src)
+    sinks = {}
+    for output in ("snapshot", "changelog"):
+        sink, ckpt = f"{scratch}/sink_{output}", f"{scratch}/ck_{output}"
+        q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=4,
+                      trigger={"availableNow": True}, output=output)
+        q.awaitTermination()
+        assert q.exception() is None
+        sinks[output] = sink
+    views = app.changelog_reports(spark, sinks["changelog"])
+    for t in app.TABLES:
+        assert sorted(map(tuple, views[t].collect())) == _snapshot(spark, sinks["snapshot"], t), t
+    _, blk = simulate(rows, 4)
+    assert {r.user_id for r in views["blacklist"].collect()} == blk

@@ -56,8 +56,8 @@ def run_area(visits: DataFrame, cities: DataFrame, products: DataFrame, write: W
 
 def run_realtime(lines: DataFrame, sink_root: str, checkpoint: str, threshold: int = 100,
                  keep_days: int | None = None, trigger: dict | None = None,
-                 state_partitions: int | None = None):
+                 state_partitions: int | None = None, output: str = "snapshot"):
     """Q4-Q6 from a ``value`` line stream (Kafka or text files); returns the StreamingQuery."""
     return realtime.start_from_lines(lines, sink_root, checkpoint, threshold=threshold,
                                      keep_days=keep_days, trigger=trigger,
-                                     state_partitions=state_partitions)
+                                     state_partitions=state_partitions, output=output)

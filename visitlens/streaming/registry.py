@@ -40,12 +40,13 @@ def _state_partitions(spark: SparkSession) -> int:
 
 
 def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD,
-           batch_rows: int = A.BATCH_ROWS) -> str:
+           batch_rows: int = A.BATCH_ROWS, output: str = "snapshot") -> str:
     """Run the streaming job over the fixture's whole click log; returns the sink root.
 
-    ``batch_rows`` sets the micro-batch width (event ids per batch), not a row limit.
+    ``batch_rows`` sets the micro-batch width (event ids per batch), not a row limit;
+    ``output`` picks the snapshot (complete mode) or changelog (update mode) sink.
     """
-    key = (id(spark), sf_dir, threshold, batch_rows)
+    key = (id(spark), sf_dir, threshold, batch_rows, output)
     if key in _RUNS:
         return _RUNS[key]
     root = shared_dir(spark, "stream-replay")
@@ -53,7 +54,7 @@ def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD,
     write_batches(A.ads_log(spark, sf_dir, batch_rows), src)
     clicks = read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id")
     q = app.start(clicks, sink, ckpt, threshold=threshold, trigger={"availableNow": True},
-                  state_partitions=_state_partitions(spark))
+                  state_partitions=_state_partitions(spark), output=output)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"stream replay failed: {q.exception()}")
@@ -85,6 +86,13 @@ def _table(name: str, runner=replay):
     return run
 
 
+def _changelog_view(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return app.changelog_reports(spark, replay(spark, sf_dir, output="changelog"))[name]
+    run.__name__ = f"stream_changelog_{name}"
+    return run
+
+
 STREAM_QUERIES = {
     "stream_guard": _table("blacklist"),
     "stream_user_ads_click": _table("user_ads_click"),
@@ -93,6 +101,9 @@ STREAM_QUERIES = {
     "stream_lines_guard": _table("blacklist", replay_lines),
     "stream_lines_area_city_ads": _table("area_city_ads_count", replay_lines),
     "stream_lines_area_top3": _table("area_top3_ads", replay_lines),
+    "stream_changelog_area_city_ads": _changelog_view("area_city_ads_count"),
+    "stream_changelog_area_top3": _changelog_view("area_top3_ads"),
+    "stream_changelog_guard": _changelog_view("blacklist"),
 }
 
 _W = "WITH " + ADAPTERS + "," + GUARD
@@ -102,6 +113,9 @@ STREAM_ORACLE = {
         "\nSELECT day, user_id, ads_id, CAST(count(*) AS BIGINT) AS click_count FROM adm GROUP BY ALL",
     "stream_area_city_ads": _W + "\nSELECT * FROM q5",
     "stream_area_top3": _W + "\nSELECT * FROM q6",
+    "stream_changelog_area_city_ads": _W + "\nSELECT * FROM q5",
+    "stream_changelog_area_top3": _W + "\nSELECT * FROM q6",
+    "stream_changelog_guard": _W + "\nSELECT DISTINCT user_id FROM bl",
 }
 _WL = "WITH " + ADAPTERS + "," + LINES + "," + guard_sql("parsed_ok")
 STREAM_ORACLE.update({
