@@ -22,6 +22,26 @@ HEADLINE = ["category_top10", "category_session_top10", "area_product_top3",
             "area_product_top3_lineitem", "blacklist_users", "area_city_ads_count", "area_top3_ads"]
 
 
+def _stream_plan(spark) -> list[str]:
+    """Last micro-batch plan of the streaming job, replayed over the sf0.01 click log."""
+    from visitlens.session import shared_dir
+    from visitlens.sources import adapters as A
+    from visitlens.streaming import app
+    from visitlens.streaming.feed import read_batches, write_batches
+    from visitlens.streaming.registry import REPLAY_SCHEMA
+    root = shared_dir(spark, "plans-stream")
+    write_batches(A.ads_log(spark, "/root/testdata/sf0.01"), f"{root}/src")
+    q = app.start(read_batches(spark, f"{root}/src", REPLAY_SCHEMA).drop("batch_id"),
+                  f"{root}/sink", f"{root}/ck", threshold=2, trigger={"availableNow": True},
+                  state_partitions=8)
+    q.awaitTermination()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        q.explain()
+    return ["## streaming job (last micro-batch, snapshot output)", "", "```",
+            buf.getvalue().rstrip(), "```", ""]
+
+
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
     spark = get_session("local[8]", 8)
@@ -36,6 +56,7 @@ def main(argv):
             df.explain()
         text = buf.getvalue().split("+- == Initial Plan ==")[0].rstrip()
         out += [f"## `{name}`", "", "```", text, "```", ""]
+    out += _stream_plan(spark)
     with open(os.path.join(ROOT, "docs", "PLANS.md"), "w") as f:
         f.write("\n".join(out) + "\n")
 
