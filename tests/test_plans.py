@@ -25,7 +25,8 @@ def test_no_cartesian_or_nested_loop(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["category_session_top10", "area_product_top3", "area_top3_ads"])
+@pytest.mark.parametrize("name", ["category_session_top10", "area_product_top3", "area_top3_ads",
+                                  "area_product_top3_sql"])
 def test_topk_per_group_cuts_before_shuffle(spark, name):
     text = formatted(QUERIES[name](spark, SF_SMALL))
     assert "WindowGroupLimit" in text and "Partial" in text

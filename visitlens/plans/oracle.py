@@ -228,6 +228,7 @@ FROM c WINDOW w AS (PARTITION BY area, click_product_id)""",
     "area_product_top3": _with(_BASE, VISIT_CLICKS, _summary("vac")) + "\nSELECT * FROM top3",
     "area_product_top3_lineitem": _with(_BASE, LINEITEM_CLICKS, _summary("lic")) + "\nSELECT * FROM top3",
     "table_overwrite": _with(_BASE, VISIT_CLICKS, _summary("vac")) + "\nSELECT * FROM top3",
+    "area_product_top3_sql": _with(_BASE, VISIT_CLICKS, _summary("vac")) + "\nSELECT * FROM top3",
     "ads_format": _with(_BASE, LINES) + "\nSELECT batch_id, value FROM lines",
     "ads_parse": _with(_BASE, LINES) +
         "\nSELECT ts, area, city, user_id, ads_id, strftime(epoch_ms(ts), '%Y-%m-%d') AS day FROM parsed WHERE valid",

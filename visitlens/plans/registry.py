@@ -136,6 +136,15 @@ def q_area_product_top3_lineitem(spark, sf):
     return O.area_product_top3(A.lineitem_clicks(spark, sf), A.product_info(spark, sf))
 
 
+def q_area_product_top3_sql(spark, sf):
+    """Q3 through Spark SQL text over temp views of the adapter tables."""
+    from visitlens.plans.sql_reports import area_top3_sql
+    A.user_visit_action(spark, sf).createOrReplaceTempView("vl_user_visit_action")
+    A.city_info(spark, sf).createOrReplaceTempView("vl_city_info")
+    A.product_info(spark, sf).createOrReplaceTempView("vl_product_info")
+    return area_top3_sql(spark, "vl_user_visit_action", "vl_city_info", "vl_product_info")
+
+
 def q_table_overwrite(spark, sf):
     """Q3 stored with drop-and-save-as-table semantics (S4), read back from the catalog."""
     path = shared_dir(spark, "tables", "area_count_info")
@@ -207,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "area_product_rank": q_area_product_rank,
     "area_product_top3": q_area_product_top3,
     "area_product_top3_lineitem": q_area_product_top3_lineitem,
+    "area_product_top3_sql": q_area_product_top3_sql,
     "table_overwrite": q_table_overwrite,
     "ads_format": q_ads_format,
     "ads_parse": q_ads_parse,
