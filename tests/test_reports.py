@@ -123,3 +123,17 @@ def test_invariant_to_shuffle_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert before == after
 
+
+
+def test_sql_visit_filter_binds_parameters(spark):
+    from visitlens.plans.sql_reports import visit_filter_sql
+    v = visits_df(spark, [visit("2019-01-01", 1), visit("2019-01-02", 2), visit("2019-01-03", 3)])
+    u = users_df(spark, [(1, 20), (2, 30), (3, 50)])
+    v.createOrReplaceTempView("t_visits")
+    u.createOrReplaceTempView("t_users")
+    got = visit_filter_sql(spark, "t_visits", "t_users", VisitFilter("2019-01-02", "", "", "40"))
+    assert sorted(r.user_id for r in got.collect()) == [2]
+    # a bound is a value, never SQL: this text matches no date instead of widening the filter
+    evil = VisitFilter("9999' OR '1'='1", "", "", "")
+    assert visit_filter_sql(spark, "t_visits", "t_users", evil).count() == 0
+    assert visit_filter_sql(spark, "t_visits", "t_users", VisitFilter()).count() == 3

@@ -200,6 +200,7 @@ _BASE = ADAPTERS
 
 ORACLE_SQL: dict[str, str] = {
     "visit_filter": _with(_BASE, FILTERED) + "\nSELECT * FROM fv",
+    "visit_filter_sql": _with(_BASE, FILTERED) + "\nSELECT * FROM fv",
     "visit_filter_open_bounds": _with(_BASE) + f"\nSELECT {VISIT_COLS} FROM uva v, ui u WHERE v.user_id = u.user_id",
     "action_classify": _with(_BASE, _kinds("uva")) +
         "\nSELECT user_id, session_id, action_time, click_category_id, order_category_ids, pay_category_ids, kind FROM k",

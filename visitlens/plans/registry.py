@@ -56,6 +56,15 @@ def q_visit_filter_open_bounds(spark, sf):
     return filter_visits(v, u, _flt(spark, OPEN_PARAMS_JSON)).select(*VISIT_COLS)
 
 
+def q_visit_filter_sql(spark, sf):
+    """The visit filter as parameterized Spark SQL over temp views of the adapter tables."""
+    from visitlens.plans.sql_reports import visit_filter_sql
+    v, u = _inputs(spark, sf)
+    v.createOrReplaceTempView("vl_user_visit_action")
+    u.createOrReplaceTempView("vl_user_info")
+    return visit_filter_sql(spark, "vl_user_visit_action", "vl_user_info", _flt(spark)).select(*VISIT_COLS)
+
+
 def q_action_classify(spark, sf):
     v = A.user_visit_action(spark, sf)
     return classify(v).select("user_id", "session_id", "action_time", "click_category_id",
@@ -201,6 +210,7 @@ def q_area_top3_ads_by_day(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "visit_filter": q_visit_filter,
     "visit_filter_open_bounds": q_visit_filter_open_bounds,
+    "visit_filter_sql": q_visit_filter_sql,
     "action_classify": q_action_classify,
     "category_events": q_category_events,
     "category_counts": q_category_counts,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from visitlens.operators.city_ratio import CITY_RATIO_SQL
+from visitlens.sources.params import VisitFilter
 
 # Views are prefixed so they do not clash with a caller's own names.
 CLICKS_VIEW = "vl_action_city"
@@ -45,3 +46,22 @@ def area_top3_sql(spark: SparkSession, visits: str, cities: str, products: str,
     spark.sql(f"CREATE OR REPLACE TEMP VIEW {SUMMARY_VIEW} AS {summary}")
     spark.sql(TOP_SQL.format(n=int(n)))
     return spark.sql(FINAL_SQL.format(products=products))
+
+
+def visit_filter_sql(spark: SparkSession, visits: str, users: str, flt: VisitFilter) -> DataFrame:
+    """``select v.* from visits v, users u where v.user_id = u.user_id [and bounds]``.
+
+    Bounds are bound named parameters (``:start_date`` ...), never text pasted into the
+    statement; a bound that is off (``""`` or missing) is left out of the WHERE clause.
+    """
+    preds, args = ["v.user_id = u.user_id"], {}
+    for name, value, pred, cast in (
+            ("start_date", flt.start_date, "v.date >= :start_date", str),
+            ("end_date", flt.end_date, "v.date <= :end_date", str),
+            ("start_age", flt.start_age, "u.age >= :start_age", int),
+            ("end_age", flt.end_age, "u.age <= :end_age", int)):
+        if value is not None and len(value) > 0:
+            preds.append(pred)
+            args[name] = cast(value)
+    text = f"SELECT v.* FROM {visits} v, {users} u WHERE " + " AND ".join(preds)
+    return spark.sql(text, args=args)
