@@ -48,3 +48,16 @@ def test_cli_programs_on_stored_tables(spark, scratch):
                      ("category_top10_session_top10", "category_session_top10")]:
         got = sorted(map(tuple, spark.read.parquet(f"{scratch}/out/{table}").collect()))
         assert got == sorted(map(tuple, QUERIES[q](spark, SF_SMALL).collect())), table
+
+
+def test_cli_realtime_once_on_text_lines(spark, scratch):
+    from visitlens.__main__ import main
+    lines = ["1550275200000 North C_1 u1 a1"] * 3 + ["1550275200000 South C_2 u2 a1", "junk"]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{scratch}/in")
+    main(["realtime", f"--lines-dir={scratch}/in", f"--sink={scratch}/out", f"--checkpoint={scratch}/ck",
+          "--threshold=2", "--once", "--output=changelog", "--state-partitions=2"])
+    from visitlens.streaming.app import changelog_reports
+    views = changelog_reports(spark, f"{scratch}/out")
+    assert sorted(map(tuple, views["area_city_ads_count"].collect())) == [
+        ("2019-02-16", "North", "C_1", "a1", 3), ("2019-02-16", "South", "C_2", "a1", 1)]
+    assert [r[0] for r in views["blacklist"].collect()] == ["u1"]

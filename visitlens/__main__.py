@@ -45,6 +45,8 @@ def main(argv=None):
     p.add_argument("--keep-days", type=int)
     p.add_argument("--state-partitions", type=int)
     p.add_argument("--output", default="snapshot", choices=["snapshot", "changelog"])
+    p.add_argument("--once", action="store_true",
+                   help="process what the source holds now, then stop (availableNow trigger)")
     p.add_argument("--profile", default="local", choices=["local", "cluster"])
     a = p.parse_args(argv)
     spark = get_session(a.master, profile=a.profile)
@@ -60,7 +62,8 @@ def main(argv=None):
     else:
         lines = (adslog.file_lines(spark, a.lines_dir) if a.lines_dir
                  else adslog.kafka_lines(spark, a.kafka_servers, a.topic))
-        apps.run_realtime(lines, a.sink, a.checkpoint, a.threshold, a.keep_days,
+        trigger = {"availableNow": True} if a.once else None
+        apps.run_realtime(lines, a.sink, a.checkpoint, a.threshold, a.keep_days, trigger=trigger,
                           state_partitions=a.state_partitions, output=a.output).awaitTermination()
 
 
