@@ -137,3 +137,20 @@ def test_sql_visit_filter_binds_parameters(spark):
     evil = VisitFilter("9999' OR '1'='1", "", "", "")
     assert visit_filter_sql(spark, "t_visits", "t_users", evil).count() == 0
     assert visit_filter_sql(spark, "t_visits", "t_users", VisitFilter()).count() == 3
+
+
+def test_reports_on_empty_inputs(spark):
+    from visitlens.operators import guard as G
+    v = visits_df(spark, [])
+    u = users_df(spark, [])
+    c = spark.createDataFrame([], S.CITY_INFO)
+    p = spark.createDataFrame([], S.PRODUCT_INFO)
+    ads = spark.createDataFrame([], "batch_id long, ts long, area string, city string, user_id string, ads_id string")
+    assert O.category_top10(v, u, VisitFilter("2019-01-01", "", "20", "")).count() == 0
+    assert O.category_session_top10(v, u, VisitFilter()).count() == 0
+    assert O.area_report(v, c, p).count() == 0
+    assert G.blocked_users(ads, 2).count() == 0
+    assert G.admitted_clicks(ads, 2).count() == 0
+    q5 = G.area_city_ads_count(G.admitted_counts(ads, 2))
+    assert q5.count() == 0 and G.area_top3_ads(q5).count() == 0
+    assert G.area_top3_ads_by_day(G.area_top3_ads(q5)).count() == 0
