@@ -199,3 +199,35 @@ def test_changelog_output_equals_snapshot_output(spark, scratch):
         assert sorted(map(tuple, views[t].collect())) == _snapshot(spark, sinks["snapshot"], t), t
     _, blk = simulate(rows, 4)
     assert {r.user_id for r in views["blacklist"].collect()} == blk
+
+
+def test_changelog_compaction_midway_keeps_reports(spark, scratch):
+    rng = random.Random(33)
+    rows = [(rng.randrange(8), rng.randrange(2), f"u{rng.randrange(12)}", str(rng.randrange(3)))
+            for _ in range(400)]
+    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
+    src, sink, ckpt = f"{scratch}/src", f"{scratch}/sink", f"{scratch}/ckpt"
+    write_batches(df.filter("batch_id < 4"), src)
+    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=4,
+                  trigger={"availableNow": True}, output="changelog")
+    q.awaitTermination()
+    done = app.compact_changelog(spark, sink)
+    assert set(done) == set(app.ChangelogSink.LOGS)
+    write_batches(df.filter("batch_id >= 4"), src, mode="append")
+    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=4,
+                  trigger={"availableNow": True}, output="changelog")
+    q.awaitTermination()
+    assert q.exception() is None
+    views = app.changelog_reports(spark, sink)
+    adm = G.admitted_counts(df, 4)
+    q5 = G.area_city_ads_count(adm)
+    assert sorted(map(tuple, views["area_city_ads_count"].collect())) == sorted(map(tuple, q5.collect()))
+    assert sorted(map(tuple, views["area_top3_ads"].collect())) == sorted(map(tuple, G.area_top3_ads(q5).collect()))
+    assert sorted(map(tuple, views["user_ads_click"].collect())) == \
+        sorted(map(tuple, G.user_ad_day_counts(adm).collect()))
+    _, blk = simulate(rows, 4)
+    assert {r.user_id for r in views["blacklist"].collect()} == blk
+    # a second compaction after more batches still gives the same views
+    app.compact_changelog(spark, sink)
+    again = app.changelog_reports(spark, sink)
+    assert sorted(map(tuple, again["area_city_ads_count"].collect())) == sorted(map(tuple, q5.collect()))

@@ -102,18 +102,70 @@ class ChangelogSink:
             changed.unpersist()
 
 
+_LOG_KEYS = {
+    "area_city_ads_count_log": ["day", "area", "city", "ads_id"],
+    "user_ads_click_log": ["day", "user_id", "ads_id"],
+    "blacklist_log": ["user_id"],
+}
+
+
+def _exists(spark, path: str) -> bool:
+    try:
+        spark.read.parquet(path).schema  # noqa: B018 - resolves the folder or raises
+        return True
+    except Exception:
+        return False
+
+
+def _latest(spark, root: str, table: str) -> DataFrame:
+    """Current value per key: newest compacted base (if any) plus the log after it."""
+    keys = _LOG_KEYS[table]
+    log = spark.read.parquet(f"{root}/{table}")
+    done = f"{root}/{table}_compact_done"
+    if _exists(spark, done):
+        # newest base recorded as complete (the marker is appended after the base is written)
+        upto = spark.read.parquet(done).agg(F.max("upto")).first()[0]
+        base = spark.read.parquet(f"{root}/{table}_compact/upto={int(upto)}")
+        log = log.filter(F.col("batch_id") > upto)  # partition pruning: recent batches only
+        rows = base.unionByName(log.drop("batch_id"))
+    else:
+        rows = log.drop("batch_id")
+    if table == "blacklist_log":
+        return rows.select("user_id").distinct()
+    return rows.groupBy(*keys).agg(F.max("click_count").alias("click_count"))
+
+
 def changelog_reports(spark, root: str) -> dict[str, DataFrame]:
     """The four report tables as views over the changelog written by ``ChangelogSink``."""
     root = root.rstrip("/")
-    area = (spark.read.parquet(f"{root}/area_city_ads_count_log")
-                 .groupBy("day", "area", "city", "ads_id")
-                 .agg(F.max("click_count").alias("click_count")))
-    user = (spark.read.parquet(f"{root}/user_ads_click_log")
-                 .groupBy("day", "user_id", "ads_id")
-                 .agg(F.max("click_count").alias("click_count")))
-    blacklist = spark.read.parquet(f"{root}/blacklist_log").select("user_id").distinct()
+    area = _latest(spark, root, "area_city_ads_count_log")
     return {"area_city_ads_count": area, "area_top3_ads": area_top3_ads(area),
-            "user_ads_click": user, "blacklist": blacklist}
+            "user_ads_click": _latest(spark, root, "user_ads_click_log"),
+            "blacklist": _latest(spark, root, "blacklist_log")}
+
+
+def compact_changelog(spark, root: str) -> dict[str, int]:
+    """Fold each log into a new compacted base ``<table>_compact/upto=<last batch>``.
+
+    Safe while the stream keeps appending: a base is written once under a new folder and
+    recorded in ``<table>_compact_done`` only after it is complete, and readers use the
+    newest recorded one; rows of batches after ``upto`` that slip into the base are also
+    read from the log, which is harmless because values are maxima of growing totals. Log
+    partitions up to ``upto`` are no longer read and can be removed by retention.
+    Returns the ``upto`` per log.
+    """
+    root = root.rstrip("/")
+    done = {}
+    for table in _LOG_KEYS:
+        upto = spark.read.parquet(f"{root}/{table}").agg(F.max("batch_id")).first()[0]
+        if upto is None:
+            continue
+        current = _latest(spark, root, table)
+        current.write.mode("overwrite").parquet(f"{root}/{table}_compact/upto={int(upto)}")
+        (spark.createDataFrame([(int(upto),)], "upto long")
+              .write.mode("append").parquet(f"{root}/{table}_compact_done"))
+        done[table] = int(upto)
+    return done
 
 
 # Guard state keys: enough buckets to spread over a large cluster's state partitions, few
