@@ -61,3 +61,7 @@ def test_cli_realtime_once_on_text_lines(spark, scratch):
     assert sorted(map(tuple, views["area_city_ads_count"].collect())) == [
         ("2019-02-16", "North", "C_1", "a1", 3), ("2019-02-16", "South", "C_2", "a1", 1)]
     assert [r[0] for r in views["blacklist"].collect()] == ["u1"]
+    main(["compact", f"--sink={scratch}/out"])
+    again = changelog_reports(spark, f"{scratch}/out")
+    assert sorted(map(tuple, again["area_city_ads_count"].collect())) == sorted(
+        map(tuple, views["area_city_ads_count"].collect()))

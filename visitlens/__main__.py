@@ -1,4 +1,4 @@
-"""Command line: ``python -m visitlens {offline,area,realtime} ...``.
+"""Command line: ``python -m visitlens {offline,area,realtime,compact} ...``.
 
 Inputs are catalog table names or parquet paths; outputs go over JDBC (``--jdbc-url``) or
 into a folder of tables (``--out``).
@@ -24,7 +24,7 @@ def _writer(a):
 
 def main(argv=None):
     p = argparse.ArgumentParser(prog="visitlens")
-    p.add_argument("program", choices=["offline", "area", "realtime"])
+    p.add_argument("program", choices=["offline", "area", "realtime", "compact"])
     p.add_argument("--master")
     p.add_argument("--visits", default="user_visit_action")
     p.add_argument("--users", default="user_info")
@@ -59,6 +59,9 @@ def main(argv=None):
         c = typed(read_table(spark, a.cities), S.CITY_INFO)
         pr = typed(read_table(spark, a.products), S.PRODUCT_INFO)
         apps.run_area(v, c, pr, _writer(a))
+    elif a.program == "compact":
+        from visitlens.streaming.app import compact_changelog
+        print(compact_changelog(spark, a.sink))
     else:
         lines = (adslog.file_lines(spark, a.lines_dir) if a.lines_dir
                  else adslog.kafka_lines(spark, a.kafka_servers, a.topic))
