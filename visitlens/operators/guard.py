@@ -12,8 +12,9 @@ is admitted, so with ``cum`` = running total per (day, user, ad) over batches,
 
 Scale: every step first collapses rows to (batch, key) counts with map-side partial
 aggregation, so a user or ad with a third of all clicks becomes a handful of rows per batch
-before any shuffle; the running total is a window over one key's batches (bounded by the
-number of batches), and admission is a join with the per-user block table, which AQE may
+before any shuffle. The counted path (``admitted_counts``) then shuffles once by user and
+decides admission with two windows on that partitioning (no join, one scan); the row-level
+path (``admitted_clicks``) joins raw rows with the per-user block table, which AQE may
 broadcast after measuring it or split if one user's partition is skewed.
 """
 
@@ -69,15 +70,20 @@ def admitted_clicks(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataF
 def admitted_counts(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Admitted clicks pre-aggregated per (batch, user, day, area, city, ad) -> n.
 
-    The block table is derived from the same aggregate, so both sides of the admission join
-    read one shuffled copy of it (the exchange is reused): the click log is scanned once.
+    One scan, no join: after a single shuffle of the aggregated counts by user, two windows
+    on that same partitioning give each row its key's running total over batches (a RANGE
+    frame, so rows of one batch count together) and its user's first crossing batch; the
+    admission rule is then a filter.
     """
-    per = _counts(ads, ("batch_id", "user_id", "day", "area", "city", "ads_id"))
-    # One shuffle of the (already aggregated) counts by user serves every later step: the
-    # per-(batch, day, user, ad) sums, the running-total window, the per-user minimum and the
-    # admission join all need rows clustered by user, so none of them adds an exchange.
-    by_user = per.repartition("user_id")
-    return _admit(by_user, _blocked_from_counts(by_user, threshold)).drop("blocked_batch")
+    per = _counts(ads, ("batch_id", "user_id", "day", "area", "city", "ads_id")).repartition("user_id")
+    running = (Window.partitionBy("day", "user_id", "ads_id").orderBy("batch_id")
+                     .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    per_user = Window.partitionBy("user_id")
+    crossing = F.when(F.col("__cum") >= threshold, F.col("batch_id"))
+    marked = (per.withColumn("__cum", F.sum("n").over(running))
+                 .withColumn("__blocked", F.min(crossing).over(per_user)))
+    return (marked.filter(F.col("__blocked").isNull() | (F.col("batch_id") <= F.col("__blocked")))
+                  .drop("__cum", "__blocked"))
 
 
 def user_ad_day_counts(admitted: DataFrame) -> DataFrame:
