@@ -95,3 +95,17 @@ def test_hot_user_guard_matches_brute_force(spark, skew_conf):
     assert {r.user_id for r in G.blocked_users(df, 30).collect()} == blk
     assert G.admitted_clicks(df, 30).count() == len(adm)
     assert sum(r.click_count for r in G.area_city_ads_count(G.admitted_counts(df, 30)).collect()) == len(adm)
+
+
+def test_row_level_admission_join_is_salted(spark, skew_conf):
+    """With the block table too big to broadcast, both join sides shuffle on (user, salt)."""
+    import re
+    from tests.test_guard import ads_df, simulate
+    rows = [(i % 6, 0, "hot" if i % 3 == 0 else f"u{i % 40}", str(i % 4)) for i in range(3000)]
+    df = ads_df(spark, rows).repartition(8)
+    out = G.admitted_clicks(df, 30)
+    assert out.count() == len(simulate(rows, 30)[0])
+    out.collect()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", _final_plan(out))
+    salted = [k for k in keys if "__salt" in k and "user_id" in k]
+    assert len(salted) == 2 and "SortMergeJoin" in _final_plan(out)
