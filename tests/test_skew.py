@@ -109,3 +109,19 @@ def test_row_level_admission_join_is_salted(spark, skew_conf):
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", _final_plan(out))
     salted = [k for k in keys if "__salt" in k and "user_id" in k]
     assert len(salted) == 2 and "SortMergeJoin" in _final_plan(out)
+
+
+def test_hot_user_session_counts_salted_and_exact(spark, skew_conf):
+    import re
+    rows = []
+    for i in range(3000):
+        user = 1 if i % 3 == 0 else 2 + i % 50
+        rows.append(("2019-01-05", user, f"s{user}_{i % 400}", 1, "t", None, 1 + i % 3, 5, None, None, None, None, 1))
+    v = spark.createDataFrame(rows, S.USER_VISIT_ACTION).repartition(8)
+    u = spark.createDataFrame([(k, "n", "n", 30, "p", "M") for k in range(1, 60)], S.USER_INFO)
+    out = O.category_session_counts(v, u, VisitFilter(), O.category_top10(v, u, VisitFilter()))
+    got = {(r.category_id, r.session_id): r.click_count for r in out.collect()}
+    want = Counter((r[6], r[2]) for r in rows)
+    assert got == dict(want)
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", _final_plan(out))
+    assert sum(1 for k in keys if "__salt" in k) == 2

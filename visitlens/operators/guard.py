@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitlens.functions.text import ads_json, epoch_ms_to_day
+from visitlens.operators.joins import salted_join
 from visitlens.operators.topk import top_n_per_group
 
 DEFAULT_THRESHOLD = 100  # clicks on one ad by one user in one day
@@ -61,26 +62,16 @@ def _admit(df: DataFrame, blocked: DataFrame) -> DataFrame:
     return j.filter(F.col("blocked_batch").isNull() | (F.col("batch_id") <= F.col("blocked_batch")))
 
 
-# Salts for the row-level admission join: a hot user's rows spread over this many tasks.
-ADMIT_SALTS = 32
-
-
-def admitted_clicks(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD,
-                    salts: int = ADMIT_SALTS) -> DataFrame:
+def admitted_clicks(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Row-level guard output: the clicks that pass the blacklist.
 
-    Raw rows are joined with the per-user block table. The join is salted: each row gets a
-    deterministic salt from a hash of its own columns and the block table (one row per
-    blocked user) is repeated once per salt, so a user with a third of all clicks is spread
-    over ``salts`` join tasks when the block table is too large to broadcast.
+    Raw rows meet the per-user block table in a salted join, so a user with a third of
+    all clicks is spread over many join tasks when the block table is not broadcast.
     """
     a = with_day(ads)
-    salted = a.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in a.columns]), F.lit(salts)))
-    blocked = (blocked_users(a, threshold)
-               .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))))
-    j = salted.join(blocked, ["user_id", "__salt"], "left")
+    j = salted_join(a, blocked_users(a, threshold), ["user_id"], "left")
     return (j.filter(F.col("blocked_batch").isNull() | (F.col("batch_id") <= F.col("blocked_batch")))
-             .drop("blocked_batch", "__salt"))
+             .drop("blocked_batch"))
 
 
 def admitted_counts(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:

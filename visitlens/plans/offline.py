@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from visitlens.operators.actions import category_events, kind_counts
 from visitlens.operators.city_ratio import city_ratio
+from visitlens.operators.joins import salted_join
 from visitlens.operators.topk import rank_cut, top_n, top_n_per_group
 from visitlens.operators.visits import filter_visits, user_multiplicity
 from visitlens.sources.params import VisitFilter, apply
@@ -75,7 +76,8 @@ def category_session_counts(visits: DataFrame, users: DataFrame, flt: VisitFilte
     clicks = v.join(F.broadcast(_top_ids(top10)), "click_category_id", "left_semi")
     per_user = (clicks.groupBy("user_id", "click_category_id", "session_id")
                       .agg(F.count(F.lit(1)).alias("n")))
-    j = per_user.join(user_multiplicity(users, flt), "user_id")
+    # a hot user keeps one row per (category, session): salt its join with the user table
+    j = salted_join(per_user, user_multiplicity(users, flt), ["user_id"])
     return (j.groupBy(F.col("click_category_id").alias("category_id"), "session_id")
              .agg(F.sum(F.col("n") * F.col("mult")).cast("bigint").alias("click_count")))
 
