@@ -57,11 +57,6 @@ def blocked_users(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFra
     return _blocked_from_counts(counts, threshold)
 
 
-def _admit(df: DataFrame, blocked: DataFrame) -> DataFrame:
-    j = df.join(blocked, "user_id", "left")
-    return j.filter(F.col("blocked_batch").isNull() | (F.col("batch_id") <= F.col("blocked_batch")))
-
-
 def admitted_clicks(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Row-level guard output: the clicks that pass the blacklist.
 
