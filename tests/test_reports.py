@@ -36,6 +36,9 @@ def test_params_from_lenient_json(spark):
     assert f == VisitFilter("2018-11-01", "2019-12-28", "20", "50")
     g = VisitFilter.from_json(spark, '{startDate:"", endDate:""}')
     assert g.date_predicate() is None and g.age_predicate() is None
+    import pytest
+    with pytest.raises(ValueError):
+        VisitFilter.from_json(spark, '{startDate:"2019-01-01", oops')
 
 
 def test_join_fan_out_counts_twice(spark):

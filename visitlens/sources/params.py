@@ -19,9 +19,13 @@ JSON_OPTIONS = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
 _PARSED: dict = {}
 
 
-def parse_params_column(text: Column) -> Column:
-    """``from_json`` of a column of parameter texts -> struct(startDate, endDate, startAge, endAge)."""
-    return F.from_json(text, REPORT_PARAMS, JSON_OPTIONS)
+def parse_params_column(text: Column, failfast: bool = False) -> Column:
+    """``from_json`` of a column of parameter texts -> struct(startDate, endDate, startAge, endAge).
+
+    Permissive by default (a malformed text gives a null struct); ``failfast`` raises.
+    """
+    opts = dict(JSON_OPTIONS, mode="FAILFAST") if failfast else JSON_OPTIONS
+    return F.from_json(text, REPORT_PARAMS, opts)
 
 
 @dataclass(frozen=True)
@@ -40,9 +44,12 @@ class VisitFilter:
         Parsed once per text and process: it is configuration, not input data.
         """
         if text not in _PARSED:
-            row = (spark.range(1)
-                   .select(parse_params_column(F.lit(text)).alias("p"))
-                   .select("p.*").first())
+            try:  # a malformed text must not silently turn every bound off
+                row = (spark.range(1)
+                       .select(parse_params_column(F.lit(text), failfast=True).alias("p"))
+                       .select("p.*").first())
+            except Exception as e:
+                raise ValueError(f"malformed report parameters: {text!r}") from e
             _PARSED[text] = VisitFilter(row["startDate"], row["endDate"], row["startAge"], row["endAge"])
         return _PARSED[text]
 
