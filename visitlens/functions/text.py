@@ -7,10 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values that must equal the reference's for equal output text:
-#   label of the remainder bucket in the city summary: "其他"
-#   separator between summary parts: ","   between name and share: ":"   suffix: "%"
-OTHER_LABEL = "其他"
+from visitlens.fixed import NAME_SEP, OTHER_LABEL, PCT_SUFFIX  # noqa: F401 - re-exported
 
 
 def _c(c) -> Column:
@@ -46,7 +43,7 @@ def round_half_up_1dp(x) -> Column:
 
 def pct_text(name, pct) -> Column:
     """``name:33.3%`` with the double printed the JVM way (``100.0``, ``0.1``)."""
-    return F.concat(_c(name), F.lit(":"), _c(pct).cast("string"), F.lit("%"))
+    return F.concat(_c(name), F.lit(NAME_SEP), _c(pct).cast("string"), F.lit(PCT_SUFFIX))
 
 
 def epoch_ms_to_day(ts_ms) -> Column:

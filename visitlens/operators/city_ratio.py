@@ -23,7 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitlens.functions.text import OTHER_LABEL, half_up_tenths, pct_text, round_half_up_1dp
+from visitlens.fixed import NAME_SEP, OTHER_LABEL, PART_SEP, PCT_SUFFIX, TOP_CITIES
+from visitlens.functions.text import half_up_tenths, pct_text, round_half_up_1dp
 
 
 def city_counts(clicks: DataFrame, keys: Sequence[str], city: str = "city_name") -> DataFrame:
@@ -46,7 +47,7 @@ def city_shares(counts: DataFrame, keys: Sequence[str], city: str = "city_name")
 def city_summary(shares: DataFrame, keys: Sequence[str], city: str = "city_name") -> DataFrame:
     """Per group: clickcount and the city_remark text."""
     name = F.coalesce(F.col(city), F.lit("null"))
-    top = shares.filter(F.col("city_rank") <= 2)
+    top = shares.filter(F.col("city_rank") <= TOP_CITIES)
     g = top.groupBy(*keys).agg(
         F.max("clickcount").alias("clickcount"),
         F.max("n_cities").alias("n_cities"),
@@ -56,8 +57,8 @@ def city_summary(shares: DataFrame, keys: Sequence[str], city: str = "city_name"
         F.max(F.when(F.col("city_rank") == 2, pct_text(name, "share"))).alias("p2"),
     )
     other = round_half_up_1dp(F.lit(100.0) - F.col("r1") - F.col("r2"))
-    remark = F.concat_ws(",", "p1", "p2",
-                         F.when(F.col("n_cities") > 2, pct_text(F.lit(OTHER_LABEL), other)))
+    remark = F.concat_ws(PART_SEP, "p1", "p2",
+                         F.when(F.col("n_cities") > TOP_CITIES, pct_text(F.lit(OTHER_LABEL), other)))
     return g.select(*keys, F.col("clickcount"), remark.alias("city_remark"))
 
 
@@ -69,7 +70,8 @@ def city_ratio(clicks: DataFrame, keys: Sequence[str], city: str = "city_name")
 # The same recipe as Spark SQL text over a view with columns (keys..., city_name), for
 # users that chain SQL steps through temp views. Built-in functions only: partial
 # aggregation and codegen apply exactly as in the DataFrame version.
-CITY_RATIO_SQL = """
+CITY_RATIO_SQL = (
+    """
 WITH c AS (
   SELECT {keys}, city_name, count(*) AS city_clicks
   FROM {view} GROUP BY {keys}, city_name
@@ -85,17 +87,20 @@ WITH c AS (
   SELECT {keys}, max(clickcount) AS clickcount, max(n_cities) AS n_cities,
          max(CASE WHEN city_rank = 1 THEN share END) AS r1,
          max(CASE WHEN city_rank = 2 THEN share END) AS r2,
-         max(CASE WHEN city_rank = 1 THEN concat(coalesce(city_name, 'null'), ':', CAST(share AS STRING), '%') END) AS p1,
-         max(CASE WHEN city_rank = 2 THEN concat(coalesce(city_name, 'null'), ':', CAST(share AS STRING), '%') END) AS p2
-  FROM s WHERE city_rank <= 2 GROUP BY {keys}
+         max(CASE WHEN city_rank = 1 THEN concat(coalesce(city_name, 'null'), '""" + NAME_SEP
+    + """', CAST(share AS STRING), '""" + PCT_SUFFIX + """') END) AS p1,
+         max(CASE WHEN city_rank = 2 THEN concat(coalesce(city_name, 'null'), '""" + NAME_SEP
+    + """', CAST(share AS STRING), '""" + PCT_SUFFIX + """') END) AS p2
+  FROM s WHERE city_rank <= """ + str(TOP_CITIES) + """ GROUP BY {keys}
 )
 SELECT {keys}, clickcount,
-       concat_ws(',', p1, p2,
-                 CASE WHEN n_cities > 2 THEN
-                   concat('""" + OTHER_LABEL + """:', CAST(floor((100.0 - r1 - r2) * 10 + 0.5) / 10 AS STRING), '%')
+       concat_ws('""" + PART_SEP + """', p1, p2,
+                 CASE WHEN n_cities > """ + str(TOP_CITIES) + """ THEN
+                   concat('""" + OTHER_LABEL + NAME_SEP + """', CAST(floor((100.0 - r1 - r2) * 10 + 0.5) / 10 AS STRING),
+                          '""" + PCT_SUFFIX + """')
                  END) AS city_remark
 FROM g
-"""
+""")
 
 
 def city_ratio_sql(spark, view: str, keys: Sequence[str]) -> DataFrame:

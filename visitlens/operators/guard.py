@@ -23,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitlens.fixed import BLOCK_THRESHOLD, TOP_ADS
 from visitlens.functions.text import ads_json, epoch_ms_to_day
 from visitlens.operators.joins import salted_join
 from visitlens.operators.topk import top_n_per_group
 
-DEFAULT_THRESHOLD = 100  # clicks on one ad by one user in one day
+DEFAULT_THRESHOLD = BLOCK_THRESHOLD  # clicks on one ad by one user in one day
 
 
 def with_day(ads: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def area_ads_rollup(city_counts: DataFrame) -> DataFrame:
                        .agg(F.sum("click_count").cast("bigint").alias("click_count")))
 
 
-def area_top3_ads(city_counts: DataFrame, n: int = 3) -> DataFrame:
+def area_top3_ads(city_counts: DataFrame, n: int = TOP_ADS) -> DataFrame:
     """(day, area, top3_json): ``[{"ad":count},...]`` by count desc, ad id asc.
 
     The list per group is cut to ``n`` before it is collected, so it is bounded by ``n``.

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visitlens.fixed import TOP_CATEGORIES, TOP_PRODUCTS, TOP_SESSIONS
 from visitlens.operators.actions import category_events, kind_counts
 from visitlens.operators.city_ratio import city_ratio
 from visitlens.operators.joins import salted_join
@@ -45,7 +46,7 @@ def category_counts_filtered(visits: DataFrame, users: DataFrame, flt: VisitFilt
 
 
 def category_top10(visits: DataFrame, users: DataFrame, flt: VisitFilter, task_id: str = "",
-                   n: int = 10) -> DataFrame:
+                   n: int = TOP_CATEGORIES) -> DataFrame:
     """Q1. Sort keys: click desc, order desc (pay is not a key); then category_id asc."""
     counts = category_counts_filtered(visits, users, flt)
     top = top_n(counts, [F.col("click_count").desc(), F.col("order_count").desc(),
@@ -83,7 +84,8 @@ def category_session_counts(visits: DataFrame, users: DataFrame, flt: VisitFilte
 
 
 def category_session_top10(visits: DataFrame, users: DataFrame, flt: VisitFilter,
-                           task_id: str = "", n: int = 10, top10: DataFrame | None = None) -> DataFrame:
+                           task_id: str = "", n: int = TOP_SESSIONS,
+                           top10: DataFrame | None = None) -> DataFrame:
     """Q2. Exactly <= n sessions per category: count desc, then session_id asc.
 
     ``top10`` may be Q1's stored result (the offline app passes it, so Q1 is not recomputed).
@@ -113,12 +115,12 @@ def area_product_summary(clicks: DataFrame) -> DataFrame:
     return city_ratio(clicks, ["area", "click_product_id"], "city_name")
 
 
-def area_product_rank(summary: DataFrame, n: int = 3) -> DataFrame:
+def area_product_rank(summary: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
     """``rank() over (partition by area order by clickcount desc) <= n``, ties kept."""
     return rank_cut(summary, ["area"], [F.col("clickcount").desc()], n, rank_col="rk")
 
 
-def area_product_top3(clicks: DataFrame, products: DataFrame, n: int = 3) -> DataFrame:
+def area_product_top3(clicks: DataFrame, products: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
     """Q3 from (area, city_name, click_product_id) click rows; names joined after the cut."""
     ranked = area_product_rank(area_product_summary(clicks), n)
     p = products.select("product_id", "product_name")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from visitlens.fixed import TOP_PRODUCTS
 from visitlens.operators.city_ratio import CITY_RATIO_SQL
 from visitlens.sources.params import VisitFilter
 
@@ -39,7 +40,8 @@ WHERE t.click_product_id = p.product_id
 """
 
 
-def area_top3_sql(spark: SparkSession, visits: str, cities: str, products: str, n: int = 3) -> DataFrame:
+def area_top3_sql(spark: SparkSession, visits: str, cities: str, products: str,
+                  n: int = TOP_PRODUCTS) -> DataFrame:
     """Run the area report over three table / view names with SQL text only."""
     spark.sql(CLICKS_SQL.format(visits=visits, cities=cities))
     summary = CITY_RATIO_SQL.format(keys="area, click_product_id", view=CLICKS_VIEW)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitlens.fixed import PREVIEW_ROWS
+
 
 def read_table(spark: SparkSession, name_or_path: str, fmt: str = "parquet") -> DataFrame:
     """Catalog table by name, else a file path (parquet by default).
@@ -33,6 +35,6 @@ def from_rows(spark: SparkSession, rows: Iterable, schema: T.StructType) -> Data
     return spark.createDataFrame(list(rows), schema)
 
 
-def preview(spark: SparkSession, name_or_path: str, n: int = 100) -> DataFrame:
+def preview(spark: SparkSession, name_or_path: str, n: int = PREVIEW_ROWS) -> DataFrame:
     """First ``n`` rows of a table (``select * ... show(n)``); the limit is the feature."""
     return read_table(spark, name_or_path).limit(n)

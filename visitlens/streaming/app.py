@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from visitlens.fixed import BATCH_INTERVAL
 from visitlens.operators.guard import DEFAULT_THRESHOLD, area_top3_ads, with_day
 from visitlens.sources import adslog
 from visitlens.sources.sinks import write_snapshot
@@ -223,7 +224,7 @@ def start(clicks: DataFrame, sink_root: str, checkpoint: str,
     w = (totals.writeStream.outputMode(mode)
                .foreachBatch(sink)
                .option("checkpointLocation", checkpoint)
-               .trigger(**(trigger or {"processingTime": "5 seconds"})))
+               .trigger(**(trigger or {"processingTime": BATCH_INTERVAL})))
     if query_name:
         w = w.queryName(query_name)
     if not state_partitions:
