@@ -65,3 +65,22 @@ def test_cli_realtime_once_on_text_lines(spark, scratch):
     again = changelog_reports(spark, f"{scratch}/out")
     assert sorted(map(tuple, again["area_city_ads_count"].collect())) == sorted(
         map(tuple, views["area_city_ads_count"].collect()))
+
+
+def test_cli_with_cluster_profile_in_fresh_process(spark, scratch):
+    """The cluster sizing profile (8000 shuffle partitions, RocksDB state, ...) in its own JVM."""
+    import os
+    import subprocess
+    import sys
+    tables = {"visits": A.user_visit_action(spark, SF_SMALL), "cities": A.city_info(spark, SF_SMALL),
+              "products": A.product_info(spark, SF_SMALL)}
+    local = scratch.replace("file:", "")
+    for name, df in tables.items():
+        df.write.parquet(f"{scratch}/in/{name}")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    args = [sys.executable, "-m", "visitlens", "area", "--master", "local[2]", "--profile", "cluster",
+            f"--visits={local}/in/visits", f"--cities={local}/in/cities",
+            f"--products={local}/in/products", f"--out={local}/out"]
+    subprocess.run(args, cwd=root, check=True, timeout=600, capture_output=True)
+    got = sorted(map(tuple, spark.read.parquet(f"{scratch}/out/area_count_info").collect()))
+    assert got == sorted(map(tuple, QUERIES["area_product_top3"](spark, SF_SMALL).collect()))
