@@ -1,0 +1,58 @@
+import hashlib
+import random
+
+import numpy as np
+import pyarrow.parquet as pq
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tests.conftest import SF_SMALL
+from visitlens.llm import bpe
+
+C = bpe.Codec(bpe.default_path())
+T = Tokenizer.from_file(bpe.default_path())
+
+
+def want(text):
+    ids = T.encode(text or "", add_special_tokens=False).ids
+    return ids, T.decode(ids, skip_special_tokens=False)
+
+
+def check(text):
+    ids, decoded = want(text)
+    got = C.encode(text)
+    assert np.frombuffer(got, "<u4").tolist() == ids, text
+    assert C.decode(got).decode() == decoded
+
+
+def test_odd_texts():
+    for t in (None, "", "  \n ", "it's I'LL we'Re", "ΑΣ Σ ΟΔΟΣ ΣΑΣ", "İstanbul ẞ", "a\x1cb c\x85d e​f", "x" * 5000, "<|endoftext|>a<|startoftext|> <|ENDOFTEXT|>",
+              "é ́a ½Ⅳ²٣ 12345", "日本語 😀😀 \u0000 _a_", "%%%*** !!|", "'s 'd'll", "﻿q᠎", "ab" * 3000, "a\x1c b\x1f\x1e9c"):
+        check(t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs", "Cn"]), max_size=60))
+def test_any_text(text):
+    check(text)
+
+
+def test_documents(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    got = {r["doc_id"]: r for r in bpe.digests(docs).collect()}
+    rows = pq.read_table(f"{SF_SMALL}/documents.parquet").to_pylist()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids, text = want(r["text"])
+        assert got[r["doc_id"]][1:] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_round_trip_and_edges(spark):
+    rng = random.Random(3)
+    rows = [(1, None, 0), (2, "", 0), (3, "Hello  World", 0), (3, "Hello  World", 0), (None, "x", 1), (5, "ab " * 50_000, rng.randrange(9))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")
+    tokens = bpe.encode(docs)
+    texts = sorted((r["doc_id"] or 0, r["text"]) for r in bpe.decode(tokens).collect())
+    assert texts == sorted((r[0] or 0, want(r[1])[1]) for r in rows)
+    assert bpe.digests(docs.limit(0)).count() == 0
