@@ -42,7 +42,7 @@ BASE_RULES = (
 #: The method's own rules.
 RULES = (
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * greatest(n_lines, 1)"),
+    Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     Rule("shouted", "2 * regexp_count(text, '!!') > n_words"),
     Rule("no_letters", r"2 * regexp_count(text, '[^\\x20\\x09-\\x0D]*\\p{L}[^\\x20\\x09-\\x0D]*') < n_words"),
@@ -148,7 +148,7 @@ split AS (
   FROM split s LEFT JOIN covered c USING (n)
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * greatest(n_lines, 1)
+         10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines
          OR word_chars < 2 * n_words OR word_chars > 20 * n_words
          OR 2 * len(regexp_extract_all(text, '!!')) > n_words
          OR 2 * len(regexp_extract_all(text, '[^\x20\x09-\x0D]*\p{{L}}[^\x20\x09-\x0D]*')) < n_words AS rejected
