@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from visitlens.llm import mixing, quality_rules, url_filter, warc
+from visitlens.llm import bpe, mixing, quality_classifier, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op1_warc_archive": warc.op1_warc_archive,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_shard": sharding.op3_shard,
     "op6_mix": mixing.op6_mix,
+    "op7_bpe": bpe.op7_bpe,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {
