@@ -35,10 +35,10 @@ SLOT_ROWS, LEAST_SALTS = 500_000, 16
 
 
 class Cell(NamedTuple):
-    """Groups with keys in [lo, hi)."""
+    """Groups with keys in [lo, lo + 2^bits); ``lo`` is a multiple of 2^bits."""
 
     lo: int
-    hi: int
+    bits: int
     size: int
     groups: int
     largest: int
@@ -57,28 +57,21 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def split_cells(groups: DataFrame, cells: list[Cell], parts: int) -> list[Cell]:
-    """Each of ``cells`` in ``parts`` equal key ranges, measured by one aggregation; empty ones are left out."""
-    nearby = [[cells[0].lo, cells[0].hi, 0]]  # runs of touching cells, so that the expression stays short
-    step = {}
-    for c in cells:
-        width = -(-(c.hi - c.lo) // parts)
-        if c.lo != nearby[-1][1] and c is not cells[0] or step.get(nearby[-1][0], width) != width:
-            nearby.append([c.lo, c.hi, 0])
-        nearby[-1][1] = c.hi
-        step[nearby[-1][0]] = width
-    at, inside = F.lit(None).cast("long"), F.lit(False)
-    for lo, hi, _ in nearby:
-        here = (F.col("key") >= lo) & (F.col("key") < hi)
+    """Each of ``cells`` in 2^``parts`` equal key ranges, measured by one aggregation; empty ones are left out.
+
+    Cells are prefixes of the key, so a group is looked up among those of each width by set membership.
+    """
+    inside, bits = F.lit(False), F.lit(0)
+    for width in sorted({c.bits for c in cells}):
+        here = F.shiftright("key", width).isin([c.lo >> width for c in cells if c.bits == width])
         inside = inside | here
-        at = F.when(here, F.col("key") - (F.col("key") - lo) % step[lo]).otherwise(at)
-    rows = (groups.where(inside).groupBy(at.alias("lo"))
-            .agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("size").alias("largest")).collect())
-    ends = sorted((lo, hi) for lo, hi, _ in nearby)
-    out = []
-    for r in rows:
-        lo, hi = next(e for e in ends if e[0] <= r["lo"] < e[1])
-        out.append(Cell(r["lo"], min(hi, r["lo"] + step[lo]), r["size"], r["n"], r["largest"]))
-    return sorted(out)
+        bits = F.when(here, F.lit(max(width - parts, 0))).otherwise(bits)
+    low, high = min(c.lo for c in cells), max(c.lo + (1 << c.bits) for c in cells)
+    near = groups.where((F.col("key") >= low) & (F.col("key") < high)).where(inside).withColumn("bits", bits)
+    lo = F.expr("shiftleft(shiftright(key, bits), bits)")
+    rows = near.groupBy(lo.alias("lo"), "bits").agg(
+        F.sum("size").alias("size"), F.count("*").alias("groups"), F.max("size").alias("largest")).collect()
+    return sorted(Cell(*r) for r in rows)
 
 
 def greedy(cells: list[Cell], capacity: int, shards: int) -> list[int] | None:
@@ -144,7 +137,7 @@ def bounds(cells: list[Cell], shards: int) -> tuple[int, int]:
 
 def plan(groups: DataFrame, shards: int = SHARDS, cells_per_round: int = CELLS) -> tuple[int, list[int]]:
     """(capacity, first key of each shard but the first) for ``groups`` (``key``, ``size``)."""
-    cells = split_cells(groups, [Cell(0, 1 << KEY_BITS, 0, 0, 0)], cells_per_round)
+    cells = split_cells(groups, [Cell(0, KEY_BITS, 0, 0, 0)], cells_per_round.bit_length() - 1)
     if not cells:
         return 0, []
     while True:
@@ -154,8 +147,7 @@ def plan(groups: DataFrame, shards: int = SHARDS, cells_per_round: int = CELLS)
         ends = zip(_stops(cells, least, shards), _reach(cells, most, shards), strict=True)
         open_cells = sorted({i for a, b in ends for i in range(a, min(b + 1, len(cells))) if cells[i].groups > 1})
         chosen = [cells[i] for i in open_cells]
-        parts = max(2, cells_per_round // len(chosen))
-        fine = split_cells(groups, chosen, parts)
+        fine = split_cells(groups, chosen, max(1, (cells_per_round // len(chosen)).bit_length() - 1))
         taken = set(open_cells)
         cells = sorted([c for i, c in enumerate(cells) if i not in taken] + fine)
 
