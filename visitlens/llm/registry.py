@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from visitlens.llm import bpe, mixing, quality_classifier, quality_rules, sharding, url_filter, warc
+from visitlens.llm import ann, bpe, mixing, ngram_join, quality_classifier, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op1_warc_archive": warc.op1_warc_archive,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_shard": sharding.op3_shard,
+    "op4_ann": ann.op4_ann,
     "op6_mix": mixing.op6_mix,
     "op7_bpe": bpe.op7_bpe,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
