@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from visitlens.llm import ann, bpe, mixing, ngram_join, quality_classifier, quality_rules, sharding, url_filter, warc
+from visitlens.llm import ann, bpe, html_text, mixing, ngram_join, quality_classifier, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op1_warc_archive": warc.op1_warc_archive,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_shard": sharding.op3_shard,
     "op4_ann": ann.op4_ann,
+    "op5_extract": html_text.op5_extract,
     "op6_mix": mixing.op6_mix,
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_join": ngram_join.op8_ngram_join,
