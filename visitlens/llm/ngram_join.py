@@ -6,7 +6,9 @@ part once. Two sets of Jaccard similarity 0.8 or more share a shingle among the
 keeps shared passages out of these prefixes. Prefix columns with several classes link them (as a chain,
 never as all pairs) into groups that hold every similar pair; only classes in such groups go on.
 
-Within a group the incidence matrix is multiplied with its transpose, in blocks of classes: a task holds
+Groups that fill more than a block are tightened first: each class folds its set into a bitmap, whose
+differing bits bound the sets' difference from below, and only pairs within the bound that their sizes
+set still link a group. Within a group the incidence matrix is multiplied with its transpose, in blocks of classes: a task holds
 two blocks, adds up overlaps a strip of columns at a time, rarest first, and drops pairs whose overlap and
 what is left of either set cannot reach the bound that their sizes set. Large groups are many block pairs.
 What survives all strips has exact overlaps; each task returns, per class, the least class it reaches and
@@ -40,7 +42,9 @@ NUM, DEN = 4, 5
 #: Broadcast bound of the frequent shingles, and shingles counted together in one task.
 FREQUENT, CHUNK = 1 << 20, 4_000_000
 #: A block holds about so many classes and shingles at most; a strip so many columns.
-BLOCK_CLASSES, BLOCK_SHINGLES, STRIP = 256, 200_000, 4096
+BLOCK_CLASSES, BLOCK_SHINGLES, STRIP = 256, 500_000, 4096
+#: Bitmaps have two bits a shingle of the group's largest set; a block holds so many bytes of them.
+BITMAP_BITS, BITMAP_BLOCK = 2, 4 << 20
 #: Rows (16 bytes) up to which the table of grouped classes is broadcast to fetch their texts.
 BROADCAST_ROWS = 1_000_000
 
@@ -319,11 +323,22 @@ def overlaps(sets: list[np.ndarray], across: np.ndarray | None = None) -> tuple[
     return np.nonzero(alive)
 
 
-def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block pair of a partition sorted by pair: ``node``, the least node it reaches there, and its links."""
+def _by_key(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
+    """Runs of rows, in a sorted partition, whose first ``size`` fields are equal."""
     held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[-1][:size] != row[:size]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
 
-    def product() -> pa.RecordBatch:
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block pair: ``node``, the least node it reaches there, and its links."""
+    for held in _by_key(batches, 3):
         own = {r[3]: r for r in held}  # a class may come from repeated rows
         rows = [own[k] for k in sorted(own)]
         i, j = rows[0][1:3]
@@ -334,17 +349,80 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = np.bincount(x, copies[y], len(rows)) + np.bincount(y, copies[x], len(rows))
         reach = dict(zip(*(v.tolist() for v in forest(nodes[x], nodes[y])), strict=True))
         found = np.flatnonzero(links > 0)
-        return pa.record_batch([pa.array(nodes[found]), pa.array([reach.get(v, v) for v in nodes[found].tolist()], pa.int64()),
-                                pa.array(links[found].astype(np.int64))], names=["node", "least", "links"])
+        yield pa.record_batch([pa.array(nodes[found]), pa.array([reach.get(v, v) for v in nodes[found].tolist()], pa.int64()),
+                               pa.array(links[found].astype(np.int64))], names=["node", "least", "links"])
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[-1][:3] != row[:3]:
-                yield product()
-                held = []
-            held.append(row)
-    if held:
-        yield product()
+
+def bitmap(shingles: np.ndarray, bits: int) -> bytes:
+    """``bits`` (a power of two, 64 at least) with that of every shingle set."""
+    out = np.zeros(bits, bool)
+    out[(shingles & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block pair of bitmaps: links (as stars) between classes whose sets may be similar enough."""
+    for held in _by_key(batches, 3):
+        own = {r[3]: r for r in held}
+        rows = sorted(own.values(), key=lambda r: r[5])
+        i, j = rows[0][1:3]
+        nodes, n = np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
+        side = np.array([r[4] == i for r in rows])
+        maps = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
+        x, y = [], []
+        for k in range(len(rows) - 1):
+            end = int(np.searchsorted(n, n[k] * DEN // NUM, "right"))
+            if end > k + 1:
+                apart = np.bitwise_count(maps[k + 1 : end] ^ maps[k]).sum(axis=1, dtype=np.int64)
+                near = apart * (NUM + DEN) <= (n[k + 1 : end] + n[k]) * (DEN - NUM)
+                if i != j:
+                    near &= side[k + 1 : end] != side[k]
+                y.append(np.flatnonzero(near) + k + 1)
+                x.append(np.full(len(y[-1]), k))
+        if x:
+            x, y = np.concatenate(x), np.concatenate(y)
+            node, root = forest(nodes[x], nodes[y])
+            yield pa.record_batch([pa.array(node), pa.array(root)], names=["a", "b"])
+
+
+def _fetched(docs: DataFrame, grouped: DataFrame, columns: list[str]) -> DataFrame:
+    """``text`` and ``columns`` of one document per class of ``grouped``, which is broadcast if counted to be small."""
+    texts = docs.select(F.col("doc_id").alias("text_id"), "text")
+    small = F.broadcast(grouped) if grouped.count() <= BROADCAST_ROWS else grouped
+    return texts.join(small, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("text", *columns)
+
+
+def _paired(held: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of blocks dealt and sorted by the block pairs (``root, i, j``) that they belong to."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = held.select("*", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns)
+    return pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+
+def tightened(docs: DataFrame, grouped: DataFrame, block_classes: int, block_shingles: int) -> DataFrame:
+    """``grouped`` (``node, root, doc_id, n, copies``) with groups beyond one block split by their bitmaps."""
+    per = grouped.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.max("n").alias("most"))
+    per = persisted(per.withColumnRenamed("root", "group_root"), "group-sizes")
+    sized = grouped.join(per, F.col("root") == F.col("group_root")).drop("group_root")
+    large = (F.col("k") > block_classes) | (F.col("s") > block_shingles)
+    sized = persisted(sized.withColumn("large", large), "sized")
+    bits = F.expr(f"CAST(greatest(256, power(2, ceil(log2(most * {BITMAP_BITS})))) AS INT)")
+    big = sized.where("large").withColumn("bits", bits)
+    big = big.withColumn("blocks", F.ceil(F.col("k") * F.col("bits") / (8 * BITMAP_BLOCK)).cast("int"))
+    big = persisted(big.withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)")), "large")
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _with_sets(batches):
+            sets = [bitmap(np.frombuffer(x, np.uint64), m) for x, m in zip(batch.column("shingles").to_pylist(), batch.column("bits").to_pylist(), strict=True)]
+            batch = batch.drop_columns(["shingles", "bits"])
+            yield pa.record_batch([*batch.columns, pa.array(sets, pa.binary())], names=[*batch.schema.names, "map"])
+
+    held = _fetched(docs, big, ["root", "node", "n", "block", "blocks", "bits"])
+    held = held.mapInArrow(maps, "root bigint, node bigint, n bigint, block int, blocks int, map binary")
+    links = _paired(held, ["node", "block", "n", "map"]).mapInArrow(_bounded, "a bigint, b bigint")
+    fine = components(links)
+    columns = ["node", "root", "doc_id", "n", "copies"]
+    return persisted(sized.where("NOT large").select(columns).unionByName(fine.join(big.drop("root"), "node").select(columns)), "tightened")
 
 
 def similar(docs: DataFrame, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -357,16 +435,11 @@ def similar(docs: DataFrame, block_classes: int = BLOCK_CLASSES, block_shingles:
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     classes = persisted(classes, "classes")
     groups = persisted(candidate_groups(docs, frequent(rows)), "candidates")
-    grouped = persisted(block_pairs(groups.join(classes, "node"), block_classes, block_shingles), "grouped")
-    texts = docs.select(F.col("doc_id").alias("text_id"), "text")
-    small = F.broadcast(grouped) if grouped.count() <= BROADCAST_ROWS else grouped
-    held = texts.join(small, F.col("text_id").eqNullSafe(F.col("doc_id")))
-    held = held.select("text", "root", "node", "copies", "block", "blocks")
+    tight = tightened(docs, groups.join(classes, "node"), block_classes, block_shingles)
+    grouped = persisted(block_pairs(tight, block_classes, block_shingles), "grouped")
+    held = _fetched(docs, grouped, ["root", "node", "copies", "block", "blocks"])
     held = held.mapInArrow(_with_sets, "root bigint, node bigint, copies bigint, block int, blocks int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = held.select("root", "node", "copies", "block", other, "shingles").select(
-        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies", "shingles")
-    pairs = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    pairs = _paired(held, ["node", "block", "copies", "shingles"])
     found = persisted(pairs.mapInArrow(_products, "node bigint, least bigint, links bigint"), "products")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
