@@ -1,12 +1,14 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from visitlens.operators import guard as G
+from visitlens.sources import adslog
 from visitlens.streaming import app
-from visitlens.streaming.feed import read_batches, write_batches
-from visitlens.streaming.registry import REPLAY_SCHEMA
+from visitlens.streaming.guard import KEYS, combined
+from visitlens.streaming.registry import REPLAY_SCHEMA, write_batches
 
 DAY_MS = 86_400_000
 BASE = 1_550_275_200_000  # 2019-02-16 00:00:00 UTC
@@ -59,111 +61,92 @@ def test_closed_form_equals_simulation(spark):
     assert {r.user_id for r in G.blocked_users(df, 3).collect()} == expected_blk
 
 
-def _snapshot(spark, sink, name):
-    return sorted(map(tuple, spark.read.parquet(f"{sink}/{name}").collect()))
+COLS = ["ts", "area", "city", "user_id", "ads_id", "batch_id"]
 
 
-def test_stream_equals_batch_with_restart(spark, scratch):
-    rng = random.Random(11)
-    rows = [(rng.randrange(8), rng.randrange(2), f"u{rng.randrange(5)}", str(rng.randrange(3)))
-            for _ in range(160)]
-    df = ads_df(spark, rows)
-    src, sink, ckpt = f"{scratch}/src", f"{scratch}/sink", f"{scratch}/ckpt"
-    cols = ["ts", "area", "city", "user_id", "ads_id", "batch_id"]
-    write_batches(df.filter("batch_id < 4").select(*cols), src)
-    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt,
-                  threshold=3, trigger={"availableNow": True})
-    q.awaitTermination()
-    write_batches(df.filter("batch_id >= 4").select(*cols), src, mode="append")
-    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt,
-                  threshold=3, trigger={"availableNow": True})
+def _tables(spark, sink):
+    return {t: sorted(map(tuple, df.select(sorted(df.columns)).collect())) for t, df in app.reports(spark, sink).items()}
+
+
+def _run(spark, src, sink, ckpt, threshold, **kw):
+    clicks = spark.readStream.schema(REPLAY_SCHEMA).option("maxFilesPerTrigger", "1").parquet(src)
+    q = app.start(clicks, sink, ckpt, threshold=threshold, trigger={"availableNow": True}, **kw)
     q.awaitTermination()
     assert q.exception() is None
+    return _tables(spark, sink)
 
-    adm = G.admitted_counts(df, 3)
+
+def _expected(df, threshold):
+    adm = G.admitted_counts(df, threshold)
     q5 = G.area_city_ads_count(adm)
-    assert _snapshot(spark, sink, "area_city_ads_count") == sorted(map(tuple, q5.collect()))
-    assert _snapshot(spark, sink, "area_top3_ads") == sorted(map(tuple, G.area_top3_ads(q5).collect()))
-    assert _snapshot(spark, sink, "user_ads_click") == sorted(map(tuple, G.user_ad_day_counts(adm).collect()))
-    assert {r[0] for r in _snapshot(spark, sink, "blacklist")} == \
-        {r.user_id for r in G.blocked_users(df, 3).collect()}
-    _, blk = simulate(rows, 3)
-    assert {r[0] for r in _snapshot(spark, sink, "blacklist")} == blk
+    want = {"area_city_ads_count": q5, "area_top3_ads": G.area_top3_ads(q5), "user_ads_click": G.user_ad_day_counts(adm),
+            "blacklist": G.blocked_users(df, threshold).select("user_id")}
+    return {t: sorted(map(tuple, x.select(sorted(x.columns)).collect())) for t, x in want.items()}
 
 
-def _run_stream(spark, scratch, rows, threshold, **kw):
-    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
+def _stream(spark, scratch, rows, threshold, **kw):
+    write_batches(ads_df(spark, rows).select(*COLS), f"{scratch}/src")
+    return _run(spark, f"{scratch}/src", f"{scratch}/sink", f"{scratch}/ckpt", threshold, **kw)
+
+
+@pytest.mark.parametrize("output", ["update", "complete"])
+def test_stream_equals_batch_with_restart(spark, scratch, output):
+    rng = random.Random(11)
+    rows = [(rng.randrange(8), rng.randrange(2), f"u{rng.randrange(5)}", str(rng.randrange(3)))
+            for _ in range(160)]
+    df = ads_df(spark, rows)
     src, sink, ckpt = f"{scratch}/src", f"{scratch}/sink", f"{scratch}/ckpt"
-    write_batches(df, src)
-    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt,
-                  threshold=threshold, trigger={"availableNow": True}, **kw)
-    q.awaitTermination()
-    assert q.exception() is None
-    return sink
+    write_batches(df.filter("batch_id < 4").select(*COLS), src)
+    first = _run(spark, src, sink, ckpt, 3, output=output)
+    assert first == _expected(df.filter("batch_id < 4"), 3)
+    for b in range(4, 8):  # later files of a running job
+        df.filter(f"batch_id = {b}").select(*COLS[:-1]).coalesce(1).write.mode("append").parquet(src)
+    got = _run(spark, src, sink, ckpt, 3, output=output)
+    assert got == _expected(df, 3)
+    _, blk = simulate(rows, 3)
+    assert {r[0] for r in got["blacklist"]} == blk
 
 
 def test_stream_crossing_batch(spark, scratch):
     rows = [(0, 0, "u", "a")] * 2 + [(1, 0, "u", "a")] * 2 + [(2, 0, "u", "b")]
-    sink = _run_stream(spark, scratch, rows, 3)
-    got = _snapshot(spark, sink, "user_ads_click")
-    assert got == [("2019-02-16", "u", "a", 4)]
-    assert _snapshot(spark, sink, "blacklist") == [("u",)]
-
-
-def test_stream_keep_days_forgets_old_totals(spark, scratch):
-    # day 0: 2 clicks, day 5: 1 click on the same ad; threshold 3 is never reached per day,
-    # and keep_days only drops totals of days that can no longer change the outcome here.
-    rows = [(0, 0, "u", "a")] * 2 + [(1, 5, "u", "a")] + [(2, 5, "u", "a")]
-    sink = _run_stream(spark, scratch, rows, 3, keep_days=1)
-    assert _snapshot(spark, sink, "blacklist") == []
-    assert sum(r[-1] for r in _snapshot(spark, sink, "area_city_ads_count")) == 4
-
-
-def test_bucketed_and_per_user_guard_agree_with_keep_days(spark, scratch):
-    rng = random.Random(9)
-    # days spread over a week so keep_days=1 forgets totals; both keyings must agree exactly
-    rows = sorted((rng.randrange(6), rng.randrange(7), f"u{rng.randrange(12)}", str(rng.randrange(2)))
-                  for _ in range(300))
-    rows = [(b, max(d, b), u, a) for b, d, u, a in rows]
-    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
-    src = f"{scratch}/src"
-    write_batches(df, src)
-    out = {}
-    for label, buckets in (("user", None), ("bucket", 3)):
-        sink, ckpt = f"{scratch}/sink_{label}", f"{scratch}/ck_{label}"
-        q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=4,
-                      trigger={"availableNow": True}, guard_buckets=buckets, keep_days=1)
-        q.awaitTermination()
-        assert q.exception() is None
-        out[label] = {t: _snapshot(spark, sink, t) for t in app.TABLES}
-    assert out["user"] == out["bucket"]
-
-
-def test_bucketed_and_per_user_guard_agree(spark, scratch):
-    rng = random.Random(5)
-    rows = [(rng.randrange(6), rng.randrange(2), f"u{rng.randrange(40)}", str(rng.randrange(3)))
-            for _ in range(400)]
-    expected_adm, expected_blk = simulate(rows, 3)
-    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
-    src = f"{scratch}/src"
-    write_batches(df, src)
-    out = {}
-    for label, buckets in (("user", None), ("bucket", 7)):
-        sink, ckpt = f"{scratch}/sink_{label}", f"{scratch}/ck_{label}"
-        q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=3,
-                      trigger={"availableNow": True}, guard_buckets=buckets)
-        q.awaitTermination()
-        assert q.exception() is None
-        out[label] = {t: _snapshot(spark, sink, t) for t in app.TABLES}
-    assert out["user"] == out["bucket"]
-    assert {r[0] for r in out["bucket"]["blacklist"]} == expected_blk
-    per_user = defaultdict(int)
-    for _, d, u, a in expected_adm:
-        per_user[(u, a)] += 1
-    got = defaultdict(int)
-    for _, u, a, c in out["bucket"]["user_ads_click"]:
-        got[(u, a)] += c
-    assert got == per_user
+    got = _stream(spark, scratch, rows, 3)
+    assert got["user_ads_click"] == [("a", 4, "2019-02-16", "u")]
+    assert got["blacklist"] == [("u",)]
+
+
+def test_real_threshold_and_nobody_blocked(spark, scratch):
+    """99, 100 and 101 clicks against the fixed threshold, and a late click of each user."""
+    rows = [(i % 2, 0, u, "a") for u, n in (("u99", 99), ("u100", 100), ("u101", 101)) for i in range(n)]
+    got = _stream(spark, scratch, rows + [(2, 1, u, "b") for u in ("u99", "u100", "u101")], G.DEFAULT_THRESHOLD)
+    assert got["blacklist"] == [("u100",), ("u101",)]
+    assert [r[-1] for r in got["user_ads_click"] if r[0] == "b"] == ["u99"]
+    none = _stream(spark, scratch + "-none", [(0, 0, "u", "a")] * 99, G.DEFAULT_THRESHOLD)
+    assert none["blacklist"] == [] and none["user_ads_click"] == [("a", 99, "2019-02-16", "u")]
+
+
+def test_late_click_of_an_old_day_still_counts(spark, scratch):
+    rows = [(0, 0, "u", "a")] * 2 + [(1, 5, "u", "a"), (2, 0, "u", "a"), (3, 5, "u", "a"), (3, 5, "u", "b")]
+    got = _stream(spark, scratch, rows, 3)
+    assert got["blacklist"] == [("u",)]
+    assert sum(r[1] for r in got["user_ads_click"]) == 4
+
+
+def test_hot_user_is_combined_before_the_state_shuffle(spark):
+    rows = [(0, 0, "hot" if i % 3 == 0 else f"u{i % 400}", str(i % 2)) for i in range(6000)]
+    clicks = G.with_day(ads_df(spark, rows)).repartition(4)
+    out = combined(clicks).filter("user_id = 'hot'")
+    assert out.count() <= 4 * 2 and out.groupBy().sum("n").first()[0] == 2000
+    assert sorted(combined(clicks).columns) == sorted([*KEYS, "n"])
+
+
+def test_state_writes_follow_touched_users(spark, scratch):
+    rows = [(0, 0, f"u{i}", "a") for i in range(200)] + [(1, 0, "u3", "a")]
+    write_batches(ads_df(spark, rows).select(*COLS), f"{scratch}/src")
+    clicks = spark.readStream.schema(REPLAY_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{scratch}/src")
+    q = app.start(clicks, f"{scratch}/sink", f"{scratch}/ckpt", threshold=5, trigger={"availableNow": True})
+    q.awaitTermination()
+    guard = [op for op in q.recentProgress[-1].stateOperators if "FlatMapGroups" in op.operatorName or "applyInPandas" in op.operatorName]
+    assert guard and guard[0].numRowsUpdated == 1 and guard[0].numRowsTotal == 200
 
 
 def test_stream_on_rocksdb_state_with_own_partitions(spark, scratch):
@@ -172,62 +155,32 @@ def test_stream_on_rocksdb_state_with_own_partitions(spark, scratch):
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         rows = [(0, 0, "u", "a")] * 2 + [(1, 0, "u", "a")] * 2 + [(2, 0, "u", "b")]
-        sink = _run_stream(spark, scratch, rows, 3, state_partitions=3)
+        got = _stream(spark, scratch, rows, 3, state_partitions=3)
     finally:
         spark.conf.set(key, old)
-    assert _snapshot(spark, sink, "user_ads_click") == [("2019-02-16", "u", "a", 4)]
+    assert got["user_ads_click"] == [("a", 4, "2019-02-16", "u")]
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
 
 
-def test_changelog_output_equals_snapshot_output(spark, scratch):
-    rng = random.Random(21)
-    rows = [(rng.randrange(7), rng.randrange(2), f"u{rng.randrange(15)}", str(rng.randrange(4)))
-            for _ in range(500)]
-    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
-    src = f"{scratch}/src"
-    write_batches(df, src)
-    sinks = {}
-    for output in ("snapshot", "changelog"):
-        sink, ckpt = f"{scratch}/sink_{output}", f"{scratch}/ck_{output}"
-        q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=4,
-                      trigger={"availableNow": True}, output=output)
+def test_reports_need_a_complete_batch_and_pass_errors_on(spark, scratch):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        app.reports(spark, f"{scratch}/nothing")
+    got = _stream(spark, scratch, [(0, 0, "u", "a")], 3)
+    spark.createDataFrame([("2019-02-16", "N", "C", "z", 9, 7)], "day string, area string, city string, ads_id string, click_count bigint, batch_id bigint") \
+        .write.mode("append").partitionBy("batch_id").parquet(f"{scratch}/sink/area_city_ads_count")
+    assert _tables(spark, f"{scratch}/sink") == got  # batch 7 was never completed
+
+
+def test_bad_lines_in_a_running_stream(spark, scratch):
+    """No line stops the stream; the bad ones are kept."""
+    good = ["1550275200000 North C_1 u1 a1", "1550275200001 North C_1 u1 a1 extra"]
+    bad = ["9999999999999999999 N C u a", "999999999999999999 N C u a", "-999999999999999999 N C u a", "     ", "", "x N C u a", "1 2 3"]
+    spark.createDataFrame([(x,) for x in good + bad], "value string").coalesce(1).write.text(f"{scratch}/in")
+    for name in ("main", "rejects"):
+        lines = adslog.file_lines(spark, f"{scratch}/in")
+        q = (app.start_from_lines(lines, f"{scratch}/sink", f"{scratch}/ck", threshold=5, trigger={"availableNow": True}) if name == "main"
+             else app.start_rejects(lines, f"{scratch}/rejects", f"{scratch}/ck2", trigger={"availableNow": True}))
         q.awaitTermination()
         assert q.exception() is None
-        sinks[output] = sink
-    views = app.changelog_reports(spark, sinks["changelog"])
-    for t in app.TABLES:
-        assert sorted(map(tuple, views[t].collect())) == _snapshot(spark, sinks["snapshot"], t), t
-    _, blk = simulate(rows, 4)
-    assert {r.user_id for r in views["blacklist"].collect()} == blk
-
-
-def test_changelog_compaction_midway_keeps_reports(spark, scratch):
-    rng = random.Random(33)
-    rows = [(rng.randrange(8), rng.randrange(2), f"u{rng.randrange(12)}", str(rng.randrange(3)))
-            for _ in range(400)]
-    df = ads_df(spark, rows).select("ts", "area", "city", "user_id", "ads_id", "batch_id")
-    src, sink, ckpt = f"{scratch}/src", f"{scratch}/sink", f"{scratch}/ckpt"
-    write_batches(df.filter("batch_id < 4"), src)
-    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=4,
-                  trigger={"availableNow": True}, output="changelog")
-    q.awaitTermination()
-    done = app.compact_changelog(spark, sink)
-    assert set(done) == set(app.ChangelogSink.LOGS)
-    write_batches(df.filter("batch_id >= 4"), src, mode="append")
-    q = app.start(read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id"), sink, ckpt, threshold=4,
-                  trigger={"availableNow": True}, output="changelog")
-    q.awaitTermination()
-    assert q.exception() is None
-    views = app.changelog_reports(spark, sink)
-    adm = G.admitted_counts(df, 4)
-    q5 = G.area_city_ads_count(adm)
-    assert sorted(map(tuple, views["area_city_ads_count"].collect())) == sorted(map(tuple, q5.collect()))
-    assert sorted(map(tuple, views["area_top3_ads"].collect())) == sorted(map(tuple, G.area_top3_ads(q5).collect()))
-    assert sorted(map(tuple, views["user_ads_click"].collect())) == \
-        sorted(map(tuple, G.user_ad_day_counts(adm).collect()))
-    _, blk = simulate(rows, 4)
-    assert {r.user_id for r in views["blacklist"].collect()} == blk
-    # a second compaction after more batches still gives the same views
-    app.compact_changelog(spark, sink)
-    again = app.changelog_reports(spark, sink)
-    assert sorted(map(tuple, again["area_city_ads_count"].collect())) == sorted(map(tuple, q5.collect()))
+    assert _tables(spark, f"{scratch}/sink")["user_ads_click"] == [("a1", 2, "2019-02-16", "u1")]
+    assert sorted(r.value for r in spark.read.parquet(f"{scratch}/rejects").collect()) == sorted(bad)

@@ -2,11 +2,12 @@
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.test_guard import simulate
-from visitlens.streaming.guard import make_bucket_guard, make_guard
+from visitlens.streaming.guard import combine, make_guard
 
 
 class FakeState:
@@ -25,21 +26,23 @@ class FakeState:
         self.value = tuple(v)
 
 
-def drive(rows, threshold, keyed_by_bucket, buckets=3, keep_days=None, chunk=2):
-    """Feed (batch, day, user, ad) rows batch by batch, as the stateful operator would."""
-    fn = (make_bucket_guard if keyed_by_bucket else make_guard)(threshold, keep_days)
+def drive(rows, threshold, chunk=2):
+    """Feed (batch, day, user, ad) rows batch by batch: combined per task, then per user."""
+    fn = make_guard(threshold)
     states = defaultdict(FakeState)
     admitted = defaultdict(int)
     for b in sorted({r[0] for r in rows}):
         batch = [r for r in rows if r[0] == b]
         groups = defaultdict(list)
-        for _, d, u, a in batch:
-            key = (hash(u) % buckets,) if keyed_by_bucket else (u,)
-            groups[key].append({"user_id": u, "day": f"2019-02-{16 + d:02d}", "area": "N",
-                                "city": "C", "ads_id": a})
-        for key, recs in groups.items():
+        for at in range(0, len(batch), 7):
+            recs = [{"user_id": u, "day": f"2019-02-{16 + d:02d}", "area": "N", "city": "C", "ads_id": a} for _, d, u, a in batch[at:at + 7]]
+            parts = [pa.RecordBatch.from_pylist(recs[i:i + chunk]) for i in range(0, len(recs), chunk)]
+            for out in combine(iter(parts)):
+                for r in out.to_pylist():
+                    groups[r["user_id"]].append(r)
+        for user, recs in groups.items():
             pdfs = [pd.DataFrame(recs[i:i + chunk]) for i in range(0, len(recs), chunk)]
-            for out in fn(key, iter(pdfs), states[key]):
+            for out in fn((user,), iter(pdfs), states[user]):
                 for r in out.itertuples(index=False):
                     admitted[(r.user_id, int(r.day[-2:]) - 16, r.ads_id)] += int(r.n)
     return dict(admitted)
@@ -62,17 +65,4 @@ def expected(rows, threshold):
 @settings(max_examples=300, deadline=None)
 @given(rows_strategy, st.integers(1, 6))
 def test_per_user_state_function_matches_rule(rows, threshold):
-    assert drive(rows, threshold, keyed_by_bucket=False) == expected(rows, threshold)
-
-
-@settings(max_examples=300, deadline=None)
-@given(rows_strategy, st.integers(1, 6), st.integers(1, 4))
-def test_bucket_state_function_matches_rule(rows, threshold, buckets):
-    assert drive(rows, threshold, keyed_by_bucket=True, buckets=buckets) == expected(rows, threshold)
-
-
-@settings(max_examples=200, deadline=None)
-@given(rows_strategy, st.integers(1, 6), st.integers(0, 2))
-def test_keep_days_same_under_both_keyings(rows, threshold, keep_days):
-    assert drive(rows, threshold, False, keep_days=keep_days) == \
-        drive(rows, threshold, True, keep_days=keep_days)
+    assert drive(rows, threshold) == expected(rows, threshold)

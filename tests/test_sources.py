@@ -21,6 +21,14 @@ def test_parse_accept_reject(spark):
     assert sorted(r.value for r in adslog.rejected(p).collect()) == ["1 a b", "x a b 1 2"]
 
 
+def test_parse_never_raises(spark):
+    lines = ["9999999999999999999 N C u a", "999999999999999999 N C u a", "     ", "", "253402300799999 N C u a", "253402300800000 N C u a"]
+    df = spark.createDataFrame([(x,) for x in lines] + [(None,)], "value string")
+    p = adslog.parse_lines(df)
+    assert [r.day for r in p.collect() if r.valid] == ["9999-12-31"]
+    assert adslog.rejected(p).count() == 6 and adslog.accepted(p).count() == 1
+
+
 def test_parse_failfast_raises(spark):
     with pytest.raises(Exception):
         adslog.accepted(_parse(spark, ["x a b 1 2"], failfast=True)).collect()

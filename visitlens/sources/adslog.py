@@ -3,7 +3,8 @@
 Line format (space separated): ``<epoch ms> <area> <city> <user id> <ad id>``.
 Fields are taken by position after a Java-style ``split(" ")``, so a field holding a
 space shifts the later ones (kept: it is the line format's own limit); extra fields are
-ignored; a line with fewer than five fields or a non-numeric time is rejected.
+ignored; a line with fewer than five fields, or a time that is no number or lies outside
+the years 1 to 9999, is rejected.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from visitlens.functions.text import epoch_ms_to_day, java_split
 
 FIELDS = ("ts", "area", "city", "user_id", "ads_id")
+#: Epoch milliseconds of 0001-01-01 and of the end of 9999: days outside have no date text.
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 
 
 def kafka_lines(spark: SparkSession, bootstrap_servers: str, topic: str,
@@ -30,8 +33,8 @@ def kafka_lines(spark: SparkSession, bootstrap_servers: str, topic: str,
                  .select(F.col("value").cast("string").alias("value")))
 
 
-def file_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = 1) -> DataFrame:
-    """Streaming ``value STRING`` from text files (one micro-batch per file by default)."""
+def file_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming ``value STRING`` from text files; a micro-batch takes all new files by default."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -45,8 +48,8 @@ def parse_lines(lines: DataFrame, value_col: str = "value", failfast: bool = Fal
     lines stay as ``valid = false`` rows for a reject table.
     """
     parts = java_split(F.col(value_col), " ")
-    ts = F.expr("try_cast(__p[0] AS BIGINT)")
-    valid = (F.size("__p") >= 5) & ts.isNotNull()
+    ts = F.expr("try_cast(get(__p, 0) AS BIGINT)")
+    valid = F.coalesce((F.size("__p") >= 5) & ts.between(FIRST_MS, LAST_MS), F.lit(False))
     if failfast:
         valid = F.when(valid, F.lit(True)).otherwise(
             F.raise_error(F.concat(F.lit("malformed ads log line: "), F.col(value_col))))
@@ -56,7 +59,8 @@ def parse_lines(lines: DataFrame, value_col: str = "value", failfast: bool = Fal
         *[F.get(F.col("__p"), i).alias(name) for i, name in enumerate(FIELDS) if i > 0],
         valid.alias("valid"),
     )
-    return out.withColumn("day", epoch_ms_to_day("ts"))
+    # A day only for valid lines: another time may overflow, which would stop a stream for good.
+    return out.withColumn("day", F.when(F.col("valid"), epoch_ms_to_day("ts")))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sinks: managed / external table overwrite, JDBC append, keyed snapshot tables.
+"""Sinks: managed / external table overwrite and JDBC append.
 
 All writes are done by executors through Spark's writers (commit protocol, task retries);
 nothing is collected to the driver first.
@@ -35,8 +35,9 @@ def jdbc_append(df: DataFrame, url: str, table: str, properties: dict | None = N
                 batch_size: int = 1000, max_connections: int | None = None) -> None:
     """Append rows over JDBC (S9 / S10): batched inserts, one transaction per task.
 
-    ``max_connections`` caps concurrent writers (Spark coalesces to that many partitions);
-    rows are never funnelled through the driver.
+    ``max_connections`` caps concurrent writers (Spark coalesces to that many partitions); with 1
+    the whole insert is one transaction, which suits reports cut to their top rows. Rows are never
+    funnelled through the driver.
     """
     props = dict(properties or {})
     props.setdefault("batchsize", str(batch_size))
@@ -53,12 +54,3 @@ def jdbc_insert_row(spark: SparkSession, url: str, table: str, values: tuple,
 
 def jdbc_read(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> DataFrame:
     return spark.read.jdbc(url, table, properties=dict(properties or {}))
-
-
-def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Keyed table holding the latest complete snapshot (S12, S13, S15 targets).
-
-    Used from ``foreachBatch`` with complete-mode input: every batch rewrites the whole keyed
-    state, so replaying a batch after a failure writes the same content again (idempotent).
-    """
-    df.write.mode("overwrite").format(fmt).save(path)

@@ -4,180 +4,100 @@ Topology (one query, one checkpoint, so the guard state, the running totals and
 source offsets advance together, exactly once):
 
     source (Kafka / files) -> parse (S7) -> day (F9)
-      -> guard: groupBy(user bucket).applyInPandasWithState (St3)    admitted counts
-      -> per grain: groupBy(grain, keys).sum  (St5, St6)             complete mode
+      -> combine clicks per key in the map task
+      -> guard: groupBy(user).applyInPandasWithState (St3)           admitted counts
+      -> per grain: groupBy(grain, keys).sum  (St5, St6)
          (grain "area": day, area, city, ad; grain "user": day, user, ad)
-      -> foreachBatch (St4, St7, St9):
+      -> foreachBatch (St4, St7, St9) into tables partitioned by batch_id:
            area_city_ads_count  (Q5)  totals per day/area/city/ad
-           area_top3_ads        (Q6)  top-3 ads per day/area as JSON
            user_ads_click       (S14) totals per day/user/ad
            blacklist            (S15) users with any total >= threshold
+           batches                    written last: the batch is complete
 
-Complete mode re-emits every key each batch, as the original job did; each table is a full
-snapshot, so a replayed batch rewrites the same content (idempotent). ``keep_days`` bounds
-the guard state for long runs.
+``output="update"`` (default) writes only the totals that a batch changed, so a batch costs what
+it touches; ``output="complete"`` writes every total in each batch, as the original job did. No
+folder is rewritten by a later batch: a replayed batch overwrites its own partition, and readers
+(``reports``) take complete batches only.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitlens.fixed import BATCH_INTERVAL
 from visitlens.operators.guard import DEFAULT_THRESHOLD, area_top3_ads, with_day
 from visitlens.sources import adslog
-from visitlens.sources.sinks import write_snapshot
 from visitlens.streaming.guard import apply_guard
 
-TABLES = ("area_city_ads_count", "area_top3_ads", "user_ads_click", "blacklist")
+#: Stored tables: their key and the schema they are read with (a batch may write no row).
+STORED = {
+    "area_city_ads_count": (("day", "area", "city", "ads_id"),
+                            "day string, area string, city string, ads_id string, click_count bigint"),
+    "user_ads_click": (("day", "user_id", "ads_id"),
+                       "day string, user_id string, ads_id string, click_count bigint"),
+    "blacklist": (("user_id",), "user_id string"),
+}
+TABLES = (*STORED, "area_top3_ads")
 
 
-class SnapshotSink:
-    """``foreachBatch`` writer of the four report tables from the complete totals."""
+class BatchSink:
+    """``foreachBatch`` writer: each table's rows of a batch into its partition, then the batch itself."""
 
-    def __init__(self, root: str, threshold: int = DEFAULT_THRESHOLD):
-        self.root = root.rstrip("/")
-        self.threshold = threshold
+    def __init__(self, root: str, threshold: int, output: str):
+        self.root, self.threshold, self.output = root.rstrip("/"), threshold, output
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
+        (df.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("batch_id").parquet(f"{self.root}/{table}"))
 
     def __call__(self, totals: DataFrame, batch_id: int) -> None:
         totals.persist()
         try:
-            q5 = (totals.filter(F.col("grain") == "area")
-                        .select("day", "area", "city", "ads_id", "click_count"))
-            per_user = (totals.filter(F.col("grain") == "user")
-                              .select("day", "user_id", "ads_id", "click_count"))
-            blocked = per_user.filter(F.col("click_count") >= self.threshold).select("user_id").distinct()
-            outputs = {"area_city_ads_count": q5, "area_top3_ads": area_top3_ads(q5),
-                       "user_ads_click": per_user, "blacklist": blocked}
-            # The four writes are independent jobs over the cached totals: submit them together
-            # so their stages share the executors instead of queueing one after another.
-            with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
-                for f in [pool.submit(write_snapshot, df, self.path(t)) for t, df in outputs.items()]:
-                    f.result()
+            area = totals.filter(F.col("grain") == "area").select("day", "area", "city", "ads_id", "click_count")
+            user = totals.filter(F.col("grain") == "user").select("day", "user_id", "ads_id", "click_count")
+            blocked = user.filter(F.col("click_count") >= self.threshold).select("user_id").distinct()
+            for table, df in zip(STORED, (area, user, blocked)):
+                self._write(df, table, batch_id)
+            done = totals.sparkSession.createDataFrame([(self.output,)], "output string")
+            self._write(done, "batches", batch_id)
         finally:
             totals.unpersist()
 
 
-class ChangelogSink:
-    """``foreachBatch`` writer for update mode: appends only the totals changed in a batch.
-
-    Each table is a log partitioned by ``batch_id``; a replayed batch overwrites its own
-    partition (dynamic partition overwrite). Totals only grow, so the current value of a key
-    is the maximum over its log rows (``changelog_reports``) and a duplicated row is
-    harmless. Per-batch work follows the keys that changed, not the whole history.
-    """
-
-    LOGS = ("area_city_ads_count_log", "user_ads_click_log", "blacklist_log")
-
-    def __init__(self, root: str, threshold: int = DEFAULT_THRESHOLD):
-        self.root = root.rstrip("/")
-        self.threshold = threshold
-
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def _append(self, df: DataFrame, table: str, batch_id: int) -> None:
-        (df.withColumn("batch_id", F.lit(int(batch_id)))
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("batch_id").parquet(self.path(table)))
+def _stored(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{root}/{table}")
 
-    def __call__(self, changed: DataFrame, batch_id: int) -> None:
-        changed.persist()
-        try:
-            area = (changed.filter(F.col("grain") == "area")
-                           .select("day", "area", "city", "ads_id", "click_count"))
-            user = (changed.filter(F.col("grain") == "user")
-                           .select("day", "user_id", "ads_id", "click_count"))
-            crossed = user.filter(F.col("click_count") >= self.threshold).select("user_id").distinct()
-            outputs = dict(zip(self.LOGS, (area, user, crossed)))
-            with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
-                for f in [pool.submit(self._append, df, t, batch_id) for t, df in outputs.items()]:
-                    f.result()
-        finally:
-            changed.unpersist()
 
+def reports(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The four report tables as of the last complete batch of a job that writes to ``root``.
 
-_LOG_KEYS = {
-    "area_city_ads_count_log": ["day", "area", "city", "ads_id"],
-    "user_ads_click_log": ["day", "user_id", "ads_id"],
-    "blacklist_log": ["user_id"],
-}
-
-
-def _exists(spark, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the folder or raises
-        return True
-    except Exception:
-        return False
-
-
-def _latest(spark, root: str, table: str) -> DataFrame:
-    """Current value per key: newest compacted base (if any) plus the log after it."""
-    keys = _LOG_KEYS[table]
-    log = spark.read.parquet(f"{root}/{table}")
-    done = f"{root}/{table}_compact_done"
-    if _exists(spark, done):
-        # newest base recorded as complete (the marker is appended after the base is written)
-        upto = spark.read.parquet(done).agg(F.max("upto")).first()[0]
-        base = spark.read.parquet(f"{root}/{table}_compact/upto={int(upto)}")
-        log = log.filter(F.col("batch_id") > upto)  # partition pruning: recent batches only
-        rows = base.unionByName(log.drop("batch_id"))
-    else:
-        rows = log.drop("batch_id")
-    if table == "blacklist_log":
-        return rows.select("user_id").distinct()
-    return rows.groupBy(*keys).agg(F.max("click_count").alias("click_count"))
-
-
-def changelog_reports(spark, root: str) -> dict[str, DataFrame]:
-    """The four report tables as views over the changelog written by ``ChangelogSink``."""
-    root = root.rstrip("/")
-    area = _latest(spark, root, "area_city_ads_count_log")
-    return {"area_city_ads_count": area, "area_top3_ads": area_top3_ads(area),
-            "user_ads_click": _latest(spark, root, "user_ads_click_log"),
-            "blacklist": _latest(spark, root, "blacklist_log")}
-
-
-def compact_changelog(spark, root: str) -> dict[str, int]:
-    """Fold each log into a new compacted base ``<table>_compact/upto=<last batch>``.
-
-    Safe while the stream keeps appending: a base is written once under a new folder and
-    recorded in ``<table>_compact_done`` only after it is complete, and readers use the
-    newest recorded one; rows of batches after ``upto`` that slip into the base are also
-    read from the log, which is harmless because values are maxima of growing totals. Log
-    partitions up to ``upto`` are no longer read and can be removed by retention.
-    Returns the ``upto`` per log.
+    Totals only grow, so a key's value is its largest; of complete snapshots only the last is read.
+    Raises if no batch was completed yet; any storage error is passed on.
     """
     root = root.rstrip("/")
-    done = {}
-    for table in _LOG_KEYS:
-        upto = spark.read.parquet(f"{root}/{table}").agg(F.max("batch_id")).first()[0]
-        if upto is None:
+    last = _stored(spark, root, "batches", "output string").agg(F.max(F.struct("batch_id", "output")).alias("last"))
+    last = last.select("last.*").first()
+    if last["batch_id"] is None:
+        raise ValueError(f"no complete batch in {root}")
+    out = {}
+    for table, (keys, schema) in STORED.items():
+        rows = _stored(spark, root, table, schema)
+        if last["output"] == "complete":
+            out[table] = rows.filter(F.col("batch_id") == last["batch_id"]).drop("batch_id")
             continue
-        current = _latest(spark, root, table)
-        current.write.mode("overwrite").parquet(f"{root}/{table}_compact/upto={int(upto)}")
-        (spark.createDataFrame([(int(upto),)], "upto long")
-              .write.mode("append").parquet(f"{root}/{table}_compact_done"))
-        done[table] = int(upto)
-    return done
-
-
-# Guard state keys: enough buckets to spread over a large cluster's state partitions, few
-# enough that a micro-batch with millions of active users runs tens of thousands of Python
-# state groups, not millions. With few users it degenerates to about one user per bucket.
-DEFAULT_GUARD_BUCKETS = 16384
+        rows = rows.filter(F.col("batch_id") <= last["batch_id"])
+        if table == "blacklist":
+            out[table] = rows.select(*keys).distinct()
+        else:
+            out[table] = rows.groupBy(*keys).agg(F.max("click_count").alias("click_count"))
+    out["area_top3_ads"] = area_top3_ads(out["area_city_ads_count"])
+    return out
 
 
-def running_totals(clicks: DataFrame, threshold: int = DEFAULT_THRESHOLD,
-                   keep_days: int | None = None,
-                   guard_buckets: int | None = DEFAULT_GUARD_BUCKETS) -> DataFrame:
+def running_totals(clicks: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Parsed click stream -> admitted running totals at two grains, tagged by ``grain``.
 
     ``area``: per (day, area, city, ad) (Q5); ``user``: per (day, user, ad) (the guard's
@@ -185,7 +105,7 @@ def running_totals(clicks: DataFrame, threshold: int = DEFAULT_THRESHOLD,
     streaming aggregation, so the state holds the two key sets side by side instead of
     their product (day, area, city, ad, user).
     """
-    admitted = apply_guard(with_day(clicks), threshold, keep_days, guard_buckets)
+    admitted = apply_guard(with_day(clicks), threshold)
     none = F.lit(None).cast("string")
     grains = F.array(
         F.struct(F.lit("area").alias("grain"), "day", "area", "city", "ads_id",
@@ -198,31 +118,21 @@ def running_totals(clicks: DataFrame, threshold: int = DEFAULT_THRESHOLD,
 
 
 def start(clicks: DataFrame, sink_root: str, checkpoint: str,
-          threshold: int = DEFAULT_THRESHOLD, keep_days: int | None = None,
-          trigger: dict | None = None, query_name: str | None = None,
-          guard_buckets: int | None = DEFAULT_GUARD_BUCKETS,
-          state_partitions: int | None = None, output: str = "snapshot") -> StreamingQuery:
+          threshold: int = DEFAULT_THRESHOLD, trigger: dict | None = None,
+          query_name: str | None = None, state_partitions: int | None = None,
+          output: str = "update") -> StreamingQuery:
     """Start the job on a parsed click stream (ts, area, city, user_id, ads_id).
 
     ``trigger`` defaults to a 5-second micro-batch (St1); tests pass ``{"availableNow": True}``.
-    ``output="snapshot"`` (default, as the original job: complete mode, every table rewritten
-    in full each batch) or ``"changelog"`` (update mode, only changed totals appended; read
-    the tables with ``changelog_reports``) — the latter keeps per-batch cost independent of
-    how much history the job has accumulated.
-    ``guard_buckets`` and ``state_partitions`` are fixed by the checkpoint once the query has
-    started; ``None`` buckets keys the guard state by user. Streaming state is not coalesced
-    by AQE, so ``state_partitions`` (default: the session's shuffle partitions) should be
-    sized to the cluster (a few tasks per core), not to the batch shuffle setting.
+    Streaming state is not coalesced by AQE, so ``state_partitions`` (default: the session's
+    shuffle partitions) should be sized to the cluster (a few tasks per core), not to the batch
+    shuffle setting; it is fixed by the checkpoint once the query has started.
     """
-    totals = running_totals(clicks, threshold, keep_days, guard_buckets)
-    if output == "snapshot":
-        mode, sink = "complete", SnapshotSink(sink_root, threshold)
-    elif output == "changelog":
-        mode, sink = "update", ChangelogSink(sink_root, threshold)
-    else:
-        raise ValueError(f"output must be 'snapshot' or 'changelog', got {output!r}")
-    w = (totals.writeStream.outputMode(mode)
-               .foreachBatch(sink)
+    if output not in ("update", "complete"):
+        raise ValueError(f"output must be 'update' or 'complete', got {output!r}")
+    totals = running_totals(clicks, threshold)
+    w = (totals.writeStream.outputMode(output)
+               .foreachBatch(BatchSink(sink_root, threshold, output))
                .option("checkpointLocation", checkpoint)
                .trigger(**(trigger or {"processingTime": BATCH_INTERVAL})))
     if query_name:
@@ -240,5 +150,12 @@ def start(clicks: DataFrame, sink_root: str, checkpoint: str,
 
 
 def start_from_lines(lines: DataFrame, sink_root: str, checkpoint: str, **kw) -> StreamingQuery:
-    """Same job from raw ``value`` lines (Kafka / text files); malformed lines are skipped."""
+    """Same job from raw ``value`` lines (Kafka / text files); ``start_rejects`` keeps the malformed ones."""
     return start(adslog.accepted(adslog.parse_lines(lines)), sink_root, checkpoint, **kw)
+
+
+def start_rejects(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append the malformed lines of the stream to the table at ``path``."""
+    w = adslog.rejected(adslog.parse_lines(lines)).writeStream.outputMode("append").format("parquet")
+    return (w.option("checkpointLocation", checkpoint)
+             .trigger(**(trigger or {"processingTime": BATCH_INTERVAL})).start(path))

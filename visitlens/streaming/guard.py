@@ -1,160 +1,85 @@
 """Stateful click guard for Structured Streaming (St3).
 
-Per user (``make_guard``, keyed by user, or ``make_bucket_guard``, keyed by a hash bucket
-of users holding the same per-user record): the running click totals per (day, ad) and a ``blocked`` flag. In each
-micro-batch a user that was blocked at batch start has all clicks dropped; otherwise every
-click is admitted (the whole crossing batch too), the totals are updated and the flag set
-once any total reaches the threshold. A blocked user's totals are dropped from the state,
-since only the flag matters from then on.
-
-The function receives the user's rows as an iterator of Arrow batches, so a user with a
-third of a micro-batch is streamed through in chunks, never materialised whole. It emits
-admitted clicks already counted per (day, area, city, ad), which shrinks the data flowing
-into the downstream running aggregate.
+Clicks are first combined per (user, day, area, city, ad) inside each map task, so a user with a
+third of a micro-batch sends one row per task and distinct key through the state shuffle. State is
+kept per user: the running click totals per (day, ad) and a ``blocked`` flag, written only for
+users that a micro-batch touches. A user that was blocked at batch start has all clicks dropped;
+otherwise every click is admitted (the whole crossing batch too), the totals are updated and the
+flag set once any total reaches the threshold. A blocked user's totals are dropped from the
+state, since only the flag matters from then on.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-GUARD_OUT_SCHEMA = ("user_id string, day string, area string, city string, ads_id string, n long")
-GUARD_STATE_SCHEMA = "days array<string>, ads array<string>, counts array<long>, blocked boolean"
-OUT_COLS = ["user_id", "day", "area", "city", "ads_id", "n"]
+KEYS = ["user_id", "day", "area", "city", "ads_id"]
+COUNTS_SCHEMA = ", ".join(f"{c} string" for c in KEYS) + ", n long"
+STATE_SCHEMA = "days array<string>, ads array<string>, counts array<long>, blocked boolean"
+#: Distinct keys that a map task holds before it passes them on.
+COMBINE_ROWS = 500_000
 
 
-def _cutoff(day: str, keep_days: int) -> str:
-    return (pd.Timestamp(day) - pd.Timedelta(days=keep_days)).strftime("%Y-%m-%d")
+def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Click rows of one task -> one row per key with its number of clicks ``n``."""
+    held: pa.Table | None = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch]).group_by(KEYS).aggregate([([], "count_all")])
+        part = part.rename_columns([*KEYS, "n"])
+        held = part if held is None else _summed(pa.concat_tables([held, part]))
+        if held.num_rows >= COMBINE_ROWS:
+            yield from held.to_batches()
+            held = None
+    if held is not None:
+        yield from held.to_batches()
 
 
-def make_guard(threshold: int, keep_days: int | None = None):
-    """State function for ``groupBy("user_id").applyInPandasWithState``.
+def _summed(table: pa.Table) -> pa.Table:
+    return table.group_by(KEYS).aggregate([("n", "sum")]).rename_columns([*KEYS, "n"])
 
-    ``keep_days`` (optional) forgets totals of days older than the newest day seen minus
-    ``keep_days``; by default totals are kept forever, as in the original job.
-    """
+
+def make_guard(threshold: int):
+    """State function for ``groupBy("user_id").applyInPandasWithState`` over combined counts."""
 
     def guard(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        user = key[0]
-        if state.exists:
-            days, ads, counts, blocked = state.get
-        else:
-            days, ads, counts, blocked = [], [], [], False
+        days, ads, counts, blocked = state.get if state.exists else ([], [], [], False)
         if blocked:
             for _ in pdfs:  # drain: every click of a blocked user is dropped
                 pass
             return
-        totals: dict[tuple[str, str], int] = {}
-        for d, a, c in zip(list(days), list(ads), list(counts)):
-            totals[(d, a)] = int(c)
+        totals = dict(zip(zip(days, ads), map(int, counts)))
         for pdf in pdfs:
-            if pdf.empty:
-                continue
-            # one counting pass per Arrow chunk: admitted clicks per (day, area, city, ad)
-            cnt = Counter(zip(pdf["day"], pdf["area"], pdf["city"], pdf["ads_id"]))
-            keys = list(cnt)
-            yield pd.DataFrame({
-                "user_id": [user] * len(keys),
-                "day": [k[0] for k in keys], "area": [k[1] for k in keys],
-                "city": [k[2] for k in keys], "ads_id": [k[3] for k in keys],
-                "n": list(cnt.values()),
-            }, columns=OUT_COLS)
-            for (d, _, _, a), c in cnt.items():
-                totals[(d, a)] = totals.get((d, a), 0) + c
+            if not pdf.empty:
+                yield pdf[[*KEYS, "n"]]
+                for d, a, n in zip(pdf["day"], pdf["ads_id"], pdf["n"]):  # combined rows, not clicks
+                    totals[d, a] = totals.get((d, a), 0) + int(n)
         if any(c >= threshold for c in totals.values()):
             state.update(([], [], [], True))
-            return
-        if keep_days is not None and totals:
-            low = _cutoff(max(d for d, _ in totals), keep_days)
-            totals = {k: c for k, c in totals.items() if k[0] >= low}
-        keys = list(totals)
-        state.update(([k[0] for k in keys], [k[1] for k in keys], [totals[k] for k in keys], False))
-
-    return guard
-
-
-GUARD_BUCKET_STATE_SCHEMA = ("users array<string>, days array<string>, ads array<string>, "
-                             "counts array<long>, blocked array<string>")
-
-
-def make_bucket_guard(threshold: int, keep_days: int | None = None):
-    """State function keyed by a hash bucket of users (same rule as ``make_guard``).
-
-    A bucket's state holds, for each of its users, the (day, ad) totals of unblocked users
-    and the ids of blocked ones. Grouping many users per key turns the per-group cost of
-    the Python state API (paid once per key and batch) into a per-bucket cost; each user's
-    decision still depends only on that user's own rows and state.
-    """
-
-    def guard(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            users, days, ads, counts, blocked = state.get
         else:
-            users, days, ads, counts, blocked = [], [], [], [], []
-        blocked_at_start = set(blocked)
-        totals: dict[tuple[str, str, str], int] = {}
-        for u, d, a, c in zip(list(users), list(days), list(ads), list(counts)):
-            totals[(u, d, a)] = int(c)
-        touched: set[str] = set()
-        for pdf in pdfs:
-            if pdf.empty:
-                continue
-            cnt = Counter(zip(pdf["user_id"], pdf["day"], pdf["area"], pdf["city"], pdf["ads_id"]))
-            rows = [(k, c) for k, c in cnt.items() if k[0] not in blocked_at_start]
-            if not rows:
-                continue
-            yield pd.DataFrame({
-                "user_id": [k[0] for k, _ in rows], "day": [k[1] for k, _ in rows],
-                "area": [k[2] for k, _ in rows], "city": [k[3] for k, _ in rows],
-                "ads_id": [k[4] for k, _ in rows], "n": [c for _, c in rows],
-            }, columns=OUT_COLS)
-            for (u, d, _, _, a), c in rows:
-                totals[(u, d, a)] = totals.get((u, d, a), 0) + c
-                touched.add(u)
-        # only users with clicks in this batch can cross the threshold now
-        newly = {u for (u, _, _), c in totals.items() if u in touched and c >= threshold}
-        now_blocked = blocked_at_start | newly
-        totals = {k: c for k, c in totals.items() if k[0] not in now_blocked}
-        if keep_days is not None and totals:
-            newest: dict[str, str] = {}
-            for u, d, _ in totals:
-                if d > newest.get(u, ""):
-                    newest[u] = d
-            low = {u: _cutoff(d, keep_days) for u, d in newest.items()}  # per user, as make_guard
-            totals = {k: c for k, c in totals.items() if k[1] >= low[k[0]]}
-        keys = list(totals)
-        state.update(([k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys],
-                      [totals[k] for k in keys], sorted(now_blocked)))
+            state.update(([d for d, _ in totals], [a for _, a in totals], list(totals.values()), False))
 
     return guard
 
 
 def _ship_by_value() -> None:
-    """Pickle this module's functions by value, so Python workers need not have the package
-    installed (the state function is the only Python code that runs inside tasks)."""
+    """Pickle this module's functions by value, so Python workers need not have the package."""
     import sys
 
     from pyspark import cloudpickle
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def apply_guard(clicks, threshold: int, keep_days: int | None = None, buckets: int | None = None):
-    """Click rows with ``day`` -> admitted counts per user/day/area/city/ad.
-
-    ``buckets=None`` keeps one state per user; ``buckets=N`` keys the state by
-    ``pmod(xxhash64(user_id), N)``, which bounds the number of Python state groups per
-    micro-batch by N however many users are active.
-    """
+def combined(clicks: DataFrame) -> DataFrame:
+    """Clicks with ``day`` -> counts per key and map task."""
     _ship_by_value()
-    cols = clicks.select("user_id", "day", "area", "city", "ads_id")
-    if not buckets:
-        return (cols.groupBy("user_id")
-                    .applyInPandasWithState(make_guard(threshold, keep_days), GUARD_OUT_SCHEMA,
-                                            GUARD_STATE_SCHEMA, "append", "NoTimeout"))
-    from pyspark.sql import functions as F
-    keyed = cols.withColumn("guard_bucket", F.pmod(F.xxhash64("user_id"), F.lit(int(buckets))))
-    return (keyed.groupBy("guard_bucket")
-                 .applyInPandasWithState(make_bucket_guard(threshold, keep_days), GUARD_OUT_SCHEMA,
-                                         GUARD_BUCKET_STATE_SCHEMA, "append", "NoTimeout"))
+    return clicks.select(*KEYS).mapInArrow(combine, COUNTS_SCHEMA)
+
+
+def apply_guard(clicks: DataFrame, threshold: int) -> DataFrame:
+    """Click rows with ``day`` -> admitted counts per user/day/area/city/ad."""
+    return (combined(clicks).groupBy("user_id")
+            .applyInPandasWithState(make_guard(threshold), COUNTS_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"))

@@ -1,9 +1,10 @@
 """Streaming queries registered with the driver.
 
 The click table of the fixture is replayed as a file stream, one file per batch number, and
-run through the streaming job with ``availableNow``; each query returns one of the job's
-report tables. They share the batch replay's DuckDB twins, since both must agree when the
-micro-batch edges are the same. One run per (session, input folder) serves all of them.
+run through the streaming job with ``availableNow``; each query starts its own stream and returns
+one of the job's report tables. They share the batch replay's DuckDB twins, since both must agree
+when the micro-batch edges are the same. ``stream_changelog_*`` read the default output (changed
+totals), the other ``stream_*`` the complete one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from visitlens.session import shared_dir
 from visitlens.sources import adapters as A
 from visitlens.sources import adslog
 from visitlens.streaming import app
-from visitlens.streaming.feed import read_batches, write_batches
 
 REPLAY_SCHEMA = T.StructType([
     T.StructField("ts", T.LongType()),
@@ -25,10 +25,23 @@ REPLAY_SCHEMA = T.StructType([
     T.StructField("city", T.StringType()),
     T.StructField("user_id", T.StringType()),
     T.StructField("ads_id", T.StringType()),
-    T.StructField("batch_id", T.LongType()),
 ])
 
-_RUNS: dict = {}
+
+def write_batches(df: DataFrame, path: str, fmt: str = "parquet") -> int:
+    """Write ``df`` as one file per ``batch_id``, one after the other. Returns the number of files.
+
+    The guard's result depends on where micro-batches start and end; the file source takes files by
+    modification time, so batches are written in order. Works on any storage Spark can write.
+    """
+    spark = df.sparkSession
+    stage = f"{path}-stage"
+    df.repartition("batch_id").write.partitionBy("batch_id").parquet(stage)
+    ids = [r[0] for r in df.select("batch_id").distinct().orderBy("batch_id").collect()]
+    schema = df.drop("batch_id").schema
+    for b in ids:
+        spark.read.schema(schema).parquet(f"{stage}/batch_id={b}").coalesce(1).write.mode("append").format(fmt).save(path)
+    return len(ids)
 
 
 def _state_partitions(spark: SparkSession) -> int:
@@ -39,60 +52,39 @@ def _state_partitions(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD,
-           batch_rows: int = A.BATCH_ROWS, output: str = "snapshot") -> str:
-    """Run the streaming job over the fixture's whole click log; returns the sink root.
-
-    ``batch_rows`` sets the micro-batch width (event ids per batch), not a row limit;
-    ``output`` picks the snapshot (complete mode) or changelog (update mode) sink.
-    """
-    key = (id(spark), sf_dir, threshold, batch_rows, output)
-    if key in _RUNS:
-        return _RUNS[key]
-    root = shared_dir(spark, "stream-replay")
-    src, sink, ckpt = f"{root}/src", f"{root}/sink", f"{root}/checkpoint"
-    write_batches(A.ads_log(spark, sf_dir, batch_rows), src)
-    clicks = read_batches(spark, src, REPLAY_SCHEMA).drop("batch_id")
-    q = app.start(clicks, sink, ckpt, threshold=threshold, trigger={"availableNow": True},
-                  state_partitions=_state_partitions(spark), output=output)
+def _finished(q) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"stream replay failed: {q.exception()}")
-    _RUNS[key] = sink
-    return sink
 
 
-def replay_lines(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD) -> str:
+def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD, output: str = "update") -> str:
+    """Run the streaming job over the fixture's whole click log; returns the sink root."""
+    root = shared_dir(spark, "stream-replay")
+    write_batches(A.ads_log(spark, sf_dir), f"{root}/src")
+    clicks = spark.readStream.schema(REPLAY_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{root}/src")
+    _finished(app.start(clicks, f"{root}/sink", f"{root}/checkpoint", threshold=threshold, output=output,
+                        trigger={"availableNow": True}, state_partitions=_state_partitions(spark)))
+    return f"{root}/sink"
+
+
+def replay_lines(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD, output: str = "update") -> str:
     """The whole original path: text lines in, one file per batch -> parse -> guard -> reports."""
-    key = ("lines", id(spark), sf_dir, threshold)
-    if key in _RUNS:
-        return _RUNS[key]
     root = shared_dir(spark, "stream-lines-replay")
-    src, sink, ckpt = f"{root}/src", f"{root}/sink", f"{root}/checkpoint"
-    write_batches(adslog.format_lines(A.ads_log(spark, sf_dir), keep=("batch_id",)), src, fmt="text")
-    q = app.start_from_lines(adslog.file_lines(spark, src), sink, ckpt, threshold=threshold,
-                             trigger={"availableNow": True}, state_partitions=_state_partitions(spark))
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(f"line stream replay failed: {q.exception()}")
-    _RUNS[key] = sink
-    return sink
+    write_batches(adslog.format_lines(A.ads_log(spark, sf_dir), keep=("batch_id",)), f"{root}/src", fmt="text")
+    lines = adslog.file_lines(spark, f"{root}/src", max_files_per_trigger=1)
+    _finished(app.start_from_lines(lines, f"{root}/sink", f"{root}/checkpoint", threshold=threshold, output=output,
+                                   trigger={"availableNow": True}, state_partitions=_state_partitions(spark)))
+    return f"{root}/sink"
 
 
-def _table(name: str, runner=replay):
+def _table(name: str, runner=replay, output: str = "complete"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.read.parquet(f"{runner(spark, sf_dir)}/{name}")
+        return app.reports(spark, runner(spark, sf_dir, output=output))[name]
     run.__name__ = f"stream_{name}"
     return run
 
 
-def _changelog_view(name: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return app.changelog_reports(spark, replay(spark, sf_dir, output="changelog"))[name]
-    run.__name__ = f"stream_changelog_{name}"
-    return run
-
-
 STREAM_QUERIES = {
     "stream_guard": _table("blacklist"),
     "stream_user_ads_click": _table("user_ads_click"),
@@ -101,9 +93,9 @@ STREAM_QUERIES = {
     "stream_lines_guard": _table("blacklist", replay_lines),
     "stream_lines_area_city_ads": _table("area_city_ads_count", replay_lines),
     "stream_lines_area_top3": _table("area_top3_ads", replay_lines),
-    "stream_changelog_area_city_ads": _changelog_view("area_city_ads_count"),
-    "stream_changelog_area_top3": _changelog_view("area_top3_ads"),
-    "stream_changelog_guard": _changelog_view("blacklist"),
+    "stream_changelog_area_city_ads": _table("area_city_ads_count", output="update"),
+    "stream_changelog_area_top3": _table("area_top3_ads", output="update"),
+    "stream_changelog_guard": _table("blacklist", output="update"),
 }
 
 _W = "WITH " + ADAPTERS + "," + GUARD
