@@ -1,20 +1,20 @@
 """SparkSession defaults and the shared scratch folder.
 
 Everything that must survive an executor (or driver) loss is written below the folder the
-cluster names in ``spark.checkpoint.dir``; we only pick our own folder when that setting is
-unset, which is the local-test case.
+cluster names in ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its
+own and a cluster session an error.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings every job of this package relies on. Values are defaults; anything already set
-# on the builder / cluster wins because ``getOrCreate`` keeps an existing session's conf.
+# Settings every job of this package relies on. Values are defaults: ``get_session`` sets only what
+# an existing session, or its cluster's configuration, leaves unset.
 DEFAULT_CONF = {
     # Day strings are computed from epoch millis; pin the zone so results do not depend on
     # the machine (the reference used the JVM default zone).
@@ -55,44 +55,63 @@ CLUSTER_CONF = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "visitlens", extra: dict | None = None,
-                profile: str = "local") -> SparkSession:
-    """Session with the package defaults; ``profile="cluster"`` adds ``CLUSTER_CONF``."""
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+                profile: str = "local", hive: bool = False, database: str | None = None) -> SparkSession:
+    """Session with the package defaults; ``profile="cluster"`` adds ``CLUSTER_CONF``.
+
+    Settings that the session, its builder or the cluster's configuration already made are kept;
+    ``extra`` is set in any case. ``hive`` turns on the Hive catalog of a new session and
+    ``database`` makes that database the current one.
+    """
+    defaults = dict(DEFAULT_CONF)
     if profile == "cluster":
-        conf.update(CLUSTER_CONF)
+        defaults.update(CLUSTER_CONF)
     if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
+        defaults["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    builder = SparkSession.builder
+    if SparkSession.getActiveSession() is None:
+        builder = builder.appName(app_name)
+        if master:
+            builder = builder.master(master)
+        if hive:
+            builder = builder.enableHiveSupport()
+        for k in [k for k in defaults if k.startswith("spark.ui.")]:  # fixed when the process starts
+            builder = builder.config(k, defaults.pop(k))
+    for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    chosen = {r["key"] for r in spark.sql("SET").collect()}
+    for k, v in defaults.items():
+        if k not in chosen and spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
+    if database:
+        spark.catalog.setCurrentDatabase(database)
     spark.sparkContext.setLogLevel("WARN")
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; set a private one only if none is set."""
+    """The shared checkpoint folder of the session.
+
+    A local session without one (its executors are this process) gets a private folder, once; on a
+    cluster the setting must name a folder that all executors share, and its absence is an error.
+    """
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no driver-side context, use the session setting
         sc = None
-    root = sc.getCheckpointDir() if sc is not None else None
+    root = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            # Local runs and tests only: a cluster must name a shared folder itself.
-            root = tempfile.mkdtemp(prefix="visitlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        if sc is not None:
-            sc.setCheckpointDir(root)
-            root = sc.getCheckpointDir() or root
+        if sc is None or not re.fullmatch(r"local(\[(\*|\d+)(,\s*\d+)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="visitlens-ckpt-")
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+        root = sc.getCheckpointDir() or root
     return root
 
 
 def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
-    """A fresh folder under the shared checkpoint root (never a machine-local temp dir)."""
+    """A fresh folder under the shared checkpoint root."""
     root = checkpoint_root(spark)
     name = "/".join(parts) if parts else "scratch"
     if unique:
