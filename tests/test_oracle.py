@@ -5,7 +5,7 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 from tests.oracle_check import compare, duck
 
-NAMES = sorted(E.queries())
+NAMES = sorted(E.QUERIES | E.STREAM_QUERIES)
 
 
 @pytest.fixture(scope="module")

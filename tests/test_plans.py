@@ -43,19 +43,66 @@ def test_partial_aggregation_before_exchange(spark, name):
     assert "partial_" in text
 
 
-def test_only_bounded_explicit_broadcast(spark):
-    """The one broadcast hint in batch code is the 10-row top-category list."""
+def test_only_bounded_explicit_broadcast():
+    """The only broadcast hint in batch code is the 10-row top-category list."""
     import inspect
 
     import visitlens.operators.guard as G
+    import visitlens.operators.joins as J
     import visitlens.operators.visits as V
     import visitlens.plans.offline as OFF
-    for mod in (G, V, OFF):
+    for mod in (G, J, V, OFF):
         src = inspect.getsource(mod)
-        assert src.count("F.broadcast(") == (2 if mod is OFF else 0)
+        assert src.count("F.broadcast(") == src.count("F.broadcast(_top_ids(")
     assert "F.broadcast(_top_ids(top10))" in inspect.getsource(OFF)
 
 
+@pytest.mark.parametrize("name", ["visit_filter", "category_top10", "visit_filter_sql"])
+def test_date_bound_is_a_range_at_the_scan(spark, name):
+    text = formatted(QUERIES[name](spark, SF_SMALL))
+    assert "GreaterThanOrEqual(ts,2024-01-03T00:00" in text and "LessThan(ts,2024-01-28T00:00" in text
+
+
+def test_lineitem_is_shuffled_once(spark):
+    """Joins of lineitem rows: one, on the order key, with broadcasts off."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        text = formatted(QUERIES["area_product_top3_lineitem"](spark, SF_SMALL))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    tree = text.split("\n\n")[0]
+    lines = tree.splitlines()
+    scan = next(i for i, x in enumerate(lines) if "Scan parquet" in x)  # lineitem is the left-most leaf
+    depth = lambda x: len(x) - len(x.lstrip(" :|+-"))
+    above, d = [], depth(lines[scan])
+    for x in reversed(lines[:scan]):
+        if depth(x) < d:
+            above.append(x)
+            d = depth(x)
+    joins = [x for x in above if "Join" in x]
+    assert len(joins) == 2  # places, then product names after the cut
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in text
+
+
+def test_session_report_scans_events_once(spark):
+    from visitlens.plans.registry import PARAMS_JSON
+    from visitlens.sources import adapters as A
+    flt = VisitFilter.from_json(spark, PARAMS_JSON)
+    seen = []
+    real = O.persisted
+    try:
+        O.persisted = lambda df, name: (seen.append(formatted(df)), real(df, name))[1]
+        q1, q2 = O.category_reports(A.user_visit_action(spark, SF_SMALL, flt), A.user_info(spark, SF_SMALL), flt)
+    finally:
+        O.persisted = real
+    assert sum(x.count("events.parquet") for x in seen) == 1
+    assert "events.parquet" not in formatted(q1) + formatted(q2)
+
+
 def test_bounds_pushed_to_scan_on_typed_tables(spark, scratch):
     visits = spark.createDataFrame([("2019-01-0%d" % d, d, "s", 1, "t", None, d, d, None, None, None, None, 1)
                                     for d in range(1, 6)], S.USER_VISIT_ACTION)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from visitlens.fixed import NAME_SEP, OTHER_LABEL, PCT_SUFFIX  # noqa: F401 - re-exported
+from visitlens.fixed import NAME_SEP, PCT_SUFFIX
 
 
 def _c(c) -> Column:

@@ -105,3 +105,29 @@ FROM g
 
 def city_ratio_sql(spark, view: str, keys: Sequence[str]) -> DataFrame:
     return spark.sql(CITY_RATIO_SQL.format(keys=", ".join(keys), view=view))
+
+
+# The summary text as a function that users call by name in their own SQL, over an array of
+# (city, clicks): one entry per city of a group, made by the per-city counts before it. Built-in
+# expressions only; each ``transform`` over a one-element array names an intermediate value.
+CITY_RATIO_FUNCTION = f"""
+CREATE OR REPLACE TEMPORARY FUNCTION city_ratio(counts ARRAY<STRUCT<city: STRING, n: BIGINT>>)
+RETURNS STRING
+RETURN transform(array(named_struct(
+    'top', slice(array_sort(counts, (a, b) -> CASE
+             WHEN a.n > b.n THEN -1 WHEN a.n < b.n THEN 1
+             WHEN a.city IS NULL AND b.city IS NULL THEN 0 WHEN a.city IS NULL THEN -1 WHEN b.city IS NULL THEN 1
+             WHEN a.city < b.city THEN -1 WHEN a.city > b.city THEN 1 ELSE 0 END), 1, {TOP_CITIES}),
+    'total', CAST(aggregate(counts, 0L, (t, x) -> t + x.n) AS DOUBLE),
+    'cities', size(counts))), g ->
+  transform(array(transform(g.top, x -> named_struct(
+      'city', coalesce(x.city, 'null'), 'share', floor(CAST(x.n AS DOUBLE) / g.total * 1000 + 0.5) / 10))), p ->
+    concat_ws('{PART_SEP}', transform(p, x -> concat(x.city, '{NAME_SEP}', CAST(x.share AS STRING), '{PCT_SUFFIX}')),
+      CASE WHEN g.cities > {TOP_CITIES} THEN concat('{OTHER_LABEL}{NAME_SEP}', CAST(
+        floor(aggregate(p, 100.0D, (r, x) -> r - x.share) * 10 + 0.5) / 10 AS STRING), '{PCT_SUFFIX}') END))[0])[0]
+"""
+
+
+def register_city_ratio(spark) -> None:
+    """Make ``city_ratio(array of (city, clicks))`` callable in the session's SQL."""
+    spark.sql(CITY_RATIO_FUNCTION)

@@ -12,10 +12,9 @@ is admitted, so with ``cum`` = running total per (day, user, ad) over batches,
 
 Scale: every step first collapses rows to (batch, key) counts with map-side partial
 aggregation, so a user or ad with a third of all clicks becomes a handful of rows per batch
-before any shuffle. The counted path (``admitted_counts``) then shuffles once by user and
-decides admission with two windows on that partitioning (no join, one scan); the row-level
-path (``admitted_clicks``) joins raw rows with the per-user block table, which AQE may
-broadcast after measuring it or split if one user's partition is skewed.
+before any shuffle. Running totals are taken per (day, user, ad) and a user's block batch is a
+partially aggregated minimum: nothing is dealt by user alone. The block table (one row per
+blocked user) then meets the counts, or the raw rows, in a join whose hot users are salted.
 """
 
 from __future__ import annotations
@@ -25,8 +24,9 @@ from pyspark.sql import functions as F
 
 from visitlens.fixed import BLOCK_THRESHOLD, TOP_ADS
 from visitlens.functions.text import ads_json, epoch_ms_to_day
-from visitlens.operators.joins import salted_join
+from visitlens.operators.joins import hot_key_join
 from visitlens.operators.topk import top_n_per_group
+from visitlens.sources.tables import persisted
 
 DEFAULT_THRESHOLD = BLOCK_THRESHOLD  # clicks on one ad by one user in one day
 
@@ -36,11 +36,7 @@ def with_day(ads: DataFrame) -> DataFrame:
 
 
 def _blocked_from_counts(per: DataFrame, threshold: int) -> DataFrame:
-    """(user_id, blocked_batch) from click counts per (batch, day, user, ad, ...) in ``n``.
-
-    Callers pass counts hash-partitioned by ``user_id``; the sums, the window and the
-    per-user minimum below are then all local to that partitioning (no further exchange).
-    """
+    """(user_id, blocked_batch) from click counts per (batch, day, user, ad, ...) in ``n``."""
     key_counts = per.groupBy("batch_id", "day", "user_id", "ads_id").agg(F.sum("n").alias("n"))
     w = (Window.partitionBy("day", "user_id", "ads_id").orderBy("batch_id")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -54,39 +50,29 @@ def _counts(ads: DataFrame, keys: tuple) -> DataFrame:
 
 def blocked_users(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """(user_id, blocked_batch): the batch at whose end each user gets blocked."""
-    counts = _counts(ads, ("batch_id", "day", "user_id", "ads_id")).repartition("user_id")
-    return _blocked_from_counts(counts, threshold)
+    return _blocked_from_counts(_counts(ads, ("batch_id", "day", "user_id", "ads_id")), threshold)
 
 
-def admitted_clicks(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
-    """Row-level guard output: the clicks that pass the blacklist.
-
-    Raw rows meet the per-user block table in a salted join, so a user with a third of
-    all clicks is spread over many join tasks when the block table is not broadcast.
-    """
-    a = with_day(ads)
-    j = salted_join(a, blocked_users(a, threshold), ["user_id"], "left")
+def _admitted(rows: DataFrame, blocked: DataFrame) -> DataFrame:
+    j = hot_key_join(rows, blocked, "user_id", "left")
     return (j.filter(F.col("blocked_batch").isNull() | (F.col("batch_id") <= F.col("blocked_batch")))
              .drop("blocked_batch"))
 
 
+def admitted_clicks(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
+    """Row-level guard output: the clicks that pass the blacklist."""
+    a = with_day(ads)
+    return _admitted(a, blocked_users(a, threshold))
+
+
 def admitted_counts(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Admitted clicks pre-aggregated per (batch, user, day, area, city, ad) -> n.
 
-    One scan, no join: after a single shuffle of the aggregated counts by user, two windows
-    on that same partitioning give each row its key's running total over batches (a RANGE
-    frame, so rows of one batch count together) and its user's first crossing batch; the
-    admission rule is then a filter.
+    The counts are written once to the shared folder and read for the block table, the hot users
+    and the admission join.
     """
-    per = _counts(ads, ("batch_id", "user_id", "day", "area", "city", "ads_id")).repartition("user_id")
-    running = (Window.partitionBy("day", "user_id", "ads_id").orderBy("batch_id")
-                     .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    per_user = Window.partitionBy("user_id")
-    crossing = F.when(F.col("__cum") >= threshold, F.col("batch_id"))
-    marked = (per.withColumn("__cum", F.sum("n").over(running))
-                 .withColumn("__blocked", F.min(crossing).over(per_user)))
-    return (marked.filter(F.col("__blocked").isNull() | (F.col("batch_id") <= F.col("__blocked")))
-                  .drop("__cum", "__blocked"))
+    per = persisted(_counts(ads, ("batch_id", "user_id", "day", "area", "city", "ads_id")), "click-counts")
+    return _admitted(per, _blocked_from_counts(per, threshold))
 
 
 def user_ad_day_counts(admitted: DataFrame) -> DataFrame:

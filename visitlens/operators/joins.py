@@ -1,31 +1,42 @@
-"""Salted join for a large side with hot keys against a small per-key side.
-
-When the small side (at most a few rows per key, e.g. one row per user) is too large to
-broadcast, a sort-merge join sends every row of a hot key to one task, and AQE cannot split
-it if the small side arrives already partitioned by the key. Salting fixes both: each large
-row gets a deterministic salt from a hash of its own columns, the small side is repeated
-once per salt, and the join runs on (key, salt), so a hot key spreads over ``salts`` tasks.
-The small side grows by the factor ``salts``; the large side does not grow.
+"""Join of a large side with hot keys against a small per-key side: only the hot keys are salted.
+
+A sort-merge join sends every row of a key to one task, and AQE cannot split it if the small side
+arrives already partitioned by the key. Keys that hold more than ``1 / HOT_SHARE`` of the large
+side's rows are found by a counted aggregate; there are fewer than ``HOT_SHARE`` of them whatever
+the input, so they travel as literals. Rows of a hot key get a deterministic salt and the small
+side repeats its rows of that key once per salt; all other rows keep salt 0 and one copy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 32
+SALTS = 32
+#: A key is hot if it holds more than this fraction (one in so many) of the rows.
+HOT_SHARE = 200
 SALT = "__salt"
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-                salts: int = DEFAULT_SALTS) -> DataFrame:
-    """``big.join(small, keys, how)`` with hot keys of ``big`` spread over ``salts`` tasks."""
+def hot_keys(big: DataFrame, key: str, share: int = HOT_SHARE) -> list:
+    """Keys of ``big`` with more than one in ``share`` of its rows: fewer than ``share`` values."""
+    total = big.count()
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return [r[0] for r in counts.filter((F.col("n") * share > total) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def hot_key_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = SALTS,
+                 share: int = HOT_SHARE) -> DataFrame:
+    """``big.join(small, key, how)`` with the hot keys of ``big`` spread over ``salts`` tasks."""
     if how not in ("inner", "left"):
-        raise ValueError("salted_join keeps big's rows: use an inner or left join")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts))
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
+        raise ValueError("hot_key_join keeps big's rows: use an inner or left join")
+    hot = hot_keys(big, key, share)
+    if not hot:
+        return big.join(small, key, how)
+    is_hot: Column = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts))
+    salt = F.when(is_hot, spread).otherwise(F.lit(0)).cast("int")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return (big.withColumn(SALT, salt)
-               .join(small.withColumn(SALT, every), [*keys, SALT], how)
+               .join(small.withColumn(SALT, F.explode(every)), [key, SALT], how)
                .drop(SALT))

@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from visitlens.fixed import TOP_CATEGORIES, TOP_PRODUCTS, TOP_SESSIONS
 from visitlens.operators.actions import category_events, kind_counts
 from visitlens.operators.city_ratio import city_ratio
-from visitlens.operators.joins import salted_join
+from visitlens.operators.joins import hot_key_join
 from visitlens.operators.topk import rank_cut, top_n, top_n_per_group
 from visitlens.operators.visits import filter_visits, user_multiplicity
 from visitlens.sources.params import VisitFilter, apply
+from visitlens.sources.tables import persisted
 
 
 def category_counts_filtered(visits: DataFrame, users: DataFrame, flt: VisitFilter) -> DataFrame:
@@ -45,14 +46,9 @@ def category_counts_filtered(visits: DataFrame, users: DataFrame, flt: VisitFilt
           for k in ("click", "order", "pay")])
 
 
-def category_top10(visits: DataFrame, users: DataFrame, flt: VisitFilter, task_id: str = "",
-                   n: int = TOP_CATEGORIES) -> DataFrame:
+def category_top10(visits: DataFrame, users: DataFrame, flt: VisitFilter, task_id: str = "") -> DataFrame:
     """Q1. Sort keys: click desc, order desc (pay is not a key); then category_id asc."""
-    counts = category_counts_filtered(visits, users, flt)
-    top = top_n(counts, [F.col("click_count").desc(), F.col("order_count").desc(),
-                         F.col("category_id").asc()], n)
-    return top.select(F.lit(task_id).alias("task_id"), "category_id", "click_count",
-                      "order_count", "pay_count")
+    return _top_categories(category_counts_filtered(visits, users, flt), task_id)
 
 
 def top_category_clicks(visits: DataFrame, users: DataFrame, flt: VisitFilter,
@@ -77,27 +73,64 @@ def category_session_counts(visits: DataFrame, users: DataFrame, flt: VisitFilte
     clicks = v.join(F.broadcast(_top_ids(top10)), "click_category_id", "left_semi")
     per_user = (clicks.groupBy("user_id", "click_category_id", "session_id")
                       .agg(F.count(F.lit(1)).alias("n")))
-    # a hot user keeps one row per (category, session): salt its join with the user table
-    j = salted_join(per_user, user_multiplicity(users, flt), ["user_id"])
+    # a hot user keeps one row per (category, session): its join with the user table is salted
+    j = hot_key_join(per_user, user_multiplicity(users, flt), "user_id")
     return (j.groupBy(F.col("click_category_id").alias("category_id"), "session_id")
              .agg(F.sum(F.col("n") * F.col("mult")).cast("bigint").alias("click_count")))
 
 
-def category_session_top10(visits: DataFrame, users: DataFrame, flt: VisitFilter,
-                           task_id: str = "", n: int = TOP_SESSIONS,
-                           top10: DataFrame | None = None) -> DataFrame:
-    """Q2. Exactly <= n sessions per category: count desc, then session_id asc.
+def visit_counts(visits: DataFrame, flt: VisitFilter) -> DataFrame:
+    """Visits inside the date bound -> counts per (user, category, session) and kind.
 
-    ``top10`` may be Q1's stored result (the offline app passes it, so Q1 is not recomputed).
+    One scan feeds both category reports; the counts are stored in the shared folder.
     """
-    if top10 is None:
-        top10 = category_top10(visits, users, flt, task_id)
-    counts = category_session_counts(visits, users, flt, top10)
+    v = apply(visits.select("date", "user_id", "session_id", "click_category_id", "order_category_ids",
+                            "pay_category_ids"), flt.date_predicate("date"))
+    events = category_events(v, keep=("user_id", "session_id"))
+    return persisted(kind_counts(events, ("user_id", "category_id", "session_id")), "visit-counts")
+
+
+def category_reports(visits: DataFrame, users: DataFrame, flt: VisitFilter, task_id: str = "") -> tuple[DataFrame, DataFrame]:
+    """(Q1, Q2) from one scan of the visits and one of the users."""
+    m = persisted(user_multiplicity(users, flt), "user-multiplicity")
+    per_user = visit_counts(visits, flt)
+    weighted = persisted(hot_key_join(per_user, m, "user_id").groupBy("category_id", "session_id").agg(
+        *[F.sum(F.col(f"{k}_count") * F.col("mult")).cast("bigint").alias(f"{k}_count")
+          for k in ("click", "order", "pay")]), "session-counts")
+    totals = weighted.groupBy("category_id").agg(*[F.sum(f"{k}_count").cast("bigint").alias(f"{k}_count")
+                                                   for k in ("click", "order", "pay")])
+    q1 = persisted(_top_categories(totals, task_id), "category-top10")
+    clicks = (weighted.filter(F.col("click_count") > 0)
+              .select(F.expr("try_cast(category_id AS BIGINT)").alias("click_category_id"), "session_id", "click_count")
+              .join(F.broadcast(_top_ids(q1)), "click_category_id", "left_semi")
+              .withColumnRenamed("click_category_id", "category_id"))
+    return q1, _top_sessions(clicks, task_id)
+
+
+def _top_categories(counts: DataFrame, task_id: str) -> DataFrame:
+    top = top_n(counts, [F.col("click_count").desc(), F.col("order_count").desc(),
+                         F.col("category_id").asc()], TOP_CATEGORIES)
+    return top.select(F.lit(task_id).alias("task_id"), "category_id", "click_count",
+                      "order_count", "pay_count")
+
+
+def _top_sessions(counts: DataFrame, task_id: str, n: int = TOP_SESSIONS) -> DataFrame:
     top = top_n_per_group(counts, ["category_id"],
                           [F.col("click_count").desc(), F.col("session_id").asc()], n)
     return top.select(F.lit(task_id).alias("task_id"), "category_id", "session_id", "click_count")
 
 
+def category_session_top10(visits: DataFrame, users: DataFrame, flt: VisitFilter,
+                           task_id: str = "", top10: DataFrame | None = None) -> DataFrame:
+    """Q2. Exactly <= 10 sessions per category: count desc, then session_id asc.
+
+    ``top10`` may be a stored Q1 result; without it both reports come from one scan.
+    """
+    if top10 is None:
+        return category_reports(visits, users, flt, task_id)[1]
+    return _top_sessions(category_session_counts(visits, users, flt, top10), task_id)
+
+
 def visit_city_clicks(visits: DataFrame, cities: DataFrame) -> DataFrame:
     """Product clicks with their city and area (J2 + P5)."""
     v = visits.select("city_id", "click_product_id").filter(F.col("click_product_id") > 0)

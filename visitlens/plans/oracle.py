@@ -225,6 +225,7 @@ SELECT area, click_product_id, city_name, city_clicks,
 FROM c WINDOW w AS (PARTITION BY area, click_product_id)""",
     "city_ratio": _with(_BASE, VISIT_CLICKS, _summary("vac")) + "\nSELECT * FROM s",
     "city_ratio_sql": _with(_BASE, VISIT_CLICKS, _summary("vac")) + "\nSELECT * FROM s",
+    "city_ratio_function": _with(_BASE, VISIT_CLICKS, _summary("vac")) + "\nSELECT * FROM s",
     "area_product_rank": _with(_BASE, VISIT_CLICKS, _summary("vac")) + "\nSELECT * FROM rk WHERE rk <= 3",
     "area_product_top3": _with(_BASE, VISIT_CLICKS, _summary("vac")) + "\nSELECT * FROM top3",
     "area_product_top3_lineitem": _with(_BASE, LINEITEM_CLICKS, _summary("lic")) + "\nSELECT * FROM top3",

@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from visitlens import schemas as S
 from visitlens.operators import guard as G
 from visitlens.operators.actions import category_counts, category_events, classify
-from visitlens.operators.city_ratio import city_counts, city_ratio, city_ratio_sql, city_shares
+from visitlens.operators.city_ratio import (city_counts, city_ratio, city_ratio_sql, city_shares,
+                                             register_city_ratio)
 from visitlens.operators.visits import filter_visits
 from visitlens.plans import offline as O
 from visitlens.sources import adapters as A
@@ -20,14 +22,14 @@ from visitlens.sources import adslog
 from visitlens.session import shared_dir
 from visitlens.sources.params import VisitFilter
 from visitlens.sources.sinks import overwrite_table
+from visitlens.sources.tables import read_table, typed
 
 # Fixed parameters of the registered queries (shared with the oracle SQL).
 TASK_ID = "task-0001"
-# Report parameters in the original configuration format; dates moved into the fixture's
-# month so that both bounds cut rows. The six unused keys are accepted and ignored.
+# Report parameters in the original configuration format (lenient JSON), with bounds inside the
+# fixture's month and one key that no report knows.
 PARAMS_JSON = ('{startDate:"2024-01-03", endDate:"2024-01-27", startAge:"20", endAge:"50", '
-               'professionals:"", city:"", gender:"", keywords:"", categoryIds:"", '
-               'targetPageFlow:"1,2,3,4,5,6,7"}')
+               'colour:"any"}')
 OPEN_PARAMS_JSON = '{startDate:"", endDate:"", startAge:"", endAge:""}'
 # The default block threshold (100) never fires on the fixture (at most ~10 clicks per
 # user and day at sf0.01), so the registered guard queries use 2.
@@ -38,8 +40,8 @@ VISIT_COLS = ["date", "user_id", "session_id", "page_id", "action_time", "search
               "pay_category_ids", "pay_product_ids", "city_id"]
 
 
-def _inputs(spark: SparkSession, sf: str):
-    return A.user_visit_action(spark, sf), A.user_info(spark, sf)
+def _inputs(spark: SparkSession, sf: str, flt: VisitFilter | None = None):
+    return A.user_visit_action(spark, sf, flt), A.user_info(spark, sf)
 
 
 def _flt(spark: SparkSession, text: str = PARAMS_JSON) -> VisitFilter:
@@ -47,8 +49,9 @@ def _flt(spark: SparkSession, text: str = PARAMS_JSON) -> VisitFilter:
 
 
 def q_visit_filter(spark, sf):
-    v, u = _inputs(spark, sf)
-    return filter_visits(v, u, _flt(spark)).select(*VISIT_COLS)
+    flt = _flt(spark)
+    v, u = _inputs(spark, sf, flt)
+    return filter_visits(v, u, flt).select(*VISIT_COLS)
 
 
 def q_visit_filter_open_bounds(spark, sf):
@@ -59,10 +62,11 @@ def q_visit_filter_open_bounds(spark, sf):
 def q_visit_filter_sql(spark, sf):
     """The visit filter as parameterized Spark SQL over temp views of the adapter tables."""
     from visitlens.plans.sql_reports import visit_filter_sql
-    v, u = _inputs(spark, sf)
+    flt = _flt(spark)
+    v, u = _inputs(spark, sf, flt)
     v.createOrReplaceTempView("vl_user_visit_action")
     u.createOrReplaceTempView("vl_user_info")
-    return visit_filter_sql(spark, "vl_user_visit_action", "vl_user_info", _flt(spark)).select(*VISIT_COLS)
+    return visit_filter_sql(spark, "vl_user_visit_action", "vl_user_info", flt).select(*VISIT_COLS)
 
 
 def q_action_classify(spark, sf):
@@ -82,25 +86,27 @@ def q_category_counts(spark, sf):
 
 
 def q_category_top10(spark, sf):
-    v, u = _inputs(spark, sf)
-    return O.category_top10(v, u, _flt(spark), TASK_ID)
+    flt = _flt(spark)
+    v, u = _inputs(spark, sf, flt)
+    return O.category_top10(v, u, flt, TASK_ID)
 
 
 def q_top_category_clicks(spark, sf):
-    v, u = _inputs(spark, sf)
     flt = _flt(spark)
+    v, u = _inputs(spark, sf, flt)
     return O.top_category_clicks(v, u, flt, O.category_top10(v, u, flt, TASK_ID))
 
 
 def q_category_session_counts(spark, sf):
-    v, u = _inputs(spark, sf)
     flt = _flt(spark)
+    v, u = _inputs(spark, sf, flt)
     return O.category_session_counts(v, u, flt, O.category_top10(v, u, flt, TASK_ID))
 
 
 def q_category_session_top10(spark, sf):
-    v, u = _inputs(spark, sf)
-    return O.category_session_top10(v, u, _flt(spark), TASK_ID)
+    flt = _flt(spark)
+    v, u = _inputs(spark, sf, flt)
+    return O.category_session_top10(v, u, flt, TASK_ID)
 
 
 def _visit_clicks(spark, sf):
@@ -127,8 +133,19 @@ def q_city_ratio(spark, sf):
 
 
 def q_city_ratio_sql(spark, sf):
-    _visit_clicks(spark, sf).createOrReplaceTempView("v_action_city")
-    return city_ratio_sql(spark, "v_action_city", ["area", "click_product_id"])
+    _visit_clicks(spark, sf).createOrReplaceTempView("vl_clicks_by_place")
+    return city_ratio_sql(spark, "vl_clicks_by_place", ["area", "click_product_id"])
+
+
+def q_city_ratio_function(spark, sf):
+    """``city_ratio(...)`` called by name in a user's own SQL."""
+    register_city_ratio(spark)
+    _visit_clicks(spark, sf).createOrReplaceTempView("vl_clicks_by_place")
+    return spark.sql("""
+        SELECT area, click_product_id, sum(n) AS clickcount, city_ratio(collect_list(struct(city_name, n))) AS city_remark
+        FROM (SELECT area, click_product_id, city_name, count(*) AS n
+              FROM vl_clicks_by_place GROUP BY area, click_product_id, city_name)
+        GROUP BY area, click_product_id""")
 
 
 def q_area_product_rank(spark, sf):
@@ -155,10 +172,10 @@ def q_area_product_top3_sql(spark, sf):
 
 
 def q_table_overwrite(spark, sf):
-    """Q3 stored with drop-and-save-as-table semantics (S4), read back from the catalog."""
+    """Q3 stored with drop-and-save-as-table semantics (S4), read back typed from the catalog."""
     path = shared_dir(spark, "tables", "area_count_info")
     overwrite_table(q_area_product_top3(spark, sf), "visitlens_area_count_info", path=path)
-    return spark.table("visitlens_area_count_info")
+    return typed(read_table(spark, "visitlens_area_count_info"), S.AREA_COUNT_INFO)
 
 
 def q_ads_format(spark, sf):
@@ -223,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "city_share": q_city_share,
     "city_ratio": q_city_ratio,
     "city_ratio_sql": q_city_ratio_sql,
+    "city_ratio_function": q_city_ratio_function,
     "area_product_rank": q_area_product_rank,
     "area_product_top3": q_area_product_top3,
     "area_product_top3_lineitem": q_area_product_top3_lineitem,

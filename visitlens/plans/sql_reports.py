@@ -1,8 +1,8 @@
-"""Q3 as Spark SQL statements chained through temp views (for SQL-first users).
+"""The area report and the visit filter as single Spark SQL statements, for SQL-first users.
 
-Same semantics as ``offline.area_product_top3``; Catalyst turns the ON-less inner join and
-the comma join into equi-joins and plans the same partial aggregation, window group limit
-and runtime broadcast decisions as the DataFrame version (``tests/test_plans.py``).
+Table names are the caller's; values are bound parameters, never text pasted into a statement. The
+area report calls ``city_ratio`` by name over per-city counts, so each group's array has one entry per
+city; plans have the same partial aggregations and window group limit as the DataFrame version.
 """
 
 from __future__ import annotations
@@ -10,60 +10,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from visitlens.fixed import TOP_PRODUCTS
-from visitlens.operators.city_ratio import CITY_RATIO_SQL
+from visitlens.operators.city_ratio import register_city_ratio
 from visitlens.sources.params import VisitFilter
 
-# Views are prefixed so they do not clash with a caller's own names.
-CLICKS_VIEW = "vl_action_city"
-SUMMARY_VIEW = "vl_area_product_summary"
-TOP_VIEW = "vl_area_product_top"
-
-CLICKS_SQL = f"""
-CREATE OR REPLACE TEMP VIEW {CLICKS_VIEW} AS
-SELECT c.area, c.city_name, v.click_product_id
-FROM {{visits}} v INNER JOIN {{cities}} c
-WHERE v.city_id = c.city_id AND v.click_product_id > 0
-"""
-
-TOP_SQL = f"""
-CREATE OR REPLACE TEMP VIEW {TOP_VIEW} AS
-SELECT area, click_product_id, clickcount, city_remark
-FROM (SELECT s.*, rank() OVER (PARTITION BY area ORDER BY clickcount DESC) AS rk
-      FROM {SUMMARY_VIEW} s) ranked
-WHERE rk <= {{n}}
+AREA_REPORT = """
+WITH per_city AS (
+  SELECT area, click_product_id AS product_id, city_name, count(*) AS n
+  FROM {visits} JOIN {cities} USING (city_id)
+  WHERE click_product_id > 0
+  GROUP BY area, click_product_id, city_name
+), per_product AS (
+  SELECT area, product_id, sum(n) AS clickcount, city_ratio(collect_list(struct(city_name, n))) AS city_remark
+  FROM per_city
+  GROUP BY area, product_id
+), placed AS (
+  SELECT *, rank() OVER (PARTITION BY area ORDER BY clickcount DESC) AS place FROM per_product
+)
+SELECT placed.area, names.product_name, placed.clickcount, placed.city_remark
+FROM placed JOIN {products} AS names ON names.product_id = placed.product_id
+WHERE placed.place <= :places
 """
 
-FINAL_SQL = f"""
-SELECT t.area, p.product_name, t.clickcount, t.city_remark
-FROM {TOP_VIEW} t, {{products}} p
-WHERE t.click_product_id = p.product_id
+VISIT_FILTER = """
+SELECT visit.*
+FROM {visits} AS visit JOIN {users} AS person ON person.user_id = visit.user_id
+WHERE (:first_day IS NULL OR visit.date >= :first_day)
+  AND (:last_day IS NULL OR visit.date <= :last_day)
+  AND (:youngest IS NULL OR person.age >= :youngest)
+  AND (:oldest IS NULL OR person.age <= :oldest)
 """
 
 
 def area_top3_sql(spark: SparkSession, visits: str, cities: str, products: str,
                   n: int = TOP_PRODUCTS) -> DataFrame:
-    """Run the area report over three table / view names with SQL text only."""
-    spark.sql(CLICKS_SQL.format(visits=visits, cities=cities))
-    summary = CITY_RATIO_SQL.format(keys="area, click_product_id", view=CLICKS_VIEW)
-    spark.sql(f"CREATE OR REPLACE TEMP VIEW {SUMMARY_VIEW} AS {summary}")
-    spark.sql(TOP_SQL.format(n=int(n)))
-    return spark.sql(FINAL_SQL.format(products=products))
+    """Run the area report over three table / view names."""
+    register_city_ratio(spark)
+    return spark.sql(AREA_REPORT.format(visits=visits, cities=cities, products=products), args={"places": int(n)})
 
 
 def visit_filter_sql(spark: SparkSession, visits: str, users: str, flt: VisitFilter) -> DataFrame:
-    """``select v.* from visits v, users u where v.user_id = u.user_id [and bounds]``.
-
-    Bounds are bound named parameters (``:start_date`` ...), never text pasted into the
-    statement; a bound that is off (``""`` or missing) is left out of the WHERE clause.
-    """
-    preds, args = ["v.user_id = u.user_id"], {}
-    for name, value, pred, cast in (
-            ("start_date", flt.start_date, "v.date >= :start_date", str),
-            ("end_date", flt.end_date, "v.date <= :end_date", str),
-            ("start_age", flt.start_age, "u.age >= :start_age", int),
-            ("end_age", flt.end_age, "u.age <= :end_age", int)):
-        if value is not None and len(value) > 0:
-            preds.append(pred)
-            args[name] = cast(value)
-    text = f"SELECT v.* FROM {visits} v, {users} u WHERE " + " AND ".join(preds)
-    return spark.sql(text, args=args)
+    """The visit filter over two table / view names; a bound that is off is a null parameter."""
+    args = {"first_day": flt.start_date or None, "last_day": flt.end_date or None,
+            "youngest": int(flt.start_age) if flt.start_age else None,
+            "oldest": int(flt.end_age) if flt.end_age else None}
+    return spark.sql(VISIT_FILTER.format(visits=visits, users=users), args=args)

@@ -8,9 +8,13 @@ the given tables. Each has a DuckDB twin in ``visitlens.plans.oracle``.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitlens.sources.params import VisitFilter
+
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -20,9 +24,35 @@ def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
-def user_visit_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One visit row per event; error events carry no action."""
-    e = _t(spark, sf_dir, "events").withColumn("k", _k())
+def _iso_day(text: str | None) -> date | None:
+    try:
+        return date.fromisoformat(text) if text and len(text) == 10 else None
+    except ValueError:
+        return None
+
+
+def in_days(df: DataFrame, first: str | None, last: str | None, ts: str = "ts") -> DataFrame:
+    """Rows whose day lies in [first, last], as a range of ``ts`` that reaches the scan.
+
+    A bound that is off, or no ``yyyy-MM-dd`` text, is left to the filter on the day's text.
+    """
+    kind = df.schema[ts].dataType
+    if day := _iso_day(first):
+        df = df.filter(F.col(ts) >= F.lit(f"{day} 00:00:00").cast(kind))
+    if day := _iso_day(last):
+        df = df.filter(F.col(ts) < F.lit(f"{day + timedelta(days=1)} 00:00:00").cast(kind))
+    return df
+
+
+def user_visit_action(spark: SparkSession, sf_dir: str, flt: VisitFilter | None = None) -> DataFrame:
+    """One visit row per event; error events carry no action.
+
+    ``flt`` is the filter that will be applied to the result: its date bounds are given to the scan.
+    """
+    e = _t(spark, sf_dir, "events")
+    if flt is not None:
+        e = in_days(e, flt.start_date, flt.end_date)
+    e = e.withColumn("k", _k())
     et, k, eid = F.col("event_type"), F.col("k"), F.col("event_id")
     s = lambda c: c.cast("string")
     return e.select(
@@ -105,8 +135,9 @@ def lineitem_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").filter(F.col("l_partkey") > 0)
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cu = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    ci = city_info(spark, sf_dir)
-    return (li.join(o, li.l_orderkey == o.o_orderkey)
-              .join(cu, F.col("o_custkey") == cu.c_custkey)
-              .join(ci, F.col("c_nationkey").cast("bigint") == ci.city_id)
+    places = (o.join(cu, F.col("o_custkey") == cu.c_custkey)
+              .join(city_info(spark, sf_dir), F.col("c_nationkey").cast("bigint") == F.col("city_id"))
+              .select("o_orderkey", "area", "city_name"))
+    # lineitem, by far the largest, is shuffled once, against the finished places
+    return (li.join(places, li.l_orderkey == places.o_orderkey)
               .select("area", "city_name", F.col("l_partkey").alias("click_product_id")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitlens.fixed import PREVIEW_ROWS
+from visitlens.session import shared_dir
 
 
 def read_table(spark: SparkSession, name_or_path: str, fmt: str = "parquet") -> DataFrame:
@@ -30,6 +31,17 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def persisted(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder below the shared checkpoint root and read it back.
+
+    Cuts the lineage with files that every executor sees: later uses do not run ``df`` again, and a
+    lost executor costs a task.
+    """
+    path = shared_dir(df.sparkSession, "tables", name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def from_rows(spark: SparkSession, rows: Iterable, schema: T.StructType) -> DataFrame:
     """A local collection as a table (small, driver-side input such as test rows)."""
     return spark.createDataFrame(list(rows), schema)
