@@ -192,6 +192,18 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                    "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", schema)
 
 
+def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """As ``digests``, with the ids themselves."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    def row(c: Codec, text: str | None):
+        ids = c.encode(text)
+        return np.frombuffer(ids, "<u4").astype(np.int32), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
+
+    return _mapped(docs, path or default_path(), row,
+                   "doc_id bigint, ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string", schema)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of every document's ids and decoded text."""
     return digests(read(spark, sf_dir, "documents"))

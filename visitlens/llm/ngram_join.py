@@ -93,9 +93,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = k > 1
         u, k = u[twice], k[twice]
         none = pa.nulls(len(u), pa.int64())
-        return pa.record_batch([none, none, none, _signed(u), pa.array(k, pa.int64())], names=names)
+        return pa.record_batch([none, none, none, none, _signed(u), pa.array(k, pa.int64())], names=names)
 
-    names = ["doc_id", "n", "node", "shingle", "met"]
+    names = ["doc_id", "text_hash", "n", "node", "shingle", "met"]
     for batch in batches:
         n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for row, s in shingle_sets(batch.column(1)):
@@ -108,7 +108,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield counted()
                 held, size = {}, 0
         none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(node), none, none], names=names)
+        yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n), pa.array(node), none, none], names=names)
     if size:
         yield counted()
 
@@ -425,12 +425,12 @@ def tightened(docs: DataFrame, grouped: DataFrame, block_classes: int, block_shi
     return persisted(sized.where("NOT large").select(columns).unionByName(fine.join(big.drop("root"), "node").select(columns)), "tightened")
 
 
-def similar(docs: DataFrame, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` of every document."""
-    spark = docs.sparkSession
-    rows = persisted(docs.select("doc_id", "text").mapInArrow(
-        _described, "doc_id bigint, n bigint, node bigint, shingle bigint, met bigint"), "sets")
-    described = rows.where("shingle IS NULL").select("doc_id", "n", "node")
+def _grouped(docs: DataFrame, block_classes: int, block_shingles: int) -> DataFrame:
+    """Per document ``doc_id, text_hash, n, root`` (null for an empty set), ``component_id, n_links``."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        _described, "doc_id bigint, text_hash bigint, n bigint, node bigint, shingle bigint, met bigint")
+    rows = persisted(rows, "sets")
+    described = rows.where("shingle IS NULL").select("doc_id", "text_hash", "n", "node")
     classes = described.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     classes = persisted(classes, "classes")
@@ -446,13 +446,38 @@ def similar(docs: DataFrame, block_classes: int = BLOCK_CLASSES, block_shingles:
     named = classes.join(reached, "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
     named = persisted(named.join(links, "node", "left"), "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select(F.col("node").alias("class"), "component_id",
+    named = named.join(least, "root").select(F.col("node").alias("class"), "root", "component_id",
                                              (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # A scan on both sides, so that a class of very many copies may be split.
     named = persisted(named, "named")
-    empty = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-                                            F.lit(0).cast("long").alias("n_links"))
-    full = described.where("n > 0").join(named, F.col("node") == F.col("class"))
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(empty)
+    out = ["doc_id", "text_hash", "n", "root", "component_id", "n_links"]
+    full = described.where("n > 0").join(named, F.col("node") == F.col("class")).select(out)
+    empty = described.where("n = 0").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("root"),
+                                            F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.unionByName(empty)
+
+
+def similar(docs: DataFrame, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` of every document."""
+    return _grouped(docs, block_classes, block_shingles).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component, that with the least ``doc_id`` (nulls last); rows with empty sets all stay."""
+    found = persisted(_grouped(docs, BLOCK_CLASSES, BLOCK_SHINGLES).select("doc_id", "text_hash", "root"), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    chosen = found.where("root IS NOT NULL").groupBy("root").agg(first).select("first.doc_id", "first.text_hash")
+    empty = found.where("root IS NULL").select("doc_id", "text_hash").distinct()
+    chosen = chosen.select("*", F.lit(True).alias("one")).unionByName(empty.select("*", F.lit(False).alias("one")))
+    # Rows that agree in id and text stand for one document.
+    k = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("k")).withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"})
+    chosen = chosen.join(k, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")))
+    chosen = persisted(chosen.select("k_id", "k_hash", (F.col("one") & (F.col("k") > 1)).alias("repeated")), "chosen")
+    small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = rows.join(small, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
+    once = rows.where("NOT repeated").select("row")
+    return once.unionByName(rows.where("repeated").groupBy("id", "hash").agg(F.min("row").alias("row")).select("row")).select("row.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

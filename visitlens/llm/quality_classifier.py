@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitlens.llm import tokens
 from visitlens.llm.common import read
@@ -121,11 +122,8 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``score`` of every document."""
-    rows = docs.select(*keep, F.col("text").alias("text"))
-    if "text" in keep:
-        rows = docs.select(*keep)
-    fields = [f for f in rows.schema.fields if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,6 +151,12 @@ def predicted(score: Column) -> Column:
     return (score >= THRESHOLD).cast("int")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model predicts to be good, with their own columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score(rows, model, ("row",)).where(F.col("score") >= THRESHOLD).select("row.*")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and prediction of every document, from the labels that are not held out."""
     docs = read(spark, sf_dir, "documents")

@@ -120,6 +120,12 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] =
     return rows.select("*", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered)).alias("kept"))
 
 
+def accepted(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``docs`` that no base rule and no rule rejects, with their own columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    return judge(rows, rules, keep=("row",)).where("kept").select("row.*")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
