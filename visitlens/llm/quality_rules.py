@@ -121,9 +121,15 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] =
 
 
 def accepted(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of ``docs`` that no base rule and no rule rejects, with their own columns."""
+    """The rows of ``docs`` that no base rule and no rule rejects, with their own columns.
+
+    A kept row goes through a generator: a filter on ``kept`` would be pushed below the statistics,
+    where every use of them in the condition is computed anew.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    return judge(rows, rules, keep=("row",)).where("kept").select("row.*")
+    judged = judge(rows, rules, keep=("row",))
+    out = judged.select(F.explode_outer(F.array(F.when(F.col("kept"), F.col("row")))).alias("row"))
+    return out.where("row IS NOT NULL").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
