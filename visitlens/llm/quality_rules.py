@@ -72,8 +72,7 @@ def with_stats(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     equal = F.filter(pairs, lambda p: p["a"]["h"] == p["b"]["h"])
     starts = F.array_distinct(F.flatten(F.transform(equal, lambda p: F.array(p["a"]["i"], p["b"]["i"]))))
     covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))
-    return rows.select(
-        "doc_id", "text", *keep,
+    stats = F.struct(
         F.size("w").cast("long").alias("n_words"),
         F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -81,15 +80,20 @@ def with_stats(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         F.size("l").cast("long").alias("n_lines"),
         F.size(covered).cast("long").alias("n_repeat_words"),
     )
+    # A generator of one row: filters on the statistics stay above it. Pushed below, a condition would
+    # compute each statistic anew wherever it names one.
+    return rows.select("doc_id", "text", *keep, F.explode_outer(F.array(stats)).alias("stats")).select("doc_id", "text", *keep, "stats.*")
 
 
-def plan_cascade(rows: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejections per second on a sample of ``rows``, best first.
+def plan_cascade(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """``rules`` by rejections per second on a sample of ``docs``, best first.
 
-    The sample is a hash-chosen part of the first rows that a scan meets; it steers the order of
-    evaluation only. Rules are timed one by one on the same materialised rows.
+    The sample is a hash-chosen part of the first rows that a scan meets, taken before any statistics
+    are computed; it steers the order of evaluation only. Rules are timed one by one on the same stored
+    statistics.
     """
-    sample = persisted(rows.where("pmod(xxhash64(text), 3) = 0").limit(sample_rows), "rules-sample")
+    some = docs.select("doc_id", "text").where("pmod(xxhash64(doc_id, text), 3) = 0").limit(sample_rows)
+    sample = persisted(with_stats(some), "rules-sample")
     n = sample.count()
     if not n:
         return list(rules)
@@ -113,23 +117,17 @@ def cascade(rules: Sequence[Rule]) -> Column:
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` of every document."""
+    ordered = plan_cascade(docs, rules)
     rows = with_stats(docs, keep)
-    ordered = plan_cascade(rows, rules)
     base = F.expr(" OR ".join(f"({r.rejects})" for r in BASE_RULES))
     rows = rows.select("*", base.alias("base_failed"))
     return rows.select("*", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered)).alias("kept"))
 
 
 def accepted(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of ``docs`` that no base rule and no rule rejects, with their own columns.
-
-    A kept row goes through a generator: a filter on ``kept`` would be pushed below the statistics,
-    where every use of them in the condition is computed anew.
-    """
+    """The rows of ``docs`` that no base rule and no rule rejects, with their own columns."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    judged = judge(rows, rules, keep=("row",))
-    out = judged.select(F.explode_outer(F.array(F.when(F.col("kept"), F.col("row")))).alias("row"))
-    return out.where("row IS NOT NULL").select("row.*")
+    return judge(rows, rules, keep=("row",)).where("kept").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
