@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from visitlens.llm.common import read
+from visitlens.llm.common import read, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, and the longest of them.
@@ -153,7 +153,7 @@ def _mapped(docs: DataFrame, path: str, row, schema: str, arrow: pa.Schema) -> D
             columns = [batch.column(0), *(zip(*out, strict=True) if out else [()] * (len(arrow) - 1))]
             yield pa.record_batch([pa.array(x, f.type) if k else x.cast(f.type) for k, (x, f) in enumerate(zip(columns, arrow, strict=True))], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _ids(c: Codec, text: str | None):

@@ -12,6 +12,8 @@ from visitlens.session import shared_dir
 #: Fixed value of the query contracts: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch of texts.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,6 +33,17 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the Arrow batches of its session that hold whole texts, unless somebody chose a bound.
+
+    The default of 10,000 rows is hundreds of megabytes of long documents, in the JVM and in Python.
+    """
+    spark = df.sparkSession
+    if BATCH_KEY not in {r["key"] for r in spark.sql("SET").collect()}:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z; every other character stays as it is."""
     return F.translate(c, UPPER, LOWER)

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import read
+from visitlens.llm.common import read, small_batches
 
 #: Bounded training input: pages sampled for their words, pages made of them, passes.
 SAMPLE, MADE, EPOCHS, SEED = 200, 2500, 5, 7
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, HIDDEN = 512, 2048, 12, 8, 16
 FIGURES = 6
+#: Share of training leaves that are seen without their words, so that no single word decides.
+BLANK = 0.25
 #: Leaves labelled together in one batch of pages.
 BATCH_LEAVES = 20_000
 
@@ -161,7 +163,8 @@ class Vectors(NamedTuple):
     pages: np.ndarray  #: leaves up to each page
 
 
-def vectorised(pages: list[list[Leaf]]) -> Vectors:
+def vectorised(pages: list[list[Leaf]], blank: random.Random | None = None) -> Vectors:
+    """Vectors of ``pages``; in training, ``blank`` picks leaves whose words are left out."""
     path, path_leaf, word, word_leaf, figures = [], [], [], [], []
     n = 0
     for page in pages:
@@ -171,7 +174,7 @@ def vectorised(pages: list[list[Leaf]]) -> Vectors:
             path += own
             path_leaf += [n] * len(own)
             words = leaf.text.split()
-            own = set(map(_word_bucket, words))
+            own = set() if blank and blank.random() < BLANK else set(map(_word_bucket, words))
             word += own
             word_leaf += [n] * len(own)
             chars = len(leaf.text)
@@ -354,7 +357,7 @@ class _Maker:
                 body = text(1, 3)
                 self.leaf(tag, f'<a href="/{rng.randrange(99)}">{body}</a>' if rng.random() < 0.9 else body, False)
             self.out.append(f"</{inner.split()[0]}>" if inner else "")
-        elif kind in ("notice", "advert", "footer", "header") and rng.random() < 0.6:
+        elif opened.startswith("p ") or kind in ("notice", "advert", "footer", "header") and rng.random() < 0.6:
             self.out.append(self.words(3, 30) if rng.random() < 0.6 else text(2, 8))
             self.labels.append(False)
         else:
@@ -444,7 +447,7 @@ def fitted(texts: list[list[str]], made: int = MADE, epochs: int = EPOCHS) -> di
         batches = [pages[at : at + 16] for at in range(0, len(pages), 16)]
         rng.shuffle(batches)
         for part in batches:
-            model.train(vectorised([p for p, _ in part]), np.array([x for _, y in part for x in y], np.float32), 0.01 if epoch < epochs - 2 else 0.003)
+            model.train(vectorised([p for p, _ in part], rng), np.array([x for _, y in part for x in y], np.float32), 0.01 if epoch < epochs - 2 else 0.003)
     return model.w
 
 
@@ -501,7 +504,7 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
                 yield pa.record_batch([part.column("page_id").cast(pa.int64()), part.column("url").cast(pa.string()), pa.array(texts, pa.string()),
                                        pa.array([len(x) for x in texts], pa.int64())], schema=schema)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlens.llm import tokens
-from visitlens.llm.common import persisted, read
+from visitlens.llm.common import persisted, read, small_batches
 from visitlens.llm.components import components, forest
 
 WORDS = 5
@@ -178,7 +178,7 @@ def _prefixes(order) -> callable:
                 head = ranked.ranked(s)[: prefix_length(len(s))]
                 parts.append((head, node, len(s)))
                 size += len(head)
-                if size >= CHUNK // 4:
+                if size >= CHUNK // 8:
                     yield from combined()
                     parts, seen, size = [], set(), 0
         if parts:
@@ -235,7 +235,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a.append(x[keep])
         b.append(y[keep])
         size += int(keep.sum())
-        if size >= CHUNK // 4:
+        if size >= CHUNK // 8:
             yield linked()
             a, b, size = [], [], 0
     if size:
@@ -427,7 +427,7 @@ def tightened(docs: DataFrame, grouped: DataFrame, block_classes: int, block_shi
 
 def _grouped(docs: DataFrame, block_classes: int, block_shingles: int) -> DataFrame:
     """Per document ``doc_id, text_hash, n, root`` (null for an empty set), ``component_id, n_links``."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+    rows = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         _described, "doc_id bigint, text_hash bigint, n bigint, node bigint, shingle bigint, met bigint")
     rows = persisted(rows, "sets")
     described = rows.where("shingle IS NULL").select("doc_id", "text_hash", "n", "node")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitlens.llm import tokens
-from visitlens.llm.common import read
+from visitlens.llm.common import read, small_batches
 
 BITS = 18
 SAMPLE, EPOCHS = 6000, 3
@@ -122,7 +122,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``score`` of every document."""
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    rows = small_batches(docs).select(*keep, *([] if "text" in keep else ["text"]))
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
