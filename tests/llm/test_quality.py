@@ -1,0 +1,113 @@
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tests.conftest import SF_MID
+from visitlens.llm import quality_classifier as Q
+from visitlens.llm import quality_rules as R
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def stats(text):
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    many = Counter(windows)
+    covered = {i + d for i, x in enumerate(windows) if many[x] > 1 for d in range(3)}
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered))
+
+
+TEXT = st.one_of(st.none(), st.text(alphabet="ab \n\t#é|\x0b\x85", max_size=60), st.lists(st.sampled_from(["a", "b", "c", "\n", "é*"]), max_size=90).map(" ".join))
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(TEXT, min_size=1, max_size=30))
+def test_statistics(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("n_words", F.lit(1))
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in R.with_stats(df).collect()}
+    assert got == {i: stats(t) for i, t in enumerate(texts)}
+
+
+def test_verdict_does_not_depend_on_order(spark):
+    df = R.with_stats(spark.read.parquet(f"{SF_MID}/documents.parquet"))
+    a = df.select("doc_id", R.cascade(R.RULES).alias("kept")).where("kept").count()
+    b = df.select("doc_id", R.cascade(R.RULES[::-1]).alias("kept")).where("kept").count()
+    assert a == b
+    assert sorted(R.plan_cascade(df, R.RULES)) == sorted(R.RULES)
+
+
+def test_selective_cheap_rules_come_first(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("word " * 60).alias("text"))
+    never = R.Rule("never", "length(regexp_replace(text, '(w|o|r|d)+', 'x')) < 0")
+    order = R.plan_cascade(df, [never, R.Rule("always", "n_words > 1")])
+    assert [r.name for r in order] == ["always", "never"]
+
+
+def test_clean_documents_stay(spark):
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    good = R.judge(docs).join(labels, "doc_id").where("quality = 1 AND NOT base_failed")
+    assert good.where("NOT kept").count() == 0 and good.count() > 200
+
+
+def test_base_rules_at_their_edges(spark):
+    words = " ".join(f"word{i}" for i in range(50))
+    half = " ".join([f"u{i}" for i in range(60)] + ["a b c"] * 20)
+    rows = [(1, words), (2, words.rsplit(" ", 1)[0]), (3, half), (4, half + " a"), (5, None)]
+    got = {r["doc_id"]: r for r in R.judge(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i]["base_failed"] for i in range(1, 6)] == [False, True, False, True, True]
+    assert got[3]["n_repeat_words"] == 60 and not any(got[i]["kept"] for i in (2, 4, 5))
+
+
+def auc(score, label):
+    order = np.argsort(np.argsort(score)) + 1
+    good = label == 1
+    return (order[good].sum() - good.sum() * (good.sum() + 1) / 2) / good.sum() / (~good).sum()
+
+
+def test_held_out_quality(spark):
+    out = Q.op9_quality_classifier(spark, SF_MID).join(spark.read.parquet(f"{SF_MID}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert auc(out["score"].to_numpy(), out["quality"].to_numpy()) > 0.97
+    assert (out["predicted"] == out["quality"]).mean() > 0.95
+    assert (out["predicted"] == (out["score"] >= 0.3)).all() and out["score"].between(0, 1).all()
+
+
+def test_held_out_rows_are_not_learned_from(spark):
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    flipped = labels.withColumn("quality", F.when(Q.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = Q.learned(docs, labels), Q.learned(docs, flipped)
+    assert (a.weights == b.weights).all()
+    assert (Q.learned(docs.repartition(5), labels).weights == a.weights).all()
+
+
+def test_ftrl_equals_plain_updates():
+    """One weight at a time, as the algorithm is written."""
+    rng = np.random.default_rng(0)
+    f = Q.Ftrl(6, alpha=0.3, beta=1.0, l1=0.05, l2=0.2)
+    z, n = [0.0] * 6, [0.0] * 6
+    for _ in range(60):
+        at = rng.choice(6, 3, replace=False)
+        x, y = rng.random(3), int(rng.random() < 0.5)
+        w = [0.0 if abs(z[i]) <= 0.05 else ((1 if z[i] > 0 else -1) * 0.05 - z[i]) / ((1 + n[i] ** 0.5) / 0.3 + 0.2) for i in at]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+        for i, xi, wi in zip(at, x, w, strict=True):
+            g = (p - y) * xi
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.3 * wi
+            n[i] += g * g
+        f.update(at, x, y)
+    assert np.allclose(f.z, z) and np.allclose(f.n, n)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (None, "a"), (3, "x " * 100_000), (3, "x y")]])
+def test_odd_rows(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("score", F.lit(9)).withColumn("kept", F.lit(1))
+    model = Q.Model(np.append(np.zeros(1 << 4, np.float32), np.float32(1)), 4)
+    out = Q.score(df, model).collect()
+    assert len(out) == len(rows) and all(abs(r["score"] - 0.7310585) < 1e-6 for r in out)
+    assert R.judge(df).count() == len(rows) and R.accepted(df).columns == df.columns
