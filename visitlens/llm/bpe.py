@@ -35,7 +35,7 @@ from visitlens.llm.common import read, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, and the longest of them.
-CACHED_WORDS, CACHED_LENGTH = 400_000, 48
+CACHED_WORDS, CACHED_LENGTH = 200_000, 48
 WORD_END = "</w>"
 #: White space as the tokenizer's own pattern language has it (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"

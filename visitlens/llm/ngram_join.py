@@ -89,9 +89,11 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def counted() -> pa.RecordBatch:
-        u, k = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
-        twice = k > 1
-        u, k = u[twice], k[twice]
+        every = np.concatenate([*held.values(), np.zeros(0, np.uint64)])
+        held.clear()
+        every.sort()
+        u = np.unique(every[1:][every[1:] == every[:-1]])
+        k = np.searchsorted(every, u, "right") - np.searchsorted(every, u, "left")
         none = pa.nulls(len(u), pa.int64())
         return pa.record_batch([none, none, none, none, _signed(u), pa.array(k, pa.int64())], names=names)
 
@@ -106,7 +108,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(s)
             if size >= CHUNK:
                 yield counted()
-                held, size = {}, 0
+                size = 0
         none = pa.nulls(batch.num_rows, pa.int64())
         yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n), pa.array(node), none, none], names=names)
     if size:
@@ -175,7 +177,7 @@ def _prefixes(order) -> callable:
                 if node in seen:
                     continue
                 seen.add(node)
-                head = ranked.ranked(s)[: prefix_length(len(s))]
+                head = ranked.ranked(s)[: prefix_length(len(s))].copy()  # else the whole set stays
                 parts.append((head, node, len(s)))
                 size += len(head)
                 if size >= CHUNK // 8:

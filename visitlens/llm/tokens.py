@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -26,7 +26,7 @@ SPACES = (32, 9, 10, 11, 12, 13)
 def _power_table(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        steps = np.full(max(n, 2 * SLICE), base, np.uint64)
+        steps = np.full(max(n, SLICE + (SLICE >> 2)), base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
         if n <= 8 * SLICE:  # a table for a longer text isn't kept
