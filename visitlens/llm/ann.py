@@ -206,7 +206,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K, confidence: float = CONFID
     n = kept.count()
     flat = Splits(np.array([-1]), np.zeros(1), np.zeros(1, np.int64))
     schema = f"vec_id bigint, embedding {dict(kept.dtypes)['embedding']}, cell bigint, {_P_SCHEMA}"
-    some = kept.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).mapInArrow(_projected(flat), schema).select(*_P).toArrow()
+    # Projected first: a row of the sample is eight numbers however long the vectors are.
+    some = kept.mapInArrow(_projected(flat), schema).select("vec_id", *_P).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow()
     splits = fit_splits(np.column_stack([some[c].to_numpy() for c in _P]), min(-(-n // cell_rows), SAMPLE // 8))
     placed = persisted(kept.mapInArrow(_projected(splits), schema), "placed")
     queries = persisted(rows.where(is_query).mapInArrow(_projected(splits), schema), "queries")
