@@ -2,8 +2,8 @@
 
 Runs each query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with ``local[$BENCH_CPUS]``
 and prints ONE JSON line. Each query is executed to completion through the ``noop`` sink
-(the whole plan runs, nothing is collected to the driver); the reported time is the best of
-``$BENCH_REPEAT`` warm runs after one cold run.
+(the whole plan runs, nothing is collected to the driver); the reported time is the median of
+``$BENCH_REPEAT`` warm runs after one cold run, ``spread`` gives the fastest and slowest of them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import os
 import re
 import sys
 import time
+from statistics import median
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -43,18 +44,19 @@ def main() -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="visitlens-bench-"))
     from visitlens.plans.registry import QUERIES
 
-    times, cold = {}, {}
+    times, cold, spread = {}, {}, {}
     for label, name in HEADLINE.items():
         q = QUERIES[name]
         t0 = time.perf_counter()
         q(spark, sf_dir).write.format("noop").mode("overwrite").save()
         cold[label] = round(time.perf_counter() - t0, 3)
-        best = float("inf")
+        warm = []
         for _ in range(repeat):
             t0 = time.perf_counter()
             q(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            best = min(best, time.perf_counter() - t0)
-        times[label] = round(best, 3)
+            warm.append(time.perf_counter() - t0)
+        times[label] = round(median(warm), 3)
+        spread[label] = [round(min(warm), 3), round(max(warm), 3)]
     # Streaming job (Q4-Q6): the registered replay, its own micro-batch width and default output.
     # Reported apart from the batch total; set BENCH_STREAM=0 to skip.
     stream = {}
@@ -73,6 +75,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "cold": cold,
+        "spread": spread,
         "stream": stream,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": int(cpus),
