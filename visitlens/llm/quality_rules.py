@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from visitlens.llm.common import persisted, read, words
 
 #: Rows that costs and selectivities are estimated on.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 15
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -88,12 +88,13 @@ def with_stats(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def plan_cascade(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """``rules`` by rejections per second on a sample of ``docs``, best first.
 
-    The sample is a hash-chosen part of the first rows that a scan meets, taken before any statistics
-    are computed; it steers the order of evaluation only. Rules are timed one by one on the same stored
-    statistics.
+    The sample is a hash-chosen part of the first rows that a scan meets, of texts up to ``SAMPLE_BYTES``;
+    it steers the order of evaluation only. It is fetched (at most ``sample_rows`` of them, so that the scan
+    stops early) and its statistics stored; rules are timed one by one on these.
     """
-    some = docs.select("doc_id", "text").where("pmod(xxhash64(doc_id, text), 3) = 0").limit(sample_rows)
-    sample = persisted(with_stats(some), "rules-sample")
+    some = docs.select("doc_id", "text").where(f"pmod(xxhash64(doc_id, text), 3) = 0 AND octet_length(text) <= {SAMPLE_BYTES}")
+    rows = some.limit(sample_rows).collect()
+    sample = persisted(with_stats(docs.sparkSession.createDataFrame(rows, some.schema).coalesce(1)), "rules-sample")
     n = sample.count()
     if not n:
         return list(rules)
