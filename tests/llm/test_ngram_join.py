@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -112,3 +113,26 @@ def test_components(spark):
     edges = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == want and all(v <= k for k, v in got.items())
+
+
+def test_bitmap_links_of_a_family_are_not_held():
+    """4,000 near copies are 8e6 pairs of a block; their links take memory by class."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for family in range(2):
+        base = rng.integers(0, 1 << 62, 300, np.uint64)
+        for k in range(2000):
+            s = base.copy()
+            s[rng.integers(0, 300, 3)] = rng.integers(0, 1 << 62, 3, np.uint64)
+            rows.append((family * 2000 + k, N.bitmap(s, 1024)))
+    for j, block in ((0, [0] * 4000), (1, [k % 2 for k in range(4000)])):
+        batch = pa.record_batch([pa.array(np.full(4000, 7)), pa.array(np.full(4000, 0)), pa.array(np.full(4000, j)), pa.array([r[0] for r in rows]),
+                                 pa.array(block), pa.array(np.full(4000, 300)), pa.array([r[1] for r in rows])], names=["root", "i", "j", "node", "block", "n", "map"])
+        tracemalloc.start()
+        links = list(N._bounded(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30e6
+        a, b = (np.concatenate([x.column(c).to_numpy() for x in links]) for c in "ab")
+        node, root = forest(a, b)
+        assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {k: k // 2000 * 2000 for k in range(4000) if k % 2000}

@@ -371,20 +371,21 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, n = np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
         side = np.array([r[4] == i for r in rows])
         maps = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
-        x, y = [], []
+        label = np.arange(len(rows))  # pairs within a component are passed over, so that a block's links are never held
         for k in range(len(rows) - 1):
             end = int(np.searchsorted(n, n[k] * DEN // NUM, "right"))
-            if end > k + 1:
-                apart = np.bitwise_count(maps[k + 1 : end] ^ maps[k]).sum(axis=1, dtype=np.int64)
-                near = apart * (NUM + DEN) <= (n[k + 1 : end] + n[k]) * (DEN - NUM)
-                if i != j:
-                    near &= side[k + 1 : end] != side[k]
-                y.append(np.flatnonzero(near) + k + 1)
-                x.append(np.full(len(y[-1]), k))
-        if x:
-            x, y = np.concatenate(x), np.concatenate(y)
-            node, root = forest(nodes[x], nodes[y])
-            yield pa.record_batch([pa.array(node), pa.array(root)], names=["a", "b"])
+            other = label[k + 1 : end] != label[k]
+            if i != j:
+                other &= side[k + 1 : end] != side[k]
+            at = np.flatnonzero(other) + k + 1
+            if len(at):
+                apart = np.bitwise_count(maps[at] ^ maps[k]).sum(axis=1, dtype=np.int64)
+                near = at[apart * (NUM + DEN) <= (n[at] + n[k]) * (DEN - NUM)]
+                if len(near):
+                    label[np.isin(label, label[near])] = label[k]
+        moved = np.flatnonzero(label != np.arange(len(rows)))
+        if len(moved):
+            yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
 
 
 def _fetched(docs: DataFrame, grouped: DataFrame, columns: list[str]) -> DataFrame:
