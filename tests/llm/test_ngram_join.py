@@ -136,3 +136,10 @@ def test_bitmap_links_of_a_family_are_not_held():
         a, b = (np.concatenate([x.column(c).to_numpy() for x in links]) for c in "ab")
         node, root = forest(a, b)
         assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {k: k // 2000 * 2000 for k in range(4000) if k % 2000}
+
+
+def test_frequent_shingles_stay_within_the_bound(spark):
+    met = {**{k: 50_000 for k in range(3)}, **{k: 2_000 for k in range(3, 13)}, **{k: 7 for k in range(13, 40)}}
+    df = spark.createDataFrame(list(met.items()), "shingle bigint, met bigint")
+    for bound, want in ((2, 0), (4, 3), (13, 13), (39, 13), (40, 40)):
+        assert N.frequent(df, bound).shingles.tolist() == list(range(want))

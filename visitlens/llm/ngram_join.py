@@ -132,16 +132,18 @@ class Order:
 
 
 def frequent(described: DataFrame, bound: int = FREQUENT) -> Order:
-    """The most frequent shingles, ``bound`` at most: all that were met at least so often that they fit."""
+    """The most frequent shingles, ``bound`` at most: all that were met at least so often that they fit; none if the top level is too large."""
     met = persisted(described.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("met").alias("met")), "met")
-    rows = met.groupBy(F.least("met", F.lit(1000)).alias("met")).count().orderBy(F.desc("met")).collect()
-    least, total = 1001, 0
+    # Counts to 1000 have a level each, those above 16 for each doubling: some 1,900 levels whatever the input.
+    level = F.when(F.col("met") <= 1000, F.col("met")).otherwise(1001 + F.floor(16 * F.log2(F.col("met") / 1000)))
+    rows = met.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    least, total = None, 0
     for r in rows:
         total += r["count"]
         if total > bound:
             break
-        least = r["met"]
-    table = met.where(F.col("met") >= least).toArrow()
+        least = r["level"]
+    table = met.where(F.lit(False) if least is None else level >= least).toArrow()
     values = [table.column(c).to_numpy() for c in ("shingle", "met")]
     return Order(values[0].astype(np.int64).view(np.uint64), np.minimum(values[1], 1 << 30).astype(np.int32))
 
