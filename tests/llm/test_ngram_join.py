@@ -143,3 +143,13 @@ def test_frequent_shingles_stay_within_the_bound(spark):
     df = spark.createDataFrame(list(met.items()), "shingle bigint, met bigint")
     for bound, want in ((2, 0), (4, 3), (13, 13), (39, 13), (40, 40)):
         assert N.frequent(df, bound).shingles.tolist() == list(range(want))
+
+
+def test_repeated_ids_do_not_fan_out(spark):
+    rng = random.Random(8)
+    texts = [" ".join(w) for w in family(rng, [f"w{rng.randrange(400)}" for _ in range(80)], 60, 3)]
+    rows = [(rng.choice([7, 7, None]), t) for t in texts] + [(None, texts[0])] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert result(N.similar(docs, 7, 1500)) == brute(rows)
+    grouped = docs.distinct().selectExpr("doc_id", "xxhash64(text) AS text_hash", "text AS node")
+    assert N._fetched(docs, grouped, ["node"]).where("text = node").count() == N._fetched(docs, grouped, ["node"]).count() == len(rows)

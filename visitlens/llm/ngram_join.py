@@ -266,12 +266,15 @@ def block_pairs(grouped: DataFrame, block_classes: int = BLOCK_CLASSES, block_sh
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the text by the shingles, for rows whose text is that of their class."""
+    """Replaces the text by the shingles, for rows whose text is that of their class; repeated rows once a task."""
+    seen: set[int] = set()
     for batch in batches:
         node = batch.column("node").to_numpy()
         keep, sets = [], []
         for row, s in shingle_sets(batch.column("text")):
-            if _class(s) == node[row]:
+            own = _class(s)
+            if own == node[row] and own not in seen:
+                seen.add(own)
                 keep.append(row)
                 sets.append(s.tobytes())
         out = batch.drop_columns(["text"]).take(pa.array(keep, pa.int64()))
@@ -391,10 +394,10 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetched(docs: DataFrame, grouped: DataFrame, columns: list[str]) -> DataFrame:
-    """``text`` and ``columns`` of one document per class of ``grouped``, which is broadcast if counted to be small."""
-    texts = docs.select(F.col("doc_id").alias("text_id"), "text")
+    """``text`` and ``columns`` of the documents that ``grouped`` names by ``doc_id`` and ``text_hash``; it is broadcast if counted to be small."""
+    texts = docs.select(F.col("doc_id").alias("text_id"), F.xxhash64("text").alias("own_hash"), "text")
     small = F.broadcast(grouped) if grouped.count() <= BROADCAST_ROWS else grouped
-    return texts.join(small, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("text", *columns)
+    return texts.join(small, F.col("text_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))).select("text", *columns)
 
 
 def _paired(held: DataFrame, columns: list[str]) -> DataFrame:
@@ -405,7 +408,7 @@ def _paired(held: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def tightened(docs: DataFrame, grouped: DataFrame, block_classes: int, block_shingles: int) -> DataFrame:
-    """``grouped`` (``node, root, doc_id, n, copies``) with groups beyond one block split by their bitmaps."""
+    """``grouped`` (``node, root, doc_id, text_hash, n, copies``) with groups beyond one block split by their bitmaps."""
     per = grouped.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.max("n").alias("most"))
     per = persisted(per.withColumnRenamed("root", "group_root"), "group-sizes")
     sized = grouped.join(per, F.col("root") == F.col("group_root")).drop("group_root")
@@ -426,7 +429,7 @@ def tightened(docs: DataFrame, grouped: DataFrame, block_classes: int, block_shi
     held = held.mapInArrow(maps, "root bigint, node bigint, n bigint, block int, blocks int, map binary")
     links = _paired(held, ["node", "block", "n", "map"]).mapInArrow(_bounded, "a bigint, b bigint")
     fine = components(links)
-    columns = ["node", "root", "doc_id", "n", "copies"]
+    columns = ["node", "root", "doc_id", "text_hash", "n", "copies"]
     return persisted(sized.where("NOT large").select(columns).unionByName(fine.join(big.drop("root"), "node").select(columns)), "tightened")
 
 
@@ -436,9 +439,9 @@ def _grouped(docs: DataFrame, block_classes: int, block_shingles: int) -> DataFr
         _described, "doc_id bigint, text_hash bigint, n bigint, node bigint, shingle bigint, met bigint")
     rows = persisted(rows, "sets")
     described = rows.where("shingle IS NULL").select("doc_id", "text_hash", "n", "node")
-    classes = described.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    classes = persisted(classes, "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    classes = described.where("n > 0").groupBy("node").agg(first, F.max("n").alias("n"), F.count("*").alias("copies"))
+    classes = persisted(classes.select("node", "first.doc_id", "first.text_hash", "n", "copies"), "classes")
     groups = persisted(candidate_groups(docs, frequent(rows)), "candidates")
     tight = tightened(docs, groups.join(classes, "node"), block_classes, block_shingles)
     grouped = persisted(block_pairs(tight, block_classes, block_shingles), "grouped")
