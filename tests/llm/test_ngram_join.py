@@ -153,3 +153,11 @@ def test_repeated_ids_do_not_fan_out(spark):
     assert result(N.similar(docs, 7, 1500)) == brute(rows)
     grouped = docs.distinct().selectExpr("doc_id", "xxhash64(text) AS text_hash", "text AS node")
     assert N._fetched(docs, grouped, ["node"]).where("text = node").count() == N._fetched(docs, grouped, ["node"]).count() == len(rows)
+
+
+def test_texts_are_fetched_by_one_plan_at_every_size(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    grouped = docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "1L AS node")
+    for df in (N._fetched(docs, grouped, ["node"]), N.representatives(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan

@@ -45,8 +45,6 @@ FREQUENT, CHUNK = 1 << 20, 4_000_000
 BLOCK_CLASSES, BLOCK_SHINGLES, STRIP = 256, 500_000, 4096
 #: Bitmaps have two bits a shingle of the group's largest set; a block holds so many bytes of them.
 BITMAP_BITS, BITMAP_BLOCK = 2, 4 << 20
-#: Rows (16 bytes) up to which the table of grouped classes is broadcast to fetch their texts.
-BROADCAST_ROWS = 1_000_000
 
 #: Powers of an odd constant: no two placings of the same words share a sum, as they may with steps of equal difference.
 _STEP = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
@@ -394,10 +392,9 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetched(docs: DataFrame, grouped: DataFrame, columns: list[str]) -> DataFrame:
-    """``text`` and ``columns`` of the documents that ``grouped`` names by ``doc_id`` and ``text_hash``; it is broadcast if counted to be small."""
+    """``text`` and ``columns`` of the documents that ``grouped`` names by ``doc_id`` and ``text_hash``: a shuffled join at every size."""
     texts = docs.select(F.col("doc_id").alias("text_id"), F.xxhash64("text").alias("own_hash"), "text")
-    small = F.broadcast(grouped) if grouped.count() <= BROADCAST_ROWS else grouped
-    return texts.join(small, F.col("text_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))).select("text", *columns)
+    return texts.join(grouped.hint("shuffle_hash"), F.col("text_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))).select("text", *columns)
 
 
 def _paired(held: DataFrame, columns: list[str]) -> DataFrame:
@@ -481,9 +478,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     k = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("k")).withColumnsRenamed({"doc_id": "k_id", "text_hash": "k_hash"})
     chosen = chosen.join(k, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")))
     chosen = persisted(chosen.select("k_id", "k_hash", (F.col("one") & (F.col("k") > 1)).alias("repeated")), "chosen")
-    small = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    rows = rows.join(small, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
+    rows = rows.join(chosen.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
     once = rows.where("NOT repeated").select("row")
     return once.unionByName(rows.where("repeated").groupBy("id", "hash").agg(F.min("row").alias("row")).select("row")).select("row.*")
 
