@@ -1,0 +1,87 @@
+import random
+import re
+from collections import Counter, defaultdict
+from functools import reduce
+from operator import or_
+
+import pytest
+
+from visitlens.llm import divergence as D
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+SCHEMA = "doc_id bigint, text string, lang string, source string, rank int, n bigint"
+
+
+def plain(rows):
+    """The contract, term by term and pair by pair."""
+    docs = [(lang or "", source or "", TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+            for _, text, lang, source, *_ in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        df = Counter(t for _, _, words in own for t in set(words))
+        kept = sorted(t for t, n in df.items() if n >= 3)
+        count = {s: Counter() for _, s, _ in own}
+        for _, s, words in own:
+            count[s].update(w for w in words if df[w] >= 3)
+        whole = sum(count.values(), Counter())
+        p = {s: {t: 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept)) for t in kept} for s, c in count.items()}
+        q = {t: 1 + 10**9 * (whole[t] + 1) // (sum(whole.values()) + len(kept)) for t in kept}
+        f = lambda a, b: (a - b) * (a - b) // b
+        for s in count:
+            pairs = [(o, sum(f(p[s][t], p[o][t]) for t in kept)) for o in count if o != s]
+            terms = [(t, f(p[s][t], q[t])) for t in kept if count[s][t] and p[s][t] > q[t]]
+            for part, items, most in (("pair", pairs, None), ("term", terms, 200)):
+                items.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, value, k) for k, (item, value) in enumerate(items[:most], 1)]
+    return sorted(out)
+
+
+def made(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"{a}{b}" for a in ("al", "Be", "çé", "ost", "zz") for b in ("x", "ÿ", "uu", "o", "", "ß")]
+    rows = []
+    for k in range(rng.choice([0, 40, 150])):
+        words = rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(len(vocabulary))], k=rng.choice([0, 3, 30]))
+        rows.append((k % 70, rng.choice([None, "", " - ".join(words), "7".join(words)]) if k % 9 == 0 else " ".join(words),
+                     rng.choice(["en", "en", "fr", None, ""]), rng.choice(["a", "b", "é", "Z", None, "hot", "hot"]), k, 0))
+    if rows:
+        rows += [(1, "al al al " * 5000, "en", "hot", 0, 0), (1, "lone", "xx", "a", 0, 0), (2, None, "xx", "b", 0, 0)] + [rows[0]] * 3
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_equals_the_plain_form(spark, seed, monkeypatch):
+    if seed % 2:
+        monkeypatch.setattr(D, "BUCKET", 7)
+        monkeypatch.setattr(D, "TILE", 50)
+    rows = made(seed)
+    got = D.audit(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+    assert dict(got.dtypes)["value"] == "bigint" and dict(got.dtypes)["rank"] == "int"
+    assert sorted(map(tuple, got.collect())) == plain(rows)
+
+
+def test_many_levels_in_many_words(spark, monkeypatch):
+    monkeypatch.setattr(D, "SUMS", 8)
+    rng = random.Random(9)
+    names = ["w" + "".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    rows = [(k, " ".join(n for i, n in enumerate(names) for _ in range((i * 7 + k) % 11 % (3 + k % 5))), "en", f"s{k % 12}", 0, 0) for k in range(48)]
+    assert sorted(map(tuple, D.audit(spark.createDataFrame(rows, SCHEMA)).collect())) == plain(rows)
+
+
+def test_bitsets_hold_each_term_of_a_group_once(spark):
+    rows = [(k, "aa bb bb cc " + "dd " * (k % 3), "en", f"s{k % 2}", 0, 0) for k in range(12)]
+    kept = D.kept_terms(spark.createDataFrame(rows, SCHEMA))
+    groups = D.group_table(spark.createDataFrame(rows, SCHEMA), kept)
+    cells = kept.join(groups, ["lang", "source"]).select("*", D._share("n", "total").alias("p"))
+    bits = D.bitsets(cells, 4).collect()
+    held = defaultdict(int)
+    for r in bits:
+        assert r["bits"] > 0
+        held[r["gid"]] += bin(r["bits"]).count("1")
+    assert dict(held) == {1: 4, 2: 4}
+    words = {(r["kind"], r["bucket"], r["word"], r["gid"]) for r in bits}
+    for word in words:
+        own = [r["bits"] for r in bits if (r["kind"], r["bucket"], r["word"], r["gid"]) == word]
+        assert sum(own) == reduce(or_, own)  # disjoint
