@@ -31,6 +31,7 @@ HEADLINE = {
     "visit_filter": "visit_filter",
     "category_counts": "category_counts",
 }
+STREAM_BATCHES = 10
 
 
 def main() -> None:
@@ -57,18 +58,15 @@ def main() -> None:
             warm.append(time.perf_counter() - t0)
         times[label] = round(median(warm), 3)
         spread[label] = [round(min(warm), 3), round(max(warm), 3)]
-    # Streaming job (Q4-Q6): the registered replay, its own micro-batch width and default output.
-    # Reported apart from the batch total, and run with BENCH_STREAM=1 only: the registered width of
-    # 500 events makes 200 micro-batches of sf0.1.
-    stream = {}
-    if os.environ.get("BENCH_STREAM", "0") != "0":
-        from visitlens.streaming.registry import replay
-        t0 = time.perf_counter()
-        sink = replay(spark, sf_dir)
-        sec = time.perf_counter() - t0
-        n_batches = spark.read.parquet(f"{sink}/batches").select("batch_id").distinct().count()
-        stream = {"stream_replay_sec": round(sec, 3), "micro_batches": n_batches,
-                  "sec_per_batch": round(sec / n_batches, 3)}
+    # Streaming job (Q4-Q6): the click log in STREAM_BATCHES micro-batches, each with its fixed costs.
+    # Reported apart from the batch total.
+    from visitlens.streaming.registry import replay
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    t0 = time.perf_counter()
+    sink = replay(spark, sf_dir, batch_rows=-(-events // STREAM_BATCHES))
+    sec = time.perf_counter() - t0
+    n_batches = spark.read.parquet(f"{sink}/batches").select("batch_id").distinct().count()
+    stream = {"stream_replay_sec": round(sec, 3), "micro_batches": n_batches, "sec_per_batch": round(sec / n_batches, 3)}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_reports_total_warm_sec",
@@ -77,6 +75,7 @@ def main() -> None:
         "queries": times,
         "cold": cold,
         "spread": spread,
+        "ratio_to_category_counts": {k: round(v / times["category_counts"], 2) for k, v in times.items()},
         "stream": stream,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": int(cpus),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from visitlens.operators import guard as G
 from visitlens.sources import adslog
 from visitlens.streaming import app
-from visitlens.streaming.guard import KEYS, combined
-from visitlens.streaming.registry import REPLAY_SCHEMA, write_batches
+from visitlens.streaming.guard import click_counts, guarded_stream, newly_blocked, unblocked
+from visitlens.streaming.registry import folded, read_batches, write_batches
 
 DAY_MS = 86_400_000
 BASE = 1_550_275_200_000  # 2019-02-16 00:00:00 UTC
@@ -65,12 +65,11 @@ COLS = ["ts", "area", "city", "user_id", "ads_id", "batch_id"]
 
 
 def _tables(spark, sink):
-    return {t: sorted(map(tuple, df.select(sorted(df.columns)).collect())) for t, df in app.reports(spark, sink).items()}
+    return {t: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str) for t, df in app.reports(spark, sink).items()}
 
 
 def _run(spark, src, sink, ckpt, threshold, **kw):
-    clicks = spark.readStream.schema(REPLAY_SCHEMA).option("maxFilesPerTrigger", "1").parquet(src)
-    q = app.start(clicks, sink, ckpt, threshold=threshold, trigger={"availableNow": True}, **kw)
+    q = app.start(read_batches(spark, src), sink, ckpt, threshold=threshold, trigger={"availableNow": True}, **kw)
     q.awaitTermination()
     assert q.exception() is None
     return _tables(spark, sink)
@@ -81,30 +80,59 @@ def _expected(df, threshold):
     q5 = G.area_city_ads_count(adm)
     want = {"area_city_ads_count": q5, "area_top3_ads": G.area_top3_ads(q5), "user_ads_click": G.user_ad_day_counts(adm),
             "blacklist": G.blocked_users(df, threshold).select("user_id")}
-    return {t: sorted(map(tuple, x.select(sorted(x.columns)).collect())) for t, x in want.items()}
+    return {t: sorted(map(tuple, x.select(sorted(x.columns)).collect()), key=str) for t, x in want.items()}
 
 
 def _stream(spark, scratch, rows, threshold, **kw):
-    write_batches(ads_df(spark, rows).select(*COLS), f"{scratch}/src")
+    df = ads_df(spark, rows) if isinstance(rows, list) else rows
+    write_batches(df.select(*COLS), f"{scratch}/src")
     return _run(spark, f"{scratch}/src", f"{scratch}/sink", f"{scratch}/ckpt", threshold, **kw)
 
 
-@pytest.mark.parametrize("output", ["update", "complete"])
-def test_stream_equals_batch_with_restart(spark, scratch, output):
+def test_stream_equals_batch_with_restart(spark, scratch):
     rng = random.Random(11)
     rows = [(rng.randrange(8), rng.randrange(2), f"u{rng.randrange(5)}", str(rng.randrange(3)))
             for _ in range(160)]
     df = ads_df(spark, rows)
     src, sink, ckpt = f"{scratch}/src", f"{scratch}/sink", f"{scratch}/ckpt"
     write_batches(df.filter("batch_id < 4").select(*COLS), src)
-    first = _run(spark, src, sink, ckpt, 3, output=output)
-    assert first == _expected(df.filter("batch_id < 4"), 3)
-    for b in range(4, 8):  # later files of a running job
-        df.filter(f"batch_id = {b}").select(*COLS[:-1]).coalesce(1).write.mode("append").parquet(src)
-    got = _run(spark, src, sink, ckpt, 3, output=output)
+    assert _run(spark, src, sink, ckpt, 3) == _expected(df.filter("batch_id < 4"), 3)
+    write_batches(df.filter("batch_id >= 4").select(*COLS), src)  # later files of a stopped job
+    got = _run(spark, src, sink, ckpt, 3)
     assert got == _expected(df, 3)
     _, blk = simulate(rows, 3)
     assert {r[0] for r in got["blacklist"]} == blk
+    store = app.Store(spark, sink)
+    assert store.last() == 7
+    for b in range(8):  # what each batch published equals the report over the log so far
+        want = {(r.day, r.area): r.top3_json for r in G.area_top3_ads(G.area_city_ads_count(G.admitted_counts(df.filter(f"batch_id <= {b}"), 3))).collect()}
+        now = store.groups("area_top3_ads", store.batch("versions", b))
+        assert {(r.day, r.area): r.top3_json for r in now.collect()} == want
+    again = {t: sorted(map(tuple, x.select(sorted(x.columns)).collect()), key=str) for t, x in folded(spark, sink).items()}
+    assert again == {t: got[t] for t in again}
+
+
+def test_only_touched_groups_are_written_and_a_replayed_batch_changes_nothing(spark, scratch):
+    rows = [(0, d, f"u{i}", str(i % 7)) for d in range(3) for i in range(40)] + [(1, 1, "u1", "6")] * 9 + [(2, 5, None, "a")]
+    df = ads_df(spark, rows).withColumn("area", F.when(F.col("user_id") == "u3", F.lit(None)).otherwise(F.lit("N")))
+    got = _stream(spark, scratch, df, 50)
+    assert got == _expected(df, 50)
+    store = app.Store(spark, f"{scratch}/sink")
+    for table in ("area_city_ads_count", "area_top3_ads"):
+        assert [(r.day, r.area) for r in store.batch(table, 1).select("day", "area").distinct().collect()] == [("2019-02-17", "N")]
+    assert store.batch("versions", 2).filter("version = 0").count() == 5 and store.batch("versions", 2).count() == 7
+    sink = app.BatchSink(f"{scratch}/sink", 50)
+    batch = guarded_stream(G.with_day(df.filter("batch_id = 2")).withColumn("bad", F.lit(None).cast("string")))
+    sink(batch, 2)  # as after a crash before the commit
+    assert _tables(spark, f"{scratch}/sink") == got
+
+
+def test_superseded_groups_are_dropped(spark, scratch):
+    rows = [(b, 0, f"u{b}", str(b % 3)) for b in range(7)] + [(0, 1, "u", "z")]
+    got = _stream(spark, scratch, rows, 50, keep=2)
+    assert got == _expected(ads_df(spark, rows), 50)
+    left = {int(r[0]) for r in spark.read.parquet(f"{scratch}/sink/area_city_ads_count").select("batch_id").distinct().collect()}
+    assert left == {0, 4, 5, 6}  # batch 0 holds the other day
 
 
 def test_stream_crossing_batch(spark, scratch):
@@ -131,22 +159,39 @@ def test_late_click_of_an_old_day_still_counts(spark, scratch):
     assert sum(r[1] for r in got["user_ads_click"]) == 4
 
 
-def test_hot_user_is_combined_before_the_state_shuffle(spark):
-    rows = [(0, 0, "hot" if i % 3 == 0 else f"u{i % 400}", str(i % 2)) for i in range(6000)]
-    clicks = G.with_day(ads_df(spark, rows)).repartition(4)
-    out = combined(clicks).filter("user_id = 'hot'")
-    assert out.count() <= 4 * 2 and out.groupBy().sum("n").first()[0] == 2000
-    assert sorted(combined(clicks).columns) == sorted([*KEYS, "n"])
-
-
-def test_state_writes_follow_touched_users(spark, scratch):
+def test_guard_functions_follow_the_rule_batch_by_batch(spark):
+    """The counts of all clicks block the users, and in the batch, that the counts of admitted clicks would."""
+    rng = random.Random(5)
+    for threshold in (1, 2, 4):
+        rows = [(rng.randrange(5), rng.randrange(2), f"c{case}u{rng.randrange(3)}", str(rng.randrange(3)))
+                for case in range(25) for _ in range(rng.randrange(1, 22))]
+        df = G.with_day(ads_df(spark, rows)).withColumn("bad", F.lit(None).cast("string"))
+        admitted, blocked = 0, []
+        for b in range(5):
+            before = spark.createDataFrame([(u,) for u in blocked], "user_id string") if b else None
+            now = guarded_stream(df.filter(f"batch_id <= {b}")).filter("total is not null")
+            clicks = click_counts(df.filter(f"batch_id = {b}"))
+            admitted += unblocked(clicks, before).groupBy().sum("n").first()[0] or 0
+            blocked += [r[0] for r in newly_blocked(now, before, threshold).collect()]
+        want, users = simulate(rows, threshold)
+        assert admitted == len(want) and sorted(blocked) == sorted(users)
+
+
+def test_guard_needs_no_python_and_counts_before_shuffles(spark):
+    clicks = G.with_day(ads_df(spark, [(0, 0, "u", "a")])).withColumn("bad", F.lit(None).cast("string"))
+    for df in (guarded_stream(clicks), click_counts(clicks)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+        assert "partial_count" in plan
+
+
+def test_state_writes_follow_touched_keys(spark, scratch):
     rows = [(0, 0, f"u{i}", "a") for i in range(200)] + [(1, 0, "u3", "a")]
     write_batches(ads_df(spark, rows).select(*COLS), f"{scratch}/src")
-    clicks = spark.readStream.schema(REPLAY_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{scratch}/src")
-    q = app.start(clicks, f"{scratch}/sink", f"{scratch}/ckpt", threshold=5, trigger={"availableNow": True})
+    q = app.start(read_batches(spark, f"{scratch}/src"), f"{scratch}/sink", f"{scratch}/ckpt", threshold=5, trigger={"availableNow": True})
     q.awaitTermination()
-    guard = [op for op in q.recentProgress[-1].stateOperators if "FlatMapGroups" in op.operatorName or "applyInPandas" in op.operatorName]
-    assert guard and guard[0].numRowsUpdated == 1 and guard[0].numRowsTotal == 200
+    state = q.recentProgress[-1].stateOperators
+    assert len(state) == 1 and state[0].numRowsUpdated == 1 and state[0].numRowsTotal == 200
 
 
 def test_stream_on_rocksdb_state_with_own_partitions(spark, scratch):
@@ -176,11 +221,11 @@ def test_bad_lines_in_a_running_stream(spark, scratch):
     good = ["1550275200000 North C_1 u1 a1", "1550275200001 North C_1 u1 a1 extra"]
     bad = ["9999999999999999999 N C u a", "999999999999999999 N C u a", "-999999999999999999 N C u a", "     ", "", "x N C u a", "1 2 3"]
     spark.createDataFrame([(x,) for x in good + bad], "value string").coalesce(1).write.text(f"{scratch}/in")
-    for name in ("main", "rejects"):
-        lines = adslog.file_lines(spark, f"{scratch}/in")
-        q = (app.start_from_lines(lines, f"{scratch}/sink", f"{scratch}/ck", threshold=5, trigger={"availableNow": True}) if name == "main"
-             else app.start_rejects(lines, f"{scratch}/rejects", f"{scratch}/ck2", trigger={"availableNow": True}))
-        q.awaitTermination()
-        assert q.exception() is None
+    lines = adslog.file_lines(spark, f"{scratch}/in")
+    q = app.start_from_lines(lines, f"{scratch}/sink", f"{scratch}/ck", threshold=5, trigger={"availableNow": True}, rejects=f"{scratch}/rejects")
+    q.awaitTermination()
+    assert q.exception() is None
+    assert len(list(spark.streams.active)) == 0
+    assert [tuple(r) for r in app.Store(spark, f"{scratch}/sink").batch("batches", 0).collect()] == [(len(good + bad), len(bad))]
     assert _tables(spark, f"{scratch}/sink")["user_ads_click"] == [("a1", 2, "2019-02-16", "u1")]
     assert sorted(r.value for r in spark.read.parquet(f"{scratch}/rejects").collect()) == sorted(bad)

@@ -27,11 +27,10 @@ def _stream_plan(spark) -> list[str]:
     from visitlens.session import shared_dir
     from visitlens.sources import adapters as A
     from visitlens.streaming import app
-    from visitlens.streaming.registry import REPLAY_SCHEMA, write_batches
+    from visitlens.streaming.registry import read_batches, write_batches
     root = shared_dir(spark, "plans-stream")
     write_batches(A.ads_log(spark, "/root/testdata/sf0.01"), f"{root}/src")
-    clicks = spark.readStream.schema(REPLAY_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{root}/src")
-    q = app.start(clicks, f"{root}/sink", f"{root}/ck", threshold=2, trigger={"availableNow": True},
+    q = app.start(read_batches(spark, f"{root}/src"), f"{root}/sink", f"{root}/ck", threshold=2, trigger={"availableNow": True},
                   state_partitions=8)
     q.awaitTermination()
     buf = io.StringIO()

@@ -50,7 +50,7 @@ def main(argv=None):
     p.add_argument("--max-files-per-trigger", type=int, help="files of --lines-dir per micro-batch (default: all)")
     p.add_argument("--rejects", help="table folder for malformed lines")
     p.add_argument("--state-partitions", type=int)
-    p.add_argument("--output", default="update", choices=["update", "complete"])
+    p.add_argument("--keep-batches", type=int, help="delete group folders unused for so many micro-batches (default: none)")
     p.add_argument("--once", action="store_true",
                    help="process what the source holds now, then stop (availableNow trigger)")
     p.add_argument("--profile", default="local", choices=["local", "cluster"])
@@ -71,10 +71,8 @@ def main(argv=None):
                  else adslog.kafka_lines(spark, a.kafka_servers, a.topic, start))
         trigger = {"availableNow": True} if a.once else None
         q = apps.run_realtime(lines, a.sink, a.checkpoint, a.threshold, trigger=trigger,
-                              state_partitions=a.state_partitions, output=a.output, rejects=a.rejects)
+                              state_partitions=a.state_partitions, rejects=a.rejects, keep=a.keep_batches)
         q.awaitTermination()
-        for other in spark.streams.active:  # the rejects, with --once
-            other.awaitTermination()
 
 
 if __name__ == "__main__":

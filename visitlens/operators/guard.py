@@ -98,13 +98,16 @@ def area_top3_ads(city_counts: DataFrame, n: int = TOP_ADS) -> DataFrame:
 
     The list per group is cut to ``n`` before it is collected, so it is bounded by ``n``.
     """
-    roll = area_ads_rollup(city_counts)
-    top = top_n_per_group(roll, ["day", "area"], [F.col("click_count").desc(), F.col("ads_id").asc()],
-                          n, rank_col="rn")
-    g = top.groupBy("day", "area").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "ads_id", F.col("click_count").alias("count"))))
-         .alias("ads"))
-    return g.select("day", "area", ads_json("ads").alias("top3_json"))
+    top = top_n_per_group(area_ads_rollup(city_counts), ["day", "area"],
+                          [F.col("click_count").desc(), F.col("ads_id").asc()], n, rank_col="rn")
+    return ads_texts(top, "rn").select("day", "area", "top3_json")
+
+
+def ads_texts(top: DataFrame, rank_col: str) -> DataFrame:
+    """Ranked rows (day, area, ads_id, click_count) -> per (day, area) their list ``ads`` in rank order and its JSON text."""
+    g = top.groupBy("day", "area").agg(F.array_sort(F.collect_list(F.struct(rank_col, "ads_id", "click_count"))).alias("ads"))
+    pairs = F.transform("ads", lambda a: F.struct(a["ads_id"].alias("ads_id"), a["click_count"].alias("count")))
+    return g.withColumn("pairs", pairs).withColumn("top3_json", ads_json("pairs")).drop("pairs")
 
 
 def area_top3_ads_by_day(top3: DataFrame) -> DataFrame:

@@ -55,13 +55,11 @@ def run_area(visits: DataFrame, cities: DataFrame, products: DataFrame, write: W
 
 
 def run_realtime(lines: DataFrame, sink_root: str, checkpoint: str, threshold: int = BLOCK_THRESHOLD,
-                 trigger: dict | None = None, state_partitions: int | None = None, output: str = "update",
-                 rejects: str | None = None):
+                 trigger: dict | None = None, state_partitions: int | None = None,
+                 rejects: str | None = None, keep: int | None = None):
     """Q4-Q6 from a ``value`` line stream (Kafka or text files); returns the StreamingQuery.
 
-    ``rejects`` names a table that a second query appends the malformed lines to.
+    ``rejects`` names a folder that the same query writes the malformed lines to.
     """
-    if rejects:
-        realtime.start_rejects(lines, rejects, f"{checkpoint}-rejects", trigger)
     return realtime.start_from_lines(lines, sink_root, checkpoint, threshold=threshold, trigger=trigger,
-                                     state_partitions=state_partitions, output=output)
+                                     state_partitions=state_partitions, rejects=rejects, keep=keep)

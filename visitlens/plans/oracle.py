@@ -39,7 +39,7 @@ ci AS (
 ),
 pi AS (SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS extend_info FROM part),
 ads AS (
-  SELECT event_id // 500 AS batch_id, epoch_us(ts) // 1000 AS ts, area, city_name AS city,
+  SELECT event_id // 2000 AS batch_id, epoch_us(ts) // 1000 AS ts, area, city_name AS city,
          CAST(user_id AS VARCHAR) AS user_id, CAST(k % 6 + 1 AS VARCHAR) AS ads_id
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id % 25 AS cid
         FROM events WHERE event_type = 'click') e

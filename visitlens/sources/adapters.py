@@ -105,7 +105,7 @@ def product_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BATCH_ROWS = 500  # fixed micro-batch width of the replayed click log (event_id div 500)
+BATCH_ROWS = 2000  # fixed micro-batch width of the replayed click log (event_id div 2000)
 
 
 def ads_log(spark: SparkSession, sf_dir: str, batch_rows: int = BATCH_ROWS) -> DataFrame:

@@ -1,85 +1,43 @@
-"""Stateful click guard for Structured Streaming (St3).
-
-Clicks are first combined per (user, day, area, city, ad) inside each map task, so a user with a
-third of a micro-batch sends one row per task and distinct key through the state shuffle. State is
-kept per user: the running click totals per (day, ad) and a ``blocked`` flag, written only for
-users that a micro-batch touches. A user that was blocked at batch start has all clicks dropped;
-otherwise every click is admitted (the whole crossing batch too), the totals are updated and the
-flag set once any total reaches the threshold. A blocked user's totals are dropped from the
-state, since only the flag matters from then on.
+"""Click guard of the streaming job, from built-in operators (St3).
+
+Before a user is blocked everything is admitted, so the running count of *all* clicks per (day, user, ad)
+reaches the threshold in the same micro-batch as the count of admitted ones. The job therefore counts all
+clicks by a built-in streaming aggregation (a point update per touched key in the state store, map-side
+partial counts before the shuffle) and passes the clicks themselves along. Per micro-batch, users whose
+count reached the threshold are appended to the block table, and clicks are admitted by an anti join with
+the users blocked in earlier batches; the crossing batch itself stays admitted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-KEYS = ["user_id", "day", "area", "city", "ads_id"]
-COUNTS_SCHEMA = ", ".join(f"{c} string" for c in KEYS) + ", n long"
-STATE_SCHEMA = "days array<string>, ads array<string>, counts array<long>, blocked boolean"
-#: Distinct keys that a map task holds before it passes them on.
-COMBINE_ROWS = 500_000
-
-
-def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Click rows of one task -> one row per key with its number of clicks ``n``."""
-    held: pa.Table | None = None
-    for batch in batches:
-        part = pa.Table.from_batches([batch]).group_by(KEYS).aggregate([([], "count_all")])
-        part = part.rename_columns([*KEYS, "n"])
-        held = part if held is None else _summed(pa.concat_tables([held, part]))
-        if held.num_rows >= COMBINE_ROWS:
-            yield from held.to_batches()
-            held = None
-    if held is not None:
-        yield from held.to_batches()
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    return table.group_by(KEYS).aggregate([("n", "sum")]).rename_columns([*KEYS, "n"])
-
-
-def make_guard(threshold: int):
-    """State function for ``groupBy("user_id").applyInPandasWithState`` over combined counts."""
+COUNTED = ["day", "user_id", "ads_id"]
+CLICK = ["day", "area", "city", "user_id", "ads_id"]
 
-    def guard(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        days, ads, counts, blocked = state.get if state.exists else ([], [], [], False)
-        if blocked:
-            for _ in pdfs:  # drain: every click of a blocked user is dropped
-                pass
-            return
-        totals = dict(zip(zip(days, ads), map(int, counts)))
-        for pdf in pdfs:
-            if not pdf.empty:
-                yield pdf[[*KEYS, "n"]]
-                for d, a, n in zip(pdf["day"], pdf["ads_id"], pdf["n"]):  # combined rows, not clicks
-                    totals[d, a] = totals.get((d, a), 0) + int(n)
-        if any(c >= threshold for c in totals.values()):
-            state.update(([], [], [], True))
-        else:
-            state.update(([d for d, _ in totals], [a for _, a in totals], list(totals.values()), False))
 
-    return guard
+def guarded_stream(clicks: DataFrame) -> DataFrame:
+    """Clicks (``day, area, city, user_id, ads_id, bad``) and, with ``total``, the changed counts of all clicks.
 
+    ``bad`` holds a malformed line, whose other columns do not count. Rows with ``total`` are one per
+    (day, user, ad) that the micro-batch touched.
+    """
+    counts = clicks.filter(F.col("bad").isNull()).groupBy(*COUNTED).agg(F.count(F.lit(1)).alias("total"))
+    rows = clicks.select(*CLICK, "bad").withColumn("total", F.lit(None).cast("bigint"))
+    return rows.unionByName(counts, allowMissingColumns=True)
 
-def _ship_by_value() -> None:
-    """Pickle this module's functions by value, so Python workers need not have the package."""
-    import sys
 
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+def newly_blocked(totals: DataFrame, before: DataFrame | None, threshold: int) -> DataFrame:
+    """Users whose count reached the threshold and who were not blocked before."""
+    return unblocked(totals.filter(F.col("total") >= threshold).select("user_id").distinct(), before)
 
 
-def combined(clicks: DataFrame) -> DataFrame:
-    """Clicks with ``day`` -> counts per key and map task."""
-    _ship_by_value()
-    return clicks.select(*KEYS).mapInArrow(combine, COUNTS_SCHEMA)
+def unblocked(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Rows of users that are not in the block table ``before`` (none yet: None)."""
+    return rows if before is None else rows.join(before, "user_id", "left_anti")
 
 
-def apply_guard(clicks: DataFrame, threshold: int) -> DataFrame:
-    """Click rows with ``day`` -> admitted counts per user/day/area/city/ad."""
-    return (combined(clicks).groupBy("user_id")
-            .applyInPandasWithState(make_guard(threshold), COUNTS_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"))
+def click_counts(clicks: DataFrame) -> DataFrame:
+    """Clicks of a micro-batch -> ``n`` per key: a hot user is a row per task and key before any shuffle."""
+    return clicks.groupBy(*CLICK).agg(F.count(F.lit(1)).alias("n"))

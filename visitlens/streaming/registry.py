@@ -1,15 +1,15 @@
 """Streaming queries registered with the driver.
 
-The click table of the fixture is replayed as a file stream, one file per batch number, and
-run through the streaming job with ``availableNow``; each query starts its own stream and returns
-one of the job's report tables. They share the batch replay's DuckDB twins, since both must agree
-when the micro-batch edges are the same. ``stream_changelog_*`` read the default output (changed
-totals), the other ``stream_*`` the complete one.
+The click table of the fixture is laid out as files, ``FILES`` per batch number, and run through the
+streaming job with ``availableNow``; each query starts its own stream and reads the job's tables. They
+share the batch replay's DuckDB twins, since both must agree when the micro-batch edges are the same.
+``stream_changelog_*`` fold what every batch published; the other ``stream_*`` read the current groups.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitlens.plans.oracle import ADAPTERS, GUARD, LINES, guard_sql
@@ -28,22 +28,47 @@ REPLAY_SCHEMA = T.StructType([
 ])
 
 
-def write_batches(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Write ``df`` as one file per ``batch_id``, one after the other. Returns the number of files.
+#: Files of a micro-batch of the replay.
+FILES = 4
 
-    The guard's result depends on where micro-batches start and end; the file source takes files by
-    modification time, so batches are written in order. Works on any storage Spark can write.
+
+def write_batches(df: DataFrame, path: str, fmt: str = "parquet", first: int = 0) -> int:
+    """Lay ``df`` out as ``FILES`` files per ``batch_id``, in one job. Returns the number of batches.
+
+    The guard's result depends on where micro-batches start and end, and the file source takes files by
+    modification time: the files of a batch get one time, later batches later ones, from ``first`` on. Each file
+    holds one blank row, so that no file of a batch is missing; the job skips it.
     """
     spark = df.sparkSession
-    stage = f"{path}-stage"
-    df.repartition("batch_id").write.partitionBy("batch_id").parquet(stage)
-    ids = [r[0] for r in df.select("batch_id").distinct().orderBy("batch_id").collect()]
-    schema = df.drop("batch_id").schema
-    for b in ids:
-        spark.read.schema(schema).parquet(f"{stage}/batch_id={b}").coalesce(1).write.mode("append").format(fmt).save(path)
+    columns = [c for c in df.columns if c != "batch_id"]
+    part = F.pmod(F.xxhash64(*columns), F.lit(FILES)).cast("int")
+    blank = df.select("batch_id").distinct().select(
+        *[F.lit("" if fmt == "text" else None).cast(df.schema[c].dataType).alias(c) for c in columns], "batch_id",
+        F.explode(F.sequence(F.lit(0), F.lit(FILES - 1))).alias("part"))
+    rows = df.select(*columns, "batch_id", part.alias("part")).unionByName(blank)
+    rows.repartition("batch_id", "part").write.mode("append").partitionBy("batch_id", "part").format(fmt).save(path)
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    folders = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*"))
+    ids = sorted(int(f.getPath().getName().split("=")[1]) for f in folders)
+    for turn, b in enumerate(ids):
+        for file in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={b}/part=*/part-*")):
+            fs.setTimes(file.getPath(), 1_500_000_000_000 + 60_000 * (first + turn), -1)
     return len(ids)
 
 
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The click stream of ``write_batches``, a batch per trigger."""
+    files = spark.readStream.schema(REPLAY_SCHEMA).option("maxFilesPerTrigger", str(FILES)).option("maxFileAge", "36500d")
+    return files.parquet(f"{path}/batch_id=*/part=*").filter(F.col("ts").isNotNull())
+
+
+def read_line_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The line stream of ``write_batches``, a batch per trigger."""
+    files = spark.readStream.format("text").option("maxFilesPerTrigger", str(FILES)).option("maxFileAge", "36500d")
+    return files.load(f"{path}/batch_id=*/part=*").select("value").filter(F.col("value") != "")
+
+
 def _state_partitions(spark: SparkSession) -> int:
     """Replays are fixture-sized: one state partition per core, whatever the batch setting."""
     try:
@@ -58,33 +83,48 @@ def _finished(q) -> None:
         raise RuntimeError(f"stream replay failed: {q.exception()}")
 
 
-def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD, output: str = "update") -> str:
+def replay(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD, batch_rows: int = A.BATCH_ROWS) -> str:
     """Run the streaming job over the fixture's whole click log; returns the sink root."""
     root = shared_dir(spark, "stream-replay")
-    write_batches(A.ads_log(spark, sf_dir), f"{root}/src")
-    clicks = spark.readStream.schema(REPLAY_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{root}/src")
-    _finished(app.start(clicks, f"{root}/sink", f"{root}/checkpoint", threshold=threshold, output=output,
+    write_batches(A.ads_log(spark, sf_dir, batch_rows), f"{root}/src")
+    _finished(app.start(read_batches(spark, f"{root}/src"), f"{root}/sink", f"{root}/checkpoint", threshold=threshold,
                         trigger={"availableNow": True}, state_partitions=_state_partitions(spark)))
     return f"{root}/sink"
 
 
-def replay_lines(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD, output: str = "update") -> str:
-    """The whole original path: text lines in, one file per batch -> parse -> guard -> reports."""
+def replay_lines(spark: SparkSession, sf_dir: str, threshold: int = GUARD_THRESHOLD) -> str:
+    """The whole original path: text lines in -> parse -> guard -> reports."""
     root = shared_dir(spark, "stream-lines-replay")
     write_batches(adslog.format_lines(A.ads_log(spark, sf_dir), keep=("batch_id",)), f"{root}/src", fmt="text")
-    lines = adslog.file_lines(spark, f"{root}/src", max_files_per_trigger=1)
-    _finished(app.start_from_lines(lines, f"{root}/sink", f"{root}/checkpoint", threshold=threshold, output=output,
+    _finished(app.start_from_lines(read_line_batches(spark, f"{root}/src"), f"{root}/sink", f"{root}/checkpoint", threshold=threshold,
                                    trigger={"availableNow": True}, state_partitions=_state_partitions(spark)))
     return f"{root}/sink"
 
 
-def _table(name: str, runner=replay, output: str = "complete"):
+def _table(name: str, runner=replay):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return app.reports(spark, runner(spark, sf_dir, output=output))[name]
+        return app.reports(spark, runner(spark, sf_dir))[name]
     run.__name__ = f"stream_{name}"
     return run
 
 
+def folded(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The reports from everything that the batches published: totals only grow, so the largest is the last."""
+    store = app.Store(spark, root)
+    q5 = store.history("area_city_ads_count", store.last()).groupBy("day", "area", "city", "ads_id")
+    q5 = q5.agg(F.max("click_count").alias("click_count"))
+    top = store.history("area_top3_ads", store.last()).groupBy("day", "area").agg(F.max_by("top3_json", "batch_id").alias("top3_json"))
+    return {"area_city_ads_count": q5, "area_top3_ads": top,
+            "blacklist": store.history("blacklist", store.last()).select("user_id")}
+
+
+def _changelog(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return folded(spark, replay(spark, sf_dir))[name]
+    run.__name__ = f"stream_changelog_{name}"
+    return run
+
+
 STREAM_QUERIES = {
     "stream_guard": _table("blacklist"),
     "stream_user_ads_click": _table("user_ads_click"),
@@ -93,9 +133,9 @@ STREAM_QUERIES = {
     "stream_lines_guard": _table("blacklist", replay_lines),
     "stream_lines_area_city_ads": _table("area_city_ads_count", replay_lines),
     "stream_lines_area_top3": _table("area_top3_ads", replay_lines),
-    "stream_changelog_area_city_ads": _table("area_city_ads_count", output="update"),
-    "stream_changelog_area_top3": _table("area_top3_ads", output="update"),
-    "stream_changelog_guard": _table("blacklist", output="update"),
+    "stream_changelog_area_city_ads": _changelog("area_city_ads_count"),
+    "stream_changelog_area_top3": _changelog("area_top3_ads"),
+    "stream_changelog_guard": _changelog("blacklist"),
 }
 
 _W = "WITH " + ADAPTERS + "," + GUARD
