@@ -99,7 +99,63 @@ def test_hot_user_join_is_split_and_exact(spark, skew_conf):
     df = filter_visits(v, u, VisitFilter("2019-01-03", "", "", ""))
     df.collect()
     plan = _final_plan(df)
-    assert "SortMergeJoin" in plan and "__salt" in plan
+    assert "SortMergeJoin(skew=true)" in plan or "isSkewJoin=true" in plan or "skew" in plan.lower()
+
+
+def test_hot_keys_are_found_in_one_job_on_any_shape(spark):
+    import random
+
+    from visitlens.operators.joins import HOT_SHARE, hot_keys
+    rng = random.Random(3)
+    shapes = {
+        "skewed": [0 if i % 3 == 0 else rng.randrange(1, 50_000) for i in range(60_000)],
+        "zipf": [min(int(rng.paretovariate(0.7)), 10**9) for _ in range(60_000)],
+        "uniform": [i for i in range(60_000)],
+        "few": [i % 150 for i in range(60_000)]}
+    for name, keys in shapes.items():
+        df = spark.createDataFrame([(k,) for k in keys] + [(None,)] * 30_000, "k bigint").repartition(6)
+        total, counts = len(keys), Counter(keys)
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(f"hot-{name}", name)
+        got = hot_keys(df, "k")
+        jobs = tracker.getJobIdsForGroup(f"hot-{name}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {k for k, n in counts.items() if n * HOT_SHARE > total} <= set(got), name
+        assert len(got) <= 2 * HOT_SHARE and all(counts[k] * HOT_SHARE * 1.2 > total for k in got), name
+        assert len(jobs) <= 3, name  # AQE runs the stages of one aggregate as jobs of their own
+
+
+def test_users_outside_the_bounds_are_filtered_before_the_shuffle(spark, skew_conf):
+    """Spark's runtime Bloom filter on the visits side of the visit filter."""
+    conf = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.enabled": "true"}
+    from visitlens.session import shared_dir
+    root = shared_dir(spark, "bloom")
+    rows = _visits(spark)
+    spark.createDataFrame(rows, S.USER_VISIT_ACTION).write.parquet(f"{root}/v")
+    spark.createDataFrame([(k, "n", "n", k, "p", "M") for k in range(1, 100)], S.USER_INFO).write.parquet(f"{root}/u")
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = filter_visits(spark.read.parquet(f"{root}/v"), spark.read.parquet(f"{root}/u"), VisitFilter("", "", "20", "29"))
+        assert df.count() == sum(1 for r in rows if 20 <= r[1] <= 29)
+        df.collect()
+        assert "might_contain" in _final_plan(df)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_jobs_before_the_action(spark):
+    """Building a report runs its input at most once (AQE runs each stage of a query as a job of its own)."""
+    from tests.conftest import SF_SMALL
+    from visitlens.plans.registry import QUERIES
+    tracker = spark.sparkContext.statusTracker()
+    for name, most in (("visit_filter", 4), ("admitted_clicks", 12)):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        QUERIES[name](spark, SF_SMALL)
+        started = tracker.getJobIdsForGroup(f"build-{name}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(started) <= most, (name, len(started))
 
 
 def test_hot_user_reports_match_brute_force(spark, skew_conf):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from visitlens.fixed import BLOCK_THRESHOLD, TOP_ADS
 from visitlens.functions.text import ads_json, epoch_ms_to_day
-from visitlens.operators.joins import hot_key_join
+from visitlens.operators.joins import HOT_SHARE, hot_key_join
 from visitlens.operators.topk import top_n_per_group
 from visitlens.sources.tables import persisted
 
@@ -53,16 +53,28 @@ def blocked_users(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFra
     return _blocked_from_counts(_counts(ads, ("batch_id", "day", "user_id", "ads_id")), threshold)
 
 
-def _admitted(rows: DataFrame, blocked: DataFrame) -> DataFrame:
-    j = hot_key_join(rows, blocked, "user_id", "left")
+def _admitted(rows: DataFrame, blocked: DataFrame, hot: list | None = None) -> DataFrame:
+    j = hot_key_join(rows, blocked, "user_id", "left", hot=hot)
     return (j.filter(F.col("blocked_batch").isNull() | (F.col("batch_id") <= F.col("blocked_batch")))
              .drop("blocked_batch"))
 
 
+def _busy_users(counts: DataFrame) -> list:
+    """Users with more than one in ``HOT_SHARE`` of the clicks that ``counts`` sums up: fewer than ``HOT_SHARE``."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    users = counts.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.sum("n").alias("n"))
+    return [r[0] for r in users.filter(F.col("n") * HOT_SHARE > total).select("user_id").collect()]
+
+
 def admitted_clicks(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
-    """Row-level guard output: the clicks that pass the blacklist."""
+    """Row-level guard output: the clicks that pass the blacklist.
+
+    The clicks are read twice: once for stored counts, which give the block table and the busy users, and
+    once for the admission join.
+    """
     a = with_day(ads)
-    return _admitted(a, blocked_users(a, threshold))
+    per = persisted(_counts(a, ("batch_id", "day", "user_id", "ads_id")), "user-click-counts")
+    return _admitted(a, _blocked_from_counts(per, threshold), _busy_users(per))
 
 
 def admitted_counts(ads: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:

@@ -3,7 +3,9 @@
 The date bound is a visit-side predicate and the age bound a user-side one; both are applied
 before the join so they reach the parquet scans as pushed filters. Only visit columns come out. A
 user id that appears twice in ``user_info`` multiplies its visits (inner-join fan-out, kept on
-purpose). Users that hold a large share of the visits are salted in the join.
+purpose). Both sides of the join are scans: AQE splits a user that holds a large share of the visits,
+and where the bounds leave few users Spark filters the visits by a Bloom filter of them before the
+shuffle (``CLUSTER_CONF`` has the sizes).
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.operators.joins import hot_key_join
 from visitlens.sources.params import VisitFilter, apply
 
 
@@ -23,7 +24,7 @@ def filter_visits(visits: DataFrame, users: DataFrame, flt: VisitFilter) -> Data
     """Row-level result (J1, P1, P3, P4): every visit column, one row per matching user row."""
     v = apply(visits, flt.date_predicate("date"))
     u = filtered_users(users, flt)
-    return hot_key_join(v, u, "user_id").select(*v.columns)
+    return v.join(u, "user_id").select(*v.columns)
 
 
 def user_multiplicity(users: DataFrame, flt: VisitFilter) -> DataFrame:

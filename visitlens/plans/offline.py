@@ -71,8 +71,8 @@ def category_session_counts(visits: DataFrame, users: DataFrame, flt: VisitFilte
     v = apply(visits.select("date", "user_id", "session_id", "click_category_id"),
               flt.date_predicate("date"))
     clicks = v.join(F.broadcast(_top_ids(top10)), "click_category_id", "left_semi")
-    per_user = (clicks.groupBy("user_id", "click_category_id", "session_id")
-                      .agg(F.count(F.lit(1)).alias("n")))
+    per_user = persisted(clicks.groupBy("user_id", "click_category_id", "session_id")
+                         .agg(F.count(F.lit(1)).alias("n")), "category-session-counts")
     # a hot user keeps one row per (category, session): its join with the user table is salted
     j = hot_key_join(per_user, user_multiplicity(users, flt), "user_id")
     return (j.groupBy(F.col("click_category_id").alias("category_id"), "session_id")

@@ -45,6 +45,13 @@ CLUSTER_CONF = {
     # The runtime (AQE) threshold below uses measured shuffle sizes instead.
     "spark.sql.sources.fileCompressionFactor": "4.0",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # A selective side of a shuffled join (the users inside the age bounds) filters the other by a Bloom
+    # filter before its shuffle, also if it is larger than the 10 MB that Spark allows by itself.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4g",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "50000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "50000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "536870912",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.streaming.stateStore.providerClass":
