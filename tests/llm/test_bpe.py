@@ -56,3 +56,14 @@ def test_round_trip_and_edges(spark):
     texts = sorted((r["doc_id"] or 0, r["text"]) for r in bpe.decode(tokens).collect())
     assert texts == sorted((r[0] or 0, want(r[1])[1]) for r in rows)
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_full_memories_lose_their_older_half(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 6)
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 4)
+    small = bpe.Codec(bpe.default_path())
+    for k in range(60):
+        text = f"alpha{k} beta-{k % 7} gamma the12{k} {'long' * 20}"
+        assert small.encode(text) == C.encode(text)
+        assert len(small) <= 6 and len(small.pieces) <= 4
+    assert small.decode(b"") == b"" and not any(len(w) > bpe.CACHED_LENGTH for w in small)

@@ -6,8 +6,8 @@ into words, digits and symbol runs, and each piece is merged on its byte symbols
 adjacent pairs of a piece in a heap by merge rank over a doubly linked list of symbols; a popped entry
 whose symbols have since changed is stale and skipped. Decoding joins vocabulary strings.
 
-Spark deals the documents to tasks; a worker loads the vocabulary once and remembers the ids of words it
-has met, up to a fixed number of words.
+Spark deals the documents to tasks; a worker loads the vocabulary once and remembers the ids of words and of
+the pieces of words that it has met, up to a fixed number of each: when one is full, its older half goes.
 
 Defined results: null and empty texts, and texts of white space only, have no tokens and decode to the
 empty text; repeated rows give repeated results; whole texts are encoded whatever their length; an
@@ -25,6 +25,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from visitlens.llm.common import read, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers, and the longest of them.
-CACHED_WORDS, CACHED_LENGTH = 200_000, 48
+#: Words and pieces whose ids a worker remembers, and the longest of them.
+CACHED_WORDS, CACHED_PIECES, CACHED_LENGTH = 200_000, 300_000, 48
 WORD_END = "</w>"
 #: White space as the tokenizer's own pattern language has it (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -77,7 +78,8 @@ class Codec(dict):
         for rank, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in merges):
             self.ranks.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
         strings = {i: s for s, i in (self.vocab | self.special).items()}
-        self.strings = [strings.get(i, "").encode() for i in range(max(strings) + 1)]
+        self.strings = pa.array([strings.get(i, "").encode() + b" " for i in range(max(strings) + 1)], pa.large_binary())
+        self.pieces: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """``ids`` after all merges, lowest rank first and leftmost among equals."""
@@ -107,19 +109,20 @@ class Codec(dict):
                 heappush(heap, (found[0], h, ids[h], new, found[1]))
         return [x for x in ids if x >= 0]
 
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece, merged."""
+        data = piece.encode()
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.final[data[-1]]
+        found = np.array(self.merge(ids), "<u4").tobytes()
+        _remember(self.pieces, piece, found, CACHED_PIECES)
+        return found
+
     def __missing__(self, word: str) -> bytes:
         plain = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        out: list[int] = []
-        for piece in (ASCII_PIECE if plain.isascii() else PIECE).findall(plain):
-            data = piece.encode()
-            ids = [self.inner[b] for b in data]
-            ids[-1] = self.final[data[-1]]
-            out += self.merge(ids)
-        found = np.array(out, "<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = found
+        known = self.pieces
+        found = b"".join([known.get(p) or self.piece(p) for p in (ASCII_PIECE if plain.isascii() else PIECE).findall(plain)])
+        _remember(self, word, found, CACHED_WORDS)
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -137,7 +140,18 @@ class Codec(dict):
 
     def decode(self, ids: bytes) -> bytes:
         """The vocabulary strings of ``ids`` in UTF-8, joined by a space as for a file without a decoder."""
-        return b" ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        if not ids:
+            return b""
+        joined = self.strings.take(pa.array(np.frombuffer(ids, "<u4")))  # every string with its space behind it
+        return joined.buffers()[2].to_pybytes()[:-1]
+
+
+def _remember(cache: dict, key: str, value: bytes, most: int) -> None:
+    if len(key) <= CACHED_LENGTH:
+        if len(cache) >= most:
+            for old in list(islice(cache, len(cache) // 2)):
+                del cache[old]
+        cache[key] = value
 
 
 @lru_cache(maxsize=2)
