@@ -52,6 +52,19 @@ def test_damage_is_found(spark, scratch):
         warc.read_archive(spark, f"{scratch}-gone").collect()
 
 
+def test_the_query_checks_the_strong_digest(spark, scratch):
+    """Its columns alone make Spark compute SHA-256 of every payload that is read back."""
+    from tests.conftest import SF_SMALL
+    out = warc.op1_warc_archive(spark, SF_SMALL)
+    assert "sha2(" in out._jdf.queryExecution().optimizedPlan().toString()
+    warc.write_archive(pages(spark), scratch)
+    for table in ("headers", "payloads"):  # keys that no longer are the payloads' digests, all else being sound
+        t = spark.read.parquet(f"{scratch}/{table}")
+        t.withColumn("key", F.reverse("key")).select(t.columns).write.parquet(f"{scratch}-keys/{table}")
+    with pytest.raises(Exception, match="archive: damaged payload"):
+        warc.read_archive(spark, f"{scratch}-keys").select(out.columns).collect()
+
+
 def test_warc_files(spark, scratch):
     warc.write_archive(pages(spark), scratch)
     records = warc.read_archive(spark, scratch)

@@ -124,8 +124,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     # Checked once per stored payload, before the join repeats it.
     sound = F.sha2("payload", 256) == F.col("p_key")
     p = p.select("p_key", F.when(sound, F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("archive: damaged payload "), F.col("p_key")))).alias("payload"),
-        base32(F.sha1("payload")).alias("p_digest"), F.octet_length("payload").cast("long").alias("p_bytes"))
+        F.raise_error(F.concat(F.lit("archive: damaged payload "), F.col("p_key")))).alias("payload"))
+    # Length and digest are those of the checked payload, so a query that drops the payload still checks it.
+    p = p.select("p_key", "payload", base32(F.sha1("payload")).alias("p_digest"), F.octet_length("payload").cast("long").alias("p_bytes"))
     rows = h.join(p, F.col("key") == F.col("p_key"), "left")
     digest = F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r\n", 1)
     kind = F.regexp_extract("header", r"\r\nWARC-Type: (\w+)\r\n", 1)
