@@ -34,11 +34,13 @@ from visitlens.llm.common import persisted, read
 
 #: Fixed values of the query contract.
 K, EVERY = 5, 50
-PROJECTIONS, SEED, CONFIDENCE = 8, 20, 0.99
+PROJECTIONS, SEED, CONFIDENCE = 16, 20, 0.95
 #: Bounded sample for the upper levels, rows of a cell and a block, queries of a chunk, rows of a leaf.
 SAMPLE, CELL_ROWS, BLOCK_ROWS, CHUNK, LEAF = 16_384, 4096, 8192, 512, 64
 #: Room for rounding in squared distances.
 SLACK = 1e-9
+#: (query, row) pairs that are compared at once.
+PAIRS = 1 << 17
 
 
 def chi_square_quantile(p: float, m: int = PROJECTIONS) -> float:
@@ -147,46 +149,71 @@ class Block:
                 continue
             by = rows[np.argsort(p[rows, spread.argmax()], kind="stable")]
             todo += [by[: len(by) // 2], by[len(by) // 2 :]]
+        self.size = np.array([len(r) for r in self.leaves])
+        self.start, self.rows = np.cumsum(self.size) - self.size, np.concatenate(self.leaves)
         self.low = np.array([p[r].min(axis=0) for r in self.leaves])
         self.high = np.array([p[r].max(axis=0) for r in self.leaves])
 
-    def nearest(self, own: int, v: np.ndarray, p: np.ndarray, least: float, k: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best for the query ``own``; ``least`` is a score that k others are known to reach."""
-        away = np.maximum(np.maximum(self.low - p, p - self.high), 0.0)
-        away = (away * away).sum(axis=1)
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        length = math.sqrt(float((v * v).sum()))
-        reach = stop * (max(0.0, 2 - 2 * least) + SLACK)
-        for leaf in np.argsort(away, kind="stable"):
-            if away[leaf] > reach:
+    def nearest(self, own: np.ndarray, v: np.ndarray, p: np.ndarray, least: np.ndarray, k: int,
+                stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best of every query ``own``; ``least`` are scores that k others are known to reach.
+
+        The queries walk their leaves together, nearest first, one leaf a round: a round verifies the rows of
+        all (query, leaf) pairs that still pass the test, and its finds tighten the test for the next round.
+        """
+        away = np.empty((len(own), len(self.leaves)))
+        for leaf in range(len(self.leaves)):
+            off = np.maximum(np.maximum(self.low[leaf] - p, p - self.high[leaf]), 0.0)
+            away[:, leaf] = (off * off).sum(axis=1)
+        order = np.argsort(away, axis=1, kind="stable")
+        length = np.sqrt((v * v).sum(axis=1))
+        reach = stop * (np.maximum(0.0, 2 - 2 * least) + SLACK)
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        going = np.arange(len(own))
+        for turn in range(len(self.leaves)):
+            going = going[away[going, order[going, turn]] <= reach[going]]
+            if not len(going):
                 break
-            rows = self.leaves[leaf]
-            off = self.p[rows] - p
-            rows = rows[((off * off).sum(axis=1) <= reach) & (self.ids[rows] != own)]
-            if not len(rows):
-                continue
-            # Summed row by row: equal vectors have equal scores wherever they lie.
-            found = (self.vectors[rows] * v).sum(axis=1) / (self.length[rows] * length)
-            ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, found])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                reach = min(reach, stop * (max(0.0, 2 - 2 * float(scores[-1])) + SLACK))
-        return ids, scores
+            leaf = order[going, turn]
+            at = 0
+            while at < len(going):
+                # a run of pairs of bounded size; a leaf of equal projections may be a run of its own
+                stop_at = at + max(1, int(np.searchsorted(np.cumsum(self.size[leaf[at:]]), PAIRS, "right")))
+                best = self._verified(best, going[at:stop_at], leaf[at:stop_at], own, v, p, length, reach, k)
+                at = stop_at
+            query, _, score = best
+            last = np.flatnonzero(np.append(query[1:] != query[:-1], True)) if len(query) else np.zeros(0, np.int64)
+            full = last[np.diff(np.append(-1, last)) == k]
+            reach[query[full]] = np.minimum(reach[query[full]], stop * (np.maximum(0.0, 2 - 2 * score[full]) + SLACK))
+        return best
+
+    def _verified(self, best, query, leaf, own, v, p, length, reach, k):
+        """``best`` with the rows of the ``leaf`` of each ``query`` that pass the test, cut to k a query."""
+        size = self.size[leaf]
+        which = np.repeat(query, size)
+        rows = self.rows[np.repeat(self.start[leaf] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        off = self.p[rows] - p[which]
+        held = ((off * off).sum(axis=1) <= reach[which]) & (self.ids[rows] != own[which])
+        which, rows = which[held], rows[held]
+        # Summed row by row: equal vectors have equal scores wherever they lie.
+        score = (self.vectors[rows] * v[which]).sum(axis=1) / (self.length[rows] * length[which])
+        query, ids, score = (np.concatenate(c) for c in zip(best, (which, self.ids[rows], score)))
+        by = np.lexsort((ids, -score, query))
+        first = np.searchsorted(query[by], query[by], "left")
+        by = by[np.arange(len(by)) - first < k]
+        return query[by], ids[by], score[by]
 
 
 def _search(k: int, stop: float):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        query, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if len(rows) and len(queries):
             rows, queries = rows.combine_chunks(), queries.combine_chunks()
             part = lambda t: (t["vec_id"].to_numpy(), _matrix(t["embedding"].chunk(0)), np.column_stack([t[c].to_numpy() for c in _P]))
-            block = Block(*part(rows))
-            for own, v, p, least in zip(*part(queries), queries["least"].to_numpy(), strict=True):
-                ids, scores = block.nearest(int(own), v, p, float(least), k, stop)
-                out += zip([int(own)] * len(ids), ids.tolist(), scores.tolist(), strict=True)
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+            own, v, p = part(queries)
+            query, ids, scores = Block(*part(rows)).nearest(own, v, p, queries["least"].to_numpy(), k, stop)
+            query = own[query]
+        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     return run
 
