@@ -3,7 +3,10 @@
 Sizes are summed per source, targets are shared out by weight under a cap of ``MAX_RATE`` times a
 source's size, and a source's rate is target / size. A document is emitted ``floor(rate)`` times
 and once more if its hash draw falls below the fraction. The draw depends on the seed and the
-document's id alone, so reruns and retried tasks agree.
+document's id alone, so reruns and retried tasks agree. One draw per document leaves a source of few
+or unequal documents off its target, so the draws of a source are shifted round the circle by the one of
+``SHIFTS`` equal steps that comes nearest: each draw stays uniform, and the shift follows from sums of the
+sizes by source and step of the circle, whatever their number of documents.
 
 Defined results: a null or empty text has size 0 and is emitted like any other document of its
 source; a null source is a source of its own, last in order; a source whose documents are all
@@ -25,9 +28,8 @@ from visitlens.llm.common import n_words, persisted, read
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 SEED = "mix"
-#: Sources up to which the rate table (under 100 bytes a row, names apart) is broadcast, and the
-#: longest name for that. Beyond either the join is salted.
-BROADCAST_SOURCES, BROADCAST_NAME = 50_000, 256
+#: Steps of the circle that a source's draws may be shifted by, a power of two; tasks a source is spread over.
+SHIFTS = 64
 SALTS = 32
 
 
@@ -64,45 +66,63 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate:
 
 
 def with_rates(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """``docs`` (with ``doc_id`` and ``source``) and the target of their source.
+    """``docs`` (with ``doc_id`` and ``source``) and the columns of ``targets`` for their source.
 
-    The table of sources is broadcast while it is counted to be small; else the join is salted by
-    document, so a source that holds a third of all rows is spread over ``SALTS`` tasks.
+    The join is salted by document, so a source that holds a third of all rows is spread over ``SALTS``
+    tasks; Spark broadcasts the table of sources where its size allows.
     """
-    row = targets.agg(F.count("*"), F.coalesce(F.max(F.length("source")), F.lit(0))).first()
-    t = targets.withColumnRenamed("source", "t_source")
-    same = F.col("source").eqNullSafe(F.col("t_source"))
-    if row[0] <= BROADCAST_SOURCES and row[1] <= BROADCAST_NAME:
-        return docs.join(F.broadcast(t), same).drop("t_source")
     salt = F.expr(f"CAST(pmod(xxhash64(doc_id), {SALTS}) AS INT)")
-    t = t.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    t = targets.withColumnRenamed("source", "t_source").withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.col("source").eqNullSafe(F.col("t_source"))
     out = docs.withColumn("salt", salt).join(t, same & (F.col("salt") == F.col("t_salt")))
     return out.drop("t_source", "salt", "t_salt")
 
 
-def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
-    """Per document ``doc_id, size, source_size, target, copies``."""
+def shifted_targets(sized: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+    """``targets`` with ``whole`` and ``part`` of the rate and the ``shift`` whose taken words are nearest the target."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = targets.select("*", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"))
+    # A draw lies in a step of the circle and at some place of it; a shift moves the step and leaves the place.
+    at = draw(F.col("doc_id"), seed) * SHIFTS
+    edge = F.col("part") * SHIFTS
+    rows = with_rates(sized, targets.select("source", "part")).select("source", "size", "part", at.alias("at"))
+    inside = F.when(F.col("at") - F.floor("at") < edge - F.floor(edge), F.col("size")).otherwise(0)
+    steps = rows.groupBy("source", "part", F.floor("at").alias("step")).agg(F.sum("size").alias("all"), F.sum(inside).alias("some"))
+    tried = steps.select("*", F.explode(F.sequence(F.lit(0), F.lit(SHIFTS - 1))).alias("shift"))
+    now = (F.col("step") + F.col("shift")) % SHIFTS
+    taken = F.when(now < F.floor(edge), F.col("all")).when(now == F.floor(edge), F.col("some")).otherwise(0)
+    tried = tried.groupBy("source", "shift").agg(F.sum(taken).alias("extra")).withColumnRenamed("source", "s")
+    both = tried.join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    off = F.abs(F.col("whole") * F.col("source_size") + F.col("extra") - F.col("target"))
+    best = both.groupBy(*targets.columns).agg(F.min(F.struct(off, "shift"))["shift"].alias("shift"))
+    return best
+
+
+def _times(seed: str) -> Column:
+    moved = draw(F.col("doc_id"), seed) + F.col("shift") / F.lit(float(SHIFTS))
+    moved = F.when(moved >= 1, moved - 1).otherwise(moved)
+    return (F.col("whole") + F.when(moved < F.col("part"), 1).otherwise(0)).cast("long")
+
+
+def _planned(docs: DataFrame, weights: Sequence[int], max_rate: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Stored sizes of the documents, and the stored plan of the sources."""
     sized = persisted(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     targets = persisted(source_targets(sized, weights, max_rate), "mix-targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    extra = F.when(draw(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
-    out = with_rates(sized, targets)
-    return out.select("doc_id", "size", "source_size", "target", (whole + extra).cast("long").alias("copies"))
+    return sized, persisted(shifted_targets(sized, targets, seed), "mix-plan")
+
+
+def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
+    """Per document ``doc_id, size, source_size, target, copies``."""
+    sized, plan = _planned(docs, weights, max_rate, seed)
+    return with_rates(sized, plan).select("doc_id", "size", "source_size", "target", _times(seed).alias("copies"))
 
 
 def emit(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
     """The mix itself: every document of ``docs`` as often as it is taken, with its own columns."""
-    sized = docs.select("source", n_words(F.col("text")).alias("size"))
-    t = persisted(source_targets(sized, weights, max_rate), "mix-targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rates = t.select("source", rate.alias("rate"))
+    _, plan = _planned(docs, weights, max_rate, seed)
     row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
-    rated = with_rates(row, rates)
-    whole = F.floor("rate")
-    extra = F.when(draw(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
-    times = F.array_repeat(F.lit(0), (whole + extra).cast("int"))
-    return rated.select("row", F.explode(times)).select("row.*")
+    rated = with_rates(row, plan.select("source", "whole", "part", "shift"))
+    return rated.select("row", F.explode(F.array_repeat(F.lit(0), _times(seed).cast("int")))).select("row.*")
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,10 +156,19 @@ sized AS (
            least(CASE WHEN share * weight <= cap THEN level * weight ELSE cap::DOUBLE END, cap::DOUBLE) / source_size
          ELSE 0.0 END AS rate
   FROM shared, level
-), mixed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
-         (floor(t.rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
-                                    < t.rate - floor(t.rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+), drawn AS (
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, floor(t.rate) AS whole, t.rate - floor(t.rate) AS part,
+         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), tried AS (
+  SELECT source, k, abs(sum(size * (whole + CASE WHEN u + k / 64.0::DOUBLE - floor(u + k / 64.0::DOUBLE) < part THEN 1 ELSE 0 END))
+                        - any_value(target)) AS off
+  FROM drawn, range(64) r(k) GROUP BY source, k
+), chosen AS (
+  SELECT source, k FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1
+), mixed AS (
+  SELECT doc_id, size, source_size, target,
+         (whole + CASE WHEN u + k / 64.0::DOUBLE - floor(u + k / 64.0::DOUBLE) < part THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM drawn JOIN chosen ON drawn.source IS NOT DISTINCT FROM chosen.source
 )"""
 OP6_SQL = f"WITH {_MIX_CTES.format(docs='documents')} SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed"
