@@ -111,3 +111,10 @@ def test_odd_rows(spark, rows):
     out = Q.score(df, model).collect()
     assert len(out) == len(rows) and all(abs(r["score"] - 0.7310585) < 1e-6 for r in out)
     assert R.judge(df).count() == len(rows) and R.accepted(df).columns == df.columns
+
+
+def test_a_repeated_id_is_one_sampled_row(spark):
+    from visitlens.llm import quality_classifier as C
+    docs = spark.createDataFrame([(1, "hot")] * 5000 + [(2, "x"), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (9, 1), (None, 1)], "doc_id bigint, quality int")
+    assert sorted(map(tuple, C.sampled(docs, labels).select("doc_id", "text", "label").collect()), key=str) == [(1, "hot", 1), (2, "x", 0), (3, None, 1)]

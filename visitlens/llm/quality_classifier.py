@@ -9,7 +9,7 @@ smallest hashes), which that task reads as a stream, ``EPOCHS`` times over. Ever
 it lies; only the weights (1 MB) travel.
 
 Defined results: null and empty texts have no n-grams and score the logistic of the intercept; labels that
-are null are not learned from; repeated labels count each; without labelled rows, or with one class only,
+are null are not learned from; repeated labels and repeated rows of an id count once; without labelled rows, or with one class only,
 the model is what the updates make of them (0.5 for none); a null ``doc_id`` is held out like the text ''.
 Only ``doc_id``, ``text`` and the label are read, so other columns cannot clash.
 """
@@ -117,7 +117,8 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     """
     chosen = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "label").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row a pair, however often an id is repeated
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
