@@ -1,0 +1,73 @@
+"""Daily counts: reports from them equal reports from the visits; late, removed and odd days."""
+
+import pytest
+
+from visitlens import schemas as S
+from visitlens.operators.daily import day_counts, read_days, update_days
+from visitlens.plans import offline as O
+from visitlens.plans import registry as R
+from visitlens.sources import adapters as A
+from visitlens.sources.params import VisitFilter
+
+from .conftest import SF_SMALL
+from .test_reports import users_df, visit, visits_df
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    return R._daily_counts(spark, SF_SMALL)
+
+
+@pytest.mark.parametrize("flt", [
+    VisitFilter("2024-01-03", "2024-01-27", "20", "50"), VisitFilter("2024-01-10", "2024-01-10", "", ""),
+    VisitFilter("", "2024-01-15", "30", ""), VisitFilter("2024-01-16", "", "", "40"),
+    VisitFilter("2023-12-01", "2024-02-30", "", ""), VisitFilter("", "", "", ""),
+    VisitFilter("2025-01-01", "", "", "")])
+def test_reports_equal_those_from_visits(spark, stored, flt):
+    v, u = A.user_visit_action(spark, SF_SMALL), A.user_info(spark, SF_SMALL)
+    for a, b in zip(O.category_reports_from_days(spark, stored, u, flt, "t"), O.category_reports(v, u, flt, "t"), strict=True):
+        assert rows(a) == rows(b)
+
+
+def test_a_date_range_opens_its_days_only(spark, stored):
+    got = read_days(spark, stored, VisitFilter("2024-01-05", "2024-01-06"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    assert {r["date"] for r in got.collect()} == {"2024-01-05", "2024-01-06"}
+
+
+def test_late_and_removed_days(spark, scratch):
+    one = [visit("2024-01-01", 1, "a", click_category_id=3), visit("2024-01-01", 1, "a", click_category_id=3),
+           visit("2024-01-02", 2, "b", order_category_ids="4,4,5"), visit("2024-01-03", 1, "c", pay_category_ids="6")]
+    path = scratch + "/days"
+    update_days(visits_df(spark, one), path)
+    assert rows(read_days(spark, path)) == rows(day_counts(visits_df(spark, one)))
+    late = [*one[:2], visit("2024-01-02", 9, "late", click_category_id=1), *one[2:3]]  # day 3 is gone
+    files = {f for f in spark.read.parquet(path).inputFiles() if "2024-01-01" in f}
+    update_days(visits_df(spark, late), path, first="2024-01-02")
+    assert rows(read_days(spark, path)) == rows(day_counts(visits_df(spark, late)))
+    assert files == {f for f in spark.read.parquet(path).inputFiles() if "2024-01-01" in f}, "other days stay as they are"
+    update_days(visits_df(spark, late), path, first="2024-01-02")
+    assert rows(read_days(spark, path)) == rows(day_counts(visits_df(spark, late))), "an update can be run again"
+
+
+def test_odd_rows(spark, scratch):
+    empty = scratch + "/none"
+    update_days(visits_df(spark, []), empty)
+    assert rows(read_days(spark, empty)) == []
+    odd = [visit("2024-01-01", 1, "a", click_category_id=3)]
+    odd += [(None, *odd[0][1:]), ("", *odd[0][1:]), ("2024-01-01", None, None, *odd[0][3:])]
+    path = scratch + "/odd"
+    v = visits_df(spark, odd).selectExpr("*", "1 AS kind", "2 AS category_id", "3 AS click_count")
+    update_days(v, path)
+    assert rows(read_days(spark, path)) == sorted([
+        ("2024-01-01", 1, "3", "a", 1, 0, 0), ("2024-01-01", None, "3", None, 1, 0, 0), (None, 1, "3", "a", 2, 0, 0)], key=str)
+    u = users_df(spark, [(1, 30), (1, 30)])
+    for flt in (VisitFilter("", "", "", ""), VisitFilter("2024-01-01", "", "", "")):
+        assert rows(O.category_reports_from_days(spark, path, u, flt)[0]) == rows(
+            O.category_top10(visits_df(spark, odd), u, flt))
+    assert S.DAILY_COUNTS["date"].dataType.simpleString() == "string"

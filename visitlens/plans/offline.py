@@ -21,12 +21,13 @@ Plan shape (checked with ``explain``):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlens.fixed import TOP_CATEGORIES, TOP_PRODUCTS, TOP_SESSIONS
 from visitlens.operators.actions import category_events, kind_counts
 from visitlens.operators.city_ratio import city_ratio
+from visitlens.operators.daily import read_days
 from visitlens.operators.joins import hot_key_join
 from visitlens.operators.topk import rank_cut, top_n, top_n_per_group
 from visitlens.operators.visits import filter_visits, user_multiplicity
@@ -92,8 +93,18 @@ def visit_counts(visits: DataFrame, flt: VisitFilter) -> DataFrame:
 
 def category_reports(visits: DataFrame, users: DataFrame, flt: VisitFilter, task_id: str = "") -> tuple[DataFrame, DataFrame]:
     """(Q1, Q2) from one scan of the visits and one of the users."""
+    return _reports(visit_counts(visits, flt), users, flt, task_id)
+
+
+def category_reports_from_days(spark: SparkSession, path: str, users: DataFrame, flt: VisitFilter,
+                               task_id: str = "") -> tuple[DataFrame, DataFrame]:
+    """(Q1, Q2) from the daily counts below ``path``: the date range opens its days and reads no visits."""
+    return _reports(read_days(spark, path, flt), users, flt, task_id)
+
+
+def _reports(per_user: DataFrame, users: DataFrame, flt: VisitFilter, task_id: str) -> tuple[DataFrame, DataFrame]:
+    """(Q1, Q2) from stored counts per (user, category, session) and kind; a key may have several rows."""
     m = persisted(user_multiplicity(users, flt), "user-multiplicity")
-    per_user = visit_counts(visits, flt)
     weighted = persisted(hot_key_join(per_user, m, "user_id").groupBy("category_id", "session_id").agg(
         *[F.sum(F.col(f"{k}_count") * F.col("mult")).cast("bigint").alias(f"{k}_count")
           for k in ("click", "order", "pay")]), "session-counts")

@@ -73,11 +73,11 @@ k AS (
   FROM {src}
 ),
 ev AS (
-  SELECT user_id, session_id, kind, CAST(click_category_id AS VARCHAR) AS category_id FROM k WHERE kind = 'click'
+  SELECT date, user_id, session_id, kind, CAST(click_category_id AS VARCHAR) AS category_id FROM k WHERE kind = 'click'
   UNION ALL
-  SELECT user_id, session_id, kind, unnest({_java_split('order_category_ids')}) AS category_id FROM k WHERE kind = 'order'
+  SELECT date, user_id, session_id, kind, unnest({_java_split('order_category_ids')}) AS category_id FROM k WHERE kind = 'order'
   UNION ALL
-  SELECT user_id, session_id, kind, unnest({_java_split('pay_category_ids')}) AS category_id FROM k WHERE kind = 'pay'
+  SELECT date, user_id, session_id, kind, unnest({_java_split('pay_category_ids')}) AS category_id FROM k WHERE kind = 'pay'
 ),
 cc AS (
   SELECT category_id,
@@ -245,4 +245,12 @@ FROM c WINDOW w AS (PARTITION BY area, click_product_id)""",
 SELECT day, '{' || string_agg('"' || area || '":"' || replace(top3_json, '"', '\\"') || '"', ',' ORDER BY area) || '}'
          AS areas_json
 FROM q6 GROUP BY day""",
+    "daily_counts": _with(_BASE, _kinds("uva")) + """
+SELECT date, user_id, category_id, session_id,
+       CAST(count(*) FILTER (WHERE kind = 'click') AS BIGINT) AS click_count,
+       CAST(count(*) FILTER (WHERE kind = 'order') AS BIGINT) AS order_count,
+       CAST(count(*) FILTER (WHERE kind = 'pay') AS BIGINT) AS pay_count
+FROM ev GROUP BY date, user_id, category_id, session_id""",
 }
+ORACLE_SQL["category_top10_from_days"] = ORACLE_SQL["category_top10"]
+ORACLE_SQL["category_session_top10_from_days"] = ORACLE_SQL["category_session_top10"]

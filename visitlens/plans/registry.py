@@ -15,6 +15,7 @@ from visitlens.operators import guard as G
 from visitlens.operators.actions import category_counts, category_events, classify
 from visitlens.operators.city_ratio import (city_counts, city_ratio, city_ratio_sql, city_shares,
                                              register_city_ratio)
+from visitlens.operators.daily import read_days, update_days
 from visitlens.operators.visits import filter_visits
 from visitlens.plans import offline as O
 from visitlens.sources import adapters as A
@@ -34,6 +35,8 @@ OPEN_PARAMS_JSON = '{startDate:"", endDate:"", startAge:"", endAge:""}'
 # The default block threshold (100) never fires on the fixture (at most ~10 clicks per
 # user and day at sf0.01), so the registered guard queries use 2.
 GUARD_THRESHOLD = 2
+# Last day of the first and first day of the second of the two updates that fill the daily counts.
+DAILY_LAST, DAILY_NEXT = "2024-01-15", "2024-01-16"
 
 VISIT_COLS = ["date", "user_id", "session_id", "page_id", "action_time", "search_keyword",
               "click_category_id", "click_product_id", "order_category_ids", "order_product_ids",
@@ -109,6 +112,27 @@ def q_category_session_top10(spark, sf):
     return O.category_session_top10(v, u, flt, TASK_ID)
 
 
+def _daily_counts(spark, sf):
+    """The daily counts of all visits, taken in by two updates as two half months arrive."""
+    path = shared_dir(spark, "tables", "daily-counts")
+    v = A.user_visit_action(spark, sf)
+    update_days(v, path, last=DAILY_LAST)
+    update_days(v, path, first=DAILY_NEXT)
+    return path
+
+
+def q_daily_counts(spark, sf):
+    return read_days(spark, _daily_counts(spark, sf))
+
+
+def q_category_top10_from_days(spark, sf):
+    return O.category_reports_from_days(spark, _daily_counts(spark, sf), A.user_info(spark, sf), _flt(spark), TASK_ID)[0]
+
+
+def q_category_session_top10_from_days(spark, sf):
+    return O.category_reports_from_days(spark, _daily_counts(spark, sf), A.user_info(spark, sf), _flt(spark), TASK_ID)[1]
+
+
 def _visit_clicks(spark, sf):
     return O.visit_city_clicks(A.user_visit_action(spark, sf), A.city_info(spark, sf))
 
@@ -235,6 +259,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_category_clicks": q_top_category_clicks,
     "category_session_counts": q_category_session_counts,
     "category_session_top10": q_category_session_top10,
+    "daily_counts": q_daily_counts,
+    "category_top10_from_days": q_category_top10_from_days,
+    "category_session_top10_from_days": q_category_session_top10_from_days,
     "visit_city_join": q_visit_city_join,
     "area_product_counts": q_area_product_counts,
     "city_share": q_city_share,

@@ -78,3 +78,14 @@ REPORT_PARAMS = T.StructType([
     T.StructField("startAge", T.StringType()),
     T.StructField("endAge", T.StringType()),
 ])
+
+# Counts per day, user, category and session; ``date`` is the partition column.
+DAILY_COUNTS = T.StructType([
+    T.StructField("user_id", T.LongType()),
+    T.StructField("category_id", T.StringType()),
+    T.StructField("session_id", T.StringType()),
+    T.StructField("click_count", T.LongType()),
+    T.StructField("order_count", T.LongType()),
+    T.StructField("pay_count", T.LongType()),
+    T.StructField("date", T.StringType()),
+])
