@@ -63,3 +63,30 @@ def test_empty_and_tiny(spark):
     assert S.shard(spark.createDataFrame([], "doc_id bigint, text string"), 24).count() == 0
     one = S.shard(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), 24).collect()
     assert [(r["shard"], r["slot"], r["size"]) for r in one] == [(0, 0, 9)]
+
+
+@pytest.mark.parametrize("hot", [[300], [300, 250], [9, 300]])
+def test_hot_groups_leave_no_shard_empty(spark, hot):
+    rows = [(i, f"document {i} " + "w" * 30) for i in range(2000)]
+    rows += [(10_000 * (j + 1) + i, f"hot copy {j} " + "x" * 988) for j, n in enumerate(hot) for i in range(n)]
+    out = S.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 24).collect()
+    load, owner = dict.fromkeys(range(24), 0), {}
+    for r in out:
+        load[r["shard"]] += r["size"]
+        assert owner.setdefault(r["text_crc32"], r["shard"]) == r["shard"]
+    # 9 copies are larger than the mean shard of the rest (5,000 bytes) as well, and one group each
+    heavy = {owner[zlib.crc32(("hot copy %d " % j + "x" * 988).encode())] for j in range(len(hot))}
+    rest = [n for s, n in load.items() if s not in heavy]
+    assert len(heavy) == len(hot)
+    assert min(rest) > 0 and max(rest) <= 1.6 * min(rest), load
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_even_cuts_stay_within_the_capacity(seed):
+    rng = random.Random(seed)
+    cells = [S.Cell(i, 0, n, 1, n) for i, n in enumerate(rng.choice([1, 5, 60, 400]) for _ in range(rng.randrange(1, 40)))]
+    shards = rng.randrange(1, 12)
+    capacity = smallest_capacity([c.size for c in cells], shards)
+    starts = S.even(cells, capacity, shards)
+    assert starts == sorted(set(starts)) and starts[0] == 0 and len(starts) <= shards
+    assert max(sum(c.size for c in cells[a:b]) for a, b in zip(starts, [*starts[1:], len(cells)], strict=True)) <= capacity

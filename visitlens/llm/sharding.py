@@ -3,7 +3,9 @@
 Documents with equal texts form a group that stays together. Groups are ordered by a 60-bit hash of
 the text; ``n`` contiguous runs of them become the shards, with the largest shard as small as it can
 be. A capacity is feasible if filling shards greedily in order needs at most ``n`` of them; the
-smallest feasible capacity is found by binary search.
+smallest feasible capacity is found by binary search. Where one group alone sets the capacity, filling
+every shard up to it would leave others empty: cells above the mean of the rest get a shard of their own
+and the runs between them share the other shards evenly, still within the capacity (``even``).
 
 The search runs over a bounded summary on the driver: ``CELLS`` ranges of the key space with their
 bytes, number of groups and largest group. Taking cells of several groups as divisible bounds the
@@ -135,6 +137,44 @@ def bounds(cells: list[Cell], shards: int) -> tuple[int, int]:
             _smallest(low, high, lambda x: greedy(cells, x, shards) is not None))
 
 
+def _run_starts(cells: list[Cell], first: int, end: int, shards: int) -> list[int]:
+    """Starts of ``shards`` runs (fewer, if there are fewer cells) of cells [first, end), each cut as near its even share as it can be."""
+    left, starts, i = sum(c.size for c in cells[first:end]), [], first
+    for k in range(min(shards, end - first), 0, -1):
+        starts.append(i)
+        share, load, most = left / k, 0, end - (k - 1)
+        while i < most and (not load or load + cells[i].size / 2 <= share):
+            load, i = load + cells[i].size, i + 1
+        left -= load
+    return starts
+
+
+def even(cells: list[Cell], capacity: int, shards: int) -> list[int]:
+    """Starts of the shards within ``capacity``, as even as the cells above the mean of the rest allow; else ``greedy``'s."""
+    total, hot = sum(c.size for c in cells), set()
+    while len(hot) < shards:
+        mean = (total - sum(cells[i].size for i in hot)) / (shards - len(hot))
+        more = {i for i, c in enumerate(cells) if c.size > mean}
+        if more <= hot:
+            break
+        hot |= more
+    edges = [-1, *sorted(hot), len(cells)]
+    runs = [(a + 1, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a + 1]
+    spare = shards - len(hot) - len(runs)
+    fallback = greedy(cells, capacity, shards)
+    if spare < 0:
+        return fallback
+    size = {r: sum(c.size for c in cells[r[0]:r[1]]) for r in runs}
+    share = dict.fromkeys(runs, 1)
+    for _ in range(spare):
+        wider = [r for r in runs if share[r] < r[1] - r[0]]
+        if wider:
+            share[max(wider, key=lambda r: size[r] / share[r])] += 1
+    starts = sorted([*hot, *(i for r in runs for i in _run_starts(cells, *r, share[r]))])
+    loads = [sum(c.size for c in cells[a:b]) for a, b in zip(starts, [*starts[1:], len(cells)], strict=True)]
+    return starts if max(loads) <= capacity else fallback
+
+
 def plan(groups: DataFrame, shards: int = SHARDS, cells_per_round: int = CELLS) -> tuple[int, list[int]]:
     """(capacity, first key of each shard but the first) for ``groups`` (``key``, ``size``)."""
     cells = split_cells(groups, [Cell(0, KEY_BITS, 0, 0, 0)], cells_per_round.bit_length() - 1)
@@ -143,7 +183,7 @@ def plan(groups: DataFrame, shards: int = SHARDS, cells_per_round: int = CELLS)
     while True:
         least, most = bounds(cells, shards)
         if least == most:
-            return most, [cells[i].lo for i in greedy(cells, most, shards)[1:]]
+            return most, [cells[i].lo for i in even(cells, most, shards)[1:]]
         ends = zip(_stops(cells, least, shards), _reach(cells, most, shards), strict=True)
         open_cells = sorted({i for a, b in ends for i in range(a, min(b + 1, len(cells))) if cells[i].groups > 1})
         chosen = [cells[i] for i in open_cells]
