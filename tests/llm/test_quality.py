@@ -50,6 +50,27 @@ def test_selective_cheap_rules_come_first(spark):
     assert [r.name for r in order] == ["always", "never"]
 
 
+def test_rules_after_a_rejection_are_not_evaluated(spark):
+    """A rule that fails when evaluated: its order is forced by its cost, and rejected rows never reach it."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "x " * 60).otherwise("a b c").alias("text"))
+    bomb = R.Rule("bomb", "n_repeat_words < 0 OR if(n_words < 50, raise_error('evaluated'), false)")
+    rows = R.with_words(df, ["doc_id"])
+    chain = [R.on_text(r) for r in (R.BASE_RULES[0], bomb)]
+    assert [r["doc_id"] for r in rows.where(R.cascade(chain)).collect()] == [7]
+    with pytest.raises(Exception, match="evaluated"):
+        rows.where(R.cascade(chain[::-1])).collect()
+
+
+def test_accepted_is_what_judge_keeps(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    docs = docs.unionByName(docs.limit(5)).withColumn("w", F.lit(1)).withColumn("row", F.lit(2)).withColumn("n_words", F.lit(3))
+    kept = sorted(r["doc_id"] for r in R.judge(docs).where("kept").collect())
+    out = R.accepted(docs)
+    assert sorted(r["doc_id"] for r in out.collect()) == kept and out.columns == docs.columns
+    plan = R.accepted(spark.read.parquet(f"{SF_MID}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 3, "words are split once, below the rules; lines twice, inside the rule on them"
+
+
 def test_clean_documents_stay(spark):
     docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
     good = R.judge(docs).join(labels, "doc_id").where("quality = 1 AND NOT base_failed")

@@ -1,22 +1,27 @@
 """Quality rules as a short-circuit cascade ordered by rejections per cost.
 
-A rule is a name and a condition that rejects a document. ``plan_cascade`` runs every rule over
-a sample, takes its time per row (cost) and share of rejected rows (selectivity), and sorts by
-rejection per cost. ``cascade`` then tests the rules in that order inside one CASE expression,
-whose later branches are not evaluated once one has rejected. Order changes the work, never the
-verdict: a document is kept if and only if no rule rejects it.
+A rule is a name and a condition that rejects a document, over statistics of its text (``STATS``) and the
+text itself. ``plan_cascade`` times every rule over a sample (cost), takes its share of rejected rows
+(selectivity), and sorts by rejections per second. Conditions are then tested in that order inside one
+CASE expression, whose later branches are not evaluated once one has rejected. Order changes the work,
+never the verdict: a document is kept if and only if no rule rejects it.
 
-Statistics of a text (``with_stats``) are array expressions within the row; nothing is shuffled.
+``accepted`` returns no statistics, so each stands inside the conditions that need it, base rules are ordered
+among the others, and a row that a cheap rule rejects never has its costly statistics computed. ``judge``
+returns the base statistics of every row: these are computed once, and the cascade saves the rest.
+
+Statistics are array expressions within the row; nothing is shuffled.
 
 Defined results: a null text counts as empty; a rule whose condition is null does not reject;
-repeated rows are judged alike; empty tables give empty results. ``with_stats`` reads only
-``doc_id`` and ``text``, so columns of other names cannot clash.
+repeated rows are judged alike; empty tables give empty results. Only ``doc_id`` and ``text`` are read,
+so columns of other names cannot clash.
 """
 
 from __future__ import annotations
 
+import re
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +31,25 @@ from visitlens.llm.common import persisted, read, words
 
 #: Rows that costs and selectivities are estimated on.
 SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 15
-SYMBOLS = "[#*$%&|<>]"
+#: Times that a rule runs over the sample, so that its own time stands out from that of a job.
+REPEATS = 4
+
+#: The lines of ``text`` that hold a word.
+LINES = r"filter(split(text, '\n', -1), x -> x RLIKE '[^\\x20\\x09-\\x0D]')"
+#: Hash and place of every 3-word window of the words ``w``, sorted: equal windows are neighbours.
+WINDOWS = """CASE WHEN size(w) >= 4 THEN sort_array(transform(sequence(0, size(w) - 3), i ->
+  named_struct('h', xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), 'i', i))) ELSE CAST(array() AS array<struct<h:bigint,i:int>>) END"""
+#: Statistics as SQL over ``text`` and its words ``w``; a transform over a one-element array names a value. Repeated
+#: words are the distinct places that windows found twice or more cover, first occurrence included.
+STATS = {
+    "n_words": "CAST(size(w) AS BIGINT)",
+    "word_chars": "aggregate(w, 0L, (a, x) -> a + char_length(x))",
+    "n_symbols": "CAST(regexp_count(text, '[#*$%&|<>]') AS BIGINT)",
+    "n_dup_lines": f"transform(array({LINES}), l -> CAST(size(l) - size(array_distinct(l)) AS BIGINT))[0]",
+    "n_lines": f"CAST(size({LINES}) AS BIGINT)",
+    "n_repeat_words": f"""transform(array({WINDOWS}), s -> CAST(size(array_distinct(flatten(transform(
+  filter(s, (x, j) -> get(s, j - 1).h = x.h OR get(s, j + 1).h = x.h), x -> array(x.i, x.i + 1, x.i + 2))))) AS BIGINT))[0]""",
+}
 
 
 class Rule(NamedTuple):
@@ -43,69 +66,65 @@ BASE_RULES = (
 RULES = (
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
+    Rule("word_length", "abs(word_chars - 11 * n_words) > 9 * n_words"),  # mean below 2 or above 20
     Rule("shouted", "2 * regexp_count(text, '!!') > n_words"),
-    Rule("no_letters", r"2 * regexp_count(text, '[^\\x20\\x09-\\x0D]*\\p{L}[^\\x20\\x09-\\x0D]*') < n_words"),
+    Rule("no_letters", r"2 * regexp_count(text, '\\p{L}[^\\x20\\x09-\\x0D]*') < n_words"),  # from a word's first letter to its end
 )
 
 
-def _repeats(w: Column) -> Column:
-    """Words in 3-word windows that occur twice or more in ``w``, first occurrence included.
+def with_words(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, ``text`` (null: empty) and its words ``w``.
 
-    Windows are sorted by hash with their position; equal neighbours give the repeated windows,
-    and the distinct positions that these cover are counted.
+    They pass a generator of one row: conditions on them stay above it. Pushed below, a condition would
+    split the text anew wherever it names the words.
     """
-    at = F.sequence(F.lit(0), F.size(w) - 3)
-    keyed = F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    return F.when(F.size(w) >= 4, F.sort_array(keyed)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    text = F.coalesce("text", F.lit(""))
+    row = F.struct(text.alias("text"), words(text).alias("w"))
+    return docs.select(*keep, F.explode_outer(F.array(row)).alias("row_text")).select(*keep, "row_text.*")
 
 
 def with_stats(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id, text, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words`` and ``keep``."""
-    text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select("doc_id", text, *keep)
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.select("*", words(F.col("text")).alias("w"), lines.alias("l"))
-    rows = rows.select("*", _repeats(F.col("w")).alias("s"))
-    n = F.size("s")
-    pairs = F.arrays_zip(F.slice("s", F.lit(1), F.greatest(n - 1, F.lit(0))).alias("a"), F.slice("s", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"))
-    equal = F.filter(pairs, lambda p: p["a"]["h"] == p["b"]["h"])
-    starts = F.array_distinct(F.flatten(F.transform(equal, lambda p: F.array(p["a"]["i"], p["b"]["i"]))))
-    covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))
-    stats = F.struct(
-        F.size("w").cast("long").alias("n_words"),
-        F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.char_length(x)).alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        F.size("l").cast("long").alias("n_lines"),
-        F.size(covered).cast("long").alias("n_repeat_words"),
-    )
-    # A generator of one row: filters on the statistics stay above it. Pushed below, a condition would
-    # compute each statistic anew wherever it names one.
+    rows = with_words(docs, ["doc_id", *keep])
+    stats = F.struct(*[F.expr(sql).alias(name) for name, sql in STATS.items()])
     return rows.select("doc_id", "text", *keep, F.explode_outer(F.array(stats)).alias("stats")).select("doc_id", "text", *keep, "stats.*")
 
 
-def plan_cascade(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejections per second on a sample of ``docs``, best first.
+def on_text(rule: Rule) -> Rule:
+    """``rule`` with each statistic's own expression in place of its name."""
+    return Rule(rule.name, re.sub(r"\b(?:" + "|".join(STATS) + r")\b", lambda m: f"({STATS[m[0]]})", rule.rejects))
+
+
+def plan_cascade(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS,
+                 prepare: Callable[[DataFrame], DataFrame] = with_stats) -> list[Rule]:
+    """``rules`` by rejections per second on a sample of ``docs``, best first; equal ones by name.
 
     The sample is a hash-chosen part of the first rows that a scan meets, of texts up to ``SAMPLE_BYTES``;
     it steers the order of evaluation only. It is fetched (at most ``sample_rows`` of them, so that the scan
-    stops early) and its statistics stored; rules are timed one by one on these.
+    stops early) and what the rules read (``prepare``) is stored. A rule's cost is its time over ``REPEATS``
+    copies of these rows less the time of the same job without a rule. Half a rejection is added to each, so
+    that rules which reject nothing here stand by cost.
     """
     some = docs.select("doc_id", "text").where(f"pmod(xxhash64(doc_id, text), 3) = 0 AND octet_length(text) <= {SAMPLE_BYTES}")
     rows = some.limit(sample_rows).collect()
-    sample = persisted(with_stats(docs.sparkSession.createDataFrame(rows, some.schema).coalesce(1)), "rules-sample")
-    n = sample.count()
-    if not n:
+    sample = persisted(prepare(docs.sparkSession.createDataFrame(rows, some.schema).coalesce(1)), "rules-sample")
+    if not sample.count():
         return list(rules)
+    copies = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("copy"))
 
-    def timed(r: Rule) -> tuple[float, str]:
+    def timed(rejects: str) -> tuple[int, float]:
+        job = copies.select(F.sum(F.expr(f"CAST(coalesce({rejects}, false) AS INT)")))
+        job.first()  # compiles
         began = time.perf_counter()
-        rejected = sample.select(F.sum(F.expr(f"CAST(coalesce({r.rejects}, false) AS INT)"))).first()[0]
-        return -rejected / n / (time.perf_counter() - began), r.name
+        return job.first()[0], time.perf_counter() - began
+
+    _, idle = timed("copy < 0")
+
+    def rank(r: Rule) -> tuple[float, str]:
+        rejected, seconds = timed(r.rejects)
+        return -(rejected / REPEATS + 0.5) / max(seconds - idle, 1e-3), r.name
 
-    timed(rules[0])  # compiles
-    return sorted(rules, key=timed)
+    return sorted(rules, key=rank)
 
 
 def cascade(rules: Sequence[Rule]) -> Column:
@@ -116,19 +135,19 @@ def cascade(rules: Sequence[Rule]) -> Column:
     return chain
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
+def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` of every document."""
     ordered = plan_cascade(docs, rules)
-    rows = with_stats(docs, keep)
     base = F.expr(" OR ".join(f"({r.rejects})" for r in BASE_RULES))
-    rows = rows.select("*", base.alias("base_failed"))
+    rows = with_stats(docs).select("*", base.alias("base_failed"))
     return rows.select("*", F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered)).alias("kept"))
 
 
 def accepted(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that no base rule and no rule rejects, with their own columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    return judge(rows, rules, keep=("row",)).where("kept").select("row.*")
+    ordered = plan_cascade(docs, [on_text(r) for r in (*BASE_RULES, *rules)], prepare=lambda d: with_words(d, ["doc_id"]))
+    rows = with_words(docs.select(F.struct(*docs.columns).alias("row"), "text"), ["row"])
+    return rows.where(cascade(ordered)).select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
