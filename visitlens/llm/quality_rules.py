@@ -36,19 +36,22 @@ REPEATS = 4
 
 #: The lines of ``text`` that hold a word.
 LINES = r"filter(split(text, '\n', -1), x -> x RLIKE '[^\\x20\\x09-\\x0D]')"
-#: Hash and place of every 3-word window of the words ``w``, sorted: equal windows are neighbours.
-WINDOWS = """CASE WHEN size(w) >= 4 THEN sort_array(transform(sequence(0, size(w) - 3), i ->
-  named_struct('h', xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), 'i', i))) ELSE CAST(array() AS array<struct<h:bigint,i:int>>) END"""
-#: Statistics as SQL over ``text`` and its words ``w``; a transform over a one-element array names a value. Repeated
-#: words are the distinct places that windows found twice or more cover, first occurrence included.
+#: Hash of every 3-word window of the words ``w``, in order.
+WINDOWS = """CASE WHEN size(w) >= 4 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)))
+  ELSE CAST(array() AS array<bigint>) END"""
+#: The words that the windows found twice or more in ``h`` cover: sorted with their places, equal ones are neighbours.
+COVERED = """transform(array(sort_array(transform(h, (x, i) -> named_struct('h', x, 'i', i)))), s -> array_distinct(flatten(transform(
+  filter(s, (x, j) -> get(s, j - 1).h = x.h OR get(s, j + 1).h = x.h), x -> array(x.i, x.i + 1, x.i + 2)))))[0]"""
+#: Statistics as SQL over ``text`` and its words ``w``; a transform over a one-element array names a value. Where
+#: no window is repeated, nothing is sorted.
 STATS = {
     "n_words": "CAST(size(w) AS BIGINT)",
     "word_chars": "aggregate(w, 0L, (a, x) -> a + char_length(x))",
     "n_symbols": "CAST(regexp_count(text, '[#*$%&|<>]') AS BIGINT)",
     "n_dup_lines": f"transform(array({LINES}), l -> CAST(size(l) - size(array_distinct(l)) AS BIGINT))[0]",
     "n_lines": f"CAST(size({LINES}) AS BIGINT)",
-    "n_repeat_words": f"""transform(array({WINDOWS}), s -> CAST(size(array_distinct(flatten(transform(
-  filter(s, (x, j) -> get(s, j - 1).h = x.h OR get(s, j + 1).h = x.h), x -> array(x.i, x.i + 1, x.i + 2))))) AS BIGINT))[0]""",
+    "n_repeat_words": f"""transform(array({WINDOWS}), h ->
+  CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE CAST(size({COVERED}) AS BIGINT) END)[0]""",
 }
 
 
