@@ -85,6 +85,26 @@ def test_city_ratio_cases(spark):
     assert _ratio(spark, ["A"] * 1 + ["B"] * 7 + ["C"] * 1992) == "C:99.6%,B:0.4%,其他:0.0%"
 
 
+def test_city_summary_of_a_group_with_a_million_cities(spark):
+    """No task sorts or holds a group: each sends its two largest cities and one total."""
+    from pyspark.sql import functions as F
+    n = 1_000_000
+    city = F.when(F.col("id") % 10 == 0, "big").when(F.col("id") % 10 == 1, "next").otherwise(F.concat(F.lit("c"), "id"))
+    clicks = spark.range(n).select(F.lit(None).cast("string").alias("area"), F.lit(7).alias("p"), city.alias("city_name"))
+    clicks = clicks.union(spark.range(3).select(F.lit("X"), F.lit(7), F.lit(None).cast("string")))
+    df = city_ratio(clicks, ["area", "p"])
+    assert sorted(map(tuple, df.collect()), key=str) == [
+        ("X", 7, 3, "null:100.0%"), (None, 7, n, "big:10.0%,next:10.0%,其他:80.0%")]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("Exchange hashpartitioning(area") <= 4  # the counts are shuffled once
+    assert "row_number(), 2, Partial" in plan and plan.count("Window [") == 1
+    few = clicks.where("city_name IN ('big', 'next') OR length(city_name) < 5 OR city_name IS NULL")
+    few.createOrReplaceTempView("vl_few_cities")
+    twin = city_ratio_sql(spark, "vl_few_cities", ["area", "p"])
+    assert sorted(map(tuple, city_ratio(few, ["area", "p"]).collect()), key=str) == sorted(map(tuple, twin.collect()), key=str)
+    assert city_ratio(clicks.limit(0), ["area", "p"]).collect() == []
+
+
 def _area_clicks(spark, counts):
     rows = [("X", "c1", pid) for pid, n in counts for _ in range(n)]
     return spark.createDataFrame(rows, "area string, city_name string, click_product_id long")

@@ -1,12 +1,15 @@
 """City-share summary per group: ``A:50.0%,B:25.0%,其他:25.0%``.
 
-The reference computes it with a map-buffer aggregate function. Here it is two built-in
-aggregation levels, so partial aggregation happens map-side and no per-group map or list is
-ever built:
+The reference computes it with a map-buffer aggregate function. Here it is built-in
+aggregation: no per-group map or list is ever built and no group is sorted in one task.
 
 1. ``groupBy(keys + city).count()``                 -- combined before the shuffle
-2. one window over ``keys`` (clicks desc, name asc) -- total, city count, rank of each city
-3. ``groupBy(keys)`` picks ranks 1 and 2            -- same partitioning, no new exchange
+2. both from that one shuffle: totals and number of cities per group, and its two largest cities,
+   reduced where the counts lie, so a group sends at most three rows a task, however many cities it has
+3. ``groupBy(keys)`` puts totals and ranks together  -- same partitioning, no new exchange
+
+``city_shares`` ranks every city of a group and so sorts them in one task: it is for results that
+list them all and for groups whose cities come from a table of cities.
 
 Semantics (fixed by the reference's output text):
   share r = floor(c / total * 1000 + 0.5) / 10, printed as a JVM double (``33.3``, ``100.0``)
@@ -44,27 +47,35 @@ def city_shares(counts: DataFrame, keys: Sequence[str], city: str = "city_name")
             .withColumn("city_rank", F.row_number().over(w_ord)))
 
 
-def city_summary(shares: DataFrame, keys: Sequence[str], city: str = "city_name") -> DataFrame:
-    """Per group: clickcount and the city_remark text."""
-    name = F.coalesce(F.col(city), F.lit("null"))
-    top = shares.filter(F.col("city_rank") <= TOP_CITIES)
+def top_cities(counts: DataFrame, keys: Sequence[str], city: str = "city_name") -> DataFrame:
+    """Per group, in at most three rows: ``clickcount`` and ``n_cities`` in one, a largest city with its rank in each other."""
+    w = Window.partitionBy(*keys).orderBy(F.col("city_clicks").desc(), F.col(city).asc_nulls_first())
+    top = counts.withColumn("city_rank", F.row_number().over(w)).where(F.col("city_rank") <= TOP_CITIES)
+    totals = counts.groupBy(*keys).agg(F.sum("city_clicks").alias("clickcount"), F.count(F.lit(1)).alias("n_cities"))
+    return top.select(*keys, city, "city_clicks", "city_rank").unionByName(totals, allowMissingColumns=True)
+
+
+def city_summary(top: DataFrame, keys: Sequence[str], city: str = "city_name") -> DataFrame:
+    """Per group: clickcount and the city_remark text (A6, T2, T3), from the rows of ``top_cities`` or the top ones of ``city_shares``."""
     g = top.groupBy(*keys).agg(
         F.max("clickcount").alias("clickcount"),
         F.max("n_cities").alias("n_cities"),
-        F.max(F.when(F.col("city_rank") == 1, F.col("share"))).alias("r1"),
-        F.max(F.when(F.col("city_rank") == 2, F.col("share"))).alias("r2"),
-        F.max(F.when(F.col("city_rank") == 1, pct_text(name, "share"))).alias("p1"),
-        F.max(F.when(F.col("city_rank") == 2, pct_text(name, "share"))).alias("p2"),
-    )
+        *[F.max(F.when(F.col("city_rank") == i + 1, F.col("city_clicks"))).alias(f"c{i + 1}") for i in range(TOP_CITIES)],
+        *[F.max(F.when(F.col("city_rank") == i + 1, F.coalesce(F.col(city), F.lit("null")))).alias(f"n{i + 1}")
+          for i in range(TOP_CITIES)])
+    total = F.col("clickcount").cast("double")
+    shares = g.select("*", *[half_up_tenths(F.col(f"c{i + 1}").cast("double") / total).alias(f"r{i + 1}")
+                             for i in range(TOP_CITIES)])
+    parts = [pct_text(F.col(f"n{i + 1}"), f"r{i + 1}") for i in range(TOP_CITIES)]
     other = round_half_up_1dp(F.lit(100.0) - F.col("r1") - F.col("r2"))
-    remark = F.concat_ws(PART_SEP, "p1", "p2",
+    remark = F.concat_ws(PART_SEP, *parts,
                          F.when(F.col("n_cities") > TOP_CITIES, pct_text(F.lit(OTHER_LABEL), other)))
-    return g.select(*keys, F.col("clickcount"), remark.alias("city_remark"))
+    return shares.select(*keys, F.col("clickcount"), remark.alias("city_remark"))
 
 
 def city_ratio(clicks: DataFrame, keys: Sequence[str], city: str = "city_name") -> DataFrame:
     """``group by keys: count(*) AS clickcount, city_ratio(city) AS city_remark``."""
-    return city_summary(city_shares(city_counts(clicks, keys, city), keys, city), keys, city)
+    return city_summary(top_cities(city_counts(clicks, keys, city), keys, city), keys, city)
 
 
 # The same recipe as Spark SQL text over a view with columns (keys..., city_name), for

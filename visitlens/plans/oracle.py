@@ -252,5 +252,6 @@ SELECT date, user_id, category_id, session_id,
        CAST(count(*) FILTER (WHERE kind = 'pay') AS BIGINT) AS pay_count
 FROM ev GROUP BY date, user_id, category_id, session_id""",
 }
+ORACLE_SQL["visit_filter_colocated"] = ORACLE_SQL["visit_filter"]
 ORACLE_SQL["category_top10_from_days"] = ORACLE_SQL["category_top10"]
 ORACLE_SQL["category_session_top10_from_days"] = ORACLE_SQL["category_session_top10"]

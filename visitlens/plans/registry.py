@@ -15,6 +15,7 @@ from visitlens.operators import guard as G
 from visitlens.operators.actions import category_counts, category_events, classify
 from visitlens.operators.city_ratio import (city_counts, city_ratio, city_ratio_sql, city_shares,
                                              register_city_ratio)
+from visitlens.operators.colocated import filter_placed, place
 from visitlens.operators.daily import read_days, update_days
 from visitlens.operators.visits import filter_visits
 from visitlens.plans import offline as O
@@ -72,6 +73,13 @@ def q_visit_filter_sql(spark, sf):
     return visit_filter_sql(spark, "vl_user_visit_action", "vl_user_info", flt).select(*VISIT_COLS)
 
 
+def q_visit_filter_colocated(spark, sf):
+    """The visit filter over both tables stored side by side: joined without a shuffle."""
+    v, u = _inputs(spark, sf)
+    place(v, u, "visitlens_placed_visits", root=shared_dir(spark, "tables", "placed"))
+    return filter_placed(spark, "visitlens_placed_visits", _flt(spark)).select(*VISIT_COLS)
+
+
 def q_action_classify(spark, sf):
     v = A.user_visit_action(spark, sf)
     return classify(v).select("user_id", "session_id", "action_time", "click_category_id",
@@ -252,6 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "visit_filter": q_visit_filter,
     "visit_filter_open_bounds": q_visit_filter_open_bounds,
     "visit_filter_sql": q_visit_filter_sql,
+    "visit_filter_colocated": q_visit_filter_colocated,
     "action_classify": q_action_classify,
     "category_events": q_category_events,
     "category_counts": q_category_counts,
