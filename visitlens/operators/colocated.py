@@ -24,8 +24,6 @@ from visitlens.sources.params import VisitFilter, apply
 from visitlens.sources.versions import Layout, current, replace_tables
 
 DAY = "__day"
-#: Buckets of both tables. A bucket is one task of a join, so the number grows with the visits.
-BUCKETS = 64
 
 
 def _salt(key: str, columns: list[str], hot: list):
@@ -33,17 +31,22 @@ def _salt(key: str, columns: list[str], hot: list):
     return F.when(F.col(key).isNull() | F.col(key).isin(hot), spread).otherwise(F.lit(0)).cast("int").alias(SALT)
 
 
-def place(visits: DataFrame, users: DataFrame, name: str, buckets: int = BUCKETS, root: str | None = None) -> str:
-    """Write both tables as a new version of ``name``, a view on the visits; the version."""
+def place(visits: DataFrame, users: DataFrame, name: str, buckets: int | None = None, root: str | None = None) -> str:
+    """Write both tables as a new version of ``name``, a view on the visits; the version.
+
+    A bucket is one task of every later join; unless given, there are as many as the session has shuffle partitions.
+    """
     clash = {SALT, DAY} & {c for df in (visits, users) for c in df.columns}
     if clash:
         raise ValueError(f"columns of the layout itself: {sorted(clash)}")
+    spark = visits.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_keys(visits, "user_id")
     placed = visits.select("*", _salt("user_id", visits.columns, hot), F.col("date").alias(DAY))
     copies = F.when(F.col("user_id").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     known = users.where(F.col("user_id").isNotNull()).select("*", F.explode(copies).alias(SALT))
     key = ("user_id", SALT)
-    return replace_tables(visits.sparkSession, name, {
+    return replace_tables(spark, name, {
         "visits": (placed, Layout(partition_by=(DAY,), bucket_by=key, buckets=buckets)),
         "users": (known, Layout(bucket_by=key, buckets=buckets))}, root)
 
