@@ -140,3 +140,23 @@ def test_query_columns(spark):
     out = X.op13_toxicity(spark, SF_SMALL)
     assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
     assert all(r["predicted"] == int(r["score"] >= 0.5) for r in out.collect())
+
+
+@pytest.mark.parametrize("size", [0, 150])
+def test_a_model_beyond_its_size_loses_no_gram(spark, size):
+    """Every n-gram counts, also the rare ones that don't travel."""
+    rows = corpus(5, 150)
+    counts = X.gram_counts(spark.createDataFrame([(y, t) for _, t, y in rows], "toxic int, text string")).localCheckpoint()
+    small, wide = X.fit(counts), X.fit(counts, size)
+    assert isinstance(wide, X.Wide) and len(wide.frequent.grams) <= size < len(small.grams) == wide.ratios.count()
+    texts = [t for _, t, _ in corpus(6, 40)] + [None, "", "...", "an", "an an", "zzzq", "vrikzon be", "hi " * 400_000 + "vrikzado vrikzado", "hi " * 400_000 + "vrikzado"]
+    docs = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate(texts)] + [(3, texts[3], 0.5), (None, texts[0], 0.5)], "doc_id bigint, text string, ratio double")
+    of = lambda m: sorted((str(r["doc_id"]), round(r["ratio"], 3), round(r["score"], 4)) for r in X.score(docs.repartition(4), m).collect())
+    curve = (0.7, -1.5)
+    got, want = of(wide._replace(curve=curve)), of(small._replace(curve=curve))
+    assert len(got) == len(want) == len(texts) + 2
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=2e-3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    assert X.learned(docs, labels, size).curve == pytest.approx(X.learned(docs, labels).curve, rel=1e-3)

@@ -8,9 +8,10 @@ compound. A word's ratio is the sum of its bytes' log-ratios; a text is compared
 speak most for the toxic model, its log-likelihoods being normalised to the length of that passage, so that long
 texts are not diluted. A logistic curve fitted on a further fold turns the ratio into a score.
 
-All labelled rows outside the held-out and the calibration fold are counted, in the map tasks first. The model
-keeps the most frequent n-grams, at most ``SIZE`` of them (a documented bound: 25 MB at most travel); texts are
-scored where they lie.
+All labelled rows outside the held-out and the calibration fold are counted, in the map tasks first. A model of
+``SIZE`` n-grams at most travels (25 MB) and texts are scored where they lie. A larger one stays a pair of tables
+with every n-gram in it (``Wide``): its most frequent n-grams travel with their exact ratios, words made of these
+alone are settled in the map tasks, and the ratios of all other words come from joins with the tables.
 
 Defined results: null, empty and word-less texts have ratio 0; a text of one word is compared on that word;
 labels that are null, or whose document is missing, are not learned from; repeated (doc_id, label) pairs count
@@ -28,7 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +57,15 @@ class Model(NamedTuple):
     curve: tuple[float, float]
 
 
+class Wide(NamedTuple):
+    """A model of more than ``SIZE`` n-grams."""
+
+    ratios: DataFrame  #: ``gram, ratio``
+    unseen: DataFrame  #: ``context, unseen``
+    frequent: Model  #: the most frequent n-grams with their ratios, no contexts
+    curve: tuple[float, float]
+
+
 def _spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram of every byte and word end, its word) of ``words``."""
     data = np.frombuffer(START + (b" " + START).join(words) + b" ", np.uint8)
@@ -143,6 +153,113 @@ def _ratios(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model
     return Model(grams, ratio, contexts, np.log(masses[0] / masses[1]).astype(np.float32), PLAIN_CURVE)
 
 
+def _chances(counts: DataFrame) -> DataFrame:
+    """``_shared`` by joins: ``t`` (all bytes of an n-gram but its first) with its backoff ``chance``."""
+    levels, types = [], counts.select(F.col("gram").alias("t"))
+    for length in range(ORDER - 1, 0, -1):
+        types = types.groupBy(F.col("t").bitwiseAND(F.lit((1 << 8 * length) - 1)).alias("t")).agg(F.count("*").alias("f"))
+        types = persisted(types, f"toxicity-types-{length}")
+        levels.append(types)
+    lower = None
+    for length, types in enumerate(reversed(levels), 1):
+        after = types.groupBy(F.shiftright("t", 8).alias("c")).agg(F.sum("f").alias("total"), F.count("*").alias("kinds"))
+        rows = types.join(after, F.shiftright("t", 8) == F.col("c"))
+        if lower is None:
+            rows = rows.withColumn("backoff", F.lit(1 / 256))
+        else:
+            rows = rows.join(lower, F.col("t").bitwiseAND(F.lit((1 << 8 * (length - 1)) - 1)) == F.col("low"))
+        chance = (F.col("f") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("backoff")) / F.col("total")
+        lower = persisted(rows.select(F.col("t").alias("low"), chance.alias("backoff")), f"toxicity-chances-{length}")
+    return lower.select(F.col("low").alias("t"), F.col("backoff").alias("chance"))
+
+
+def wide_model(counts: DataFrame, size: int) -> Wide:
+    """The model of all ``counts`` as tables, ``size`` n-grams of it at most for the tasks."""
+    classes = ("toxic", "ordinary")
+    per = counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(
+        *[F.sum(f"{c}_n").alias(f"{c}_total") for c in classes], *[F.count_if(F.col(f"{c}_n") > 0).alias(f"{c}_kinds") for c in classes])
+    for c in classes:
+        met = F.col(f"{c}_total") > 0
+        per = per.withColumn(f"{c}_mass", F.when(met, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(1.0))
+    per = persisted(per.withColumn("unseen", F.ln(F.col("toxic_mass") / F.col("ordinary_mass"))), "toxicity-contexts")
+    rows = counts.select("gram", *[f"{c}_n" for c in classes]).join(per, F.shiftright("gram", 8) == F.col("context"))
+    rows = rows.join(_chances(counts), F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1)) == F.col("t"))
+    chance = {c: F.when(F.col(f"{c}_total") > 0, F.greatest(F.col(f"{c}_n") - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
+              + F.col(f"{c}_mass") * F.col("chance") for c in classes}
+    rows = persisted(rows.select("gram", "toxic_n", "ordinary_n", F.ln(chance["toxic"] / chance["ordinary"]).alias("ratio")), "toxicity-ratios")
+    top = most_frequent(rows, size).select("gram", "ratio").toPandas().sort_values("gram")
+    none = np.zeros(0)
+    frequent = Model(top["gram"].to_numpy(np.uint64), top["ratio"].to_numpy(float), none.astype(np.uint64), none, PLAIN_CURVE)
+    return Wide(rows.select("gram", "ratio"), per.select("context", "unseen"), frequent, PLAIN_CURVE)
+
+
+def _settled(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-ratio of each word, and whether all its n-grams are in ``model``."""
+    if not words or not len(model.grams):
+        return np.zeros(len(words)), np.zeros(len(words), bool)
+    keys, word = _spelled(words)
+    at = np.searchsorted(model.grams, keys).clip(max=len(model.grams) - 1)
+    return np.bincount(word, model.ratios[at], len(words)), np.bincount(word, model.grams[at] != keys, len(words)) == 0
+
+
+def _joined_ratios(words: DataFrame, model: Wide) -> DataFrame:
+    """``word, ratio`` of distinct ``word`` (binary) by joins with the tables of ``model``."""
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            if own:
+                keys, word = _spelled(own)
+                yield pa.record_batch([batch.column(0).take(pa.array(word)), pa.array(keys.astype(np.int64))], names=["word", "own"])
+
+    rows = words.mapInArrow(spelled, "word binary, own bigint")
+    rows = rows.join(model.ratios, F.col("own") == F.col("gram"), "left")
+    rows = rows.join(model.unseen, F.shiftright("own", 8) == F.col("context"), "left")
+    return rows.groupBy("word").agg(F.sum(F.coalesce("ratio", "unseen", F.lit(0.0))).alias("ratio"))
+
+
+def _wide_ratios(texts: DataFrame, model: Wide) -> DataFrame:
+    """``key, ratio`` of the distinct texts with words, from ``key, text``: the mean of the ``TELLING`` leading words."""
+    frequent = texts.sparkSession.sparkContext.broadcast(model.frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, others, times = [], [], []
+            for text in batch.column("text").cast(pa.binary()):
+                top, rest = np.zeros(0), Counter()
+                for words in pieces(text.as_py() or b"", WORDS):
+                    met = Counter(words)
+                    own = list(met)
+                    ratio, known = _settled(frequent.value, own)
+                    n = np.minimum(np.fromiter(met.values(), np.int64, len(own)), TELLING)
+                    top = np.sort(np.concatenate([top, np.repeat(ratio[known], n[known])]))[-TELLING:]
+                    rest.update({own[k]: int(n[k]) for k in np.flatnonzero(~known)})
+                best.append(top.tolist())
+                others.append(list(rest))
+                times.append([min(k, TELLING) for k in rest.values()])
+            yield pa.record_batch([batch.column("key"), pa.array(best, pa.list_(pa.float64())), pa.array(others, pa.list_(pa.binary())),
+                                   pa.array(times, pa.list_(pa.int32()))], names=["key", "best", "words", "times"])
+
+    rows = texts.mapInArrow(run, "key binary, best array<double>, words array<binary>, times array<int>")
+    rows = persisted(persisted(rows, "toxicity-words").dropDuplicates(["key"]), "toxicity-texts")
+    rest = rows.select("key", F.explode(F.arrays_zip("words", "times")).alias("w")).select("key", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    known = persisted(_joined_ratios(rest.select("word").distinct(), model), "toxicity-word-ratios")
+    joined = rest.join(known, "word").select("key", F.explode(F.array_repeat("ratio", F.col("times"))).alias("ratio"))
+    every = rows.select("key", F.explode("best").alias("ratio")).unionByName(joined)
+    leading = every.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ratio")))).where(F.col("place") <= TELLING)
+    return leading.groupBy("key").agg(F.avg("ratio").alias("ratio"))
+
+
+def _wide_score(docs: DataFrame, model: Wide, keep: tuple[str, ...]) -> DataFrame:
+    key = F.unhex(F.sha2("text", 256))
+    ratios = persisted(_wide_ratios(small_batches(docs).select(key.alias("key"), "text"), model), "toxicity-text-ratios")
+    own = docs.select(F.struct(*keep).alias("row"), key.alias("own")).join(ratios, F.col("own") == F.col("key"), "left")
+    ratio = F.coalesce("ratio", F.lit(0.0))
+    slope, offset = model.curve
+    logit = F.greatest(F.least(ratio * slope + offset, F.lit(30.0)), F.lit(-30.0))
+    return own.select("row.*", ratio.alias("ratio"), (1 / (1 + F.exp(-logit))).alias("score"))
+
+
 def word_ratios(model: Model, words: list[bytes]) -> np.ndarray:
     """Log-ratio of each word."""
     if not words or not len(model.grams):
@@ -176,8 +293,10 @@ class _Scorer:
         return out
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: Model | Wide, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``ratio`` and ``score`` of every document."""
+    if isinstance(model, Wide):
+        return _wide_score(docs, model, keep)
     rows = small_batches(docs).select(*keep, "text")
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("ratio", T.DoubleType()), T.StructField("score", T.DoubleType())])
     slope, offset = model.curve
@@ -231,21 +350,23 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % folds
 
 
-def fit(counts: DataFrame, size: int = SIZE) -> Model:
-    """The model of ``gram_counts``, without a curve of its own."""
-    rows = most_frequent(counts, size).toPandas().sort_values("gram")
+def fit(counts: DataFrame, size: int = SIZE) -> Model | Wide:
+    """The model of ``gram_counts`` with every n-gram, without a curve of its own; as tables beyond ``size`` n-grams."""
+    counts = persisted(counts, "toxicity-grams")
+    if counts.count() > size:
+        return wide_model(counts, size)
+    rows = counts.toPandas().sort_values("gram")  # ``size`` rows at most
     return _ratios(rows["gram"].to_numpy(np.uint64), rows["toxic_n"].to_numpy(float), rows["ordinary_n"].to_numpy(float))
 
 
-def learned(docs: DataFrame, labels: DataFrame, size: int = SIZE) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, size: int = SIZE) -> Model | Wide:
     """The model of the labels that are not held out: one fold for the curve, the others for the counts."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     last = fold(F.col("doc_id")) == FOLDS - 1
     texts = docs.select("doc_id", "text")
     # one plan at every size: labels grow with the documents, so the join deals texts by id also where it need not
-    counts = persisted(gram_counts(texts.join(known.where(~last).hint("merge"), "doc_id")), "toxicity-grams")
-    model = fit(counts, size)
+    model = fit(gram_counts(texts.join(known.where(~last).hint("merge"), "doc_id")), size)
     chosen = known.where(last).orderBy(F.xxhash64("doc_id", "toxic"), "doc_id", "toxic").limit(CALIBRATION)
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = score(sample, model, ("toxic",)).toPandas()  # CALIBRATION rows at most
