@@ -161,3 +161,22 @@ def test_texts_are_fetched_by_one_plan_at_every_size(spark, rows):
     for df in (N._fetched(docs, grouped, ["node"]), N.representatives(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_prefixes_are_not_stored(spark, rows, monkeypatch):
+    """The prefix columns, most of the rows, are shuffled as they are made, and links found in a chunk go with them."""
+    stored = []
+    monkeypatch.setattr(N, "persisted", lambda df, name, keep=N.persisted: (stored.append((name, df.columns)), keep(df, name))[1])
+    monkeypatch.setattr(N, "CHUNK", 3000)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert result(N.similar(docs)) == brute(rows)
+    assert stored and not any("prefix" in name or "low" in columns for name, columns in stored)
+
+
+def test_links_among_the_columns():
+    """Links lie before the columns of a partition and may fill a batch alone; a column may cross batches."""
+    size = lambda low, high: (low << 32) + high
+    batches = [[(None, 9, 3)], [(None, 8, 3), (5, 20, size(10, 10))], [(5, 21, size(11, 12))], [(5, 22, size(40, 40)), (6, 23, size(40, 40))]]
+    made = (pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["shingle", "node", "other"]) for rows in batches)
+    got = [(a, b) for x in N._columns(made) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+    assert sorted(got) == [(8, 3), (9, 3), (21, 20)]

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,14 +191,12 @@ def _prefixes(order) -> callable:
 
 
 def _rows(shingle, node, low, high, a, b) -> Iterator[pa.RecordBatch]:
-    """Columns (``shingle, node, low, high``) and links (``node, root``) as rows of one schema."""
-    names = ["shingle", "node", "low", "high", "root"]
+    """Columns (``shingle, node`` and in ``other`` both sizes, ``low`` above) and links (no shingle, ``node`` and in ``other`` its root)."""
+    names = ["shingle", "node", "other"]
     if len(shingle):
-        yield pa.record_batch([_signed(shingle), pa.array(node), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
-                               pa.nulls(len(node), pa.int64())], names=names)
+        yield pa.record_batch([_signed(shingle), pa.array(node), pa.array((low.astype(np.int64) << 32) + high)], names=names)
     if len(a):
-        none = pa.nulls(len(a), pa.int32())
-        yield pa.record_batch([pa.nulls(len(a), pa.int64()), pa.array(a), none, none, pa.array(b)], names=names)
+        yield pa.record_batch([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=names)
 
 
 def chained(shingle, node, low, high) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,7 +218,7 @@ def chained(shingle, node, low, high) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition sorted by shingle and low, as a forest of stars."""
+    """Links of a partition sorted by shingle and low, and those among its rows, as forests of stars."""
     last = None
     a, b, size = [], [], 0
 
@@ -228,11 +227,20 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(node), pa.array(root)], names=["a", "b"])
 
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
+        found = batch.column(0).is_null()
+        if batch.column(0).null_count:
+            given = batch.filter(found)
+            a.append(given.column(1).to_numpy())
+            b.append(given.column(2).to_numpy())
+            size += given.num_rows
+            batch = batch.filter(pc.invert(found))
+        shingle, node, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cols = [shingle, node, sizes >> 32, sizes & 0xFFFFFFFF]
         if last is not None:
             cols = [np.concatenate([x, y]) for x, y in zip(last, cols, strict=True)]
         x, y, starts, high = chained(*cols)
-        last = [c[-1:] for c in cols[:3]] + [high[-1:]]  # the open column's last row stands for its run
+        if len(cols[0]):
+            last = [c[-1:] for c in cols[:3]] + [high[-1:]]  # the open column's last row stands for its run
         keep = x != y
         a.append(x[keep])
         b.append(y[keep])
@@ -247,11 +255,10 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_groups(docs: DataFrame, order: Order) -> DataFrame:
     """``node, root``: classes that share a prefix column with another class, by group."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    schema = "shingle bigint, node bigint, low int, high int, root bigint"
-    rows = persisted(docs.select("text").mapInArrow(_prefixes(shared), schema), "prefixes")
-    sorted_columns = rows.where("shingle IS NOT NULL").drop("root").repartition("shingle").sortWithinPartitions("shingle", "low")
-    links = sorted_columns.mapInArrow(_columns, "a bigint, b bigint")
-    return components(links.unionByName(rows.where("root IS NOT NULL").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    rows = docs.select("text").mapInArrow(_prefixes(shared), "shingle bigint, node bigint, other bigint")
+    # The prefixes, by far the most rows, are shuffled as they are made; they are never stored besides.
+    dealt = rows.repartition(F.coalesce("shingle", "node")).sortWithinPartitions("shingle", "other")
+    return components(dealt.mapInArrow(_columns, "a bigint, b bigint"))
 
 
 def block_pairs(grouped: DataFrame, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
