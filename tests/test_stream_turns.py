@@ -1,13 +1,15 @@
 """Micro-batches that take several numbered batches: the guard's edges are those of the numbers."""
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_guard import COLS, _expected, _tables, ads_df
 from visitlens.sources import adslog
-from visitlens.streaming import app
-from visitlens.streaming.registry import TRIGGERS, folded, read_batches, read_line_batches, span_of, write_batches
+from visitlens.streaming import app, registry
+from visitlens.streaming.registry import LEAST, ROWS, TRIGGERS, folded, read_batches, read_line_batches, span_of, triggers_of, write_batches
 
 
 def clicks(spark, n=700, batches=30):
@@ -47,3 +49,51 @@ def test_a_long_log_is_few_micro_batches(spark):
         assert len({b - b % span for b in range(low, high + 1)}) <= TRIGGERS
         assert span == 1 or high - low >= TRIGGERS - 1
     assert span_of(spark.createDataFrame([], "batch_id bigint")) == 1
+
+
+def test_micro_batches_follow_the_clicks(spark):
+    assert [triggers_of(n) for n in (0, 1, 2 * ROWS, 3 * ROWS + 1, 10 * ROWS, 10 ** 12)] == [LEAST, LEAST, LEAST, 5, 11, TRIGGERS]
+    df = spark.range(1200).select((F.col("id") + 7).alias("batch_id"))
+    span = span_of(df)
+    assert len({b - b % span for b in range(7, 1207)}) <= LEAST
+
+
+@pytest.fixture(scope="module")
+def click_tables(tmp_path_factory):
+    """A click in every 100th of 30,000 events: 60 batches of 500 events, 15 of 2,000."""
+    root = tmp_path_factory.mktemp("clicks")
+    ids = list(range(0, 30_000, 100))
+    pq.write_table(pa.table({
+        "event_id": pa.array(ids, pa.int64()), "ts": pa.array([1_704_100_000_000_000 + i for i in ids], pa.timestamp("us")),
+        "user_id": pa.array([i % 7 for i in ids], pa.int64()), "event_type": ["click"] * len(ids), "value": [1.0] * len(ids),
+        "props": [f'{{"k": {i % 11}}}' for i in ids]}), root / "events.parquet")
+    pq.write_table(pa.table({"n_nationkey": pa.array(range(7), pa.int32()), "n_name": list("ABCDEFG"), "n_regionkey": pa.array([1] * 7, pa.int32())}),
+                   root / "nation.parquet")
+    pq.write_table(pa.table({"r_regionkey": pa.array([1], pa.int32()), "r_name": ["R"]}), root / "region.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", sorted(registry.STREAM_QUERIES))
+def test_a_replay_of_few_clicks_is_few_micro_batches(spark, click_tables, monkeypatch, name):
+    """All clicks are laid out, with the numbers of their batches, for ``LEAST`` micro-batches at most."""
+    class Laid(Exception):
+        pass
+
+    def lay(df, path, **kw):
+        assert df.count() == 300 and df.select("batch_id").distinct().count() in (15, 60)
+        raise Laid(write_batches(df, path, **kw))
+
+    monkeypatch.setattr(registry, "write_batches", lay)
+    with pytest.raises(Laid) as laid:
+        registry.STREAM_QUERIES[name](spark, click_tables)
+    assert 2 <= laid.value.args[0] <= LEAST
+
+
+def test_a_micro_batch_looks_up_its_folders_once(spark, scratch, monkeypatch):
+    seen, folders = [], app.Store.folders
+    monkeypatch.setattr(app.Store, "folders", lambda self, versions: seen.append(1) or folders(self, versions))
+    df = clicks(spark, n=60, batches=3)
+    write_batches(df.select(*COLS), f"{scratch}/src")
+    app.start(read_batches(spark, f"{scratch}/src"), f"{scratch}/sink", f"{scratch}/ck", threshold=3, trigger={"availableNow": True}).awaitTermination()
+    assert len(seen) == 2  # none in the first, which has no groups before it
+    assert _tables(spark, f"{scratch}/sink") == _expected(df, 3)
