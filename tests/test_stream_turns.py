@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_guard import COLS, _expected, _tables, ads_df
 from visitlens.sources import adslog
-from visitlens.streaming import app, registry
+from visitlens.streaming import app, guard, registry
 from visitlens.streaming.registry import LEAST, ROWS, TRIGGERS, folded, read_batches, read_line_batches, span_of, triggers_of, write_batches
 
 
@@ -97,3 +97,55 @@ def test_a_micro_batch_looks_up_its_folders_once(spark, scratch, monkeypatch):
     app.start(read_batches(spark, f"{scratch}/src"), f"{scratch}/sink", f"{scratch}/ck", threshold=3, trigger={"availableNow": True}).awaitTermination()
     assert len(seen) == 2  # none in the first, which has no groups before it
     assert _tables(spark, f"{scratch}/sink") == _expected(df, 3)
+
+
+def test_the_state_of_a_replay_follows_its_clicks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = registry.STATE_ROWS
+    assert [registry.state_partitions(spark, n) for n in (0, 1, rows, rows + 1, 10 ** 12)] == [1, 1, 1, 2, cores]
+
+
+@pytest.mark.parametrize("name", sorted(registry.STREAM_QUERIES))
+def test_a_replay_of_few_clicks_has_one_state_partition(spark, click_tables, monkeypatch, name):
+    """The layout of the log is found without a job of its own; every click reaches the stream."""
+    class Started(Exception):
+        pass
+
+    def started(rows, *args, state_partitions, **kw):
+        raise Started(state_partitions)
+
+    monkeypatch.setattr(app, "start", started)
+    monkeypatch.setattr(app, "start_from_lines", started)
+    monkeypatch.setattr(registry, "span_of", None)
+    with pytest.raises(Started) as got:
+        registry.STREAM_QUERIES[name](spark, click_tables)
+    assert got.value.args[0] == 1
+
+
+def test_the_layout_is_that_of_the_whole_log(spark, click_tables):
+    for wide in (500, 2000):
+        stored, span, parts = registry.stored_clicks(spark, click_tables, wide)
+        assert stored.count() == 300 and span == span_of(stored) and parts == 1
+
+
+def test_a_micro_batch_counts_its_clicks_once(spark, scratch, monkeypatch):
+    """Blocks, users' totals and groups' totals read the same stored counts."""
+    seen = []
+    for name in ("blocked_turns", "user_totals"):
+        kept = getattr(guard, name)
+        monkeypatch.setattr(app, name, lambda totals, counts, x, kept=kept: seen.append(counts.is_cached) or kept(totals, counts, x))
+    df = clicks(spark, n=60, batches=2)
+    n = write_batches(df.select(*COLS), f"{scratch}/src")
+    app.start(read_batches(spark, f"{scratch}/src"), f"{scratch}/sink", f"{scratch}/ck", threshold=3, trigger={"availableNow": True}).awaitTermination()
+    assert seen == [True] * 2 * n
+    assert _tables(spark, f"{scratch}/sink") == _expected(df, 3)
+
+
+def test_blocked_turns_shuffle_the_counts_once_for_steps_and_window(spark):
+    counts = spark.createDataFrame([("d", "N", "C", "u", "1", t, 2) for t in range(4)], "day string, area string, city string, user_id string, ads_id string, turn bigint, n bigint")
+    counts = counts.unionByName(counts.withColumn("city", F.lit("E")).withColumn("n", F.lit(1).cast("bigint")))
+    totals = spark.createDataFrame([("d", "u", "1", 20), ("d", "v", "1", 99)], "day string, user_id string, ads_id string, total bigint")
+    got = guard.blocked_turns(totals, counts, 13)
+    assert [tuple(r) for r in got.collect()] == [("u", 1)]  # 8 before, 3 a turn: 11, 14, 17, 20
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(day") == 1
