@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 
 from tests.conftest import SF_SMALL
 from visitlens.llm import ngram_join as N
+from visitlens.llm.common import CLEANUP_KEY, released
 from visitlens.llm.components import components, forest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,3 +182,109 @@ def test_links_among_the_columns():
     made = (pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["shingle", "node", "other"]) for rows in batches)
     got = [(a, b) for x in N._columns(made) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
     assert sorted(got) == [(8, 3), (9, 3), (21, 20)]
+
+
+def test_a_shingle_shared_by_chance_links_nothing(spark):
+    """Long texts of which each has one shingle in common with the next, first in the common order, are no group."""
+    texts = []
+    for k in range(40):
+        words = [f"own{k}x{i}" for i in range(100)]
+        texts.append(" ".join([*(f"met{k}x{i}" for i in range(5)), *words, *(f"met{k + 1}x{i}" for i in range(5))]))
+    texts += [texts[7] + " tail"]
+    sets = [s for _, s in N.shingle_sets(pa.array(texts))]
+    shingle, k = np.unique(np.concatenate(sets[:40]), return_counts=True)
+    order = N.Order(shingle[k == 1], np.full(int((k == 1).sum()), 2, np.int32))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r["node"] for r in N.candidate_groups(docs, order).collect()}
+    assert got == {N._class(sets[7]), N._class(sets[40])}
+
+
+@pytest.mark.parametrize("light", [1, 3, 16])
+def test_groups_hold_every_similar_pair(light, monkeypatch):
+    """Whatever columns count as large, in chunks, batches and copies from several tasks."""
+    monkeypatch.setattr(N, "LIGHT", light)
+    monkeypatch.setattr(N, "CHUNK", 8 * 700)
+    rng = random.Random(light)
+    words = [f"w{i}" for i in range(50)]
+    texts = []
+    for size, n, drift in ((4, 6, 2), (50, 25, 2), (250, 40, 5), (900, 20, 12)):
+        texts += [" ".join(w) for w in family(rng, rng.choices(words, k=size), n, drift)]
+    texts += [" ".join(rng.choices(words, k=rng.randrange(1, 40))) for _ in range(60)] + texts[::9]
+    rng.shuffle(texts)
+    sets = {N._class(s): s for _, s in N.shingle_sets(pa.array(texts))}
+    every, k = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+
+    class Shared:
+        value = N.Order(every[k > 3], k[k > 3].astype(np.int32))
+
+    rows = []
+    for part in (texts[::2], texts[1::2]):
+        for x in N._prefixes(Shared)(iter([pa.record_batch([pa.array(part)], names=["text"])])):
+            rows += zip(*(c.to_pylist() for c in x.columns), strict=True)
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))
+    cuts = sorted(rng.sample(range(1, len(rows)), 60))
+    batches = (pa.record_batch([pa.array([r[c] for r in rows[a:b]], pa.int64()) for c in range(3)], names=["shingle", "node", "other"])
+               for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True))
+    met = {}
+    for x in N._columns(batches):
+        for a, b, need in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            had = met.get((a, b), (0, need))
+            met[a, b] = had[0] + 1, min(had[1], need)
+    kept = [p for p, (n, need) in met.items() if n >= need]
+    node, root = forest(np.array([p[0] for p in kept], np.int64), np.array([p[1] for p in kept], np.int64))
+    label = dict(zip(node.tolist(), root.tolist(), strict=True))
+    similar = 0
+    for a, s in sets.items():
+        for b, t in sets.items():
+            both = len(np.intersect1d(s, t))
+            if a < b and both and N.NUM * (len(s) + len(t) - both) <= N.DEN * both:
+                similar += 1
+                assert label.get(a, a) == label.get(b, b)
+    assert similar > 100
+
+
+def test_bitmaps_are_copied_by_bands_of_sizes(spark, monkeypatch):
+    """A map of a large group meets the blocks of its own band and of the bands beside it, not all blocks of the group."""
+    rng = random.Random(3)
+    texts = []
+    for band in range(12):
+        for _ in range(6):
+            w = [f"v{rng.randrange(10**6)}" for _ in range(int(20 * 1.3**band) + 4)]
+            texts += [" ".join(w), " ".join([*w, "one", "more"])]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [s for _, s in N.shingle_sets(pa.array(texts))]
+    grouped = spark.createDataFrame([(N._class(s), i, len(s)) for i, s in enumerate(sets)], "node bigint, doc_id bigint, n bigint")
+    hashes = docs.selectExpr("doc_id", "xxhash64(text) AS text_hash")
+    grouped = grouped.join(hashes, "doc_id").selectExpr("node", "1L AS root", "doc_id", "text_hash", "n", "1L AS copies")
+    copies = []
+    paired = N._paired
+
+    def counted(*args):
+        copies.append(paired(*args).count())
+        return paired(*args)
+
+    monkeypatch.setattr(N, "_paired", counted)
+    monkeypatch.setattr(N, "BITMAP_BLOCK", 2048)
+    got = {r["doc_id"]: r["root"] for r in N.tightened(docs, grouped, 8, 10**6).collect()}
+    assert copies[0] <= 3 * len(texts)
+    assert len(got) == len(texts) and all(got[i] == got[i + 1] for i in range(0, len(texts), 2)) and len(set(got.values())) == len(texts) // 2
+
+
+def test_folded_bitmaps():
+    s = np.random.default_rng(1).integers(0, 1 << 62, 500, np.uint64)
+    assert all(N.folded(N.bitmap(s, 4096), bits // 8) == N.bitmap(s, bits) for bits in (256, 1024, 4096))
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    files = lambda: {f.getName() for f in _seq(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in f.getName()}
+    _seq = lambda s: [s.apply(k) for k in range(s.size())]
+    had = spark.conf.get(CLEANUP_KEY, None)
+    before = files()
+    df = released(spark.range(1000).repartition(4, "id"), "released")
+    for _ in range(50):
+        left = {f for f in files() - before if f.endswith(".data")}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP_KEY, None) == had and df.count() == 1000

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import persisted
+from visitlens.llm.common import released as persisted
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

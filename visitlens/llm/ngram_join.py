@@ -1,14 +1,17 @@
 """N-gram Jaccard join: blocked sparse products of the document by shingle incidence.
 
 A document's set is its distinct 5-word shingles (hashed to 64 bits). Equal sets are one class and take
-part once. Two sets of Jaccard similarity 0.8 or more share a shingle among the first
-``n - ceil(0.8 n) + 1`` of either, whatever the common order of shingles; ordering frequent shingles last
-keeps shared passages out of these prefixes. Prefix columns with several classes link them (as a chain,
-never as all pairs) into groups that hold every similar pair; only classes in such groups go on.
+part once. Two sets of Jaccard similarity 0.8 or more share ``l`` shingles among the first
+``n - ceil(0.8 n) + l`` of either, whatever the common order of shingles and ``l`` (up to ``ceil(0.8 n)``, here it grows
+with ``n``); ordering frequent shingles last keeps shared passages out of these prefixes. Classes that meet in so many
+prefix columns are linked; one shingle that two texts have in common by chance, which with the rows would join all
+long texts, links nothing. Columns of more than ``LIGHT`` classes link all of theirs (as a chain, never as all pairs),
+so the groups hold every similar pair; only classes in such groups go on.
 
 Groups that fill more than a block are tightened first: each class folds its set into a bitmap, whose
 differing bits bound the sets' difference from below, and only pairs within the bound that their sizes
-set still link a group. Within a group the incidence matrix is multiplied with its transpose, in blocks of classes: a task holds
+set still link a group. Classes are dealt there by bands of sizes, each compared with itself and the next, so a class
+is copied as often as these bands have blocks, not the group. Within a group the incidence matrix is multiplied with its transpose, in blocks of classes: a task holds
 two blocks, adds up overlaps a strip of columns at a time, rarest first, and drops pairs whose overlap and
 what is left of either set cannot reach the bound that their sizes set. Large groups are many block pairs.
 What survives all strips has exact overlaps; each task returns, per class, the least class it reaches and
@@ -30,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitlens.llm import tokens
-from visitlens.llm.common import persisted, read, small_batches
+from visitlens.llm.common import read, small_batches
+from visitlens.llm.common import released as persisted
 from visitlens.llm.components import components, forest
 
 WORDS = 5
@@ -42,6 +46,10 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: Broadcast bound of the frequent shingles, and shingles counted together in one task.
 FREQUENT, CHUNK = 1 << 20, 4_000_000
+#: Prefix columns of so many classes count towards the shingles that a pair must share; a larger one links its classes alone.
+LIGHT = 16
+#: Sizes of a band differ by this factor at most; above 5/4, so that similar sets lie in one band or in neighbours.
+BAND = 1.26
 #: A block holds about so many classes and shingles at most; a strip so many columns.
 BLOCK_CLASSES, BLOCK_SHINGLES, STRIP = 256, 500_000, 4096
 #: Bitmaps have two bits a shingle of the group's largest set; a block holds so many bytes of them.
@@ -147,12 +155,17 @@ def frequent(described: DataFrame, bound: int = FREQUENT) -> Order:
     return Order(values[0].astype(np.int64).view(np.uint64), np.minimum(values[1], 1 << 30).astype(np.int32))
 
 
+def needed(n):
+    """How many prefix shingles a set of ``n`` must share with a similar one that is not smaller."""
+    return np.minimum(-(-NUM * n // DEN), 2 + n // 256)
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1
+    return int(n - -(-NUM * n // DEN) + needed(n))
 
 
 def _prefixes(order) -> callable:
-    """Per chunk of documents: prefix columns, classes that share one chained already."""
+    """Per chunk of documents: prefix columns, those of more than ``LIGHT`` classes chained already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = order.value
@@ -167,8 +180,12 @@ def _prefixes(order) -> callable:
             n = np.repeat(np.array([p[2] for p in parts], np.int64), count)
             by = np.lexsort((n, shingle))
             shingle, node, n = shingle[by], node[by], n[by]
-            a, b, starts, high = chained(shingle, node, n, n)
-            yield from _rows(shingle[starts], node[starts], n[starts], high, *forest(a, b))
+            _, column, k = np.unique(shingle, return_inverse=True, return_counts=True)
+            heavy = (k > LIGHT)[column]
+            a, b, starts, high = chained(shingle[heavy], node[heavy], n[heavy], n[heavy])
+            at = np.flatnonzero(heavy)[starts]
+            yield from _rows(shingle[at], node[at], n[at], high + HEAVY, *forest(a, b))
+            yield from _rows(shingle[~heavy], node[~heavy], n[~heavy], n[~heavy], a[:0], b[:0])
 
         for batch in batches:
             for _, s in shingle_sets(batch.column(0)):
@@ -190,6 +207,10 @@ def _prefixes(order) -> callable:
     return run
 
 
+#: Marks a row that stands for a run of a column of more than ``LIGHT`` classes.
+HEAVY = 1 << 31
+
+
 def _rows(shingle, node, low, high, a, b) -> Iterator[pa.RecordBatch]:
     """Columns (``shingle, node`` and in ``other`` both sizes, ``low`` above) and links (no shingle, ``node`` and in ``other`` its root)."""
     names = ["shingle", "node", "other"]
@@ -217,48 +238,91 @@ def chained(shingle, node, low, high) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return node[at - 1], node[at], starts, top[ends] if len(starts) else top
 
 
+def _closed(shingle, node, low, high, heavy) -> tuple[tuple, tuple]:
+    """Links (two arrays) that whole heavy columns make by themselves, and pairs of the others (three, with the number of columns needed)."""
+    new = np.ones(len(shingle), bool)
+    new[1:] = shingle[1:] != shingle[:-1]
+    column = np.cumsum(new) - 1
+    strong = ((np.bincount(column) > LIGHT) | (np.bincount(column, heavy) > 0))[column] if len(column) else heavy
+    x, y, _, _ = chained(shingle[strong], node[strong], low[strong], high[strong])
+    column, node, n = column[~strong], node[~strong], low[~strong]
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, LIGHT):
+        at = np.flatnonzero(column[d:] == column[:-d])
+        if not len(at):
+            break
+        at = at[n[at] * DEN >= n[at + d] * NUM]
+        first.append(at)
+        second.append(at + d)
+    p, q = np.concatenate(first), np.concatenate(second)
+    return (x[x != y], y[x != y]), (np.maximum(node[p], node[q]), np.minimum(node[p], node[q]), needed(n[p]))
+
+
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition sorted by shingle and low, and those among its rows, as forests of stars."""
-    last = None
-    a, b, size = [], [], 0
+    """Links of a partition sorted by shingle, other and node, and those among its rows.
 
-    def linked() -> pa.RecordBatch:
-        node, root = forest(np.concatenate(a), np.concatenate(b))
-        return pa.record_batch([pa.array(node), pa.array(root)], names=["a", "b"])
+    ``need`` is 0 for links that hold, as forests of stars; others are pairs that met in one more column, and hold
+    if there are ``need`` of them. The open column's rows are kept, those of a heavy one as the last, which stands for its run.
+    """
+    last = None
+    a, b, pairs, size = [], [], [], 0
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if a:
+            node, root = forest(np.concatenate(a), np.concatenate(b))
+            yield pa.record_batch([pa.array(node), pa.array(root), pa.array(np.zeros(len(node), np.int32))], names=["a", "b", "need"])
+        for x, y, need in pairs:
+            yield pa.record_batch([pa.array(x), pa.array(y), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
+
+    def take(links: tuple, light: tuple) -> int:
+        if len(links[0]):
+            a.append(links[0])
+            b.append(links[1])
+        if len(light[0]):
+            pairs.append(light)
+        return len(links[0]) + len(light[0])
 
     for batch in batches:
-        found = batch.column(0).is_null()
+        given = batch.column(0).is_null()
         if batch.column(0).null_count:
-            given = batch.filter(found)
-            a.append(given.column(1).to_numpy())
-            b.append(given.column(2).to_numpy())
-            size += given.num_rows
-            batch = batch.filter(pc.invert(found))
+            links = batch.filter(given)
+            a.append(links.column(1).to_numpy())
+            b.append(links.column(2).to_numpy())
+            size += links.num_rows
+            batch = batch.filter(pc.invert(given))
         shingle, node, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        cols = [shingle, node, sizes >> 32, sizes & 0xFFFFFFFF]
+        low, high = sizes >> 32, sizes & (HEAVY - 1)
+        cols = [shingle, node, low, high, ((sizes & HEAVY) > 0) | (low != high)]
         if last is not None:
             cols = [np.concatenate([x, y]) for x, y in zip(last, cols, strict=True)]
-        x, y, starts, high = chained(*cols)
-        if len(cols[0]):
-            last = [c[-1:] for c in cols[:3]] + [high[-1:]]  # the open column's last row stands for its run
-        keep = x != y
-        a.append(x[keep])
-        b.append(y[keep])
-        size += int(keep.sum())
+        if not len(cols[0]):
+            continue
+        again = np.zeros(len(cols[0]), bool)  # copies come from other chunks
+        again[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & ~cols[4][1:] & ~cols[4][:-1]
+        cols = [c[~again] for c in cols]
+        start = int(np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))[-1])
+        size += take(*_closed(*(c[:start] for c in cols)))
+        last = [c[start:] for c in cols]
+        if len(last[0]) > LIGHT or last[4].any():
+            x, y, _, top = chained(*last[:4])
+            size += take((x[x != y], y[x != y]), (x[:0],))
+            last = [c[-1:] for c in last[:3]] + [top[-1:], np.ones(1, bool)]
         if size >= CHUNK // 8:
-            yield linked()
-            a, b, size = [], [], 0
-    if size:
-        yield linked()
+            yield from found()
+            a, b, pairs, size = [], [], [], 0
+    if last is not None:
+        take(*_closed(*last))
+    yield from found()
 
 
 def candidate_groups(docs: DataFrame, order: Order) -> DataFrame:
-    """``node, root``: classes that share a prefix column with another class, by group."""
+    """``node, root``: classes that share enough prefix columns with another class, by group."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     rows = docs.select("text").mapInArrow(_prefixes(shared), "shingle bigint, node bigint, other bigint")
     # The prefixes, by far the most rows, are shuffled as they are made; they are never stored besides.
-    dealt = rows.repartition(F.coalesce("shingle", "node")).sortWithinPartitions("shingle", "other")
-    return components(dealt.mapInArrow(_columns, "a bigint, b bigint"))
+    dealt = rows.repartition(F.coalesce("shingle", "node")).sortWithinPartitions("shingle", "other", "node")
+    met = dealt.mapInArrow(_columns, "a bigint, b bigint, need int").groupBy("a", "b").agg(F.count("*").alias("k"), F.min("need").alias("need"))
+    return components(met.where("k >= need").select("a", "b"))
 
 
 def block_pairs(grouped: DataFrame, block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -372,6 +436,11 @@ def bitmap(shingles: np.ndarray, bits: int) -> bytes:
     return np.packbits(out).tobytes()
 
 
+def folded(bits: bytes, width: int) -> bytes:
+    """A bitmap of ``width`` bytes, as made with so many bits at once."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0).tobytes()
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block pair of bitmaps: links (as stars) between classes whose sets may be similar enough."""
     for held in _by_key(batches, 3):
@@ -380,7 +449,8 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = rows[0][1:3]
         nodes, n = np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64)
         side = np.array([r[4] == i for r in rows])
-        maps = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
+        width = min(len(r[6]) for r in rows)
+        maps = np.frombuffer(b"".join(folded(r[6], width) for r in rows), np.uint64).reshape(len(rows), -1)
         label = np.arange(len(rows))  # pairs within a component are passed over, so that a block's links are never held
         for k in range(len(rows) - 1):
             end = int(np.searchsorted(n, n[k] * DEN // NUM, "right"))
@@ -404,9 +474,9 @@ def _fetched(docs: DataFrame, grouped: DataFrame, columns: list[str]) -> DataFra
     return texts.join(grouped.hint("shuffle_hash"), F.col("text_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))).select("text", *columns)
 
 
-def _paired(held: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of blocks dealt and sorted by the block pairs (``root, i, j``) that they belong to."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+def _paired(held: DataFrame, columns: list[str], first: str = "0", last: str = "blocks - 1") -> DataFrame:
+    """Rows of blocks dealt and sorted by the block pairs (``root, i, j``) that they belong to: those with blocks ``first`` to ``last``."""
+    other = F.explode(F.sequence(F.expr(first), F.expr(last))).alias("other")
     pairs = held.select("*", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns)
     return pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
 
@@ -418,10 +488,20 @@ def tightened(docs: DataFrame, grouped: DataFrame, block_classes: int, block_shi
     sized = grouped.join(per, F.col("root") == F.col("group_root")).drop("group_root")
     large = (F.col("k") > block_classes) | (F.col("s") > block_shingles)
     sized = persisted(sized.withColumn("large", large), "sized")
-    bits = F.expr(f"CAST(greatest(256, power(2, ceil(log2(most * {BITMAP_BITS})))) AS INT)")
-    big = sized.where("large").withColumn("bits", bits)
-    big = big.withColumn("blocks", F.ceil(F.col("k") * F.col("bits") / (8 * BITMAP_BLOCK)).cast("int"))
-    big = persisted(big.withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)")), "large")
+    big = sized.where("large").withColumn("band", F.expr(f"CAST(floor(ln(n) / ln({BAND})) AS INT)"))
+    bits = F.expr(f"CAST(greatest(256, power(2, ceil(log2(max(n) * {BITMAP_BITS})))) AS INT)").alias("bits")
+    bands = big.groupBy("root", "band").agg(F.count("*").alias("k"), bits)
+    bands = bands.withColumn("blocks", F.ceil(F.col("k") * F.col("bits") / (8 * BITMAP_BLOCK)).cast("int"))
+    # Blocks are numbered through a group's bands; a class meets those of its band and of the bands beside it.
+    by = Window.partitionBy("root").orderBy("band")
+    start = (F.sum("blocks").over(by) - F.col("blocks")).cast("int")
+    bands = bands.withColumn("start", start).withColumn("end", F.col("start") + F.col("blocks") - 1)
+    below, above = F.lag("band").over(by) == F.col("band") - 1, F.lead("band").over(by) == F.col("band") + 1
+    first = F.when(below, F.lag("start").over(by)).otherwise(F.col("start")).alias("first")
+    last = F.when(above, F.lead("end").over(by)).otherwise(F.col("end")).alias("last")
+    bands = persisted(bands.select(F.col("root").alias("group_root"), F.col("band").alias("of"), "bits", "blocks", "start", first, last), "bands")
+    big = big.join(bands, (F.col("root") == F.col("group_root")) & (F.col("band") == F.col("of"))).drop("group_root", "of")
+    big = persisted(big.withColumn("block", F.expr("start + CAST(pmod(xxhash64(node), blocks) AS INT)")), "large")
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _with_sets(batches):
@@ -429,9 +509,9 @@ def tightened(docs: DataFrame, grouped: DataFrame, block_classes: int, block_shi
             batch = batch.drop_columns(["shingles", "bits"])
             yield pa.record_batch([*batch.columns, pa.array(sets, pa.binary())], names=[*batch.schema.names, "map"])
 
-    held = _fetched(docs, big, ["root", "node", "n", "block", "blocks", "bits"])
-    held = held.mapInArrow(maps, "root bigint, node bigint, n bigint, block int, blocks int, map binary")
-    links = _paired(held, ["node", "block", "n", "map"]).mapInArrow(_bounded, "a bigint, b bigint")
+    held = _fetched(docs, big, ["root", "node", "n", "block", "first", "last", "bits"])
+    held = held.mapInArrow(maps, "root bigint, node bigint, n bigint, block int, first int, last int, map binary")
+    links = _paired(held, ["node", "block", "n", "map"], "first", "last").mapInArrow(_bounded, "a bigint, b bigint")
     fine = components(links)
     columns = ["node", "root", "doc_id", "text_hash", "n", "copies"]
     return persisted(sized.where("NOT large").select(columns).unionByName(fine.join(big.drop("root"), "node").select(columns)), "tightened")
