@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.conftest import SF_SMALL
 from tests.llm.test_ngram_join import brute
-from visitlens.llm import bpe, mixing, ngram_join, quality_classifier, quality_rules
+from visitlens.llm import bpe, common, mixing, ngram_join, quality_classifier, quality_rules
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -127,3 +127,14 @@ def test_labels_absent(spark):
     docs = spark.createDataFrame(ODD, COLUMNS)
     model = quality_classifier.learned(docs, spark.createDataFrame([(1, None)], "doc_id bigint, quality int"))
     assert {r["score"] for r in quality_classifier.score(docs, model).collect()} == {0.5}
+
+
+def test_near_duplicate_stage_keeps_no_shuffle_files(spark, monkeypatch):
+    """Shuffles of the steps before a stage's result, together several times the input, end with the tables they make."""
+    written = {}
+    write = common.persisted
+    monkeypatch.setattr(common, "persisted", lambda df, name: (written.setdefault(name, set()).add(spark.conf.get(common.CLEANUP_KEY, None)), write(df, name))[1])
+    docs = spark.createDataFrame(ODD, COLUMNS)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL).count() == 6
+    assert {"candidates", "links", "stars", "tightened", "products", "chosen"} <= set(written)
+    assert set.union(*written.values()) == {"true"}
